@@ -45,10 +45,28 @@ WB_BEFORE = r"(?<![0-9A-Za-z_])"
 WB_AFTER = r"(?![0-9A-Za-z_])"
 
 
+# Strings of JavaScript length (UTF-16 units) below 5: B counts 1, A counts 2.
+_B = r"[^\x{10000}-\x{10FFFF}]"
+_A = r"[\x{10000}-\x{10FFFF}]"
+_SHORT = rf"(?:{_B}{{0,4}}|{_B}{{0,2}}{_A}|{_B}{_A}{_B}|{_A}{_B}{{1,2}}|{_A}{_A})"
+JS_SHORTER_THAN_5 = rf"^{_SHORT}\z"
+SHORT_OR_NON_ASCII = rf"^(?:{_SHORT}|[\x{{80}}-\x{{10FFFF}}]+)\z"
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Catalyst does not share sub-expressions that sit inside ``CASE`` branches,
+    so a rule that refers to an intermediate result many times would
+    re-generate (and re-run) it per reference; binding it keeps code size and
+    work linear."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def js_trim(col) -> Column:
     """String.prototype.trim."""
     return F.regexp_replace(_c(col), rf"^{WS}+|{WS}+\z", "")
@@ -157,7 +175,11 @@ def standard_price(col) -> Column:
 
 
 def standard_hours(col) -> Column:
-    """C4: tidy one hours text; ``''`` when too short or without any ASCII."""
+    """C4: tidy one hours text; ``''`` when too short or without any ASCII.
+
+    Written as one linear chain: the 24-hour condition is a lookahead and the
+    final length/ASCII test a single replacement, so every step reads its
+    input once."""
     c = clean_unicode(col)
     c = F.regexp_replace(c, "(?i)Copy open hours", "")
     c = F.regexp_replace(c, "複製營業時間", "")
@@ -166,39 +188,40 @@ def standard_hours(col) -> Column:
     c = F.regexp_replace(c, f",{WS}*複製營業時間", "")
     c = F.regexp_replace(c, f"(?i),{WS}*Copy hours", "")
     c = js_trim(c)
-    is24 = F.instr(c, "24 小時營業") > 0
-    is24 = is24 | (F.instr(c, "24小時營業") > 0)
-    c = F.when(is24, F.regexp_replace(
-        F.regexp_replace(c, f"^(星期[一二三四五六日])[、，]{WS}*", "$1: "),
-        f"^(週[一二三四五六日])[、，]{WS}*", "$1: ")).otherwise(c)
+    c = F.regexp_replace(c, f"(?s)^(星期[一二三四五六日])[、，]{WS}*(?=.*24 ?小時營業)", "$1: ")
+    c = F.regexp_replace(c, f"(?s)^(週[一二三四五六日])[、，]{WS}*(?=.*24 ?小時營業)", "$1: ")
     c = F.regexp_replace(c, rf",{WS}*\z", "")
-    return F.when((js_length(c) < 5) | c.rlike(r"^[\x{80}-\x{10FFFF}]+\z"), F.lit("")).otherwise(c)
+    return F.regexp_replace(c, SHORT_OR_NON_ASCII, "")
 
 
 def _korea_postal(c: Column) -> Column:
     return F.regexp_extract(c, f"{WB_BEFORE}([0-9]{{5}}){WB_AFTER}", 1)
 
 
+def _korea_move(c: Column) -> Column:
+    """Move a 5-digit postal code to the front when it starts in the last
+    20 % of the text (JavaScript indices and lengths)."""
+    def with_postal(postal: Column) -> Column:
+        prefix = F.call_function("substring_index", c, postal, F.lit(1))
+        rest = F.concat(prefix, c.substr(F.length(prefix) + 6, F.lit(2147483647)))
+        moved = F.concat(postal, F.lit(" "), js_trim(first_only_replace(rest, f",{WS}*,", ",")))
+        do_move = (postal != "") & (js_length(prefix) > js_length(c) * F.lit(0.8)) & ~c.startswith(postal)
+        return F.when(do_move, moved).otherwise(c)
+    return let(_korea_postal(c), with_postal)
+
+
 def standard_address(col) -> Column:
     """Clean an address, cut trailing opening-hours text, format Japanese
     and Korean postal codes (Korean code moves to the front only when it
     starts in the last 20 % of the text)."""
-    c0 = clean_unicode(col)
-    c = c0
+    c = clean_unicode(col)
+    c = F.regexp_replace(c, JS_SHORTER_THAN_5, "")
     for word in ("營業中", "已打烊", "Opens", "Closes", "⋅"):
         c = F.regexp_replace(c, f"(?is){word}.*\\z", "")
     c = js_trim(c)
-    japan = (F.instr(c, "Japan") > 0) | (F.instr(c, "日本") > 0)
-    c = F.when(japan, first_only_replace(c, "〒([0-9]{3})-?([0-9]{4})", "〒$1-$2")).otherwise(c)
-    korea = (F.instr(c, "Korea") > 0) | (F.instr(c, "대한민국") > 0)
-    postal = _korea_postal(c)
-    prefix = F.call_function("substring_index", c, postal, F.lit(1))
-    js_index = js_length(prefix)
-    rest = F.concat(prefix, c.substr(F.length(prefix) + 6, F.lit(2147483647)))
-    moved = F.concat(postal, F.lit(" "), js_trim(first_only_replace(rest, f",{WS}*,", ",")))
-    do_move = korea & (postal != "") & (js_index > js_length(c) * 0.8) & ~c.startswith(postal)
-    c = F.when(do_move, moved).otherwise(c)
-    return F.when(js_length(c0) < 5, F.lit("")).otherwise(c)
+    c = F.regexp_replace(c, r"(?s)\A(?=.*(?:Japan|日本))(.*?)〒([0-9]{3})-?([0-9]{4})", "$1〒$2-$3")
+    return let(c, lambda v: F.when((F.instr(v, "Korea") > 0) | (F.instr(v, "대한민국") > 0), _korea_move(v))
+               .otherwise(v))
 
 
 def standard_name(col) -> Column:
@@ -208,21 +231,26 @@ def standard_name(col) -> Column:
 
 def standard_phone(col, taiwan_brackets: bool = False) -> Column:
     """Price ranges are not phones; keep digits, ``+ - ( )`` and spaces;
-    Taiwan numbers with a leading 0 become ``+886 …`` with single spaces."""
+    Taiwan numbers with a leading 0 become ``+886 …`` with single spaces.
+
+    Linear chain: the Taiwan shapes are a lookahead that swaps the leading 0
+    for a marker; separator runs are then collapsed only in the marked string
+    (``\\G`` continues from the marker), and the marker becomes ``+886 ``."""
     c = _c(col)
-    kept = js_trim(F.regexp_replace(c, rf"[^0-9+{WS_BODY}\-()]", ""))
     sep = f"[{WS_BODY}\\-]"
-    landline = rf"^0[0-9]{{1,2}}{sep}?[0-9]{{3,4}}{sep}?[0-9]{{3,4}}\z"
-    mobile = rf"^09[0-9]{{2}}{sep}?[0-9]{{3}}{sep}?[0-9]{{3}}\z"
-    to_intl = F.regexp_replace(F.regexp_replace(kept, "^0", "+886 "), f"{sep}+", " ")
-    out = (F.when(kept.rlike(landline) | kept.rlike(mobile), to_intl))
+    nonsep = f"[^{WS_BODY}\\-]"
+    kept = js_trim(F.regexp_replace(c, rf"[^0-9+{WS_BODY}\-()]", ""))
+    kept = F.regexp_replace(kept, r"^[^0-9]*\z", "")
+    landline = rf"[0-9]{{1,2}}{sep}?[0-9]{{3,4}}{sep}?[0-9]{{3,4}}\z"
+    mobile = rf"9[0-9]{{2}}{sep}?[0-9]{{3}}{sep}?[0-9]{{3}}\z"
+    marked = F.regexp_replace(kept, rf"^0(?={landline}|{mobile})", "\u0001")
     if taiwan_brackets:
-        bracket = rf"^\(0([0-9]{{1,2}})\){sep}?([0-9]{{3,4}}){sep}?([0-9]{{3,4}})\z"
-        out = out.when(kept.rlike(bracket), F.regexp_replace(kept, bracket, "+886 $1 $2 $3"))
-    out = out.otherwise(kept)
+        bracket = rf"^\(0([0-9]{{1,2}})\)(?={sep}?[0-9]{{3,4}}{sep}?[0-9]{{3,4}}\z)"
+        marked = F.regexp_replace(marked, bracket, "\u0001$1 ")
+    collapsed = F.regexp_replace(marked, rf"(\A\x{{1}}{nonsep}*|(?!\A)\G{nonsep}*){sep}+", "$1 ")
+    out = F.regexp_replace(collapsed, r"^\x{1}", "+886 ")
     return (F.when(c.isNull() | (c == ""), F.lit(""))
             .when(c.rlike(PRICE_RANGE), F.lit(""))
-            .when(~kept.rlike("[0-9]"), F.lit(""))
             .otherwise(out))
 
 

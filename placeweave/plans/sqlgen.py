@@ -226,3 +226,21 @@ def blacklisted(e: str) -> str:
     from placeweave.operators.emails import EMAIL_BLACKLIST
 
     return "(" + " OR ".join(f"strpos(lower({e}), {q(w)}) > 0" for w in EMAIL_BLACKLIST) + ")"
+
+
+def standard_address(x: str) -> str:
+    c0 = clean_unicode(x)
+    c = c0
+    for word in ("營業中", "已打烊", "Opens", "Closes", "⋅"):
+        c = rx_all(c, f"(?is){word}.*\\z")
+    c = js_trim(c)
+    c = (f"CASE WHEN strpos({c}, 'Japan') > 0 OR strpos({c}, '日本') > 0 "
+         f"THEN {rx_first(c, '〒([0-9]{3})-?([0-9]{4})', '〒$1-$2')} ELSE {c} END")
+    postal = extract(c, "(^|[^0-9A-Za-z_])([0-9]{5})([^0-9A-Za-z_]|\\z)", 2)
+    prefix = f"CASE WHEN {postal} <> '' THEN split_part({c}, {postal}, 1) ELSE '' END"
+    rest = f"({prefix} || substr({c}, length({prefix}) + 6))"
+    moved = f"({postal} || ' ' || {js_trim(rx_first(rest, f',{T.WS}*,', ','))})"
+    korea = f"(strpos({c}, 'Korea') > 0 OR strpos({c}, '대한민국') > 0)"
+    do_move = (f"({korea} AND {postal} <> '' AND {js_length(prefix)} > {js_length(c)} * CAST(0.8 AS DOUBLE) "
+               f"AND NOT starts_with({c}, {postal}))")
+    return f"CASE WHEN {js_length(c0)} < 5 THEN '' WHEN {do_move} THEN {moved} ELSE {c} END"
