@@ -92,21 +92,24 @@ def anchor_hrefs_expr(html) -> Column:
 
 def resolve_url(href, base) -> Column:
     """``a.href``: resolve a link against the page URL (no dot-segment
-    normalisation)."""
-    h, b = _c(href), _c(base)
+    normalisation).  ``href`` is bound once (see :func:`let`)."""
+    from placeweave.functions.text import let
+
+    b = _c(base)
     origin = F.regexp_extract(b, URL_ORIGIN, 1)
     scheme = F.regexp_extract(b, URL_SCHEME, 1)
     directory = F.concat(origin, F.coalesce(F.nullif(F.regexp_extract(b, URL_DIR, 1), F.lit("")),
                                             F.lit("/")))
     no_frag = F.substring_index(b, "#", 1)
     no_query = F.substring_index(no_frag, "?", 1)
-    return (F.when(h.rlike(URL_SCHEME), h)
-            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(origin, h))
-            .when(h.startswith("?"), F.concat(no_query, h))
-            .when(h.startswith("#"), F.concat(no_frag, h))
-            .when(h == "", no_frag)
-            .otherwise(F.concat(directory, h)))
+    return let(_c(href), lambda h: (
+        F.when(h.rlike(URL_SCHEME), h)
+        .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
+        .when(h.startswith("/"), F.concat(origin, h))
+        .when(h.startswith("?"), F.concat(no_query, h))
+        .when(h.startswith("#"), F.concat(no_frag, h))
+        .when(h == "", no_frag)
+        .otherwise(F.concat(directory, h))))
 
 
 def page_links(pages: DataFrame, contains: str | None = None) -> DataFrame:

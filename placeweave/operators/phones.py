@@ -21,10 +21,11 @@ PHONE_PATTERNS = (
 
 
 def first_phone_expr(text) -> Column:
-    """The first pattern whose first hit is not a price range wins; NULL if none."""
+    """The first pattern whose first hit is not a price range wins; NULL if none.
+
+    Each candidate reads its hit once: a price-range look-alike is blanked by
+    an anchored replacement and ``nullif`` hands over to the next pattern."""
     c = F.col(text) if isinstance(text, str) else text
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for pattern in PHONE_PATTERNS:
-        hit = F.regexp_extract(c, pattern, 1)
-        out = out.when((hit != "") & ~js_trim(hit).rlike(PRICE_RANGE), js_trim(hit))
-    return out
+    candidates = [F.nullif(F.regexp_replace(js_trim(F.regexp_extract(c, pattern, 1)), PRICE_RANGE, ""), F.lit(""))
+                  for pattern in PHONE_PATTERNS]
+    return F.coalesce(*candidates)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.functions.text import js_trim
+from placeweave.functions.text import js_trim, let
 
 # The id patterns, in priority order.
 PLACE_PATH = r"/place/[^/]+/([^/?]+)"
@@ -50,8 +50,13 @@ def generated_id(name, lat_text, lng_text) -> Column:
 
 
 def place_id_expr(df: DataFrame) -> Column:
-    """L1–L3: first non-null of the id rules; everything after ``?`` cut."""
-    href = F.col("href")
+    """L1–L3: first non-null of the id rules; everything after ``?`` cut.
+    ``href`` is bound once, so a filter pushed below the projection that
+    computes it does not multiply its code."""
+    return let(F.col("href"), lambda href: _place_id(df, href))
+
+
+def _place_id(df: DataFrame, href: Column) -> Column:
     path_id = F.regexp_extract(href, PLACE_PATH, 1)
     attr = F.coalesce(_nz(_opt(df, "data_pid")), _nz(_opt(df, "data_place_id")), _nz(_opt(df, "data_value")))
     parent = F.coalesce(_nz(_opt(df, "parent_pid")), _nz(_opt(df, "parent_place_id")))

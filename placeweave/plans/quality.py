@@ -17,12 +17,15 @@ RATING_SHAPE = r"^[0-9.]+\s*\([0-9,]+\)$"      # the validator's own pattern (Ja
 RATING_SHAPE_JAVA = r"^[0-9.]+[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]*\([0-9,]+\)\z"
 
 
+PLACE_ID_SHAPE = r"^(?:ChI|hex_|generated_|fallback_)[^?]*\z"
+
+
 def place_id_ok(col="placeId"):
+    """Well-formed place id.  Every predicate here reads its column once, so
+    a filter pushed below the projection that computes the column inlines a
+    single copy of it."""
     c = F.col(col) if isinstance(col, str) else col
-    prefix = F.lit(False)
-    for p in PLACE_ID_PREFIXES:
-        prefix = prefix | c.startswith(p)
-    return F.coalesce(c.isNotNull() & ~c.contains("?") & prefix, F.lit(False))
+    return F.coalesce(c.rlike(PLACE_ID_SHAPE), F.lit(False))
 
 
 def check_place_id(df: DataFrame, col: str = "placeId") -> DataFrame:
@@ -32,7 +35,7 @@ def check_place_id(df: DataFrame, col: str = "placeId") -> DataFrame:
 
 def address_ok(col="address"):
     c = F.col(col) if isinstance(col, str) else col
-    return c.isNull() | (c == "") | ~c.rlike(RATING_SHAPE_JAVA)
+    return F.coalesce(~c.rlike(RATING_SHAPE_JAVA), F.lit(True))
 
 
 def check_address(df: DataFrame, col: str = "address") -> DataFrame:
@@ -42,7 +45,7 @@ def check_address(df: DataFrame, col: str = "address") -> DataFrame:
 
 def phone_ok(col="phone"):
     c = F.col(col) if isinstance(col, str) else col
-    return c.isNull() | (c == "") | ~c.rlike(PRICE_RANGE)
+    return F.coalesce(~c.rlike(PRICE_RANGE), F.lit(True))
 
 
 def check_phone(df: DataFrame, col: str = "phone") -> DataFrame:
