@@ -53,15 +53,21 @@ def place_id_expr(df: DataFrame) -> Column:
     """L1–L3: first non-null of the id rules; everything after ``?`` cut.
     ``href`` is bound once, so a filter pushed below the projection that
     computes it does not multiply its code."""
-    return let(F.col("href"), lambda href: _place_id(df, href))
+    return let(F.col("href"), lambda href: place_id_of(
+        href, _opt(df, "data_pid"), _opt(df, "data_place_id"), _opt(df, "data_value"),
+        _opt(df, "parent_pid"), _opt(df, "parent_place_id"), _opt(df, "first_div"),
+        F.col("page_id"), F.col("pos")))
 
 
-def _place_id(df: DataFrame, href: Column) -> Column:
+def place_id_of(href: Column, data_pid: Column, data_place_id: Column, data_value: Column,
+                parent_pid: Column, parent_place_id: Column, first_div: Column,
+                page_id: Column, pos: Column) -> Column:
+    """L1–L3 over explicit columns (usable inside HOF lambdas)."""
     path_id = F.regexp_extract(href, PLACE_PATH, 1)
-    attr = F.coalesce(_nz(_opt(df, "data_pid")), _nz(_opt(df, "data_place_id")), _nz(_opt(df, "data_value")))
-    parent = F.coalesce(_nz(_opt(df, "parent_pid")), _nz(_opt(df, "parent_place_id")))
+    attr = F.coalesce(_nz(data_pid), _nz(data_place_id), _nz(data_value))
+    parent = F.coalesce(_nz(parent_pid), _nz(parent_place_id))
     hex_id = F.regexp_extract(href, HEX_ID, 1)
-    name = F.coalesce(js_trim(_opt(df, "first_div")), F.lit(""))
+    name = F.coalesce(js_trim(first_div), F.lit(""))
     lat_t, lng_t = F.regexp_extract(href, COORDS, 1), F.regexp_extract(href, COORDS, 2)
     has_coords = href.rlike(COORDS)
     pid = F.coalesce(
@@ -73,7 +79,7 @@ def _place_id(df: DataFrame, href: Column) -> Column:
         F.when(hex_id != "", F.concat(F.lit("hex_"), hex_id)),
         F.when((name != "") & has_coords, generated_id(name, lat_t, lng_t)),
         # L3, deterministic: the reference appends the wall clock here.
-        F.concat(F.lit("fallback_"), F.col("page_id").cast("string"), F.lit("_"), F.col("pos").cast("string")),
+        F.concat(F.lit("fallback_"), page_id.cast("string"), F.lit("_"), pos.cast("string")),
     )
     return F.substring_index(pid, "?", 1)
 
@@ -83,14 +89,16 @@ def with_place_id(links: DataFrame) -> DataFrame:
     return links.withColumn("placeId", place_id_expr(links))
 
 
+def coordinate_of(href: Column, i: int) -> Column:
+    """L4 for one coordinate (1 = latitude, 2 = longitude)."""
+    lit = F.regexp_extract(F.regexp_extract(href, COORDS, i), FLOAT_PREFIX, 1)
+    return F.when(href.rlike(COORDS), F.nullif(lit, F.lit("")).try_cast("double"))
+
+
 def with_coordinates(links: DataFrame) -> DataFrame:
     """L4: ``latitude``/``longitude`` from ``!3d…!4d…`` (prefix number parse)."""
-    def num(i):
-        lit = F.regexp_extract(F.regexp_extract("href", COORDS, i), FLOAT_PREFIX, 1)
-        return F.nullif(lit, F.lit("")).try_cast("double")
-    has = F.col("href").rlike(COORDS)
-    return (links.withColumn("latitude", F.when(has, num(1)))
-            .withColumn("longitude", F.when(has, num(2))))
+    return (links.withColumn("latitude", coordinate_of(F.col("href"), 1))
+            .withColumn("longitude", coordinate_of(F.col("href"), 2)))
 
 
 def tag_attr_expr(tag, name: str) -> Column:

@@ -51,6 +51,21 @@ def limit_per_query(df: DataFrame, key: str | Sequence[str], order: Sequence,
     return out if rank_col else out.drop(rn)
 
 
+def explode_rows(df: DataFrame, keep, array, alias: str | tuple[str, str], pos: str | None = None) -> DataFrame:
+    """One row per element of ``array`` (rows with NULL/empty arrays vanish),
+    keeping the columns ``keep``.
+
+    Uses ``posexplode_outer`` and drops the padding row by its NULL position.
+    A plain ``explode`` of a column computed in a lower projection makes
+    Catalyst infer ``size(col) > 0`` below the generator, which inlines (and
+    so re-runs) the whole expression that built the array."""
+    names = list(alias) if isinstance(alias, tuple) else [alias]
+    p = pos or "_xpos"
+    out = (df.select(*keep, F.posexplode_outer(array).alias(p, *names))
+           .filter(F.col(p).isNotNull()))
+    return out if pos else out.drop(p)
+
+
 def union_results(*frames: DataFrame) -> DataFrame:
     """UNION ALL by column name; missing columns become NULL."""
     out = frames[0]

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from placeweave.operators.relational import explode_rows
+
 
 def density(df: DataFrame, dims: Sequence[str], lat: str | None = None, lng: str | None = None,
             cell_deg: float = 0.01) -> DataFrame:
@@ -55,13 +57,13 @@ def no_website(business: DataFrame, captured: DataFrame | None = None, key: str
 
 def contacts(df: DataFrame, location: str, emails: str = "emails") -> DataFrame:
     """One row per (location, e-mail) with the number of businesses."""
-    return (df.select(location, F.explode(emails).alias("email"))
+    return (explode_rows(df, [location], F.col(emails), "email")
             .groupBy(location, "email").agg(F.count(F.lit(1)).alias("n_businesses")))
 
 
 def hours_patterns(df: DataFrame, hours_map: str = "hoursDetail") -> DataFrame:
     """Explode day→hours maps and count each (day, hours) pattern."""
-    return (df.select(F.explode(hours_map).alias("day", "hours"))
+    return (explode_rows(df, [], F.col(hours_map), ("day", "hours"))
             .groupBy("day", "hours").agg(F.count(F.lit(1)).alias("n")))
 
 
