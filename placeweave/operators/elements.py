@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 ELEMENT_DDL = ("STRUCT<idx: INT, parent: INT, depth: INT, last: INT, tag: STRING, "
                "attrs: MAP<STRING, STRING>, t0: INT, t1: INT>")
-ELEMENTS_SCHEMA = f"page_id BIGINT, url STRING, doc_text STRING, elements ARRAY<{ELEMENT_DDL}>"
+ELEMENTS_SCHEMA = (f"page_id BIGINT, url STRING, doc_text STRING, elements ARRAY<{ELEMENT_DDL}>, "
+                   "text_nodes ARRAY<STRUCT<t0: INT, t1: INT>>")
 
 # HTML void elements (never have children).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,7 +61,9 @@ class _Flattener(HTMLParser):
         self.rows: list[list] = []      # idx, parent, depth, last, tag, attrs, t0, t1
         self.stack: list[int] = []
         self.text: list[str] = []
+        self.nodes: list[list[int]] = []  # [t0, t1] of each text node
         self.pos = 0
+        self.in_text = False
 
     def _close_top(self) -> None:
         i = self.stack.pop()
@@ -85,6 +88,7 @@ class _Flattener(HTMLParser):
         return None
 
     def handle_starttag(self, tag, attrs):
+        self.in_text = False
         if tag in IMPLIED:
             names, boundary = IMPLIED[tag]
             hit = self._find_open(names, boundary)
@@ -110,6 +114,7 @@ class _Flattener(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        self.in_text = False
         for i in reversed(self.stack):
             if self.rows[i][4] == tag:
                 self._close_to(i)
@@ -118,9 +123,17 @@ class _Flattener(HTMLParser):
 
     def handle_data(self, data):
         if data:
+            if self.in_text:
+                self.nodes[-1][1] += len(data)
+            else:
+                self.nodes.append([self.pos, self.pos + len(data)])
+                self.in_text = True
             self.text.append(data)
             self.pos += len(data)
 
+    def handle_comment(self, data):
+        self.in_text = False
+
     def finish(self):
         self.close()
         while self.stack:
@@ -129,14 +142,22 @@ class _Flattener(HTMLParser):
 
 
 def flatten_html(html: str | None):
-    """Python model of X1 for one page: ``(doc_text, rows)``."""
+    """Python model of X1 for one page: ``(doc_text, rows)``; the text-node
+    ranges are available from :func:`flatten_html_nodes`."""
+    text, rows, _ = flatten_html_nodes(html)
+    return text, rows
+
+
+def flatten_html_nodes(html: str | None):
+    """``(doc_text, rows, text_nodes)`` for one page."""
     parser = _Flattener()
     if html:
         try:
             parser.feed(html)
         except Exception:  # noqa: BLE001 — a broken page yields what was parsed
             pass
-    return parser.finish()
+    text, rows = parser.finish()
+    return text, rows, parser.nodes
 
 
 def _arrow_type():
@@ -145,8 +166,9 @@ def _arrow_type():
     element = pa.struct([("idx", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("last", pa.int32()),
                          ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
                          ("t0", pa.int32()), ("t1", pa.int32())])
+    node = pa.struct([("t0", pa.int32()), ("t1", pa.int32())])
     return pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("doc_text", pa.string()),
-                      ("elements", pa.list_(element))])
+                      ("elements", pa.list_(element)), ("text_nodes", pa.list_(node))])
 
 
 def _flatten_batches(batches):
@@ -157,15 +179,17 @@ def _flatten_batches(batches):
         ids = batch.column("page_id").to_pylist()
         urls = batch.column("url").to_pylist()
         htmls = batch.column("html").to_pylist()
-        texts, elements = [], []
+        texts, elements, nodes = [], [], []
         for html in htmls:
-            text, rows = flatten_html(html)
+            text, rows, text_nodes = flatten_html_nodes(html)
             texts.append(text)
+            nodes.append([{"t0": a, "t1": b} for a, b in text_nodes])
             elements.append([{"idx": r[0], "parent": r[1], "depth": r[2], "last": r[3], "tag": r[4],
                               "attrs": list(r[5].items()), "t0": r[6], "t1": r[7]} for r in rows])
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()),
-             pa.array(elements, schema.field("elements").type)], schema=schema)
+             pa.array(elements, schema.field("elements").type),
+             pa.array(nodes, schema.field("text_nodes").type)], schema=schema)
 
 
 def page_elements(pages: DataFrame) -> DataFrame:
@@ -210,9 +234,12 @@ def is_tag(e: Column, tag: str) -> Column:
 
 
 def text_of(e: Column, doc_text: Column | str = "doc_text") -> Column:
-    """``textContent`` of element ``e`` (NULL when ``e`` is NULL)."""
+    """``textContent`` of element ``e`` (NULL when ``e`` is NULL); ``e`` is
+    bound once, so passing a computed element costs one evaluation."""
+    from placeweave.functions.text import let
+
     d = F.col(doc_text) if isinstance(doc_text, str) else doc_text
-    return F.when(e.isNotNull(), F.substring(d, e["t0"] + 1, e["t1"] - e["t0"]))
+    return let(e, lambda v: F.substring(d, v["t0"] + 1, v["t1"] - v["t0"]))
 
 
 def descendants(cands: Column, e: Column) -> Column:
@@ -233,8 +260,10 @@ def closest(cands: Column, e: Column) -> Column:
 
 def parent_of(elements: Column | str, e: Column) -> Column:
     """``e.parentElement`` (NULL at the top)."""
+    from placeweave.functions.text import let
+
     els = F.col(elements) if isinstance(elements, str) else elements
-    return F.when(e.isNotNull() & (e["parent"] >= 0), F.try_element_at(els, e["parent"] + 1))
+    return let(e, lambda v: F.when(v["parent"] >= 0, F.try_element_at(els, v["parent"] + 1)))
 
 
 def first_match(*candidate_lists: Column) -> Column:

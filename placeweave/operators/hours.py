@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from placeweave.functions.text import first_only_replace, js_trim, literal_first_replace
+from placeweave.functions.text import first_only_replace, js_trim, let, literal_first_replace
 
 # Day names in output order.
 DAYS_EN = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -35,34 +35,36 @@ def split_glued(col) -> Column:
 
 def dedupe_entries(entries) -> Column:
     """First position, last value per day."""
-    e = _c(entries)
-    days = F.array_distinct(F.transform(e, lambda x: x["day"]))
-    return F.transform(days, lambda d: F.struct(
-        d.alias("day"),
-        F.try_element_at(F.filter(e, lambda x: x["day"] == d), F.lit(-1))["hours"].alias("hours")))
+    def body(e: Column) -> Column:
+        days = F.array_distinct(F.transform(e, lambda x: x["day"]))
+        return F.transform(days, lambda d: F.struct(
+            d.alias("day"),
+            F.try_element_at(F.filter(e, lambda x: x["day"] == d), F.lit(-1))["hours"].alias("hours")))
+    return let(_c(entries), body)
 
 
 def hours_map(entries) -> Column:
     """``hoursDetail``: day → hours (NULL when there are no entries)."""
-    e = dedupe_entries(entries)
-    return F.when(F.size(e) > 0, F.map_from_entries(e))
-
-
-def _lookup(e: Column, day: str) -> Column:
-    return F.try_element_at(F.filter(e, lambda x: x["day"] == F.lit(day)), F.lit(1))["hours"]
+    return let(dedupe_entries(entries), lambda e: F.when(F.size(e) > 0, F.map_from_entries(e)))
 
 
 def _ordered(e: Column, days) -> Column:
-    items = [F.when(F.coalesce(_lookup(e, d), F.lit("")) != "",
-                    F.concat(F.lit(d + ": "), split_glued(_lookup(e, d)))) for d in days]
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    """``Day: hours`` for the listed days present with non-empty hours."""
+    wanted = F.array(*[F.lit(d) for d in days])
+    found = F.transform(wanted, lambda d: F.struct(
+        d.alias("day"), F.try_element_at(F.filter(e, lambda x: x["day"] == d), F.lit(1))["hours"].alias("hours")))
+    return F.transform(F.filter(found, lambda x: F.coalesce(x["hours"], F.lit("")) != ""),
+                       lambda x: F.concat(x["day"], F.lit(": "), split_glued(x["hours"])))
 
 
 def hours_list(entries) -> Column:
     """``"Day: hours"`` strings — Monday..Sunday if any English day is
     present, else 星期一..星期日, else source order without "hours may differ"
     days, bracketed notes cut from the day and empty hours dropped."""
-    e = dedupe_entries(entries)
+    return let(dedupe_entries(entries), _hours_list)
+
+
+def _hours_list(e: Column) -> Column:
     en = _ordered(e, DAYS_EN)
     zh = _ordered(e, DAYS_ZH)
     fallback = F.filter(
@@ -71,4 +73,5 @@ def hours_list(entries) -> Column:
             js_trim(literal_first_replace(split_glued(x["hours"]), F.lit(MAY_DIFFER), "")).alias("h"))),
         lambda x: x["h"] != "")
     fb = F.transform(fallback, lambda x: F.concat(x["d"], F.lit(": "), x["h"]))
-    return F.when(F.size(en) > 0, en).when(F.size(zh) > 0, zh).otherwise(fb)
+    return let(en, lambda a: F.when(F.size(a) > 0, a).otherwise(
+        let(zh, lambda b: F.when(F.size(b) > 0, b).otherwise(fb))))
