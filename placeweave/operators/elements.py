@@ -171,7 +171,7 @@ def _arrow_type():
                       ("elements", pa.list_(element)), ("text_nodes", pa.list_(node))])
 
 
-def _flatten_batches(batches):
+def _flatten_batches(batches, carry=()):
     import pyarrow as pa
 
     schema = _arrow_type()
@@ -186,19 +186,28 @@ def _flatten_batches(batches):
             nodes.append([{"t0": a, "t1": b} for a, b in text_nodes])
             elements.append([{"idx": r[0], "parent": r[1], "depth": r[2], "last": r[3], "tag": r[4],
                               "attrs": list(r[5].items()), "t0": r[6], "t1": r[7]} for r in rows])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()),
-             pa.array(elements, schema.field("elements").type),
-             pa.array(nodes, schema.field("text_nodes").type)], schema=schema)
-
-
-def page_elements(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, doc_text, elements)`` per page.
-
-    Only the three page columns cross into Python (project before calling to
-    keep others out); Arrow batches are capped by
+        arrays = [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()),
+                  pa.array(elements, schema.field("elements").type),
+                  pa.array(nodes, schema.field("text_nodes").type)]
+        names = list(schema.names)
+        for c in carry:                  # extra page columns pass through untouched
+            arrays.append(batch.column(c))
+            names.append(c)
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def page_elements(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(page_id, url, doc_text, elements, text_nodes, *carry)`` per page.
+
+    Only ``page_id, url, html`` and the (small, scalar) ``carry`` columns cross
+    into Python, so page metadata rides along instead of being joined back
+    (which would shuffle the element arrays).  Arrow batches are capped by
     ``spark.sql.execution.arrow.maxRecordsPerBatch``."""
-    return pages.select("page_id", "url", "html").mapInArrow(_flatten_batches, ELEMENTS_SCHEMA)
+    carry = tuple(carry)
+    dtypes = dict(pages.dtypes)
+    schema = ELEMENTS_SCHEMA + "".join(f", `{c}` {dtypes[c]}" for c in carry)
+    return pages.select("page_id", "url", "html", *carry).mapInArrow(
+        lambda it: _flatten_batches(it, carry), schema)
 
 
 # ---------------------------------------------------------------------------

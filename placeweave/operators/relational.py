@@ -93,13 +93,15 @@ DETAIL_RULES = {
 
 def merge_details(listing: DataFrame, detail: DataFrame, key: str = "placeId",
                   fields: Sequence[str] = ("address", "phone", "website", "hours", "hoursDetail",
-                                           "priceLevel", "businessType")) -> DataFrame:
+                                           "priceLevel", "businessType"),
+                  enabled: Column | None = None) -> DataFrame:
     """Left-join details onto listings; a detail value replaces the
     listing value only when non-empty.  ``address``, ``priceLevel`` and
     ``businessType`` pass through C5, C3, C2 after that test and may end up
     ``''``.  ``hours`` replaces when present (an empty list counts, as in the
     reference).  ``detail`` must hold at most one row per key (see
-    :func:`one_per_key`)."""
+    :func:`one_per_key`).  ``enabled`` (a boolean column of ``listing``) limits
+    the merge to rows whose request asked for details."""
     present = [f for f in fields if f in detail.columns]
     d = detail.select(F.col(key).alias("_k"), *[F.col(f).alias(f"_d_{f}") for f in present])
     joined = listing.join(d, listing[key] == d["_k"], "left")
@@ -117,6 +119,8 @@ def merge_details(listing: DataFrame, detail: DataFrame, key: str = "placeId",
             take = dv.isNotNull()
             value = dv
         base = F.col(f) if f in listing.columns else F.lit(None).cast(dtype)
+        if enabled is not None:
+            take = take & enabled
         out = out.withColumn(f, F.when(take, value).otherwise(base))
     return out.drop("_k", *[f"_d_{f}" for f in present])
 

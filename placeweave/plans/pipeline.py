@@ -1,0 +1,154 @@
+"""End-to-end job: requests + captured pages → business rows, error rows,
+run statistics (the reference's E-1, E-2 and E-3 flows as one plan).
+
+Captured pages: ``page_id, kind ('listing'|'detail'|'website'), request_id,
+region_pos, place_id, url, captured_at, html``.  A listing page answers one
+(request, region) search; a detail page belongs to a place id; a website
+page is keyed by its URL.
+
+Plan shape (one shuffle per relational step, none in extraction):
+
+1. X1 + L1–L12 per listing page (narrow), per-page slice to ``max_results``.
+2. Join to the expanded requests on ``(request_id, region_pos)`` — the
+   request side is small per request and AQE broadcasts it when it measures
+   it small; otherwise a sort-merge join.
+3. W2 first-wins across regions, W3 cut per request (map-side group limits).
+4. Enrich after dedupe (same answer as the reference, less work): details by
+   place id (one row per id, partial aggregate first), then e-mails by
+   website URL (small projection of website pages).
+5. URL-driven rows (never enriched) are unioned by name; error rows go to
+   their own table.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from placeweave.operators import emails as E
+from placeweave.operators import relational as R
+from placeweave.operators.details import detail_fields
+from placeweave.operators.elements import page_elements
+from placeweave.operators.listing import listings
+from placeweave.plans import metrics as M
+from placeweave.sources import requests as RQ
+
+CAPTURED_PAGE_SCHEMA = ("page_id BIGINT, kind STRING, request_id BIGINT, region_pos INT, place_id STRING, "
+                        "url STRING, captured_at TIMESTAMP, html STRING")
+
+# Output order of the business table.
+BUSINESS_COLUMNS = ("query", "source_url", "timestamp", "name", "placeId", "latitude", "longitude", "rating",
+                    "reviews", "address", "businessType", "phone", "url", "website", "hours", "hoursDetail",
+                    "priceLevel", "email", "emails")
+BUSINESS_TYPES = {
+    "query": "string", "source_url": "string", "timestamp": "timestamp", "name": "string", "placeId": "string",
+    "latitude": "double", "longitude": "double", "rating": "double", "reviews": "bigint", "address": "string",
+    "businessType": "string", "phone": "string", "url": "string", "website": "string", "hours": "array<string>",
+    "hoursDetail": "map<string,string>", "priceLevel": "string", "email": "string", "emails": "array<string>",
+}
+
+
+@dataclass
+class RunResult:
+    businesses: DataFrame
+    errors: DataFrame
+    stats: DataFrame
+
+
+def _conform(df: DataFrame) -> DataFrame:
+    cols = []
+    for c in BUSINESS_COLUMNS:
+        col = F.col(c) if c in df.columns else F.lit(None)
+        cols.append(col.cast(BUSINESS_TYPES[c]).alias(c))
+    return df.select(*cols)
+
+
+def _requests(requests: DataFrame) -> DataFrame:
+    req = RQ.normalise_requests(requests)
+    for flag in ("scrape_details", "scrape_emails"):
+        req = req.withColumn(flag, F.coalesce(F.col(flag), F.lit(True)) if flag in req.columns else F.lit(True))
+    return req
+
+
+def _listing_rows(pages: DataFrame) -> DataFrame:
+    listing_pages = pages.filter(F.col("kind") == "listing")
+    return listings(page_elements(listing_pages, carry=("request_id", "region_pos")))
+
+
+def run(requests: DataFrame, pages: DataFrame, run_ts=None) -> RunResult:
+    """Build the whole run as lazy DataFrames (nothing executes here)."""
+    ts = F.current_timestamp() if run_ts is None else F.lit(run_ts).cast("timestamp")
+    req = _requests(requests)
+    query_req = req.filter(F.col("query").isNotNull() & (F.col("source_url").isNull() | (F.col("source_url") == "")))
+    url_req = RQ.requests_from_urls(req.filter(F.col("source_url").isNotNull() & (F.col("source_url") != "")),
+                                    "source_url")
+
+    # One target table: expanded query searches and direct URLs (E-2 rows
+    # are never enriched, so their flags are off).
+    q_targets = RQ.expand_regions(query_req).select(
+        "request_id", "region_pos", F.col("base_query").alias("label"), F.lit(None).cast("string").alias("source_url"),
+        "max_results", "scrape_details", "scrape_emails")
+    u_targets = url_req.select(
+        "request_id", F.lit(0).alias("region_pos"), F.col("query").alias("label"), "source_url", "max_results",
+        F.lit(False).alias("scrape_details"), F.lit(False).alias("scrape_emails"))
+    targets = q_targets.unionByName(u_targets)
+
+    # X1 + L1–L12 run once over all listing pages.
+    rows = _listing_rows(pages).join(targets, ["request_id", "region_pos"])
+    rows = R.limit_per_query(rows, ["request_id", "region_pos"], ["pos"], limit="max_results")   # per page
+    rows = R.dedupe_first(rows, ["request_id", "placeId"], ["region_pos", "pos"])                 # W2
+    rows = R.limit_per_query(rows, "request_id", ["region_pos", "pos"], limit="max_results")      # W3/W4
+
+    # Details by place id, then e-mails by website (left joins, flag-gated).
+    detail_pages = pages.filter(F.col("kind") == "detail")
+    details = detail_fields(page_elements(detail_pages, carry=("place_id",)))
+    details = R.one_per_key(details.withColumnRenamed("place_id", "placeId").drop("url", "hours_entries"),
+                            "placeId", "page_id").drop("page_id")
+    enriched = R.merge_details(rows, details, enabled=F.col("scrape_details"))
+    website_pages = pages.filter(F.col("kind") == "website").select("page_id", "url", "html")
+    emailed = E.enrich_emails(enriched, website_pages)
+    gate = F.col("scrape_details") & F.col("scrape_emails")
+    emailed = (emailed.withColumn("email", F.when(gate, F.col("email")))
+               .withColumn("emails", F.when(gate, F.col("emails"))))
+
+    businesses = _conform(emailed.withColumn("query", F.col("label")).withColumn("timestamp", ts))
+
+    # Requests without any captured listing page, and undecodable URLs.
+    captured = pages.filter(F.col("kind") == "listing").select("request_id").distinct()
+    missing = req.join(captured, "request_id", "left_anti")
+    bad_url = url_req.filter(F.col("query").isNull()).select("request_id", "source_url", F.lit(None).cast("string")
+                                                              .alias("query"))
+    errors = (missing.select("request_id", "source_url", "query",
+                             F.lit("No captured page for this search").alias("error"))
+              .unionByName(bad_url.withColumn("error", F.lit("URI malformed")))
+              .withColumn("timestamp", ts))
+
+    searches = req.select("request_id")
+    stats = _run_stats(searches, businesses, errors)
+    return RunResult(businesses, errors, stats)
+
+
+def _run_stats(searches: DataFrame, businesses: DataFrame, errors: DataFrame) -> DataFrame:
+    """A1 for one run: three global counts folded into one row (a union of
+    one-row aggregates, then one more aggregate)."""
+    parts = (searches.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit("searches"))
+             .unionByName(businesses.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit("results")))
+             .unionByName(errors.agg(F.count_distinct("request_id").alias("n")).withColumn("k", F.lit("failed"))))
+    one = parts.agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(name) for k, name in
+                      (("searches", "total_searches"), ("results", "total_results"),
+                       ("failed", "failed_searches"))])
+    ok = F.col("total_searches") - F.col("failed_searches")
+    return one.select(
+        "total_searches", "total_results", "failed_searches",
+        F.when(F.col("total_searches") > 0, F.floor(F.col("total_results") / F.col("total_searches") + 0.5))
+        .otherwise(0).cast("long").alias("avg_results_per_search"),
+        F.when(F.col("total_searches") > 0,
+               F.concat(F.floor(ok / F.col("total_searches") * 100 + 0.5).cast("long").cast("string"), F.lit("%")))
+        .otherwise(F.lit("0%")).alias("success_rate"))
+
+
+def extraction_stats(businesses: DataFrame) -> DataFrame:
+    """A2 over a run's business rows."""
+    return M.extraction_stats(businesses)

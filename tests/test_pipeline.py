@@ -1,0 +1,73 @@
+"""End-to-end run over fixture requests and captured pages."""
+
+import datetime as dt
+import os
+
+from placeweave.plans import pipeline as PL
+from test_details import TW
+
+HERE = os.path.dirname(__file__)
+REQ_SCHEMA = ("request_id BIGINT, query STRING, source_url STRING, language STRING, max_results INT, "
+              "use_multi BOOLEAN, regions ARRAY<STRING>, scrape_details BOOLEAN, scrape_emails BOOLEAN")
+
+
+def card(name, href, extra=""):
+    return (f'<div class="Nv2PK" jsaction="mouseover:pane.c"><a href="{href}"></a>'
+            f'<div class="fontHeadlineSmall">{name}</div>{extra}</div>')
+
+
+def listing(*cards):
+    return '<html><body><div role="feed">' + "".join(cards) + "</div></body></html>"
+
+
+BAR = card("Bar Two", "https://www.google.com/maps/place/Bar/data=!1s0x3442abb6:0x1f2!3d25.1!4d121.2")
+PUB = card("Pub Three", "https://www.google.com/maps/place/Pub/ChIJppp")
+PIZZA = card("Pizza Place", "https://www.google.com/maps/place/Pizza/ChIJzza")
+SITE = ('<html><body><p>Mail INFO@shop.tw or sales@shop.tw</p><a href="mailto:info@shop.tw?subject=x">x</a>'
+        '<a href="mailto:owner@shop.tw">o</a></body></html>')
+
+
+def test_pipeline_run(spark):
+    with open(os.path.join(HERE, "fixtures", "listing_page.html"), encoding="utf-8") as fh:
+        cafe = fh.read()
+    requests = spark.createDataFrame([
+        (1, "cafe taipei", None, "en", 2, False, None, True, True),
+        (2, "bar", None, "en", 60, True, ["", "North"], False, True),
+        (3, None, "https://www.google.com/maps/search/pizza+taipei/@25,121", "en", 10, False, None, True, True),
+        (4, "missing", None, "en", 10, False, None, True, True),
+        (5, "   ", None, "en", 10, False, None, True, True),
+    ], REQ_SCHEMA)
+    t = dt.datetime(2024, 1, 1)
+    pages = spark.createDataFrame([
+        (101, "listing", 1, 0, None, "https://www.google.com/maps/search/cafe+taipei", t, cafe),
+        (102, "listing", 2, 0, None, "https://www.google.com/maps/search/bar", t, listing(BAR)),
+        (103, "listing", 2, 1, None, "https://www.google.com/maps/search/bar+North", t, listing(BAR, PUB)),
+        (104, "listing", 3, 0, None, "https://www.google.com/maps/search/pizza+taipei", t, listing(PIZZA)),
+        (201, "detail", None, None, "ChIJaaa111", "https://www.google.com/maps/place/x", t, TW),
+        (202, "detail", None, None, "ChIJzza", "https://www.google.com/maps/place/p", t, TW),
+        (301, "website", None, None, None, "https://shop.tw/?utm=1", t, SITE),
+    ], PL.CAPTURED_PAGE_SCHEMA)
+    res = PL.run(requests, pages, run_ts="2024-01-02 03:04:05")
+    got = {(r.query, r.placeId): r for r in res.businesses.collect()}
+    assert set(got) == {("cafe taipei", "ChIJaaa111"), ("cafe taipei", "hex_0x3442abb6:0x1f2"),
+                        ("bar", "hex_0x3442abb6:0x1f2"), ("bar", "ChIJppp"), ("pizza+taipei", "ChIJzza")}
+    cafe1 = got[("cafe taipei", "ChIJaaa111")]
+    assert cafe1.address == "No. 7, Sec. 5, Xinyi Rd, Xinyi District, Taipei City, Taiwan 110"
+    assert cafe1.phone == "02-2345-6789" and cafe1.priceLevel == "$$" and cafe1.businessType == "Coffee shop"
+    assert cafe1.website == "https://shop.tw/?utm=1"
+    assert cafe1.emails == ["info@shop.tw", "sales@shop.tw", "owner@shop.tw"] and cafe1.email == "info@shop.tw"
+    assert len(cafe1.hours) == 7 and cafe1.hoursDetail["Monday"] == "09:00–18:00"
+    bar = got[("cafe taipei", "hex_0x3442abb6:0x1f2")]
+    assert bar.website is None and bar.email is None and bar.emails is None
+    pub = got[("bar", "ChIJppp")]
+    assert pub.website is None and pub.hours is None          # scrape_details off
+    pizza = got[("pizza+taipei", "ChIJzza")]
+    assert pizza.source_url.startswith("https://www.google.com/maps/search/pizza+taipei")
+    assert pizza.address is None and pizza.hours is None       # URL rows are never enriched
+    assert res.businesses.columns == list(PL.BUSINESS_COLUMNS)
+
+    errors = res.errors.collect()
+    assert [(e.request_id, e.query) for e in errors] == [(4, "missing")]
+    stats = res.stats.first()
+    assert (stats.total_searches, stats.total_results, stats.failed_searches,
+            stats.avg_results_per_search, stats.success_rate) == (4, 5, 1, 1, "75%")
