@@ -359,32 +359,50 @@ def _category() -> Column:
     return F.coalesce(F.nullif(from_button, F.lit("")), js_trim(F.regexp_replace(star, strip, "")))
 
 
+def _with_hours(st: DataFrame) -> DataFrame:
+    """D1 → D2/D3 → D4 → D5 → D6 → D7 as staged columns.  Each stage binds
+    the previous stage's struct once (``let``), so a filter pushed through
+    these projections inlines one copy per stage, not a multiplied tree, and
+    each analysed expression stays shallow.  Leaves ``_hx`` =
+    ``struct(hours, hoursDetail, entries)``."""
+    hbtn, panel = F.col("_hbtn"), F.col("_panel")
+    d5, d6, d7 = _hours_fallbacks()
+
+    def weekly_of(d1: Column) -> Column:
+        d2 = F.when((F.size(d1) < 7) & hbtn.isNotNull() & panel.isNotNull(), _fill_24h(_panel_hours(), hbtn))
+        return let(d2, lambda d2v: (F.when(F.size(d1) >= 7, d1)
+                                    .when(hbtn.isNotNull() & panel.isNotNull(), F.when(F.size(d2v) > 0, d2v))
+                                    .when(F.size(d1) > 0, d1)))
+
+    st = st.withColumn("_hx", let(_existing_hours(), lambda d1: F.struct(weekly_of(d1).alias("w"))))
+    st = st.withColumn("_hx", let(F.col("_hx"), lambda x: F.struct(
+        x["w"].alias("w"), F.when(F.size(x["w"]) > 0, H.hours_list(x["w"])).alias("h4"))))
+    st = st.withColumn("_hx", let(F.col("_hx"), lambda x: F.struct(
+        x["w"].alias("w"), x["h4"].alias("h4"), F.when(x["h4"].isNull(), d5).alias("h5"))))
+    st = st.withColumn("_hx", let(F.col("_hx"), lambda x: F.struct(
+        x["w"].alias("w"), x["h4"].alias("h4"), x["h5"].alias("h5"),
+        F.when((F.coalesce(F.size(x["h4"]), F.lit(0)) == 0) & x["h5"].isNull(), d6).alias("h6"))))
+    st = st.withColumn("_hx", let(F.col("_hx"), lambda x: F.struct(
+        x["w"].alias("w"), x["h4"].alias("h4"), x["h5"].alias("h5"), x["h6"].alias("h6"),
+        F.when((F.coalesce(F.size(x["h4"]), F.lit(0)) == 0) & x["h5"].isNull() & x["h6"].isNull(), d7)
+        .alias("h7"))))
+    return st.withColumn("_hx", let(F.col("_hx"), lambda x: F.struct(
+        (F.when(F.size(x["h4"]) > 0, x["h4"])
+         .when(x["h5"].isNotNull(), F.array(x["h5"]))
+         .when(x["h6"].isNotNull(), F.array(x["h6"]))
+         .when(x["h7"].isNotNull(), F.array(x["h7"]))
+         .otherwise(x["h4"])).alias("hours"),
+        H.hours_map(x["w"]).alias("hoursDetail"), x["w"].alias("entries"))))
+
+
 def detail_fields(page_elements: DataFrame) -> DataFrame:
     """D1–D12 per captured detail page (extra page columns are carried)."""
     extra = [c for c in page_elements.columns if c not in ("doc_text", "elements", "text_nodes")]
-    st = _candidates(page_elements)
-    st = st.withColumn("_d1", _existing_hours())
-    st = st.withColumn("_d2", F.when((F.size("_d1") < 7) & F.col("_hbtn").isNotNull() & F.col("_panel").isNotNull(),
-                                     _fill_24h(_panel_hours(), F.col("_hbtn"))))
-    weekly = (F.when(F.size("_d1") >= 7, F.col("_d1"))
-              .when(F.col("_hbtn").isNotNull() & F.col("_panel").isNotNull(),
-                    F.when(F.size("_d2") > 0, F.col("_d2")))
-              .when(F.size("_d1") > 0, F.col("_d1")))
-    st = st.withColumn("hours_entries", weekly)
-    d5, d6, d7 = _hours_fallbacks()
-    st = (st.withColumn("_h4", F.when(F.size("hours_entries") > 0, H.hours_list("hours_entries")))
-          .withColumn("_h5", F.when(F.col("_h4").isNull(), d5)))
-    st = st.withColumn("_h6", F.when(F.coalesce(F.size("_h4"), F.lit(0)) == 0, F.when(F.col("_h5").isNull(), d6)))
-    st = st.withColumn("_h7", F.when((F.coalesce(F.size("_h4"), F.lit(0)) == 0) & F.col("_h5").isNull()
-                                     & F.col("_h6").isNull(), d7))
-    hours = (F.when(F.size("_h4") > 0, F.col("_h4"))
-             .when(F.col("_h5").isNotNull(), F.array("_h5"))
-             .when(F.col("_h6").isNotNull(), F.array("_h6"))
-             .when(F.col("_h7").isNotNull(), F.array("_h7"))
-             .otherwise(F.col("_h4")))
+    st = _with_hours(_candidates(page_elements))
     return st.select(
         *extra,
         _address().alias("address"), F.nullif(_phone(), F.lit("")).alias("phone"),
         F.nullif(_website(), F.lit("")).alias("website"),
-        hours.alias("hours"), H.hours_map("hours_entries").alias("hoursDetail"), "hours_entries",
+        F.col("_hx.hours").alias("hours"), F.col("_hx.hoursDetail").alias("hoursDetail"),
+        F.col("_hx.entries").alias("hours_entries"),
         _price().alias("priceLevel"), _category().alias("businessType"))
