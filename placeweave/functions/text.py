@@ -148,7 +148,7 @@ def clean_unicode(col) -> Column:
     """Delete controls/private use/specials/zero-width, trim, collapse.
 
     Deletion precedes the collapse, so ``a\\nb`` becomes ``ab``."""
-    deleted = F.regexp_replace(_c(col), UNICODE_JUNK, "")
+    deleted = F.regexp_replace(_c(col), UNICODE_JUNK + "+", "")
     return F.coalesce(collapse_ws(js_trim(deleted)), F.lit(""))
 
 
@@ -233,25 +233,25 @@ def standard_phone(col, taiwan_brackets: bool = False) -> Column:
     """Price ranges are not phones; keep digits, ``+ - ( )`` and spaces;
     Taiwan numbers with a leading 0 become ``+886 …`` with single spaces.
 
-    Linear chain: the Taiwan shapes are a lookahead that swaps the leading 0
-    for a marker; separator runs are then collapsed only in the marked string
-    (``\\G`` continues from the marker), and the marker becomes ``+886 ``."""
+    Runs of other characters are deleted in one match each, and the Taiwan
+    shapes (anchored, cheap) are tested on the kept text bound once."""
     c = _c(col)
     sep = f"[{WS_BODY}\\-]"
-    nonsep = f"[^{WS_BODY}\\-]"
-    kept = js_trim(F.regexp_replace(c, rf"[^0-9+{WS_BODY}\-()]", ""))
+    kept = js_trim(F.regexp_replace(c, rf"[^0-9+{WS_BODY}\-()]+", ""))
     kept = F.regexp_replace(kept, r"^[^0-9]*\z", "")
-    landline = rf"[0-9]{{1,2}}{sep}?[0-9]{{3,4}}{sep}?[0-9]{{3,4}}\z"
-    mobile = rf"9[0-9]{{2}}{sep}?[0-9]{{3}}{sep}?[0-9]{{3}}\z"
-    marked = F.regexp_replace(kept, rf"^0(?={landline}|{mobile})", "\u0001")
-    if taiwan_brackets:
-        bracket = rf"^\(0([0-9]{{1,2}})\)(?={sep}?[0-9]{{3,4}}{sep}?[0-9]{{3,4}}\z)"
-        marked = F.regexp_replace(marked, bracket, "\u0001$1 ")
-    collapsed = F.regexp_replace(marked, rf"(\A\x{{1}}{nonsep}*|(?!\A)\G{nonsep}*){sep}+", "$1 ")
-    out = F.regexp_replace(collapsed, r"^\x{1}", "+886 ")
+    landline = rf"^0[0-9]{{1,2}}{sep}?[0-9]{{3,4}}{sep}?[0-9]{{3,4}}\z"
+    mobile = rf"^09[0-9]{{2}}{sep}?[0-9]{{3}}{sep}?[0-9]{{3}}\z"
+    bracket = rf"^\(0([0-9]{{1,2}})\){sep}?([0-9]{{3,4}}){sep}?([0-9]{{3,4}})\z"
+
+    def convert(k: Column) -> Column:
+        out = F.when(k.rlike(landline) | k.rlike(mobile),
+                     F.regexp_replace(F.regexp_replace(k, "^0", "+886 "), f"{sep}+", " "))
+        if taiwan_brackets:
+            out = out.when(k.rlike(bracket), F.regexp_replace(k, bracket, "+886 $1 $2 $3"))
+        return out.otherwise(k)
     return (F.when(c.isNull() | (c == ""), F.lit(""))
             .when(c.rlike(PRICE_RANGE), F.lit(""))
-            .otherwise(out))
+            .otherwise(let(kept, convert)))
 
 
 def compact_address(col) -> Column:
@@ -259,7 +259,7 @@ def compact_address(col) -> Column:
     c = _c(col)
     return (F.when(c.isNull() | (c == ""), F.lit(""))
             .when(c.rlike(RATING_WITH_COUNT), F.lit(""))
-            .otherwise(F.regexp_replace(c, WS, "")))
+            .otherwise(F.regexp_replace(c, f"{WS}+", "")))
 
 
 def standard_website(col) -> Column:

@@ -66,6 +66,21 @@ def explode_rows(df: DataFrame, keep, array, alias: str | tuple[str, str], pos:
     return out if pos else out.drop(p)
 
 
+def where_computed(df: DataFrame, keep, computed: dict[str, Column], predicate) -> DataFrame:
+    """Rows whose freshly computed values satisfy ``predicate``, with the
+    values as columns.
+
+    ``df.select(expr.alias(c)).filter(p(c))`` lets Catalyst push the filter
+    below the projection (and below a round-robin spread), which evaluates
+    the expensive expression twice and before the spread.  Here the values
+    are packed into a one-element array that is filtered inside the
+    projection and exploded: a filter cannot cross the generator, so each
+    value is computed once, where the rows are already spread."""
+    packed = F.struct(*[c.alias(n) for n, c in computed.items()])
+    arr = F.filter(F.array(packed), lambda s: predicate(s))
+    return explode_rows(df, list(keep), arr, "_w").select(*keep, *[F.col(f"_w.{n}").alias(n) for n in computed])
+
+
 def union_results(*frames: DataFrame) -> DataFrame:
     """UNION ALL by column name; missing columns become NULL."""
     out = frames[0]

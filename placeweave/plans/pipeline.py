@@ -131,14 +131,24 @@ def run(requests: DataFrame, pages: DataFrame, run_ts=None) -> RunResult:
 
 
 def _run_stats(searches: DataFrame, businesses: DataFrame, errors: DataFrame) -> DataFrame:
-    """A1 for one run: three global counts folded into one row (a union of
-    one-row aggregates, then one more aggregate)."""
+    """A1 and A2 for one run in one pass over the business rows: three
+    global aggregates (searches, businesses, errors) folded into one row by
+    a union and one more aggregate — the business subtree (X1 included) is
+    evaluated once."""
+    b = businesses.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.size(F.coalesce(F.col("emails"), F.array().cast("array<string>")))), F.lit(0))
+        .cast("long").alias("emails_found"),
+        F.count_if(F.col("hours").isNotNull() | F.col("website").isNotNull()).alias("with_details"),
+        F.count_distinct("placeId").alias("final_count")).withColumn("k", F.lit("results"))
     parts = (searches.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit("searches"))
-             .unionByName(businesses.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit("results")))
-             .unionByName(errors.agg(F.count_distinct("request_id").alias("n")).withColumn("k", F.lit("failed"))))
+             .unionByName(b, allowMissingColumns=True)
+             .unionByName(errors.agg(F.count_distinct("request_id").alias("n")).withColumn("k", F.lit("failed")),
+                          allowMissingColumns=True))
     one = parts.agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(name) for k, name in
                       (("searches", "total_searches"), ("results", "total_results"),
-                       ("failed", "failed_searches"))])
+                       ("failed", "failed_searches"))],
+                    *[F.max(c).alias(c) for c in ("emails_found", "with_details", "final_count")])
     ok = F.col("total_searches") - F.col("failed_searches")
     return one.select(
         "total_searches", "total_results", "failed_searches",
@@ -146,7 +156,8 @@ def _run_stats(searches: DataFrame, businesses: DataFrame, errors: DataFrame) ->
         .otherwise(0).cast("long").alias("avg_results_per_search"),
         F.when(F.col("total_searches") > 0,
                F.concat(F.floor(ok / F.col("total_searches") * 100 + 0.5).cast("long").cast("string"), F.lit("%")))
-        .otherwise(F.lit("0%")).alias("success_rate"))
+        .otherwise(F.lit("0%")).alias("success_rate"),
+        F.col("total_results").alias("extracted"), "emails_found", "with_details", "final_count")
 
 
 def extraction_stats(businesses: DataFrame) -> DataFrame:

@@ -143,10 +143,11 @@ WHERE phone IS NOT NULL
 """)
 def document_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L11 over whole document texts, then C7 on the hit."""
+    from placeweave.operators.relational import where_computed
+
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
-    return (docs.select("doc_id", first_phone_expr("text").alias("phone"))
-            .filter(F.col("phone").isNotNull())
-            .withColumn("std_phone", T.standard_phone("phone")))
+    found = where_computed(docs, ["doc_id"], {"phone": first_phone_expr("text")}, lambda s: s["phone"].isNotNull())
+    return found.withColumn("std_phone", T.standard_phone("phone"))
 
 
 # ---------------------------------------------------------------------------

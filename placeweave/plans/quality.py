@@ -80,19 +80,21 @@ def completeness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 def violations(df: DataFrame, row_id: str, checks: dict[str, str] | None = None) -> DataFrame:
     """V6: every failed check as ``(row_id, field, value)``; ``checks`` maps a
-    column to one of ``place_id``, ``address``, ``phone``."""
+    column to one of ``place_id``, ``address``, ``phone``.
+
+    One pass: each row yields an array of its failures, which is exploded —
+    no filter on the checked columns, so Catalyst cannot push a check below
+    the projection that computes the checked value."""
     checks = checks or {"placeId": "place_id", "address": "address", "phone": "phone"}
     tests = {"place_id": place_id_ok, "address": address_ok, "phone": phone_ok}
-    parts = []
-    for column, kind in checks.items():
-        if column in df.columns:
-            parts.append(df.filter(~tests[kind](column)).select(
-                F.col(row_id).alias("row_id"), F.lit(column).alias("field"),
-                F.col(column).cast("string").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    present = [(c, k) for c, k in checks.items() if c in df.columns]
+    fails = F.array(*[F.when(~tests[k](c), F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")))
+                      for c, k in present])
+    from placeweave.operators.relational import explode_rows
+
+    out = explode_rows(df.select(F.col(row_id).alias("row_id"),
+                                 F.filter(fails, lambda x: x.isNotNull()).alias("_f")), ["row_id"], F.col("_f"), "v")
+    return out.select("row_id", F.col("v.field").alias("field"), F.col("v.value").alias("value"))
 
 
 def check_duration(log: DataFrame, max_ms: int, col: str = "duration_ms") -> DataFrame:

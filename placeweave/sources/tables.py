@@ -10,16 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 # The captured-page schema.
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
+# Tables whose rows carry long texts and feed CPU-heavy per-row rules.
+TEXT_TABLES = frozenset({"documents", "pages", "conversations"})
 
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Read one driver table; ``columns`` (optional) prunes the scan."""
+def spread(df: DataFrame, factor: int = 4) -> DataFrame:
+    """Give CPU-heavy per-row work enough tasks.
+
+    A small file of long texts can arrive as a handful of row-group splits
+    (fewer than the cores), with one straggler holding the longest texts.
+    When the scan has fewer than 2× default-parallelism partitions, rows are
+    spread round-robin over ``factor``× default parallelism.  At cluster
+    scale the scan already has far more splits than cores, so this is a
+    no-op there and adds no shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < 2 * target:
+        return df.repartition(factor * target)
+    return df
+
+
+def load(spark: SparkSession, sf_dir: str, name: str, *columns: str, spread_rows: bool | None = None) -> DataFrame:
+    """Read one driver table; ``columns`` (optional) prunes the scan.  Text
+    tables are spread over enough tasks (see :func:`spread`)."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    if spread_rows or (spread_rows is None and name in TEXT_TABLES):
+        df = spread(df)
+    return df
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
