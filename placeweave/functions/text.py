@@ -68,8 +68,13 @@ def let(value: Column, body) -> Column:
 
 
 def js_trim(col) -> Column:
-    """String.prototype.trim."""
-    return F.regexp_replace(_c(col), rf"^{WS}+|{WS}+\z", "")
+    """String.prototype.trim.
+
+    Both ends use an anchored leading match (the tail via ``reverse``): an
+    unanchored ``WS+\z`` would be retried at every position of a long
+    whitespace run, which is quadratic in backtracking engines."""
+    lead = rf"^{WS}+"
+    return F.reverse(F.regexp_replace(F.reverse(F.regexp_replace(_c(col), lead, "")), lead, ""))
 
 
 def collapse_ws(col, to: str = " ") -> Column:
@@ -233,11 +238,14 @@ def standard_phone(col, taiwan_brackets: bool = False) -> Column:
     """Price ranges are not phones; keep digits, ``+ - ( )`` and spaces;
     Taiwan numbers with a leading 0 become ``+886 …`` with single spaces.
 
-    Runs of other characters are deleted in one match each, and the Taiwan
-    shapes (anchored, cheap) are tested on the kept text bound once."""
+    Deleting every other character equals joining the runs of kept ones; a
+    positive class is several times faster than the negated one in Java's
+    engine.  The Taiwan shapes (anchored, cheap) are tested on the kept text
+    bound once."""
     c = _c(col)
     sep = f"[{WS_BODY}\\-]"
-    kept = js_trim(F.regexp_replace(c, rf"[^0-9+{WS_BODY}\-()]+", ""))
+    kept_runs = F.regexp_extract_all(c, F.lit(rf"[0-9+{WS_BODY}\-()]+"), 0)
+    kept = js_trim(F.array_join(kept_runs, ""))
     kept = F.regexp_replace(kept, r"^[^0-9]*\z", "")
     landline = rf"^0[0-9]{{1,2}}{sep}?[0-9]{{3,4}}{sep}?[0-9]{{3,4}}\z"
     mobile = rf"^09[0-9]{{2}}{sep}?[0-9]{{3}}{sep}?[0-9]{{3}}\z"

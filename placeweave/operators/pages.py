@@ -69,7 +69,9 @@ def visible_text_expr(html) -> Column:
     c = F.regexp_replace(c, ANY_TAG, "")
     c = decode_entities(c)
     c = F.regexp_replace(c, r"[ \t]*\n[ \t\n]*", "\n")
-    return F.regexp_replace(c, r"^[ \t\n]+|[ \t\n]+\z", "")
+    # Trim both ends with anchored matches (the tail through reverse).
+    c = F.regexp_replace(c, r"^[ \t\n]+", "")
+    return F.reverse(F.regexp_replace(F.reverse(c), r"^[ \t\n]+", ""))
 
 
 def page_text(pages: DataFrame) -> DataFrame:
