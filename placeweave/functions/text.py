@@ -68,7 +68,7 @@ def let(value: Column, body) -> Column:
 
 
 def js_trim(col) -> Column:
-    """String.prototype.trim.
+    r"""String.prototype.trim.
 
     Both ends use an anchored leading match (the tail via ``reverse``): an
     unanchored ``WS+\z`` would be retried at every position of a long
