@@ -171,6 +171,13 @@ def _arrow_type():
                       ("elements", pa.list_(element)), ("text_nodes", pa.list_(node))])
 
 
+# Output batches are cut when this many elements have accumulated, so one
+# batch of very large pages never has to sit in a Python worker at once.
+MAX_ELEMENTS_PER_OUTPUT_BATCH = 250_000
+# Input batches (whole HTML documents) are capped at this many pages.
+MAX_PAGES_PER_ARROW_BATCH = 256
+
+
 def _flatten_batches(batches, carry=()):
     import pyarrow as pa
 
@@ -179,21 +186,24 @@ def _flatten_batches(batches, carry=()):
         ids = batch.column("page_id").to_pylist()
         urls = batch.column("url").to_pylist()
         htmls = batch.column("html").to_pylist()
-        texts, elements, nodes = [], [], []
-        for html in htmls:
+        start, texts, elements, nodes, n_elements = 0, [], [], [], 0
+        for i, html in enumerate(htmls):
             text, rows, text_nodes = flatten_html_nodes(html)
             texts.append(text)
             nodes.append([{"t0": a, "t1": b} for a, b in text_nodes])
             elements.append([{"idx": r[0], "parent": r[1], "depth": r[2], "last": r[3], "tag": r[4],
                               "attrs": list(r[5].items()), "t0": r[6], "t1": r[7]} for r in rows])
-        arrays = [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()),
-                  pa.array(elements, schema.field("elements").type),
-                  pa.array(nodes, schema.field("text_nodes").type)]
-        names = list(schema.names)
-        for c in carry:                  # extra page columns pass through untouched
-            arrays.append(batch.column(c))
-            names.append(c)
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
+            n_elements += len(rows)
+            if n_elements >= MAX_ELEMENTS_PER_OUTPUT_BATCH or i == len(htmls) - 1:
+                arrays = [pa.array(ids[start:i + 1], pa.int64()), pa.array(urls[start:i + 1], pa.string()),
+                          pa.array(texts, pa.string()), pa.array(elements, schema.field("elements").type),
+                          pa.array(nodes, schema.field("text_nodes").type)]
+                names = list(schema.names)
+                for c in carry:          # extra page columns pass through untouched
+                    arrays.append(batch.column(c).slice(start, i + 1 - start))
+                    names.append(c)
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                start, texts, elements, nodes, n_elements = i + 1, [], [], [], 0
 
 
 def page_elements(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -204,6 +214,12 @@ def page_elements(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     (which would shuffle the element arrays).  Arrow batches are capped by
     ``spark.sql.execution.arrow.maxRecordsPerBatch``."""
     carry = tuple(carry)
+    spark = pages.sparkSession
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    # Spark's default (10,000 records) would ship 10,000 whole HTML pages to
+    # one Python worker at once; X1 lowers the session value when it is larger.
+    if int(spark.conf.get(key, "10000")) > MAX_PAGES_PER_ARROW_BATCH:
+        spark.conf.set(key, str(MAX_PAGES_PER_ARROW_BATCH))
     dtypes = dict(pages.dtypes)
     schema = ELEMENTS_SCHEMA + "".join(f", `{c}` {dtypes[c]}" for c in carry)
     return pages.select("page_id", "url", "html", *carry).mapInArrow(
