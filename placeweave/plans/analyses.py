@@ -33,14 +33,20 @@ def density(df: DataFrame, dims: Sequence[str], lat: str | None = None, lng: str
                         for d in dims], "n")
 
 
-def rating_rank(df: DataFrame, group: str, score: str, top_k: int = 10, tiebreak: str | None = None) -> DataFrame:
+def rating_rank(df: DataFrame, group: str, score: str, top_k: int = 10, tiebreak: str | None = None,
+                approx_quantiles: bool = False) -> DataFrame:
     """R2: the ``top_k`` best ``score`` per ``group`` with their rank, and the
-    group's count/mean/min/max (a top-k report: the limit is the feature)."""
+    group's count/mean/min/max (a top-k report: the limit is the feature).
+    ``approx_quantiles`` adds the group's approximate quartiles
+    (``percentile_approx``: mergeable sketches, partial aggregation)."""
     order = [F.col(score).desc()] + ([F.col(tiebreak).asc()] if tiebreak else [])
     w = Window.partitionBy(group).orderBy(*order)
     top = df.withColumn("rank", F.rank().over(w)).filter(F.col("rank") <= top_k)
-    stats = df.groupBy(group).agg(F.count(F.lit(1)).alias("group_n"), F.avg(score).alias("group_avg"),
-                                  F.min(score).alias("group_min"), F.max(score).alias("group_max"))
+    aggs = [F.count(F.lit(1)).alias("group_n"), F.avg(score).alias("group_avg"),
+            F.min(score).alias("group_min"), F.max(score).alias("group_max")]
+    if approx_quantiles:
+        aggs.append(F.percentile_approx(score, [0.25, 0.5, 0.75], 10000).alias("group_quartiles"))
+    stats = df.groupBy(group).agg(*aggs)
     return top.join(stats, group)
 
 
@@ -51,8 +57,9 @@ def no_website(business: DataFrame, captured: DataFrame | None = None, key: str
     if captured is None:
         return missing
     has = business.filter(F.col(key).isNotNull() & (F.col(key) != ""))
-    return missing.unionByName(has.join(captured.select(F.col(captured.columns[0]).alias(key)).distinct(),
-                                        key, "left_anti"))
+    # distinct first: a site captured many times ships one row per map task
+    sites = captured.select(F.col(captured.columns[0]).alias(key)).distinct()
+    return missing.unionByName(has.join(sites, key, "left_anti"))
 
 
 def contacts(df: DataFrame, location: str, emails: str = "emails") -> DataFrame:

@@ -126,6 +126,17 @@ def latency_percentiles(log: DataFrame, by: str = "scenario", value: str = "dura
     return cum.groupBy(F.col("_grp").alias(by)).agg(F.max("_total").alias("n"), *picks)
 
 
+def latency_percentiles_approx(log: DataFrame, by: str = "scenario", value: str = "duration_ms",
+                               accuracy: int = 10000) -> DataFrame:
+    """A5, approximate variant (T8): ``percentile_approx`` per scenario and
+    overall — one pass, mergeable sketches, bounded memory per group."""
+    probs = [p for _, p in PERCENTILES]
+    agg = log.rollup(by).agg(F.count(F.lit(1)).alias("n"),
+                             F.percentile_approx(value, probs, accuracy).alias("_q"), F.grouping(by).alias("_g"))
+    return agg.select(F.when(F.col("_g") == 1, F.lit("ALL")).otherwise(F.col(by)).alias(by), "n",
+                      *[F.col("_q")[i].alias(name) for i, (name, _) in enumerate(PERCENTILES)])
+
+
 def throughput(log: DataFrame, by: str = "scenario") -> DataFrame:
     """Runs per elapsed second (first start to last end) per scenario and
     overall."""

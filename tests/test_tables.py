@@ -145,3 +145,12 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.user_id: r.event_id for r in latest_view(spark, str(tmp_path / "sink"), "user_id", "ts", "event_id")
            .collect()}
     assert got == {0: 27, 1: 28, 2: 29}
+
+
+def test_a5_approx_close_to_exact(spark):
+    t = dt.datetime(2024, 1, 1)
+    log = _log(spark, [(str(i), "q", "c", "s", t, i, True, 1, None) for i in range(1, 1001)])
+    exact = {x.scenario: x for x in M.latency_percentiles(log).collect()}["ALL"]
+    approx = {x.scenario: x for x in M.latency_percentiles_approx(log).collect()}["ALL"]
+    for name in ("p50", "p90", "p95", "p99"):
+        assert abs(getattr(exact, name) - getattr(approx, name)) <= 2
