@@ -14,6 +14,9 @@ HS = r"[ \t\n\f\r]"  # HTML whitespace, spelled out so Java and RE2 agree
 
 # Elements whose content is never rendered as text.
 HIDDEN_BLOCKS = ("script", "style", "noscript", "template")
+# Elements whose content the HTML parser never turns into
+# elements (raw text / RCDATA / inert template content).
+NON_MARKUP_BLOCKS = ("script", "style", "noscript", "template", "textarea", "title")
 # Tags that start a new line in rendered text.
 BLOCK_TAGS = ("address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|"
               "form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|thead|tfoot|"
@@ -79,6 +82,21 @@ def page_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", visible_text_expr("html").alias("text"))
 
 
+def markup_only(html) -> Column:
+    """The HTML without comments and without the content of raw-text blocks,
+    so tag regexes see only what the parser would make elements of."""
+    c = F.regexp_replace(_c(html), COMMENT, "")
+    for tag in NON_MARKUP_BLOCKS:
+        c = F.regexp_replace(c, hidden_block(tag), "")
+    return c
+
+
+def anchor_tags_expr(html) -> Column:
+    """Every ``<a …>`` start tag that carries an ``href``, in document order."""
+    tags = F.regexp_extract_all(markup_only(html), F.lit(ANCHOR_TAG), 0)
+    return F.filter(tags, lambda t: t.rlike(HREF_DQ) | t.rlike(HREF_SQ) | t.rlike(HREF_BARE))
+
+
 def anchor_hrefs_expr(html) -> Column:
     """The ``href`` attribute of every ``<a>`` start tag, in document order
     (anchors without ``href`` are skipped), entities decoded."""
@@ -87,7 +105,7 @@ def anchor_hrefs_expr(html) -> Column:
             F.when(tag.rlike(HREF_DQ), F.regexp_extract(tag, HREF_DQ, 1)),
             F.when(tag.rlike(HREF_SQ), F.regexp_extract(tag, HREF_SQ, 1)),
             F.when(tag.rlike(HREF_BARE), F.regexp_extract(tag, HREF_BARE, 1)))
-    tags = F.regexp_extract_all(_c(html), F.lit(ANCHOR_TAG), 0)
+    tags = F.regexp_extract_all(markup_only(html), F.lit(ANCHOR_TAG), 0)
     hrefs = F.transform(tags, lambda t: decode_entities(href_of(t)))
     return F.filter(hrefs, lambda h: h.isNotNull())
 

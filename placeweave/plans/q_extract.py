@@ -52,6 +52,15 @@ def detail_fields_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.size("hours_entries").alias("n_days"), "priceLevel", "businessType")
 
 
+@register("weekly_hours")
+def weekly_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 + D1–D3 over every page: the weekly day→hours entries found (table
+    rows, else the first hours panel, 24-hour fill), one row per page."""
+    d = detail_fields(_pages_x1(spark, sf_dir))
+    return d.select("page_id", F.coalesce(F.size("hours_entries"), F.lit(0)).alias("n_days"),
+                    F.to_json("hoursDetail").alias("hours_detail"))
+
+
 @register("pipeline_run")
 def pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run with every page as a direct-URL request answered by its

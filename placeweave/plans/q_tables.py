@@ -357,9 +357,7 @@ def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page_anchor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages", "page_id", "url", "html")
-    tags = F.filter(F.regexp_extract_all("html", F.lit(P.ANCHOR_TAG), 0),
-                    lambda t: t.rlike(P.HREF_DQ) | t.rlike(P.HREF_SQ) | t.rlike(P.HREF_BARE))
-    rows = pages.select("page_id", "url", F.posexplode(tags).alias("pos", "tag"))
+    rows = pages.select("page_id", "url", F.posexplode(P.anchor_tags_expr("html")).alias("pos", "tag"))
     raw = L.tag_attr_expr("tag", "href")
     return rows.select(
         "page_id", "pos", P.resolve_url(P.decode_entities(raw), F.col("url")).alias("href"),
@@ -399,9 +397,7 @@ SELECT page_id, pos, {S.resolve_url(S.decode_entities(_tag_attr_sql('tag', 'href
        {S.decode_entities(_tag_attr_sql('tag', 'data-place-id'))} AS data_place_id,
        {S.decode_entities(_tag_attr_sql('tag', 'data-value'))} AS data_value
 FROM (SELECT page_id, url, unnest(tg) AS tag, CAST(generate_subscripts(tg, 1) - 1 AS INTEGER) AS pos
-      FROM (SELECT page_id, url, list_filter(regexp_extract_all(html, {S.q(P.ANCHOR_TAG)}, 0),
-              lambda t: {S.rlike('t', P.HREF_DQ)} OR {S.rlike('t', P.HREF_SQ)} OR {S.rlike('t', P.HREF_BARE)}) AS tg
-            FROM pages))
+      FROM (SELECT page_id, url, {S.anchor_tags('html')} AS tg FROM pages))
 """
 
 

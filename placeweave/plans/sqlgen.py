@@ -188,12 +188,25 @@ def visible_text(html: str) -> str:
     return rx_all(c, r"^[ \t\n]+|[ \t\n]+\z")
 
 
+def markup_only(html: str) -> str:
+    c = rx_all(html, P.COMMENT)
+    for tag in P.NON_MARKUP_BLOCKS:
+        c = rx_all(c, P.hidden_block(tag))
+    return c
+
+
+def anchor_tags(html: str) -> str:
+    tags = f"regexp_extract_all({markup_only(html)}, {q(P.ANCHOR_TAG)}, 0)"
+    return (f"list_filter({tags}, lambda t: {rlike('t', P.HREF_DQ)} OR {rlike('t', P.HREF_SQ)} "
+            f"OR {rlike('t', P.HREF_BARE)})")
+
+
 def anchor_hrefs(html: str) -> str:
     def href_of(t: str) -> str:
         return (f"CASE WHEN {rlike(t, P.HREF_DQ)} THEN {extract(t, P.HREF_DQ, 1)} "
                 f"WHEN {rlike(t, P.HREF_SQ)} THEN {extract(t, P.HREF_SQ, 1)} "
                 f"WHEN {rlike(t, P.HREF_BARE)} THEN {extract(t, P.HREF_BARE, 1)} END")
-    tags = f"regexp_extract_all({html}, {q(P.ANCHOR_TAG)}, 0)"
+    tags = f"regexp_extract_all({markup_only(html)}, {q(P.ANCHOR_TAG)}, 0)"
     return (f"list_filter(list_transform({tags}, lambda t: {decode_entities(href_of('t'))}), "
             f"lambda h: h IS NOT NULL)")
 

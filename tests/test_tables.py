@@ -154,3 +154,14 @@ def test_a5_approx_close_to_exact(spark):
     approx = {x.scenario: x for x in M.latency_percentiles_approx(log).collect()}["ALL"]
     for name in ("p50", "p90", "p95", "p99"):
         assert abs(getattr(exact, name) - getattr(approx, name)) <= 2
+
+
+def test_x3_ignores_non_markup(spark):
+    from placeweave.operators.pages import page_links
+
+    html = ('<html><head><title>&lt;a href="/t"&gt;</title><script>var s=\'<a href="/s">\';</script></head>'
+            '<body><!-- <a href="/c">x</a> --><a class="k" href="/p?a=1&amp;b=2">p</a>'
+            "<a href='rel/q'>q</a><a name=x>no href</a><textarea><a href=\"/ta\"></textarea></body></html>")
+    pages = spark.createDataFrame([(1, "https://h.test/dir/page.html", html)], "page_id long, url string, html string")
+    got = [(r.pos, r.href, r.link_url) for r in page_links(pages).orderBy("pos").collect()]
+    assert got == [(0, "/p?a=1&b=2", "https://h.test/p?a=1&b=2"), (1, "rel/q", "https://h.test/dir/rel/q")]
