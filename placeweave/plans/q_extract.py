@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from placeweave.operators import elements as X
 from placeweave.operators.details import detail_fields
 from placeweave.operators.listing import listings
-from placeweave.plans import pipeline as PL
+from placeweave.plans import business_run as PL
 from placeweave.plans import quality as V
 from placeweave.plans.registry import register
 from placeweave.session import scratch_path
@@ -61,8 +61,8 @@ def weekly_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.to_json("hoursDetail").alias("hours_detail"))
 
 
-@register("pipeline_run")
-def pipeline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("business_run")
+def business_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run with every page as a direct-URL request answered by its
     own capture: A1 statistics of the run with the A2 extraction counters
     (one row)."""

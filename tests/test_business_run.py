@@ -3,7 +3,7 @@
 import datetime as dt
 import os
 
-from placeweave.plans import pipeline as PL
+from placeweave.plans import business_run as PL
 from test_details import TW
 
 HERE = os.path.dirname(__file__)
@@ -27,7 +27,7 @@ SITE = ('<html><body><p>Mail INFO@shop.tw or sales@shop.tw</p><a href="mailto:in
         '<a href="mailto:owner@shop.tw">o</a></body></html>')
 
 
-def test_pipeline_run(spark):
+def test_business_run(spark):
     with open(os.path.join(HERE, "fixtures", "listing_page.html"), encoding="utf-8") as fh:
         cafe = fh.read()
     requests = spark.createDataFrame([
