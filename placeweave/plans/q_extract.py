@@ -111,7 +111,7 @@ def export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.write_businesses(sup, f"{base}/json", fmt="json", mode="overwrite")
     back = spark.read.schema(SUPPLIER_DDL).json(f"{base}/json")
     sinks.write_businesses(back, f"{base}/csv", fmt="csv", mode="overwrite")
-    back = spark.read.schema(SUPPLIER_DDL).option("header", True).csv(f"{base}/csv")
+    back = spark.read.schema(SUPPLIER_DDL).option("header", True).option("escape", "\"").csv(f"{base}/csv")
     sinks.write_businesses(back, f"{base}/xml", fmt="xml", mode="overwrite")
     return spark.read.format("xml").option("rowTag", "business").schema(SUPPLIER_DDL).load(f"{base}/xml")
 

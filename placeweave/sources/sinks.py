@@ -56,7 +56,7 @@ def write_businesses(df: DataFrame, path: str, fmt: str = "parquet", mode: str =
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("escape", "\"").csv(path)   # RFC 4180 quoting
     elif fmt == "xml":
         writer.option("rowTag", "business").option("rootTag", "businesses").format("xml").save(path)
     elif fmt == "json":
