@@ -49,3 +49,23 @@ def latest_view(spark: SparkSession, sink_dir: str, key: str, ts: str, tiebreak:
     rows = spark.read.parquet(sink_dir)
     w = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col(tiebreak).desc())
     return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", "batch")
+
+
+def start_listing_capture(spark: SparkSession, source_dir: str, sink_dir: str, watermark: str = "1 day",
+                          checkpoint: str | None = None, available_now: bool = True):
+    """ST1 for captured pages: listing pages that land in ``source_dir``
+    (captured-page schema) are de-duplicated by ``page_id`` within the
+    watermark and run through X1 + L1–L12 per micro-batch; the rows keep the
+    page's ``captured_at``.  Read the newest row per place with
+    ``latest_view(spark, sink_dir, "placeId", "captured_at", "page_id")``."""
+    from placeweave.operators.elements import page_elements
+    from placeweave.operators.listing import listings
+    from placeweave.plans.business_run import CAPTURED_PAGE_SCHEMA
+
+    def extract(batch: DataFrame) -> DataFrame:
+        pages = batch.filter(F.col("kind") == "listing")
+        return listings(page_elements(pages, carry=("request_id", "region_pos", "captured_at")))
+
+    return start_capture(spark, source_dir, CAPTURED_PAGE_SCHEMA, sink_dir, extract, key=["page_id"],
+                         event_time="captured_at", watermark=watermark, checkpoint=checkpoint,
+                         available_now=available_now, query_name=None)

@@ -74,3 +74,35 @@ def test_detail_fixture(spark):
     assert zh.hours == ["星期一: 09:00–18:00", "星期二: 休息"]
     assert dict(zh.hoursDetail) == {"星期一": "09:00–18:00", "星期二": "休息"}
     assert zh.priceLevel == "$$"
+
+
+D5 = ('<html><body><button data-item-id="oh" aria-label="Hours: Open ⋅ Closes 9 PM ">x</button>'
+      '<button aria-label="Price: $$$">info</button>'
+      '<button jsaction="pane.category">· • Ramen restaurant</button></body></html>')
+
+D7 = ('<html><body><button aria-label="Address: 12 Rd">Address: 12 Rd</button>'
+      '<div>Now: <span>Open</span> ⋅ Closes 10 PM</div>'
+      '<button aria-label="Info"><span>··</span></button>'
+      '<p>Very Expensive tastes</p></body></html>')
+
+D11 = ('<html><body><button data-item-id="address">Jung-gu, Seoul 04524, South Korea</button>'
+       '<div>price: <span>$$</span></div><button aria-label="x">$$$</button>'
+       '<p>cheap eats</p></body></html>')
+
+
+def test_detail_fallbacks(spark):
+    pages = spark.createDataFrame([(21, "u", D5), (22, "u", D7), (23, "u", D11)],
+                                  "page_id BIGINT, url STRING, html STRING")
+    got = {r.page_id: r for r in detail_fields(page_elements(pages)).collect()}
+    d5 = got[21]
+    assert d5.hours == ["Hours: Open ⋅ Closes 9 PM"]          # D5: label text, private use removed
+    assert d5.priceLevel == "$$$"                            # D11 stage 3: symbols in a price label
+    assert d5.businessType == "Ramen restaurant"             # D12: bullets stripped
+    d7 = got[22]
+    assert d7.hours == ["Now: Open ⋅ Closes 10 PM"]          # D7: parent text of the status span
+    assert d7.address == "12 Rd"
+    assert d7.priceLevel == "$$"                             # D11 stage 2: '··' inside a labelled button
+    d11 = got[23]
+    assert d11.address == "04524 Jung-gu, Seoul , South Korea"  # D8 from button text, Korea rule (as the JS does)
+    assert d11.priceLevel == "$$"                            # stage 2: '$$' with 'price' context
+    assert d11.hours is None

@@ -165,3 +165,27 @@ def test_x3_ignores_non_markup(spark):
     pages = spark.createDataFrame([(1, "https://h.test/dir/page.html", html)], "page_id long, url string, html string")
     got = [(r.pos, r.href, r.link_url) for r in page_links(pages).orderBy("pos").collect()]
     assert got == [(0, "/p?a=1&b=2", "https://h.test/p?a=1&b=2"), (1, "rel/q", "https://h.test/dir/rel/q")]
+
+
+def test_listing_capture_stream(spark, tmp_path):
+    from placeweave.plans.business_run import CAPTURED_PAGE_SCHEMA
+    from placeweave.streaming.capture import latest_view, start_listing_capture
+
+    def page(pid, t, name):
+        html = (f'<div jsaction="mouseover:pane"><a href="https://m.test/maps/place/X/ChIJplace1"></a>'
+                f'<div class="fontHeadlineSmall">{name}</div></div>')
+        return (pid, "listing", 1, 0, None, "https://m.test/maps/search/x", t, html)
+
+    t0 = dt.datetime(2024, 1, 1)
+    first = spark.createDataFrame([page(1, t0, "Old Name")], CAPTURED_PAGE_SCHEMA)
+    later = spark.createDataFrame([page(2, t0 + dt.timedelta(hours=5), "New Name"),
+                                   page(1, t0, "Old Name")], CAPTURED_PAGE_SCHEMA)   # page 1 re-delivered
+    src, sink = str(tmp_path / "pages"), str(tmp_path / "rows")
+    first.write.parquet(src)
+    start_listing_capture(spark, src, sink, checkpoint=str(tmp_path / "ck")).awaitTermination()
+    later.write.mode("append").parquet(src)
+    start_listing_capture(spark, src, sink, checkpoint=str(tmp_path / "ck")).awaitTermination()
+    rows = spark.read.parquet(sink)
+    assert rows.count() == 2                                      # the repeated page 1 was dropped
+    latest = latest_view(spark, sink, "placeId", "captured_at", "page_id").collect()
+    assert [(r.placeId, r.name) for r in latest] == [("ChIJplace1", "New Name")]
