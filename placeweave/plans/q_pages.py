@@ -182,6 +182,7 @@ SELECT doc_id,
        {S.standard_type('text')} AS std_type,
        {S.standard_price('text')} AS std_price,
        {S.standard_hours('text')} AS std_hours,
+       {S.standard_address('text')} AS std_address,
        {S.standard_phone('text')} AS std_phone,
        {S.is_email('text')} AS is_email,
        {S.standard_rating('text')} AS std_rating,
@@ -192,13 +193,14 @@ SELECT doc_id,
 FROM documents
 """)
 def standardise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C2–C4, C7, C10, C12–C14 applied to whole document texts and sizes."""
+    """C2–C5, C7, C10, C12–C14 applied to whole document texts and sizes."""
     docs = load(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
     return docs.select(
         "doc_id",
         T.standard_type("text").alias("std_type"),
         T.standard_price("text").alias("std_price"),
         T.standard_hours("text").alias("std_hours"),
+        T.standard_address("text").alias("std_address"),
         T.standard_phone("text").alias("std_phone"),
         T.is_email("text").alias("is_email"),
         T.standard_rating("text").alias("std_rating"),
