@@ -107,20 +107,36 @@ def latency_stats(log: DataFrame, by: str = "scenario") -> DataFrame:
                       "min_ms", "max_ms", "avg_ms", "successes", "failures")
 
 
-def latency_percentiles(log: DataFrame, by: str = "scenario", value: str = "duration_ms") -> DataFrame:
+def latency_percentiles(log: DataFrame, by: str = "scenario", value: str = "duration_ms",
+                        partitions: int | None = None) -> DataFrame:
     """A5: p50/p90/p95/p99 as the element at 0-based index ``floor(n·p)`` of the
-    sorted durations (upper nearest rank), per scenario and overall.
-
-    Exact and skew-proof: (1) a partial aggregate turns rows into a histogram
-    ``(scenario, value, count)``; (2) a running sum over the distinct values
-    gives each value's rank range; (3) the answer is the first value whose
-    running count passes the wanted rank."""
-    tagged = log.select(F.col(by).alias("_grp"), F.col(value).alias("_v")).unionByName(
+    sorted values (upper nearest rank), per scenario and overall.
+
+    Exact, and no task ever holds a whole group:
+
+    1. a partial aggregate turns rows into a histogram ``(group, value, count)``
+       — a value repeated by a third of the rows is one row;
+    2. the histogram is range-partitioned by ``(group, value)``, so a large
+       group spans many partitions;
+    3. per (group, partition) counts give each partition's offset inside its
+       group (at most one row per partition and group);
+    4. running counts inside each (partition, group) slice plus the offset give
+       every value's rank range; the answer is the first value whose running
+       count reaches ``floor(n·p) + 1``."""
+    n_parts = partitions or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = log.select(F.col(by).cast("string").alias("_grp"), F.col(value).alias("_v")).unionByName(
         log.select(F.lit("ALL").alias("_grp"), F.col(value).alias("_v")))
     hist = tagged.filter(F.col("_v").isNotNull()).groupBy("_grp", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_grp").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = hist.withColumn("_cum", F.sum("_n").over(w)) \
-              .withColumn("_total", F.sum("_n").over(Window.partitionBy("_grp")))
+    ranged = hist.repartitionByRange(n_parts, "_grp", "_v").withColumn("_pid", F.spark_partition_id())
+    parts = ranged.groupBy("_grp", "_pid").agg(F.sum("_n").alias("_pn"))
+    before = Window.partitionBy("_grp").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (parts.withColumn("_before", F.coalesce(F.sum("_pn").over(before), F.lit(0)))
+             .withColumn("_total", F.sum("_pn").over(Window.partitionBy("_grp"))))
+    inside = Window.partitionBy("_pid", "_grp").orderBy("_v").rowsBetween(Window.unboundedPreceding,
+                                                                          Window.currentRow)
+    cum = (ranged.withColumn("_in", F.sum("_n").over(inside))
+           .join(parts.select("_grp", "_pid", "_before", "_total"), ["_grp", "_pid"])
+           .withColumn("_cum", F.col("_before") + F.col("_in")))
     picks = [F.min(F.when(F.col("_cum") >= F.floor(F.col("_total") * p) + 1, F.col("_v"))).alias(name)
              for name, p in PERCENTILES]
     return cum.groupBy(F.col("_grp").alias(by)).agg(F.max("_total").alias("n"), *picks)

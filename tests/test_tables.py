@@ -189,3 +189,26 @@ def test_listing_capture_stream(spark, tmp_path):
     assert rows.count() == 2                                      # the repeated page 1 was dropped
     latest = latest_view(spark, sink, "placeId", "captured_at", "page_id").collect()
     assert [(r.placeId, r.name) for r in latest] == [("ChIJplace1", "New Name")]
+
+
+def test_a5_distributed_matches_brute_force(spark):
+    import random
+
+    rnd = random.Random(7)
+    t = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(3000):
+        scen = "hot" if i % 3 else rnd.choice(["a", "b"])
+        dur = 500 if (scen == "hot" and i % 2) else rnd.randint(1, 2000)   # a hot repeated value
+        rows.append((str(i), "q", "c", scen, t, dur, True, 1, None))
+    log = _log(spark, rows)
+    got = {r.scenario: r for r in M.latency_percentiles(log, partitions=7).collect()}
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[3], []).append(r[5])
+        groups.setdefault("ALL", []).append(r[5])
+    for g, vals in groups.items():
+        vals.sort()
+        for name, p in M.PERCENTILES:
+            assert getattr(got[g], name) == vals[int(len(vals) * p)], (g, name)
+        assert got[g].n == len(vals)
