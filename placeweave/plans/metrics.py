@@ -52,7 +52,7 @@ def _half_up(x):
 def run_summary(log: DataFrame, by: str | None = "category") -> DataFrame:
     """A1: searches, results (of successful runs), failures, rounded average
     results per search, rounded success percentage as text, and elapsed
-    seconds — one row per ``by`` group (one actor run) or one row overall."""
+    seconds — one row per ``by`` group (one run) or one row overall."""
     groups = [by] if by else []
     end = F.col("started_at") + F.make_dt_interval(secs=F.col("duration_ms") / 1000)
     agg = (log.groupBy(*groups).agg(
