@@ -106,3 +106,22 @@ def test_idempotent(spark, value):
     assert run(spark, T.clean_unicode, [once])[0] == once
     once = run(spark, T.standard_name, [value])[0]
     assert run(spark, T.standard_name, [once])[0] == once
+
+
+def test_traps(spark):
+    from placeweave.operators.hours import hours_map
+    from placeweave.sources.requests import _js_uri_component, url_label_expr
+
+    df = spark.createDataFrame([("a+b c!~*'()é/?",)], "v string")
+    r = df.select(_js_uri_component(F.col("v")).alias("enc"),
+                  url_label_expr(F.lit("https://x/maps/search/a+b%20c/@1")).alias("label"),
+                  T.first_only_replace(F.lit("x12-34 y56-78"), "([0-9]+)-([0-9]+)", "$2:$1").alias("first"),
+                  T.standard_type(F.lit("1,234\n")).alias("t9"),
+                  hours_map(F.array(F.struct(F.lit("Mon").alias("day"), F.lit("9").alias("hours")),
+                                    F.struct(F.lit("Mon").alias("day"), F.lit("10").alias("hours")))).alias("m"))
+    row = r.first()
+    assert row.enc == "a%2Bb%20c!~*'()%C3%A9%2F%3F"           # T4: encodeURIComponent
+    assert row.label == "a+b c"                                # T4: '+' kept, %20 decoded
+    assert row.first == "x34:12 y56-78"                        # T7: first hit only, groups shifted
+    assert row.t9 == ""                                        # JS whitespace includes the newline
+    assert dict(row.m) == {"Mon": "10"}                        # T10: repeated key → last value, no error
