@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.functions.text import WS, js_trim
+from placeweave.functions.text import js_trim
 
 # Fixed values taken from the reference behaviour.
 MAX_RESULTS_CAP = 200
@@ -116,4 +116,4 @@ def expand_regions(df: DataFrame) -> DataFrame:
 
 
 __all__ = ["normalise_requests", "require_requests", "with_search_url", "url_label_expr",
-           "requests_from_urls", "split_errors", "expand_regions", "WS"]
+           "requests_from_urls", "split_errors", "expand_regions"]
