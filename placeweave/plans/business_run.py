@@ -33,6 +33,7 @@ from placeweave.operators.details import detail_fields
 from placeweave.operators.elements import page_elements
 from placeweave.operators.listing import listings
 from placeweave.plans import metrics as M
+from placeweave.session import checkpoint_dir
 from placeweave.sources import requests as RQ
 
 CAPTURED_PAGE_SCHEMA = ("page_id BIGINT, kind STRING, request_id BIGINT, region_pos INT, place_id STRING, "
@@ -77,8 +78,14 @@ def _listing_rows(pages: DataFrame) -> DataFrame:
     return listings(page_elements(listing_pages, carry=("request_id", "region_pos")))
 
 
-def run(requests: DataFrame, pages: DataFrame, run_ts=None) -> RunResult:
-    """Build the whole run as lazy DataFrames (nothing executes here)."""
+def run(requests: DataFrame, pages: DataFrame, run_ts=None, cut_lineage: bool = False) -> RunResult:
+    """Build the whole run as lazy DataFrames (nothing executes here unless
+    ``cut_lineage``).
+
+    ``cut_lineage=True`` checkpoints the extracted listing rows and detail
+    rows (reliable checkpoints in the shared ``spark.checkpoint.dir``) right
+    after X1, so an executor lost in a later shuffle stage never sends Spark
+    back to re-parse HTML."""
     ts = F.current_timestamp() if run_ts is None else F.lit(run_ts).cast("timestamp")
     req = _requests(requests)
     query_req = req.filter(F.col("query").isNotNull() & (F.col("source_url").isNull() | (F.col("source_url") == "")))
@@ -96,7 +103,11 @@ def run(requests: DataFrame, pages: DataFrame, run_ts=None) -> RunResult:
     targets = q_targets.unionByName(u_targets)
 
     # X1 + L1–L12 run once over all listing pages.
-    rows = _listing_rows(pages).join(targets, ["request_id", "region_pos"])
+    extracted = _listing_rows(pages)
+    if cut_lineage:
+        checkpoint_dir(pages.sparkSession)
+        extracted = extracted.checkpoint(eager=True)
+    rows = extracted.join(targets, ["request_id", "region_pos"])
     rows = R.limit_per_query(rows, ["request_id", "region_pos"], ["pos"], limit="max_results")   # per page
     rows = R.dedupe_first(rows, ["request_id", "placeId"], ["region_pos", "pos"])                 # W2
     rows = R.limit_per_query(rows, "request_id", ["region_pos", "pos"], limit="max_results")      # W3/W4
@@ -106,6 +117,8 @@ def run(requests: DataFrame, pages: DataFrame, run_ts=None) -> RunResult:
     details = detail_fields(page_elements(detail_pages, carry=("place_id",)))
     details = R.one_per_key(details.withColumnRenamed("place_id", "placeId").drop("url", "hours_entries"),
                             "placeId", "page_id").drop("page_id")
+    if cut_lineage:
+        details = details.checkpoint(eager=True)
     enriched = R.merge_details(rows, details, enabled=F.col("scrape_details"))
     website_pages = pages.filter(F.col("kind") == "website").select("page_id", "url", "html")
     emailed = E.enrich_emails(enriched, website_pages)

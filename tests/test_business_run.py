@@ -27,7 +27,11 @@ SITE = ('<html><body><p>Mail INFO@shop.tw or sales@shop.tw</p><a href="mailto:in
         '<a href="mailto:owner@shop.tw">o</a></body></html>')
 
 
-def test_business_run(spark):
+import pytest
+
+
+@pytest.mark.parametrize("cut_lineage", [False, True])
+def test_business_run(spark, cut_lineage):
     with open(os.path.join(HERE, "fixtures", "listing_page.html"), encoding="utf-8") as fh:
         cafe = fh.read()
     requests = spark.createDataFrame([
@@ -47,7 +51,7 @@ def test_business_run(spark):
         (202, "detail", None, None, "ChIJzza", "https://www.google.com/maps/place/p", t, TW),
         (301, "website", None, None, None, "https://shop.tw/?utm=1", t, SITE),
     ], PL.CAPTURED_PAGE_SCHEMA)
-    res = PL.run(requests, pages, run_ts="2024-01-02 03:04:05")
+    res = PL.run(requests, pages, run_ts="2024-01-02 03:04:05", cut_lineage=cut_lineage)
     got = {(r.query, r.placeId): r for r in res.businesses.collect()}
     assert set(got) == {("cafe taipei", "ChIJaaa111"), ("cafe taipei", "hex_0x3442abb6:0x1f2"),
                         ("bar", "hex_0x3442abb6:0x1f2"), ("bar", "ChIJppp"), ("pizza+taipei", "ChIJzza")}
