@@ -3,6 +3,8 @@
 import datetime as dt
 import os
 
+import pytest
+
 from placeweave.plans import business_run as PL
 from test_details import TW
 
@@ -27,9 +29,6 @@ SITE = ('<html><body><p>Mail INFO@shop.tw or sales@shop.tw</p><a href="mailto:in
         '<a href="mailto:owner@shop.tw">o</a></body></html>')
 
 
-import pytest
-
-
 @pytest.mark.parametrize("cut_lineage", [False, True])
 def test_business_run(spark, cut_lineage):
     with open(os.path.join(HERE, "fixtures", "listing_page.html"), encoding="utf-8") as fh:
