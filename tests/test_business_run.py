@@ -74,3 +74,29 @@ def test_business_run(spark, cut_lineage):
     stats = res.stats.first()
     assert (stats.total_searches, stats.total_results, stats.failed_searches,
             stats.avg_results_per_search, stats.success_rate) == (4, 5, 1, 1, "75%")
+
+
+def test_cli_run(spark, tmp_path):
+    import json as _json
+
+    from placeweave import cli
+
+    cfg = {"searchQueries": [" bar ", "", None], "startUrls": [{"url": "https://www.google.com/maps/search/pizza"}],
+           "maxResults": 500, "useMultiSearch": True, "searchRegions": ["", "North"], "scrapeDetails": False}
+    req = {r.request_id: r for r in cli.requests_from_input(spark, cfg).collect()}
+    assert set(req) == {0, 1, 2, 3} and req[0].query == " bar " and req[3].source_url.endswith("/pizza")
+    assert req[2].query is None
+    t = dt.datetime(2024, 1, 1)
+    pages = spark.createDataFrame([
+        (1, "listing", 0, 0, None, "https://www.google.com/maps/search/bar", t, listing(BAR)),
+        (2, "listing", 0, 1, None, "https://www.google.com/maps/search/bar+North", t, listing(BAR, PUB)),
+        (3, "listing", 3, 0, None, "https://www.google.com/maps/search/pizza", t, listing(PIZZA)),
+    ], PL.CAPTURED_PAGE_SCHEMA)
+    pages.write.parquet(str(tmp_path / "pages"))
+    (tmp_path / "input.json").write_text(_json.dumps(cfg))
+    cli.main(["--input", str(tmp_path / "input.json"), "--pages", str(tmp_path / "pages"),
+              "--out", str(tmp_path / "out"), "--format", "json"])
+    out = spark.read.json(str(tmp_path / "out" / "businesses"))
+    assert sorted((r.query, r.placeId) for r in out.collect()) == [
+        ("bar", "ChIJppp"), ("bar", "hex_0x3442abb6:0x1f2"), ("pizza", "ChIJzza")]
+    assert spark.read.json(str(tmp_path / "out" / "stats")).first().total_searches == 2
