@@ -332,7 +332,7 @@ def _price() -> Column:
 
     # 5. first text node without digits/dots/commas that contains "$"
     def node_text(n):
-        return F.substring(F.col("doc_text"), n["t0"] + 1, n["t1"] - n["t0"])
+        return X.text_range(n["t0"], n["t1"])
     xml_space = "[ \t\n\r]+"
     first_node = _first(F.filter("text_nodes", lambda n: (F.instr(node_text(n), "$") > 0)
                                  & ~js_trim(F.regexp_replace(node_text(n), xml_space, " ")).rlike("[0-9.,]")))
@@ -340,7 +340,7 @@ def _price() -> Column:
     s5 = F.when(t5.rlike(r"^[$]{1,4}\z"), t5)
 
     # 6. page-wide words
-    body_text = F.lower(F.coalesce(_txt(_first("_body")), F.col("doc_text")))
+    body_text = F.lower(F.coalesce(_txt(_first("_body")), X.page_text_of()))
     s6 = F.lit(None).cast("string")
     for level, words in reversed(PRICE_WORDS):
         s6 = F.when(_any_contains(body_text, words), F.lit(level)).otherwise(s6)
@@ -397,7 +397,7 @@ def _with_hours(st: DataFrame) -> DataFrame:
 
 def detail_fields(page_elements: DataFrame) -> DataFrame:
     """D1–D12 per captured detail page (extra page columns are carried)."""
-    extra = [c for c in page_elements.columns if c not in ("doc_text", "elements", "text_nodes")]
+    extra = [c for c in page_elements.columns if c not in ("doc_bytes", "elements", "text_nodes")]
     st = _with_hours(_candidates(page_elements))
     return st.select(
         *extra,

@@ -5,15 +5,18 @@ X1 is the one Python-side map of the library: an Arrow-batched
 ``mapInArrow`` over the stdlib ``html.parser`` (narrow — no shuffle).  Per
 page it emits
 
-* ``doc_text``: every text node of the page concatenated in document order
-  (entities decoded, script/style content included, as ``textContent``);
+* ``doc_bytes``: every text node of the page concatenated in document order
+  (entities decoded, script/style content included, as ``textContent``),
+  UTF-8 encoded;
 * ``elements``: ``ARRAY<STRUCT<idx, parent, depth, last, tag, attrs, t0, t1>>``
   in document order, where ``idx`` is the element's position in the array
   (0-based), ``parent`` the parent's ``idx`` (-1 at top level), ``last`` the
-  ``idx`` of its last descendant, and ``[t0, t1)`` its text range in
-  ``doc_text``.
+  ``idx`` of its last descendant, and ``[t0, t1)`` its text range as byte
+  offsets into ``doc_bytes``.
 
-So ``e.textContent`` is ``substr(doc_text, e.t0 + 1, e.t1 - e.t0)``, ``d`` is
+So ``e.textContent`` is ``decode(substr(doc_bytes, e.t0 + 1, e.t1 - e.t0))`` —
+a byte slice is O(1), whereas a character position in a UTF-8 string can
+only be found by scanning from the start — ``d`` is
 a descendant of ``e`` iff ``e.idx < d.idx <= e.last``, and the parent is
 ``elements[parent]``.  Storage is linear in the page (no per-element copies
 of text or ancestor lists), and every rule downstream is a per-page HOF:
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 ELEMENT_DDL = ("STRUCT<idx: INT, parent: INT, depth: INT, last: INT, tag: STRING, "
                "attrs: MAP<STRING, STRING>, t0: INT, t1: INT>")
-ELEMENTS_SCHEMA = (f"page_id BIGINT, url STRING, doc_text STRING, elements ARRAY<{ELEMENT_DDL}>, "
+ELEMENTS_SCHEMA = (f"page_id BIGINT, url STRING, doc_bytes BINARY, elements ARRAY<{ELEMENT_DDL}>, "
                    "text_nodes ARRAY<STRUCT<t0: INT, t1: INT>>")
 
 # HTML void elements (never have children).
@@ -58,10 +61,10 @@ class _Flattener(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []      # idx, parent, depth, last, tag, attrs, t0, t1
+        self.rows: list[list] = []      # idx, parent, depth, last, tag, attrs, t0, t1 (byte offsets)
         self.stack: list[int] = []
-        self.text: list[str] = []
-        self.nodes: list[list[int]] = []  # [t0, t1] of each text node
+        self.text: list[bytes] = []
+        self.nodes: list[list[int]] = []  # [t0, t1] of each text node (byte offsets)
         self.pos = 0
         self.in_text = False
 
@@ -123,13 +126,14 @@ class _Flattener(HTMLParser):
 
     def handle_data(self, data):
         if data:
+            chunk = data.encode("utf-8", "replace")
             if self.in_text:
-                self.nodes[-1][1] += len(data)
+                self.nodes[-1][1] += len(chunk)
             else:
-                self.nodes.append([self.pos, self.pos + len(data)])
+                self.nodes.append([self.pos, self.pos + len(chunk)])
                 self.in_text = True
-            self.text.append(data)
-            self.pos += len(data)
+            self.text.append(chunk)
+            self.pos += len(chunk)
 
     def handle_comment(self, data):
         self.in_text = False
@@ -138,18 +142,18 @@ class _Flattener(HTMLParser):
         self.close()
         while self.stack:
             self._close_top()
-        return "".join(self.text), self.rows
+        return b"".join(self.text), self.rows
 
 
 def flatten_html(html: str | None):
-    """Python model of X1 for one page: ``(doc_text, rows)``; the text-node
+    """Python model of X1 for one page: ``(doc_bytes, rows)``; the text-node
     ranges are available from :func:`flatten_html_nodes`."""
     text, rows, _ = flatten_html_nodes(html)
     return text, rows
 
 
 def flatten_html_nodes(html: str | None):
-    """``(doc_text, rows, text_nodes)`` for one page."""
+    """``(doc_bytes, rows, text_nodes)`` for one page (byte offsets)."""
     parser = _Flattener()
     if html:
         try:
@@ -167,7 +171,7 @@ def _arrow_type():
                          ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
                          ("t0", pa.int32()), ("t1", pa.int32())])
     node = pa.struct([("t0", pa.int32()), ("t1", pa.int32())])
-    return pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("doc_text", pa.string()),
+    return pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("doc_bytes", pa.binary()),
                       ("elements", pa.list_(element)), ("text_nodes", pa.list_(node))])
 
 
@@ -196,7 +200,7 @@ def _flatten_batches(batches, carry=()):
             n_elements += len(rows)
             if n_elements >= MAX_ELEMENTS_PER_OUTPUT_BATCH or i == len(htmls) - 1:
                 arrays = [pa.array(ids[start:i + 1], pa.int64()), pa.array(urls[start:i + 1], pa.string()),
-                          pa.array(texts, pa.string()), pa.array(elements, schema.field("elements").type),
+                          pa.array(texts, pa.binary()), pa.array(elements, schema.field("elements").type),
                           pa.array(nodes, schema.field("text_nodes").type)]
                 names = list(schema.names)
                 for c in carry:          # extra page columns pass through untouched
@@ -207,7 +211,7 @@ def _flatten_batches(batches, carry=()):
 
 
 def page_elements(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(page_id, url, doc_text, elements, text_nodes, *carry)`` per page.
+    """``(page_id, url, doc_bytes, elements, text_nodes, *carry)`` per page.
 
     Only ``page_id, url, html`` and the (small, scalar) ``carry`` columns cross
     into Python, so page metadata rides along instead of being joined back
@@ -258,13 +262,24 @@ def is_tag(e: Column, tag: str) -> Column:
     return e["tag"] == tag
 
 
-def text_of(e: Column, doc_text: Column | str = "doc_text") -> Column:
+def text_range(t0: Column, t1: Column, doc_bytes: Column | str = "doc_bytes") -> Column:
+    """Text of the byte range ``[t0, t1)`` of the page text."""
+    d = F.col(doc_bytes) if isinstance(doc_bytes, str) else doc_bytes
+    return F.decode(F.substring(d, t0 + 1, t1 - t0), "UTF-8")
+
+
+def text_of(e: Column, doc_bytes: Column | str = "doc_bytes") -> Column:
     """``textContent`` of element ``e`` (NULL when ``e`` is NULL); ``e`` is
     bound once, so passing a computed element costs one evaluation."""
     from placeweave.functions.text import let
 
-    d = F.col(doc_text) if isinstance(doc_text, str) else doc_text
-    return let(e, lambda v: F.substring(d, v["t0"] + 1, v["t1"] - v["t0"]))
+    return let(e, lambda v: text_range(v["t0"], v["t1"], doc_bytes))
+
+
+def page_text_of(doc_bytes: Column | str = "doc_bytes") -> Column:
+    """The whole page text (all text nodes)."""
+    d = F.col(doc_bytes) if isinstance(doc_bytes, str) else doc_bytes
+    return F.decode(d, "UTF-8")
 
 
 def descendants(cands: Column, e: Column) -> Column:
@@ -291,6 +306,38 @@ def parent_of(elements: Column | str, e: Column) -> Column:
     return let(e, lambda v: F.when(v["parent"] >= 0, F.try_element_at(els, v["parent"] + 1)))
 
 
+def subtree(elements: Column | str, e: Column) -> Column:
+    """All descendants of ``e`` in document order: because ``elements`` is in
+    document order and ``last`` closes the subtree, they are the contiguous
+    slice ``elements[idx+1 .. last]`` — O(subtree), not O(page)."""
+    els = F.col(elements) if isinstance(elements, str) else elements
+    return F.slice(els, e["idx"] + 2, e["last"] - e["idx"])
+
+
+def descendants_where(elements: Column | str, e: Column, pred) -> Column:
+    """``e.querySelectorAll(sel)`` with ``sel`` given as a predicate."""
+    return F.filter(subtree(elements, e), pred)
+
+
+def first_descendant_where(elements: Column | str, e: Column, pred) -> Column:
+    """``e.querySelector(sel)`` with ``sel`` given as a predicate."""
+    return F.try_element_at(descendants_where(elements, e, pred), F.lit(1))
+
+
+def closest_where(elements: Column | str, e: Column, pred) -> Column:
+    """X5 by walking up the parents (O(depth)): ``e`` itself or its nearest
+    ancestor satisfying ``pred``; NULL when none."""
+    els = F.col(elements) if isinstance(elements, str) else elements
+    init = F.struct(e.alias("cur"), F.lit(None).cast(ELEMENT_DDL).alias("hit"))
+
+    def step(acc, _):
+        cur = acc["cur"]
+        hit = F.when(acc["hit"].isNotNull(), acc["hit"]).when(F.coalesce(pred(cur), F.lit(False)), cur)
+        up = F.when(cur["parent"] >= 0, F.try_element_at(els, cur["parent"] + 1))
+        return F.struct(F.when(hit.isNull(), up).alias("cur"), hit.alias("hit"))
+    return F.aggregate(F.sequence(F.lit(0), e["depth"]), init, step, lambda acc: acc["hit"])
+
+
 def first_match(*candidate_lists: Column) -> Column:
     """The first selector (candidate list) that matches anything wins,
     then its first element in document order."""

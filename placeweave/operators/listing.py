@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.functions.text import WS, WS_BODY, float_prefix, int_prefix, js_length, js_trim
+from placeweave.functions.text import WS, WS_BODY, float_prefix, int_prefix, js_length, js_trim, let
 from placeweave.operators import elements as X
 from placeweave.operators.pages import resolve_url
 from placeweave.operators.phones import first_phone_expr
@@ -53,18 +53,21 @@ LISTING_SCHEMA = ("page_id BIGINT, pos INT, name STRING, placeId STRING, latitud
                   "rating DOUBLE, reviews BIGINT, address STRING, businessType STRING, phone STRING, url STRING")
 
 
-def _none_of(c: Column, patterns) -> Column:
-    ok = F.lit(True)
+def _alternation(patterns) -> str:
+    """One regex matching where any of ``patterns`` matches (a leading
+    ``(?i)`` becomes a scoped ``(?i:…)`` group)."""
+    parts = []
     for p in patterns:
-        ok = ok & ~c.rlike(p)
-    return ok
+        parts.append(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})")
+    return "|".join(parts)
+
+
+def _none_of(c: Column, patterns) -> Column:
+    return ~c.rlike(_alternation(patterns))
 
 
 def _any_of(c: Column, patterns) -> Column:
-    hit = F.lit(False)
-    for p in patterns:
-        hit = hit | c.rlike(p)
-    return hit
+    return c.rlike(_alternation(patterns))
 
 
 def type_ok(t: Column) -> Column:
@@ -83,36 +86,43 @@ def fallback_address_ok(t: Column) -> Column:
     return (t != "") & _none_of(t, FALLBACK_REJECT) & _any_of(t, FALLBACK_NEED)
 
 
-def _candidates(df: DataFrame) -> DataFrame:
-    """Per page: the element lists every listing selector needs."""
-    div = lambda e: X.is_tag(e, "div")
-    span = lambda e: X.is_tag(e, "span")
-    rating_img = lambda e, w: span(e) & X.attr_equals(e, "role", "img") & X.attr_contains(e, "aria-label", w)
-    els = F.col("elements")
-    return df.select(
-        "*",
-        X.select(els, lambda e: X.is_tag(e, "a") & X.attr_contains(e, "href", PLACE_LINK)).alias("_links"),
-        X.select(els, lambda e: div(e) & X.attr_contains(e, "jsaction", CONTAINER_JSACTION)).alias("_c1"),
-        X.select(els, lambda e: div(e) & X.has_attr(e, "data-cid")).alias("_c2"),
-        X.select(els, lambda e: div(e) & X.has_attr(e, "jsaction")).alias("_c3"),
-        X.select(els, div).alias("_divs"),
-        X.select(els, lambda e: div(e) & X.attr_contains(e, "class", NAME_CLASSES[0])).alias("_n1"),
-        X.select(els, lambda e: div(e) & X.attr_contains(e, "class", NAME_CLASSES[1])).alias("_n2"),
-        X.select(els, lambda e: X.attr_equals(e, "role", "heading")).alias("_n3"),
-        X.select(els, lambda e: rating_img(e, RATING_LABELS[0])).alias("_r1"),
-        X.select(els, lambda e: rating_img(e, RATING_LABELS[1])).alias("_r2"),
-        X.select(els, lambda e: rating_img(e, RATING_LABELS[2])).alias("_r3"),
-        X.select(els, lambda e: span(e) & X.attr_contains(e, "class", RATING_CLASS)).alias("_r4"),
-        X.select(els, lambda e: div(e) & X.attr_contains(e, "class", DETAIL_BLOCK_CLASS)).alias("_blocks"),
-        X.select(els, span).alias("_spans"),
-    )
+def _div(e: Column) -> Column:
+    return X.is_tag(e, "div")
+
+
+def _span(e: Column) -> Column:
+    return X.is_tag(e, "span")
+
+
+def _rating_img(word: str):
+    return lambda e: _span(e) & X.attr_equals(e, "role", "img") & X.attr_contains(e, "aria-label", word)
+
+
+# Selector predicates, in the priority order of each chain.
+CONTAINER_PREDS = (
+    lambda e: _div(e) & X.attr_contains(e, "jsaction", CONTAINER_JSACTION),
+    lambda e: _div(e) & X.has_attr(e, "data-cid"),
+    lambda e: _div(e) & X.has_attr(e, "jsaction"),
+)
+NAME_PREDS = (
+    lambda e: _div(e) & X.attr_contains(e, "class", NAME_CLASSES[0]),
+    lambda e: _div(e) & X.attr_contains(e, "class", NAME_CLASSES[1]),
+    lambda e: X.attr_equals(e, "role", "heading"),
+)
+RATING_PREDS = tuple(_rating_img(w) for w in RATING_LABELS) + (
+    lambda e: _span(e) & X.attr_contains(e, "class", RATING_CLASS),)
+
+
+def _block(e: Column) -> Column:
+    return _div(e) & X.attr_contains(e, "class", DETAIL_BLOCK_CLASS)
 
 
 def _with_pid(x: Column) -> Column:
+    """Stage 2: the place id of one link (L1–L3)."""
     els = F.col("elements")
     l = x["el"]
     parent = X.parent_of(els, l)
-    first_div = X.text_of(X.first_descendant(F.col("_divs"), l))
+    first_div = X.text_of(X.first_descendant_where(els, l, _div))
     pid = place_id_of(x["href"], X.attr(l, "data-pid"), X.attr(l, "data-place-id"), X.attr(l, "data-value"),
                       X.attr(parent, "data-pid"), X.attr(parent, "data-place-id"), first_div,
                       F.col("page_id"), x["pos"])
@@ -120,51 +130,73 @@ def _with_pid(x: Column) -> Column:
 
 
 def _container(x: Column) -> Column:
+    """Stage 3: the card container — nearest matching ancestor (parent walk),
+    else the third, else the second ancestor (X5)."""
     els = F.col("elements")
     l = x["el"]
-    p1 = X.parent_of(els, l)
-    p2 = X.parent_of(els, p1)
+    p2 = X.parent_of(els, X.parent_of(els, l))
     p3 = X.parent_of(els, p2)
-    cont = F.coalesce(X.closest(F.col("_c1"), l), X.closest(F.col("_c2"), l), X.closest(F.col("_c3"), l), p3, p2)
+    cont = F.coalesce(*[X.closest_where(els, l, pred) for pred in CONTAINER_PREDS], p3, p2)
     return F.struct(x["pos"].alias("pos"), l.alias("el"), x["href"].alias("href"), x["placeId"].alias("placeId"),
                     cont.alias("cont"))
 
 
 def _block_texts(b: Column) -> Column:
     """Trimmed, non-empty texts of the spans inside block ``b``."""
-    texts = F.transform(X.descendants(F.col("_spans"), b), lambda s: js_trim(X.text_of(s)))
+    texts = F.transform(X.descendants_where("elements", b, _span), lambda s: js_trim(X.text_of(s)))
     return F.filter(texts, lambda t: t != "")
 
 
+def _card(x: Column) -> Column:
+    """Stage 4: what several fields read, computed once per link — the
+    container's text, the span texts of each detail block, the first block's
+    text (inside a lambda nothing is shared, so every reuse must be bound)."""
+    els = F.col("elements")
+    cont = x["cont"]
+    blocks = X.descendants_where(els, cont, _block)
+    return F.struct(
+        x["pos"].alias("pos"), x["el"].alias("el"), x["href"].alias("href"), x["placeId"].alias("placeId"),
+        cont.alias("cont"), X.text_of(cont).alias("cont_text"),
+        F.transform(blocks, _block_texts).alias("texts"),
+        F.coalesce(X.text_of(F.try_element_at(blocks, F.lit(1))), F.lit("")).alias("first_block_text"))
+
+
+def _longest(cands: Column) -> Column:
+    """First strictly-longest candidate (JavaScript lengths), each length
+    computed once."""
+    init = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"))
+
+    def step(acc, t):
+        return let(js_length(t), lambda n: F.when(n > acc["n"], F.struct(t.alias("t"), n.alias("n"))).otherwise(acc))
+    return F.aggregate(cands, init, step, lambda acc: acc["t"])
+
+
 def _fields(x: Column) -> Column:
-    """Stage 3: every listing field from the link and its container."""
+    """Stage 5: every listing field from the link and its card.  All element
+    lookups stay inside the card's subtree (a slice of the element array)."""
+    els = F.col("elements")
     l, cont = x["el"], x["cont"]
-    name_el = X.first_match(X.descendants(F.col("_n1"), cont), X.descendants(F.col("_n2"), cont),
-                            X.descendants(F.col("_n3"), cont), X.descendants(F.col("_divs"), l))
+    name_el = X.first_match(*[X.descendants_where(els, cont, p) for p in NAME_PREDS],
+                            X.descendants_where(els, l, _div))
     name = F.coalesce(js_trim(X.text_of(name_el)), F.lit(""))
 
-    rating_el = X.first_match(*[X.descendants(F.col(c), cont) for c in ("_r1", "_r2", "_r3", "_r4")])
-    rating_text = F.coalesce(F.nullif(X.attr(rating_el, "aria-label"), F.lit("")),
-                             F.nullif(X.text_of(rating_el), F.lit("")), F.lit(""))
+    rating_el = X.first_match(*[X.descendants_where(els, cont, p) for p in RATING_PREDS])
+    rating_text = let(rating_el, lambda r: F.coalesce(F.nullif(X.attr(r, "aria-label"), F.lit("")),
+                                                       F.nullif(X.text_of(r), F.lit("")), F.lit("")))
     number = F.coalesce(F.nullif(F.regexp_extract(rating_text, "[0-9.]+", 0), F.lit("")), F.lit("0"))
-    rating = float_prefix(number)
-    rating = F.when(rating != 0, rating)                 # 0 and NaN (NULL here) → NULL
+    rating = let(float_prefix(number), lambda r: F.when(r != 0, r))   # 0 and NaN (NULL here) → NULL
 
-    cont_text = X.text_of(cont)
-    reviews_raw = F.regexp_extract(cont_text, r"\(([0-9]+[,0-9]*)\)", 1)
+    reviews_raw = F.regexp_extract(x["cont_text"], r"\(([0-9]+[,0-9]*)\)", 1)
     reviews = F.coalesce(int_prefix(F.replace(reviews_raw, F.lit(","), F.lit(""))), F.lit(0).cast("long"))
 
-    blocks = X.descendants(F.col("_blocks"), cont)
-    texts = F.transform(blocks, _block_texts)
+    texts = x["texts"]
     per_block_type = F.transform(texts, lambda ts: F.try_element_at(F.filter(ts, type_ok), F.lit(1)))
     btype = F.try_element_at(F.filter(per_block_type, lambda t: t.isNotNull()), F.lit(-1))
     cands = F.transform(F.flatten(F.transform(texts, lambda ts: F.reverse(ts))),
                         lambda t: js_trim(F.regexp_replace(t, f"^[·{WS_BODY}]+", "")))
-    address = F.aggregate(F.filter(cands, address_ok), F.lit(""),
-                          lambda acc, t: F.when(js_length(t) > js_length(acc), t).otherwise(acc))
+    address = _longest(F.filter(cands, address_ok))
 
-    first_block_text = F.coalesce(X.text_of(F.try_element_at(blocks, F.lit(1))), F.lit(""))
-    parts = F.transform(F.split(first_block_text, "·"), lambda p: js_trim(p))
+    parts = F.transform(F.split(x["first_block_text"], "·"), lambda p: js_trim(p))
     fb_address = F.try_element_at(F.filter(F.reverse(parts), fallback_address_ok), F.lit(1))
     part0 = F.try_element_at(parts, F.lit(1))
 
@@ -173,24 +205,25 @@ def _fields(x: Column) -> Column:
         coordinate_of(x["href"], 1).alias("latitude"), coordinate_of(x["href"], 2).alias("longitude"),
         rating.alias("rating"), reviews.alias("reviews"),
         address.alias("_address"), fb_address.alias("_fb_address"), btype.alias("_type"), part0.alias("_part0"),
-        first_phone_expr(cont_text).alias("phone"), x["href"].alias("url"))
+        first_phone_expr(x["cont_text"]).alias("phone"), x["href"].alias("url"))
 
 
 def listings(page_elements: DataFrame) -> DataFrame:
-    """L1–L12 + W1 over X1 output (``page_id, url, doc_text, elements`` and
+    """L1–L12 + W1 over X1 output (``page_id, url, doc_bytes, elements`` and
     any extra page columns, which are carried to every row).
 
     The first link of each place id wins inside a page *before* links without
     a container or name are dropped, as in the reference."""
-    extra = [c for c in page_elements.columns if c not in ("doc_text", "elements")]
-    staged = _candidates(page_elements)
-    staged = staged.withColumn("_l", F.transform("_links", lambda l, i: F.struct(
+    extra = [c for c in page_elements.columns if c not in ("doc_bytes", "elements", "text_nodes")]
+    links = X.select("elements", lambda e: X.is_tag(e, "a") & X.attr_contains(e, "href", PLACE_LINK))
+    staged = page_elements.withColumn("_l", F.transform(links, lambda l, i: F.struct(
         i.alias("pos"), l.alias("el"), resolve_url(X.attr(l, "href"), F.col("url")).alias("href"))))
     staged = staged.withColumn("_l", F.transform("_l", _with_pid))
     # First link per place id inside the page (position in the id list).
     staged = staged.withColumn("_ids", F.transform("_l", lambda x: x["placeId"]))
     staged = staged.withColumn("_l", F.filter("_l", lambda x, i: F.array_position(F.col("_ids"), x["placeId"]) == i + 1))
     staged = staged.withColumn("_l", F.filter(F.transform("_l", _container), lambda x: x["cont"].isNotNull()))
+    staged = staged.withColumn("_l", F.transform("_l", _card))
     staged = staged.withColumn("_l", F.transform("_l", _fields))
     rows = explode_rows(staged, extra, F.col("_l"), "r").select(*[c for c in extra if c != "url"], "r.*")
     rows = rows.filter(F.col("name") != "")

@@ -32,7 +32,7 @@ def page_elements_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pe.select(
         "page_id",
         F.size("elements").alias("n_elements"), F.size("text_nodes").alias("n_text_nodes"),
-        F.length("doc_text").alias("text_chars"),
+        F.length(X.page_text_of()).alias("text_chars"),
         F.aggregate("elements", F.lit(0), lambda a, e: F.greatest(a, e["depth"])).alias("max_depth"),
         F.size(F.filter("elements", lambda e: (e["tag"] == "a") & X.has_attr(e, "href"))).alias("n_links"),
         title.alias("title"))

@@ -24,7 +24,7 @@ def test_flatten_text_ranges():
     text, rows = flatten_html("<div><p>a<b>b</b><p>c</div><script>x='</p>'</script>")
     tags = [r[4] for r in rows]
     assert tags == ["div", "p", "b", "p", "script"]
-    assert [text[r[6]:r[7]] for r in rows] == ["abc", "ab", "b", "c", "x='</p>'"]
+    assert [text[r[6]:r[7]].decode() for r in rows] == ["abc", "ab", "b", "c", "x='</p>'"]
     assert rows[0][3] == 3 and rows[1][3] == 2     # last descendant
 
 
