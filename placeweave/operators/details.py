@@ -85,7 +85,7 @@ def _candidates(df: DataFrame) -> DataFrame:
 
     out = df.select(
         "*",
-        tag("table").alias("_tables"), tag("tr").alias("_trs"), tag("td").alias("_tds"), tag("li").alias("_lis"),
+        tag("table").alias("_tables"),
         tag("button").alias("_buttons"), tag("span").alias("_spans"), tag("a").alias("_anchors"),
         X.select(els, lambda e: e["tag"].isin("button", "div", "span")).alias("_bds"),
         X.select(els, lambda e: e["tag"].isin("span", "div")).alias("_sds"),
@@ -112,7 +112,8 @@ def _candidates(df: DataFrame) -> DataFrame:
 
 
 def _row_cells(row: Column) -> Column:
-    return X.descendants(F.col("_tds"), row)
+    """The row's ``td`` cells (inside its subtree: O(row), not O(page))."""
+    return X.descendants_where("elements", row, lambda e: X.is_tag(e, "td"))
 
 
 def _table_day_entries(table: Column) -> Column:
@@ -125,7 +126,8 @@ def _table_day_entries(table: Column) -> Column:
         ok = ((F.size(cells) >= 2) & (day != "") & (hrs != "")
               & ((F.instr(day, "星期") > 0) | (F.instr(day, "週") > 0) | day.rlike(DAY_WORDS)))
         return F.when(ok, F.struct(day.alias("day"), hrs.alias("hours")))
-    return F.filter(F.transform(X.descendants(F.col("_trs"), table), entry), lambda x: x.isNotNull())
+    rows = X.descendants_where("elements", table, lambda e: X.is_tag(e, "tr"))
+    return F.filter(F.transform(rows, entry), lambda x: x.isNotNull())
 
 
 def _existing_hours() -> Column:
@@ -164,8 +166,10 @@ def _panel_hours() -> Column:
                 .when(matched, F.when((day != "") & (hrs != ""), F.struct(day.alias("day"), hrs.alias("hours"))))
                 .when(is24 & (day24 != ""), F.struct(day24.alias("day"), F.lit(FULL_DAY_TEXT).alias("hours"))))
 
-    rows = F.filter(F.transform(X.descendants(F.col("_trs"), panel), table_entry), lambda x: x.isNotNull())
-    items = F.filter(F.transform(X.descendants(F.col("_lis"), panel), list_entry), lambda x: x.isNotNull())
+    rows = F.filter(F.transform(X.descendants_where("elements", panel, lambda e: X.is_tag(e, "tr")), table_entry),
+                    lambda x: x.isNotNull())
+    items = F.filter(F.transform(X.descendants_where("elements", panel, lambda e: X.is_tag(e, "li")), list_entry),
+                     lambda x: x.isNotNull())
     return H.dedupe_entries(let(rows, lambda r: F.when(F.size(r) > 0, r).otherwise(items)))
 
 
