@@ -182,6 +182,41 @@ MAX_ELEMENTS_PER_OUTPUT_BATCH = 250_000
 MAX_PAGES_PER_ARROW_BATCH = 256
 
 
+def _columnar(pages_rows, pages_nodes):
+    """Arrow arrays for ``elements`` and ``text_nodes`` built column by column
+    (flat value lists + offsets) instead of from nested Python dicts."""
+    import pyarrow as pa
+
+    schema = _arrow_type()
+    cols = [[] for _ in range(8)]       # idx, parent, depth, last, tag, attrs(map), t0, t1
+    keys, vals, attr_off, elem_off = [], [], [0], [0]
+    n0, n1, node_off = [], [], [0]
+    for rows, nodes in zip(pages_rows, pages_nodes):
+        for r in rows:
+            for j in (0, 1, 2, 3, 4, 6, 7):
+                cols[j].append(r[j])
+            keys.extend(r[5].keys())
+            vals.extend(r[5].values())
+            attr_off.append(len(keys))
+        elem_off.append(elem_off[-1] + len(rows))
+        for a, b in nodes:
+            n0.append(a)
+            n1.append(b)
+        node_off.append(len(n0))
+    i32 = pa.int32()
+    attrs = pa.MapArray.from_arrays(pa.array(attr_off, i32), pa.array(keys, pa.string()), pa.array(vals, pa.string()))
+    etype = schema.field("elements").type.value_type
+    struct = pa.StructArray.from_arrays(
+        [pa.array(cols[0], i32), pa.array(cols[1], i32), pa.array(cols[2], i32), pa.array(cols[3], i32),
+         pa.array(cols[4], pa.string()), attrs.cast(etype.field("attrs").type), pa.array(cols[6], i32),
+         pa.array(cols[7], i32)], fields=list(etype))
+    elements = pa.ListArray.from_arrays(pa.array(elem_off, i32), struct)
+    ntype = schema.field("text_nodes").type.value_type
+    nodes = pa.ListArray.from_arrays(pa.array(node_off, i32), pa.StructArray.from_arrays(
+        [pa.array(n0, i32), pa.array(n1, i32)], fields=list(ntype)))
+    return elements, nodes
+
+
 def _flatten_batches(batches, carry=()):
     import pyarrow as pa
 
@@ -190,24 +225,23 @@ def _flatten_batches(batches, carry=()):
         ids = batch.column("page_id").to_pylist()
         urls = batch.column("url").to_pylist()
         htmls = batch.column("html").to_pylist()
-        start, texts, elements, nodes, n_elements = 0, [], [], [], 0
+        start, texts, rows_acc, nodes_acc, n_elements = 0, [], [], [], 0
         for i, html in enumerate(htmls):
             text, rows, text_nodes = flatten_html_nodes(html)
             texts.append(text)
-            nodes.append([{"t0": a, "t1": b} for a, b in text_nodes])
-            elements.append([{"idx": r[0], "parent": r[1], "depth": r[2], "last": r[3], "tag": r[4],
-                              "attrs": list(r[5].items()), "t0": r[6], "t1": r[7]} for r in rows])
+            rows_acc.append(rows)
+            nodes_acc.append(text_nodes)
             n_elements += len(rows)
             if n_elements >= MAX_ELEMENTS_PER_OUTPUT_BATCH or i == len(htmls) - 1:
+                elements, nodes = _columnar(rows_acc, nodes_acc)
                 arrays = [pa.array(ids[start:i + 1], pa.int64()), pa.array(urls[start:i + 1], pa.string()),
-                          pa.array(texts, pa.binary()), pa.array(elements, schema.field("elements").type),
-                          pa.array(nodes, schema.field("text_nodes").type)]
+                          pa.array(texts, pa.binary()), elements, nodes]
                 names = list(schema.names)
                 for c in carry:          # extra page columns pass through untouched
                     arrays.append(batch.column(c).slice(start, i + 1 - start))
                     names.append(c)
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
-                start, texts, elements, nodes, n_elements = i + 1, [], [], [], 0
+                start, texts, rows_acc, nodes_acc, n_elements = i + 1, [], [], [], 0
 
 
 def page_elements(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
