@@ -41,7 +41,9 @@ def normalise_requests(df: DataFrame) -> DataFrame:
     return (df.filter(has_query | has_url)
             .withColumn("query", F.when(has_query, q))
             .withColumn("language", F.coalesce(F.nullif("language", F.lit("")), F.lit(DEFAULT_LANGUAGE)))
-            .withColumn("max_results", F.least(F.coalesce("max_results", F.lit(DEFAULT_MAX_RESULTS)),
+            # `maxResults || 100`: a missing or zero limit means 100
+            .withColumn("max_results", F.least(F.coalesce(F.nullif("max_results", F.lit(0)),
+                                                          F.lit(DEFAULT_MAX_RESULTS)),
                                                F.lit(MAX_RESULTS_CAP)).cast("int"))
             .withColumn("use_multi", F.coalesce("use_multi", F.lit(False))))
 

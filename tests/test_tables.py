@@ -19,7 +19,7 @@ def _col(spark, values, dtype="string"):
 def test_o1_normalise(spark):
     df = spark.createDataFrame(
         [(1, " café & bar 台北 ", None, None, 500, None, None), (2, "", None, "ja", 10, True, None),
-         (3, None, None, None, None, None, None), (4, None, "https://x/maps/search/a", None, None, None, None)],
+         (3, None, None, None, None, None, None), (4, None, "https://x/maps/search/a", None, 0, None, None)],
         RQ.REQUEST_SCHEMA)
     got = {r.request_id: r for r in RQ.normalise_requests(df).collect()}
     assert set(got) == {1, 4}
