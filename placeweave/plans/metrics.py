@@ -124,8 +124,9 @@ def latency_percentiles(log: DataFrame, by: str = "scenario", value: str = "dura
        every value's rank range; the answer is the first value whose running
        count reaches ``floor(n·p) + 1``."""
     n_parts = partitions or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = log.select(F.col(by).cast("string").alias("_grp"), F.col(value).alias("_v")).unionByName(
-        log.select(F.lit("ALL").alias("_grp"), F.col(value).alias("_v")))
+    # one scan: every value counts for its scenario and for "ALL"
+    tagged = log.select(F.explode(F.array(F.col(by).cast("string"), F.lit("ALL"))).alias("_grp"),
+                        F.col(value).alias("_v"))
     hist = tagged.filter(F.col("_v").isNotNull()).groupBy("_grp", "_v").agg(F.count(F.lit(1)).alias("_n"))
     ranged = hist.repartitionByRange(n_parts, "_grp", "_v").withColumn("_pid", F.spark_partition_id())
     parts = ranged.groupBy("_grp", "_pid").agg(F.sum("_n").alias("_pn"))
