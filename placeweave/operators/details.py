@@ -10,6 +10,8 @@ panel present in the captured page".
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +76,10 @@ def _clean_hours_text(c: Column, drop_emoji: bool = False) -> Column:
     return js_trim(collapse_ws(c))
 
 
-def _candidates(df: DataFrame) -> DataFrame:
+@functools.lru_cache(maxsize=1)
+def _candidate_exprs() -> tuple[list[Column], Column, Column]:
+    """Per-page candidate lists, the hours panel and the first hours button
+    (built once per process: they only name columns)."""
     els = F.col("elements")
 
     def tag(name):
@@ -83,8 +88,7 @@ def _candidates(df: DataFrame) -> DataFrame:
     def has_ancestor(cands_col: str, e: Column) -> Column:
         return F.exists(F.col(cands_col), lambda a: (a["idx"] < e["idx"]) & (e["idx"] <= a["last"]))
 
-    out = df.select(
-        "*",
+    cols = [
         tag("table").alias("_tables"),
         tag("button").alias("_buttons"), tag("span").alias("_spans"), tag("a").alias("_anchors"),
         X.select(els, lambda e: e["tag"].isin("button", "div", "span")).alias("_bds"),
@@ -92,7 +96,7 @@ def _candidates(df: DataFrame) -> DataFrame:
         X.select(els, lambda e: X.is_tag(e, "div") & X.attr_equals(e, "role", "dialog")).alias("_dialogs"),
         X.select(els, lambda e: X.is_tag(e, "div") & X.attr_contains(e, "class", "hour")).alias("_hourdivs"),
         X.select(els, lambda e: X.is_tag(e, "body")).alias("_body"),
-    )
+    ]
     # Hours panel container: table.hour, dialog table, div.hour ul, table tbody.
     panel = F.coalesce(
         _first(F.filter("_tables", lambda t: X.attr_contains(t, "class", "hour"))),
@@ -108,7 +112,12 @@ def _candidates(df: DataFrame) -> DataFrame:
         _first(F.filter("_buttons", lambda b: F.concat(F.coalesce(_txt(b), F.lit("")),
                                                        F.coalesce(X.attr(b, "aria-label"), F.lit("")))
                         .rlike(HOURS_BUTTON_TEXT))))
-    return out.withColumn("_panel", panel).withColumn("_hbtn", first_button)
+    return cols, panel, first_button
+
+
+def _candidates(df: DataFrame) -> DataFrame:
+    cols, panel, first_button = _candidate_exprs()
+    return df.select("*", *cols).withColumn("_panel", panel).withColumn("_hbtn", first_button)
 
 
 def _row_cells(row: Column) -> Column:
@@ -363,7 +372,8 @@ def _category() -> Column:
     return F.coalesce(F.nullif(from_button, F.lit("")), js_trim(F.regexp_replace(star, strip, "")))
 
 
-def _with_hours(st: DataFrame) -> DataFrame:
+@functools.lru_cache(maxsize=1)
+def _hours_exprs() -> tuple[Column, ...]:
     """D1 → D2/D3 → D4 → D5 → D6 → D7 as staged columns.  Each stage binds
     the previous stage's struct once (``let``), so a filter pushed through
     these projections inlines one copy per stage, not a multiplied tree, and
@@ -378,35 +388,48 @@ def _with_hours(st: DataFrame) -> DataFrame:
                                     .when(hbtn.isNotNull() & panel.isNotNull(), F.when(F.size(d2v) > 0, d2v))
                                     .when(F.size(d1) > 0, d1)))
 
-    st = st.withColumn("_hx", let(_existing_hours(), lambda d1: F.struct(weekly_of(d1).alias("w"))))
-    st = st.withColumn("_hx", let(F.col("_hx"), lambda x: F.struct(
-        x["w"].alias("w"), F.when(F.size(x["w"]) > 0, H.hours_list(x["w"])).alias("h4"))))
-    st = st.withColumn("_hx", let(F.col("_hx"), lambda x: F.struct(
-        x["w"].alias("w"), x["h4"].alias("h4"), F.when(x["h4"].isNull(), d5).alias("h5"))))
-    st = st.withColumn("_hx", let(F.col("_hx"), lambda x: F.struct(
+    return (
+        let(_existing_hours(), lambda d1: F.struct(weekly_of(d1).alias("w"))),
+        let(F.col("_hx"), lambda x: F.struct(
+        x["w"].alias("w"), F.when(F.size(x["w"]) > 0, H.hours_list(x["w"])).alias("h4"))),
+        let(F.col("_hx"), lambda x: F.struct(
+        x["w"].alias("w"), x["h4"].alias("h4"), F.when(x["h4"].isNull(), d5).alias("h5"))),
+        let(F.col("_hx"), lambda x: F.struct(
         x["w"].alias("w"), x["h4"].alias("h4"), x["h5"].alias("h5"),
-        F.when((F.coalesce(F.size(x["h4"]), F.lit(0)) == 0) & x["h5"].isNull(), d6).alias("h6"))))
-    st = st.withColumn("_hx", let(F.col("_hx"), lambda x: F.struct(
+        F.when((F.coalesce(F.size(x["h4"]), F.lit(0)) == 0) & x["h5"].isNull(), d6).alias("h6"))),
+        let(F.col("_hx"), lambda x: F.struct(
         x["w"].alias("w"), x["h4"].alias("h4"), x["h5"].alias("h5"), x["h6"].alias("h6"),
         F.when((F.coalesce(F.size(x["h4"]), F.lit(0)) == 0) & x["h5"].isNull() & x["h6"].isNull(), d7)
-        .alias("h7"))))
-    return st.withColumn("_hx", let(F.col("_hx"), lambda x: F.struct(
+        .alias("h7"))),
+        let(F.col("_hx"), lambda x: F.struct(
         (F.when(F.size(x["h4"]) > 0, x["h4"])
          .when(x["h5"].isNotNull(), F.array(x["h5"]))
          .when(x["h6"].isNotNull(), F.array(x["h6"]))
          .when(x["h7"].isNotNull(), F.array(x["h7"]))
          .otherwise(x["h4"])).alias("hours"),
-        H.hours_map(x["w"]).alias("hoursDetail"), x["w"].alias("entries"))))
+        H.hours_map(x["w"]).alias("hoursDetail"), x["w"].alias("entries"))),
+    )
+
+
+def _with_hours(st: DataFrame) -> DataFrame:
+    """Apply the staged hours columns (leaves ``_hx``)."""
+    for expr in _hours_exprs():
+        st = st.withColumn("_hx", expr)
+    return st
+
+
+@functools.lru_cache(maxsize=1)
+def _field_exprs() -> tuple[Column, ...]:
+    return (_address().alias("address"), F.nullif(_phone(), F.lit("")).alias("phone"),
+            F.nullif(_website(), F.lit("")).alias("website"),
+            F.col("_hx.hours").alias("hours"), F.col("_hx.hoursDetail").alias("hoursDetail"),
+            F.col("_hx.entries").alias("hours_entries"),
+            _price().alias("priceLevel"), _category().alias("businessType"))
 
 
 def detail_fields(page_elements: DataFrame) -> DataFrame:
-    """D1–D12 per captured detail page (extra page columns are carried)."""
+    """D1–D12 per captured detail page (extra page columns are carried).
+    The rule expressions are built once per process and reused."""
     extra = [c for c in page_elements.columns if c not in ("doc_bytes", "elements", "text_nodes")]
     st = _with_hours(_candidates(page_elements))
-    return st.select(
-        *extra,
-        _address().alias("address"), F.nullif(_phone(), F.lit("")).alias("phone"),
-        F.nullif(_website(), F.lit("")).alias("website"),
-        F.col("_hx.hours").alias("hours"), F.col("_hx.hoursDetail").alias("hoursDetail"),
-        F.col("_hx.entries").alias("hours_entries"),
-        _price().alias("priceLevel"), _category().alias("businessType"))
+    return st.select(*extra, *_field_exprs())

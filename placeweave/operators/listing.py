@@ -11,6 +11,8 @@ once, so Catalyst keeps them apart instead of re-inlining expensive parts.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -208,6 +210,25 @@ def _fields(x: Column) -> Column:
         first_phone_expr(x["cont_text"]).alias("phone"), x["href"].alias("url"))
 
 
+@functools.lru_cache(maxsize=1)
+def _stage_exprs() -> tuple[Column, ...]:
+    """The per-page stage expressions.  They only name columns, so they are
+    built once per process (thousands of JVM calls) and reused by every
+    query that runs the listing job."""
+    links = X.select("elements", lambda e: X.is_tag(e, "a") & X.attr_contains(e, "href", PLACE_LINK))
+    return (
+        F.transform(links, lambda l, i: F.struct(
+            i.alias("pos"), l.alias("el"), resolve_url(X.attr(l, "href"), F.col("url")).alias("href"))),
+        F.transform("_l", _with_pid),
+        F.transform("_l", lambda x: x["placeId"]),
+        # First link per place id inside the page (position in the id list).
+        F.filter("_l", lambda x, i: F.array_position(F.col("_ids"), x["placeId"]) == i + 1),
+        F.filter(F.transform("_l", _container), lambda x: x["cont"].isNotNull()),
+        F.transform("_l", _card),
+        F.transform("_l", _fields),
+    )
+
+
 def listings(page_elements: DataFrame) -> DataFrame:
     """L1–L12 + W1 over X1 output (``page_id, url, doc_bytes, elements`` and
     any extra page columns, which are carried to every row).
@@ -215,16 +236,10 @@ def listings(page_elements: DataFrame) -> DataFrame:
     The first link of each place id wins inside a page *before* links without
     a container or name are dropped, as in the reference."""
     extra = [c for c in page_elements.columns if c not in ("doc_bytes", "elements", "text_nodes")]
-    links = X.select("elements", lambda e: X.is_tag(e, "a") & X.attr_contains(e, "href", PLACE_LINK))
-    staged = page_elements.withColumn("_l", F.transform(links, lambda l, i: F.struct(
-        i.alias("pos"), l.alias("el"), resolve_url(X.attr(l, "href"), F.col("url")).alias("href"))))
-    staged = staged.withColumn("_l", F.transform("_l", _with_pid))
-    # First link per place id inside the page (position in the id list).
-    staged = staged.withColumn("_ids", F.transform("_l", lambda x: x["placeId"]))
-    staged = staged.withColumn("_l", F.filter("_l", lambda x, i: F.array_position(F.col("_ids"), x["placeId"]) == i + 1))
-    staged = staged.withColumn("_l", F.filter(F.transform("_l", _container), lambda x: x["cont"].isNotNull()))
-    staged = staged.withColumn("_l", F.transform("_l", _card))
-    staged = staged.withColumn("_l", F.transform("_l", _fields))
+    links, with_pid, ids, first_wins, with_container, card, fields = _stage_exprs()
+    staged = (page_elements.withColumn("_l", links).withColumn("_l", with_pid)
+              .withColumn("_ids", ids).withColumn("_l", first_wins)
+              .withColumn("_l", with_container).withColumn("_l", card).withColumn("_l", fields))
     rows = explode_rows(staged, extra, F.col("_l"), "r").select(*[c for c in extra if c != "url"], "r.*")
     rows = rows.filter(F.col("name") != "")
     address = F.when(F.col("_address") != "", F.col("_address")).otherwise(F.col("_fb_address"))
