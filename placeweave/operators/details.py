@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from placeweave.functions.text import (WS, WS_BODY, collapse_ws, first_only_replace, js_length, js_trim, let,
                                        literal_first_replace)
+from placeweave.functions.arrays import size0
 from placeweave.operators import elements as X
 from placeweave.operators import hours as H
 from placeweave.operators.pages import resolve_url
@@ -396,10 +397,10 @@ def _hours_exprs() -> tuple[Column, ...]:
         x["w"].alias("w"), x["h4"].alias("h4"), F.when(x["h4"].isNull(), d5).alias("h5"))),
         let(F.col("_hx"), lambda x: F.struct(
         x["w"].alias("w"), x["h4"].alias("h4"), x["h5"].alias("h5"),
-        F.when((F.coalesce(F.size(x["h4"]), F.lit(0)) == 0) & x["h5"].isNull(), d6).alias("h6"))),
+        F.when((size0(x["h4"]) == 0) & x["h5"].isNull(), d6).alias("h6"))),
         let(F.col("_hx"), lambda x: F.struct(
         x["w"].alias("w"), x["h4"].alias("h4"), x["h5"].alias("h5"), x["h6"].alias("h6"),
-        F.when((F.coalesce(F.size(x["h4"]), F.lit(0)) == 0) & x["h5"].isNull() & x["h6"].isNull(), d7)
+        F.when((size0(x["h4"]) == 0) & x["h5"].isNull() & x["h6"].isNull(), d7)
         .alias("h7"))),
         let(F.col("_hx"), lambda x: F.struct(
         (F.when(F.size(x["h4"]) > 0, x["h4"])

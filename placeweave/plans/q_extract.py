@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeweave.functions.arrays import size0
 from placeweave.operators import elements as X
 from placeweave.operators.details import detail_fields
 from placeweave.operators.listing import listings
@@ -49,7 +50,7 @@ def detail_fields_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1 + D1–D12 over every page: one row per page."""
     d = detail_fields(_pages_x1(spark, sf_dir))
     return d.select("page_id", "address", "phone", "website", F.array_join("hours", " | ").alias("hours"),
-                    F.size("hours_entries").alias("n_days"), "priceLevel", "businessType")
+                    size0(F.col("hours_entries")).alias("n_days"), "priceLevel", "businessType")
 
 
 @register("weekly_hours")
@@ -57,7 +58,7 @@ def weekly_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1 + D1–D3 over every page: the weekly day→hours entries found (table
     rows, else the first hours panel, 24-hour fill), one row per page."""
     d = detail_fields(_pages_x1(spark, sf_dir))
-    return d.select("page_id", F.coalesce(F.size("hours_entries"), F.lit(0)).alias("n_days"),
+    return d.select("page_id", size0(F.col("hours_entries")).alias("n_days"),
                     F.to_json("hoursDetail").alias("hours_detail"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.functions import text as T
+from placeweave.functions.arrays import size_or_null
 from placeweave.operators import emails as E
 from placeweave.operators import pages as P
 from placeweave.operators.phones import first_phone_expr
@@ -46,16 +47,16 @@ def page_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     emails = E.page_emails_expr("html")
     return (pages.select(
         "page_id", "url",
-        F.size(P.anchor_hrefs_expr("html")).cast("long").alias("n_links"),
+        F.when(F.col("html").isNotNull(), F.size(P.anchor_hrefs_expr("html"))).cast("long").alias("n_links"),
         emails.alias("emails"))
         .select(
             "page_id",
             F.regexp_extract("url", P.URL_ORIGIN, 1).alias("host"),
             "n_links",
-            F.size("emails").cast("long").alias("n_emails"),
+            size_or_null(F.col("emails")).cast("long").alias("n_emails"),
             F.try_element_at("emails", F.lit(1)).alias("email"),
             F.array_join("emails", ",").alias("emails"),
-            F.size(E.filter_emails_expr("emails")).cast("long").alias("n_kept")))
+            size_or_null(E.filter_emails_expr("emails")).cast("long").alias("n_kept")))
 
 
 @register("page_links", f"""
