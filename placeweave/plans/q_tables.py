@@ -303,6 +303,13 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.latency_percentiles(_log(spark, sf_dir), "scenario")
 
 
+@register("latency_percentiles_approx")
+def latency_percentiles_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5, approximate variant (T8): ``percentile_approx`` per weekday and
+    overall (checked against the exact job in tests, not by SQL)."""
+    return M.latency_percentiles_approx(_log(spark, sf_dir), "scenario")
+
+
 @register("throughput", f"""
 WITH log AS ({_RUN_LOG_SQL}),
 a AS (SELECT CASE WHEN GROUPING(scenario) = 1 THEN 'ALL' ELSE scenario END AS scenario,

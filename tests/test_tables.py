@@ -212,3 +212,16 @@ def test_a5_distributed_matches_brute_force(spark):
         for name, p in M.PERCENTILES:
             assert getattr(got[g], name) == vals[int(len(vals) * p)], (g, name)
         assert got[g].n == len(vals)
+
+
+def test_r1_grid_and_r3_captured(spark):
+    from placeweave.plans import analyses as AN
+
+    biz = spark.createDataFrame([("a", "cafe", 25.001, 121.501, "https://a.tw"), ("b", "cafe", 25.002, 121.502, None),
+                                 ("c", "bar", 25.051, 121.551, "https://c.tw")],
+                                "placeId string, businessType string, lat double, lng double, website string")
+    d = {(r.businessType, r.cell): r.n for r in AN.density(biz, ["businessType"], "lat", "lng", 0.01).collect()}
+    assert d[("cafe", "2500:12150")] == 2 and d[("bar", "2505:12155")] == 1 and d[("ALL", "ALL")] == 3
+    captured = spark.createDataFrame([("https://a.tw",), ("https://a.tw",)], "url string")
+    got = sorted(r.placeId for r in AN.no_website(biz, captured).collect())
+    assert got == ["b", "c"]                 # no website, or a website never captured
