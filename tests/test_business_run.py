@@ -69,6 +69,13 @@ def test_business_run(spark, cut_lineage):
     assert pizza.address is None and pizza.hours is None       # URL rows are never enriched
     assert res.businesses.columns == list(PL.BUSINESS_COLUMNS)
 
+    # invariants: one row per (query, place), W3 bound, email = emails[0]
+    from pyspark.sql import functions as F
+    assert res.businesses.groupBy("query", "placeId").count().filter("count > 1").count() == 0
+    per_query = {r.query: r.n for r in res.businesses.groupBy("query").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert per_query["cafe taipei"] <= 2 and per_query["bar"] <= 60
+    assert res.businesses.filter(F.size("emails") > 0).filter(F.col("email") != F.col("emails")[0]).count() == 0
+
     errors = res.errors.collect()
     assert [(e.request_id, e.query) for e in errors] == [(4, "missing")]
     stats = res.stats.first()
