@@ -36,3 +36,15 @@ def test_sinks(spark, tmp_path):
     sinks.write_stats(stats, str(tmp_path / "stats"))
     files = glob.glob(str(tmp_path / "stats" / "*.json"))
     assert len(files) == 1 and json.loads(open(files[0]).readline())["success_rate"] == "67%"
+
+
+def test_o8_read_loose_pages(spark, tmp_path):
+    from placeweave.operators.pages import page_links
+    from placeweave.sources.tables import read_pages
+
+    (tmp_path / "a.html").write_text('<html><body><a href="/x">x</a>\n<a href="y">y</a></body></html>')
+    (tmp_path / "b.html").write_text("<p>no links</p>")
+    pages = read_pages(spark, str(tmp_path), fmt="text")
+    rows = {r.url.rsplit("/", 1)[-1]: r for r in pages.collect()}
+    assert set(rows) == {"a.html", "b.html"} and "\n" in rows["a.html"].html   # whole file per page
+    assert page_links(pages).count() == 2
