@@ -51,8 +51,5 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     if fmt == "parquet":
         return spark.read.schema(PAGE_SCHEMA).parquet(path)
     raw = spark.read.text(path, wholetext=True)   # one row per file
-    return raw.select(
-        F.xxhash64(F.input_file_name()).alias("page_id"),
-        F.input_file_name().alias("url"),
-        F.col("value").alias("html"),
-    )
+    path_col = F.col("_metadata.file_path")
+    return raw.select(F.xxhash64(path_col).alias("page_id"), path_col.alias("url"), F.col("value").alias("html"))
