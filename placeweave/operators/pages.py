@@ -46,6 +46,17 @@ def hidden_block(tag: str) -> str:
     return rf"(?is)<{tag}(?:{HS}[^>]*)?>.*?</{tag}{HS}*>"
 
 
+def _strip_pattern(tags) -> str:
+    """One pass removing comments and the given blocks: an alternation, so
+    the leftmost construct wins as a parser would see it."""
+    blocks = "|".join(rf"<{t}(?:{HS}[^>]*)?>.*?</{t}{HS}*>" for t in tags)
+    return rf"(?is)<!--.*?-->|{blocks}"
+
+
+HIDDEN_STRIP = _strip_pattern(HIDDEN_BLOCKS)
+NON_MARKUP_STRIP = _strip_pattern(NON_MARKUP_BLOCKS)
+
+
 def decode_entities(col) -> Column:
     """Decode the named entities that matter for text rules (``&amp;`` last)."""
     c = _c(col)
@@ -63,9 +74,7 @@ def visible_text_expr(html) -> Column:
     remaining tags vanish; entities decoded."""
     c = F.regexp_replace(_c(html), BODY_START, "")
     c = F.regexp_replace(c, BODY_END, "")
-    for tag in HIDDEN_BLOCKS:
-        c = F.regexp_replace(c, hidden_block(tag), "")
-    c = F.regexp_replace(c, COMMENT, "")
+    c = F.regexp_replace(c, HIDDEN_STRIP, "")
     c = F.regexp_replace(c, HTML_SPACE, " ")
     c = F.regexp_replace(c, BLOCK_TAG, "\n")
     c = F.regexp_replace(c, CELL_TAG, "\t")
@@ -85,10 +94,7 @@ def page_text(pages: DataFrame) -> DataFrame:
 def markup_only(html) -> Column:
     """The HTML without comments and without the content of raw-text blocks,
     so tag regexes see only what the parser would make elements of."""
-    c = F.regexp_replace(_c(html), COMMENT, "")
-    for tag in NON_MARKUP_BLOCKS:
-        c = F.regexp_replace(c, hidden_block(tag), "")
-    return c
+    return F.regexp_replace(_c(html), NON_MARKUP_STRIP, "")
 
 
 def anchor_tags_expr(html) -> Column:

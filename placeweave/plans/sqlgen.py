@@ -176,9 +176,7 @@ def decode_entities(x: str) -> str:
 def visible_text(html: str) -> str:
     c = rx_all(html, P.BODY_START)
     c = rx_all(c, P.BODY_END)
-    for tag in P.HIDDEN_BLOCKS:
-        c = rx_all(c, P.hidden_block(tag))
-    c = rx_all(c, P.COMMENT)
+    c = rx_all(c, P.HIDDEN_STRIP)
     c = rx_all(c, P.HTML_SPACE, " ")
     c = rx_all(c, P.BLOCK_TAG, "\n")
     c = rx_all(c, P.CELL_TAG, "\t")
@@ -189,10 +187,7 @@ def visible_text(html: str) -> str:
 
 
 def markup_only(html: str) -> str:
-    c = rx_all(html, P.COMMENT)
-    for tag in P.NON_MARKUP_BLOCKS:
-        c = rx_all(c, P.hidden_block(tag))
-    return c
+    return rx_all(html, P.NON_MARKUP_STRIP)
 
 
 def anchor_tags(html: str) -> str:
