@@ -36,7 +36,8 @@ def split_glued(col) -> Column:
 def dedupe_entries(entries) -> Column:
     """First position, last value per day."""
     def body(e: Column) -> Column:
-        days = F.array_distinct(F.transform(e, lambda x: x["day"]))
+        # a NULL day cannot be a map key; such entries carry no day to show
+        days = F.filter(F.array_distinct(F.transform(e, lambda x: x["day"])), lambda d: d.isNotNull())
         return F.transform(days, lambda d: F.struct(
             d.alias("day"),
             F.try_element_at(F.filter(e, lambda x: x["day"] == d), F.lit(-1))["hours"].alias("hours")))

@@ -225,3 +225,8 @@ def test_r1_grid_and_r3_captured(spark):
     captured = spark.createDataFrame([("https://a.tw",), ("https://a.tw",)], "url string")
     got = sorted(r.placeId for r in AN.no_website(biz, captured).collect())
     assert got == ["b", "c"]                 # no website, or a website never captured
+
+
+def test_hours_map_null_day(spark):
+    df = spark.createDataFrame([([(None, "x"), ("Mon", "9")],)], "e array<struct<day:string,hours:string>>")
+    assert dict(df.select(H.hours_map("e")).first()[0]) == {"Mon": "9"}
