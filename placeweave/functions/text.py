@@ -34,6 +34,10 @@ UNICODE_JUNK = r"[\x{0}-\x{1F}\x{7F}-\x{9F}\x{E000}-\x{F8FF}\x{FFF0}-\x{FFFF}\x{
 
 SUPPLEMENTARY = r"[^\x{10000}-\x{10FFFF}]"
 
+# Opening-hours words that end an address (C5), as one
+# alternation; everything from the earliest of them on is removed.
+ADDRESS_TAIL = r"(?is)(?:營業中|已打烊|Opens|Closes|⋅).*\z"
+
 # Patterns shared by several rules.
 RATING_WITH_COUNT = rf"^[0-9.]+{WS}*\([0-9,]+\)\z"       # "4.9(200)", "4.6 (2,846)"
 PRICE_RANGE = r"^[0-9]{2,3}-[0-9]{2,3}\z"                # "200-400"
@@ -221,8 +225,8 @@ def standard_address(col) -> Column:
     starts in the last 20 % of the text)."""
     c = clean_unicode(col)
     c = F.regexp_replace(c, JS_SHORTER_THAN_5, "")
-    for word in ("營業中", "已打烊", "Opens", "Closes", "⋅"):
-        c = F.regexp_replace(c, f"(?is){word}.*\\z", "")
+    # cutting at each word in turn = cutting once at the earliest of them
+    c = F.regexp_replace(c, ADDRESS_TAIL, "")
     c = js_trim(c)
     c = F.regexp_replace(c, r"(?s)\A(?=.*(?:Japan|日本))(.*?)〒([0-9]{3})-?([0-9]{4})", "$1〒$2-$3")
     return let(c, lambda v: F.when((F.instr(v, "Korea") > 0) | (F.instr(v, "대한민국") > 0), _korea_move(v))

@@ -239,8 +239,7 @@ def blacklisted(e: str) -> str:
 def standard_address(x: str) -> str:
     c0 = clean_unicode(x)
     c = c0
-    for word in ("營業中", "已打烊", "Opens", "Closes", "⋅"):
-        c = rx_all(c, f"(?is){word}.*\\z")
+    c = rx_all(c, T.ADDRESS_TAIL)
     c = js_trim(c)
     c = (f"CASE WHEN strpos({c}, 'Japan') > 0 OR strpos({c}, '日本') > 0 "
          f"THEN {rx_first(c, '〒([0-9]{3})-?([0-9]{4})', '〒$1-$2')} ELSE {c} END")
