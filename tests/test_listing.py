@@ -57,3 +57,23 @@ def test_js_hash_matches_model(spark):
     assert got == [_js_hash_model(v) for v in vals]
     gid = df.select(generated_id(F.lit("星巴克"), F.lit("25.0"), F.lit("121.5"))).first()[0]
     assert gid == "generated_75fs6"
+
+
+CARDS_2 = (
+    '<html><body><div role="feed">'
+    '<div data-cid="1"><a href="/maps/place/A/data=!19sChIJa19"></a><span role="heading">甲店</span>'
+    '<span role="img" aria-label="4.2 星">4.2</span><div class="W4Efsd">咖啡廳 · 台北市信義路1號</div></div>'
+    '<div jsaction="x"><a href="https://m.test/maps/place/B" data-pid="ChIJdp"><div>Bee</div></a>(12)</div>'
+    '<div jsaction="mouseover:pane.c" data-pid="ChIJparent"><a href="/maps/place/C"><div>Cee</div></a></div>'
+    "</div></body></html>")
+
+
+def test_listing_fixture_branches(spark):
+    pages = _page(spark, [(7, "https://m.test/maps/search/q", CARDS_2)])
+    got = [(r.pos, r.name, r.placeId, r.rating, r.reviews, r.address, r.businessType)
+           for r in listings(page_elements(pages)).orderBy("pos").collect()]
+    assert got == [
+        (0, "甲店", "ChIJa19", 4.2, 0, "台北市信義路1號", "咖啡廳"),   # data-cid container, heading, 星, L10
+        (1, "Bee", "ChIJdp", None, 12, None, None),                    # jsaction container, link data-pid
+        (2, "Cee", "ChIJparent", None, 0, None, None),                 # parent data-pid
+    ]
