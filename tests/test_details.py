@@ -106,3 +106,17 @@ def test_detail_fallbacks(spark):
     assert d11.address == "04524 Jung-gu, Seoul , South Korea"  # D8 from button text, Korea rule (as the JS does)
     assert d11.priceLevel == "$$"                            # stage 2: '$$' with 'price' context
     assert d11.hours is None
+
+
+PANEL = ('<html><body><button aria-label="Hours: Open ⋅ Closes 10 PM">Open</button>'
+         '<table class="hours-table"><tr><td>Monday (Labor Day)</td><td>Closed</td></tr>'
+         '<tr><td>Tuesday</td><td>10 AM–10 PM</td></tr><tr><td>複製營業時間</td><td>x</td></tr></table>'
+         '</body></html>')
+
+
+def test_d2_panel_table(spark):
+    pages = spark.createDataFrame([(31, "u", PANEL)], "page_id BIGINT, url STRING, html STRING")
+    r = detail_fields(page_elements(pages)).first()
+    # D1 found only 2 days; a panel exists, so its (cleaned) rows win
+    assert r.hours == ["Monday: Closed", "Tuesday: 10 AM–10 PM"]
+    assert dict(r.hoursDetail) == {"Monday": "Closed", "Tuesday": "10 AM–10 PM"}
