@@ -48,6 +48,10 @@ def test_business_run(spark, cut_lineage):
         (104, "listing", 3, 0, None, "https://www.google.com/maps/search/pizza+taipei", t, listing(PIZZA)),
         (201, "detail", None, None, "ChIJaaa111", "https://www.google.com/maps/place/x", t, TW),
         (202, "detail", None, None, "ChIJzza", "https://www.google.com/maps/place/p", t, TW),
+        (203, "detail", None, None, "hex_0x3442abb6:0x1f2", "https://www.google.com/maps/place/b", t,
+         '<html><body><a aria-label="Website: bar.test" href="https://bar.test/">bar</a></body></html>'),
+        (204, "detail", None, None, "ChIJppp", "https://www.google.com/maps/place/q", t,
+         '<html><body><a aria-label="Website" href="https://www.google.com/x">g</a></body></html>'),
         (301, "website", None, None, None, "https://shop.tw/?utm=1", t, SITE),
     ], PL.CAPTURED_PAGE_SCHEMA)
     res = PL.run(requests, pages, run_ts="2024-01-02 03:04:05", cut_lineage=cut_lineage)
@@ -61,7 +65,7 @@ def test_business_run(spark, cut_lineage):
     assert cafe1.emails == ["info@shop.tw", "sales@shop.tw", "owner@shop.tw"] and cafe1.email == "info@shop.tw"
     assert len(cafe1.hours) == 7 and cafe1.hoursDetail["Monday"] == "09:00–18:00"
     bar = got[("cafe taipei", "hex_0x3442abb6:0x1f2")]
-    assert bar.website is None and bar.email is None and bar.emails is None
+    assert bar.website == "https://bar.test/" and bar.email is None and bar.emails == []   # fetch failed
     pub = got[("bar", "ChIJppp")]
     assert pub.website is None and pub.hours is None          # scrape_details off
     pizza = got[("pizza+taipei", "ChIJzza")]

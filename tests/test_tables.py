@@ -230,3 +230,12 @@ def test_r1_grid_and_r3_captured(spark):
 def test_hours_map_null_day(spark):
     df = spark.createDataFrame([([(None, "x"), ("Mon", "9")],)], "e array<struct<day:string,hours:string>>")
     assert dict(df.select(H.hours_map("e")).first()[0]) == {"Mon": "9"}
+
+
+def test_e1_e7_eligibility(spark):
+    biz = spark.createDataFrame([("a", "https://shop.tw"), ("b", "https://www.google.com/x"), ("c", None),
+                                 ("d", "https://gone.tw")], "placeId string, website string")
+    assert sorted(r.placeId for r in E.eligible_websites(biz).collect()) == ["a", "d"]
+    site = spark.createDataFrame([(1, "https://shop.tw", "<p>hi@shop.tw</p>")], "page_id long, url string, html string")
+    got = {r.placeId: (r.email, r.emails) for r in E.enrich_emails(biz, site).collect()}
+    assert got == {"a": ("hi@shop.tw", ["hi@shop.tw"]), "b": (None, None), "c": (None, None), "d": (None, [])}
