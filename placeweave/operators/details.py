@@ -228,8 +228,10 @@ def _hours_fallbacks() -> tuple[Column, Column, Column]:
     d5 = _first(F.filter(F.transform(F.flatten(F.array(*lists)), d5_value), lambda v: v.isNotNull()))
 
     def d6_match(e):
+        # ≥ 1,500 UTF-8 bytes means ≥ 500 UTF-16 units: reject before decoding
+        small = (e["t1"] - e["t0"]) < 1500
         text = _txt(e)
-        return (~_any_contains(text, FACILITY_WORDS) & text.rlike(AMPM_TIME) & (js_length(text) < 500))
+        return small & (~_any_contains(text, FACILITY_WORDS) & text.rlike(AMPM_TIME) & (js_length(text) < 500))
     d6 = _clean_hours_text(_txt(let(F.filter("_bds", d6_match), lambda m: F.coalesce(
         _first(F.filter(m, lambda e: _any_contains(_txt(e), MAIN_HOURS_WORDS))), _first(m)))))
 
