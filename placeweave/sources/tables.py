@@ -18,19 +18,32 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+# About one task per 512 KB of (compressed) text-table input.
+SPREAD_BYTES_PER_PARTITION = 512 * 1024
+
+
 def spread(df: DataFrame, factor: int = 4) -> DataFrame:
-    """Give CPU-heavy per-row work enough tasks.
+    """Give CPU-heavy per-row work enough tasks — but not more than the input
+    is worth.
 
     A small file of long texts can arrive as a handful of row-group splits
     (fewer than the cores), with one straggler holding the longest texts.
-    When the scan has fewer than 2× default-parallelism partitions, rows are
-    spread round-robin over ``factor``× default parallelism.  At cluster
-    scale the scan already has far more splits than cores, so this is a
-    no-op there and adds no shuffle."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < 2 * target:
-        return df.repartition(factor * target)
-    return df
+    When the scan has fewer than 2× default-parallelism splits, the rows are
+    spread round-robin over about one partition per 512 KB of estimated
+    input (rounded up to a multiple of the parallelism, at most ``factor``×
+    it); tiny inputs stay where they are, since every task also pays for
+    setting up the large rule expressions.  At cluster scale the scan already
+    has far more splits than cores, so this is a no-op there and adds no
+    shuffle."""
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    current = df.rdd.getNumPartitions()
+    if current >= 2 * parallelism:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = max(1, -(-size // SPREAD_BYTES_PER_PARTITION))
+    if wanted <= current:
+        return df
+    return df.repartition(min(factor * parallelism, -(-wanted // parallelism) * parallelism))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str, spread_rows: bool | None = None) -> DataFrame:
