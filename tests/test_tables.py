@@ -239,3 +239,33 @@ def test_e1_e7_eligibility(spark):
     site = spark.createDataFrame([(1, "https://shop.tw", "<p>hi@shop.tw</p>")], "page_id long, url string, html string")
     got = {r.placeId: (r.email, r.emails) for r in E.enrich_emails(biz, site).collect()}
     assert got == {"a": ("hi@shop.tw", ["hi@shop.tw"]), "b": (None, None), "c": (None, None), "d": (None, [])}
+
+
+def test_helpers(spark):
+    from pyspark.sql import functions as F
+
+    from placeweave.functions.text import standardise
+    from placeweave.operators.relational import anti_match
+
+    biz = spark.createDataFrame([(" Cafe  One ", "4.5(200)", "Inexpensive", "0912-345-678", "shop.tw?x=1", "4.567", "1,234")],
+                                "name string, businessType string, priceLevel string, phone string, website string, "
+                                "rating string, reviews string")
+    r = standardise(biz).first()
+    assert (r.name, r.businessType, r.priceLevel, r.phone, r.website, r.rating, r.reviews) == \
+        ("Cafe One", "", "$$$$", "+886 912 345 678", "https://shop.tw", 4.6, 1234)
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, label string")
+    good, bad = RQ.split_errors(df, F.col("label").isNotNull(), "URI malformed")
+    assert [r.id for r in good.collect()] == [1] and [(r.id, r.error) for r in bad.collect()] == [(2, "URI malformed")]
+
+    mails = spark.createDataFrame([("a@x.tw",), ("NoReply@x.tw",), ("b@sentry.io",)], "e string")
+    assert [r.e for r in anti_match(mails, "e", E.EMAIL_BLACKLIST).collect()] == ["a@x.tw"]
+
+    rows = spark.createDataFrame([("q1", "ChIJa", "4.5(20)", "20-30"), ("q1", "bad?", None, None), ("q2", "hex_1", "x", "1")],
+                                 "query string, placeId string, address string, phone string")
+    assert [r.query for r in V.check_counts(rows, "query", min_rows=2).collect()] == ["q2"]
+    assert [r.placeId for r in V.check_place_id(rows).collect()] == ["bad?"]
+    assert [r.address for r in V.check_address(rows).collect()] == ["4.5(20)"]
+    assert [r.phone for r in V.check_phone(rows).collect()] == ["20-30"]
+    comp = {r.column: (r.non_null, r.total) for r in V.completeness(rows).collect()}
+    assert comp == {"query": (3, 3), "placeId": (3, 3), "address": (2, 3), "phone": (2, 3)}
