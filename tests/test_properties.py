@@ -66,3 +66,39 @@ def test_rating_idempotent_and_bounded(spark, nums):
     for (r, r2), x in zip(rows, nums):
         assert 0 <= r <= 5 and r2 == r                               # C12 idempotent, clamped
         assert abs(r - min(5, max(0, x))) <= 0.05 + 1e-9
+
+
+TAGS = ["div", "p", "span", "a", "b", "li", "ul", "td", "tr", "table", "br", "img", "script", "button"]
+TOKEN = st.one_of(
+    st.sampled_from(TAGS).map(lambda t: f"<{t}>"),
+    st.sampled_from(TAGS).map(lambda t: f"</{t}>"),
+    st.sampled_from(TAGS).map(lambda t: f'<{t} class="k" data-pid=x>'),
+    st.text(alphabet=st.sampled_from(list("ab é&;<>台 ")), min_size=1, max_size=6),
+    st.just("<!-- c -->"), st.just("&amp;"), st.just("<br/>"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TOKEN, max_size=40))
+def test_element_table_invariants(tokens):
+    from placeweave.operators.elements import flatten_html_nodes
+
+    text, rows, nodes = flatten_html_nodes("".join(tokens))
+    text.decode("utf-8")                                          # valid UTF-8 throughout
+    for i, (idx, parent, depth, last, tag, attrs, t0, t1) in enumerate(rows):
+        assert idx == i and idx <= last < len(rows)
+        assert 0 <= t0 <= t1 <= len(text)
+        text[t0:t1].decode("utf-8")                               # ranges fall on character boundaries
+        if parent >= 0:
+            p = rows[parent]
+            assert parent < idx <= p[3]                           # inside the parent's subtree interval
+            assert p[6] <= t0 and t1 <= p[7]                      # text nested in the parent's text
+            assert depth == p[2] + 1
+        else:
+            assert depth == 0
+        for j in range(idx + 1, len(rows)):                       # subtree == (idx, last]
+            k = rows[j][1]
+            while k > idx:
+                k = rows[k][1]
+            assert (k == idx) == (j <= last)
+    for a, b in nodes:
+        assert 0 <= a < b <= len(text)
