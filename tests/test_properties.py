@@ -102,3 +102,30 @@ def test_element_table_invariants(tokens):
             assert (k == idx) == (j <= last)
     for a, b in nodes:
         assert 0 <= a < b <= len(text)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(TOKEN, max_size=30), min_size=1, max_size=12))
+def test_navigation_helpers_match_brute_force(spark, pages):
+    from placeweave.operators import elements as X
+
+    htmls = ["".join(p) for p in pages]
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    els = F.col("elements")
+    out = X.page_elements(df).select("page_id", F.transform(els, lambda e: F.struct(
+        F.size(X.subtree(els, e)).alias("n_sub"),
+        X.first_descendant_where(els, e, lambda d: d["tag"] == "span")["idx"].alias("first_span"),
+        X.closest_where(els, e, lambda a: a["tag"] == "div")["idx"].alias("closest_div"),
+        X.parent_of(els, e)["idx"].alias("parent"))).alias("nav")).orderBy("page_id").collect()
+    for r, h in zip(out, htmls):
+        _, rows, _ = X.flatten_html_nodes(h)
+        for row, nav in zip(rows, r.nav):
+            idx, parent, last = row[0], row[1], row[3]
+            spans = [j for j in range(idx + 1, last + 1) if rows[j][4] == "span"]
+            k = idx
+            while k >= 0 and rows[k][4] != "div":
+                k = rows[k][1]
+            assert nav.n_sub == last - idx
+            assert nav.first_span == (spans[0] if spans else None)
+            assert nav.closest_div == (k if k >= 0 else None)
+            assert nav.parent == (parent if parent >= 0 else None)
