@@ -246,8 +246,8 @@ def listings(page_elements: DataFrame) -> DataFrame:
     btype = F.coalesce(F.col("_type"),
                        F.when((F.col("_address") == "") & F.col("_part0").isNotNull() & (F.col("_part0") != ""),
                               F.col("_part0")))
-    return (rows.withColumn("address", F.nullif(address, F.lit("")))
-            .withColumn("businessType", F.nullif(btype, F.lit("")))
-            .withColumn("phone", F.nullif("phone", F.lit("")))
-            .withColumn("pos", F.col("pos").cast("int"))
+    return (rows.withColumns({"address": F.nullif(address, F.lit("")),
+                              "businessType": F.nullif(btype, F.lit("")),
+                              "phone": F.nullif("phone", F.lit("")),
+                              "pos": F.col("pos").cast("int")})
             .drop("_address", "_fb_address", "_type", "_part0"))

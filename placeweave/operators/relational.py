@@ -118,12 +118,14 @@ def merge_details(listing: DataFrame, detail: DataFrame, key: str = "placeId",
     :func:`one_per_key`).  ``enabled`` (a boolean column of ``listing``) limits
     the merge to rows whose request asked for details."""
     present = [f for f in fields if f in detail.columns]
+    dtypes = dict(detail.dtypes)
+    listing_cols = set(listing.columns)
     d = detail.select(F.col(key).alias("_k"), *[F.col(f).alias(f"_d_{f}") for f in present])
     joined = listing.join(d, listing[key] == d["_k"], "left")
-    out = joined
+    merged = {}
     for f in present:
         dv = F.col(f"_d_{f}")
-        dtype = dict(detail.dtypes)[f]
+        dtype = dtypes[f]
         if dtype == "string":
             take = dv.isNotNull() & (dv != "")
             value = DETAIL_RULES[f](dv) if f in DETAIL_RULES else dv
@@ -133,11 +135,11 @@ def merge_details(listing: DataFrame, detail: DataFrame, key: str = "placeId",
         else:
             take = dv.isNotNull()
             value = dv
-        base = F.col(f) if f in listing.columns else F.lit(None).cast(dtype)
+        base = F.col(f) if f in listing_cols else F.lit(None).cast(dtype)
         if enabled is not None:
             take = take & enabled
-        out = out.withColumn(f, F.when(take, value).otherwise(base))
-    return out.drop("_k", *[f"_d_{f}" for f in present])
+        merged[f] = F.when(take, value).otherwise(base)
+    return joined.withColumns(merged).drop("_k", *[f"_d_{f}" for f in present])
 
 
 def anti_match(df: DataFrame, column: str, needles: Sequence[str]) -> DataFrame:
