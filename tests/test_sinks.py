@@ -48,3 +48,14 @@ def test_o8_read_loose_pages(spark, tmp_path):
     rows = {r.url.rsplit("/", 1)[-1]: r for r in pages.collect()}
     assert set(rows) == {"a.html", "b.html"} and "\n" in rows["a.html"].html   # whole file per page
     assert page_links(pages).count() == 2
+
+
+def test_checkpoint_folder_from_session(spark):
+    from placeweave.session import checkpoint_dir, scratch_path
+
+    base = checkpoint_dir(spark)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:                                   # the cluster's setting is used as is
+        assert base == configured.rstrip("/")
+    assert scratch_path(spark, "x").startswith(base + "/placeweave/x-")
+    assert spark.sparkContext.getCheckpointDir() is not None
