@@ -36,7 +36,7 @@ def spread(df: DataFrame, factor: int = 4) -> DataFrame:
     has far more splits than cores, so this is a no-op there and adds no
     shuffle."""
     parallelism = df.sparkSession.sparkContext.defaultParallelism
-    current = df.rdd.getNumPartitions()
+    current = df._jdf.rdd().getNumPartitions()     # JVM side: no Python RDD wrapper
     if current >= 2 * parallelism:
         return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
