@@ -67,10 +67,12 @@ class _Flattener(HTMLParser):
         self.nodes: list[list[int]] = []  # [t0, t1] of each text node (byte offsets)
         self.pos = 0
         self.in_text = False
+        self.open_count: dict[str, int] = {}   # open elements per tag name
 
     def _close_top(self) -> None:
         i = self.stack.pop()
         row = self.rows[i]
+        self.open_count[row[4]] -= 1
         row[3] = len(self.rows) - 1
         row[7] = self.pos
 
@@ -82,6 +84,9 @@ class _Flattener(HTMLParser):
                 return
 
     def _find_open(self, names, boundary) -> int | None:
+        # O(1) in the common case: nothing of that name is open
+        if not any(self.open_count.get(n, 0) for n in names):
+            return None
         for i in reversed(self.stack):
             tag = self.rows[i][4]
             if tag in names:
@@ -111,6 +116,7 @@ class _Flattener(HTMLParser):
         if tag in VOID:
             return
         self.stack.append(idx)
+        self.open_count[tag] = self.open_count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         # HTML ignores the self-closing slash on non-void elements.
@@ -118,6 +124,8 @@ class _Flattener(HTMLParser):
 
     def handle_endtag(self, tag):
         self.in_text = False
+        if not self.open_count.get(tag, 0):
+            return                       # an end tag with no open element is ignored
         for i in reversed(self.stack):
             if self.rows[i][4] == tag:
                 self._close_to(i)
