@@ -210,6 +210,20 @@ def _fields(x: Column) -> Column:
         first_phone_expr(x["cont_text"]).alias("phone"), x["href"].alias("url"))
 
 
+def first_wins(links: Column) -> Column:
+    """W1 inside a page: the first link (page order) of each place id, in
+    O(n log n) — sort (id, pos) pairs, keep the first of each id, sort the
+    kept positions back and fetch those links by index (``pos`` is the
+    link's index in ``links``)."""
+    pairs = F.array_sort(F.transform(links, lambda x: F.struct(x["placeId"].alias("id"), x["pos"].alias("pos"))))
+
+    def keep(ps: Column) -> Column:
+        firsts = F.filter(ps, lambda p, i: (i == 0) | (F.try_element_at(ps, i)["id"] != p["id"]))
+        positions = F.array_sort(F.transform(firsts, lambda p: p["pos"]))
+        return F.transform(positions, lambda j: F.element_at(links, j + 1))
+    return let(pairs, keep)
+
+
 @functools.lru_cache(maxsize=1)
 def _stage_exprs() -> tuple[Column, ...]:
     """The per-page stage expressions.  They only name columns, so they are
@@ -220,9 +234,7 @@ def _stage_exprs() -> tuple[Column, ...]:
         F.transform(links, lambda l, i: F.struct(
             i.alias("pos"), l.alias("el"), resolve_url(X.attr(l, "href"), F.col("url")).alias("href"))),
         F.transform("_l", _with_pid),
-        F.transform("_l", lambda x: x["placeId"]),
-        # First link per place id inside the page (position in the id list).
-        F.filter("_l", lambda x, i: F.array_position(F.col("_ids"), x["placeId"]) == i + 1),
+        first_wins(F.col("_l")),
         F.filter(F.transform("_l", _container), lambda x: x["cont"].isNotNull()),
         F.transform("_l", _card),
         F.transform("_l", _fields),
@@ -236,9 +248,8 @@ def listings(page_elements: DataFrame) -> DataFrame:
     The first link of each place id wins inside a page *before* links without
     a container or name are dropped, as in the reference."""
     extra = [c for c in page_elements.columns if c not in ("doc_bytes", "elements", "text_nodes")]
-    links, with_pid, ids, first_wins, with_container, card, fields = _stage_exprs()
-    staged = (page_elements.withColumn("_l", links).withColumn("_l", with_pid)
-              .withColumn("_ids", ids).withColumn("_l", first_wins)
+    links, with_pid, w1, with_container, card, fields = _stage_exprs()
+    staged = (page_elements.withColumn("_l", links).withColumn("_l", with_pid).withColumn("_l", w1)
               .withColumn("_l", with_container).withColumn("_l", card).withColumn("_l", fields))
     rows = explode_rows(staged, extra, F.col("_l"), "r").select(*[c for c in extra if c != "url"], "r.*")
     rows = rows.filter(F.col("name") != "")

@@ -129,3 +129,20 @@ def test_navigation_helpers_match_brute_force(spark, pages):
             assert nav.first_span == (spans[0] if spans else None)
             assert nav.closest_div == (k if k >= 0 else None)
             assert nav.parent == (parent if parent >= 0 else None)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "d", "e"]), max_size=25), min_size=1, max_size=10))
+def test_w1_first_wins_matches_model(spark, pages):
+    from placeweave.operators.listing import first_wins
+
+    rows = [(i, [(ident, pos) for pos, ident in enumerate(ids)]) for i, ids in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id int, l array<struct<placeId:string,pos:int>>")
+    got = {r.page_id: [(x.placeId, x.pos) for x in r.k] for r in df.select("page_id", first_wins(F.col("l")).alias("k")).collect()}
+    for i, ids in enumerate(pages):
+        seen, want = set(), []
+        for pos, ident in enumerate(ids):
+            if ident not in seen:
+                seen.add(ident)
+                want.append((ident, pos))
+        assert got[i] == want
