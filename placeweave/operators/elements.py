@@ -69,6 +69,10 @@ class _Flattener(HTMLParser):
         self.in_text = False
         self.open_count: dict[str, int] = {}   # open elements per tag name
 
+    def updatepos(self, i: int, j: int) -> int:
+        # html.parser keeps line/column numbers only for getpos(); not used here
+        return j
+
     def _close_top(self) -> None:
         i = self.stack.pop()
         row = self.rows[i]
