@@ -41,6 +41,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES_P = frozenset(("address article aside blockquote details div dl fieldset figcaption figure footer form "
                       "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt").split())
 P_SCOPE_BOUNDARY = frozenset("applet button caption html marquee object table td template th".split())
+_P_ONLY = frozenset({"p"})
 # Start tag → open tags it implicitly closes, up to a boundary.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol"}),
@@ -106,8 +107,8 @@ class _Flattener(HTMLParser):
             hit = self._find_open(names, boundary)
             if hit is not None:
                 self._close_to(hit)
-        if tag in CLOSES_P:
-            hit = self._find_open({"p"}, P_SCOPE_BOUNDARY)
+        if tag in CLOSES_P and self.open_count.get("p", 0):
+            hit = self._find_open(_P_ONLY, P_SCOPE_BOUNDARY)
             if hit is not None:
                 self._close_to(hit)
         amap: dict[str, str] = {}
