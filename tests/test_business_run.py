@@ -111,3 +111,12 @@ def test_cli_run(spark, tmp_path):
     assert sorted((r.query, r.placeId) for r in out.collect()) == [
         ("bar", "ChIJppp"), ("bar", "hex_0x3442abb6:0x1f2"), ("pizza", "ChIJzza")]
     assert spark.read.json(str(tmp_path / "out" / "stats")).first().total_searches == 2
+
+
+def test_input_without_searches_fails(spark):
+    from placeweave import cli
+
+    with pytest.raises(ValueError, match="searchQueries or startUrls"):
+        cli.requests_from_input(spark, {"searchQueries": ["  ", None], "startUrls": []})
+    with pytest.raises(ValueError, match="No input"):
+        cli.requests_from_input(spark, {})
