@@ -146,3 +146,45 @@ def test_w1_first_wins_matches_model(spark, pages):
                 seen.add(ident)
                 want.append((ident, pos))
         assert got[i] == want
+
+
+def _js_len(s):
+    return len(s.encode("utf-16-le")) // 2
+
+
+def c5_model(s):
+    """validateAddress with JavaScript semantics (ASCII \\d and \\b, JS whitespace)."""
+    if not s:
+        return ""
+    c = clean_model(s)
+    if _js_len(c) < 5:
+        return ""
+    tail = re.search("(營業中|已打烊|opens|closes|⋅)", c, re.I)
+    if tail:
+        c = c[:tail.start()]
+    c = js_trim_model(c)
+    if "Japan" in c or "日本" in c:
+        c = re.sub(r"〒([0-9]{3})-?([0-9]{4})", r"〒\1-\2", c, count=1)
+    if "Korea" in c or "대한민국" in c:
+        m = re.search(r"(?<![0-9A-Za-z_])([0-9]{5})(?![0-9A-Za-z_])", c)
+        if m:
+            postal = m.group(1)
+            idx = _js_len(c[:c.index(postal)])
+            if idx > _js_len(c) * 0.8 and not c.startswith(postal):
+                c = c.replace(postal, "", 1)
+                c = re.sub(f",[{re.escape(JS_WS)}]*,", ",", c, count=1)
+                c = postal + " " + js_trim_model(c)
+    return c
+
+
+ADDR_TOKENS = st.sampled_from(["12345", "04524", "123", "4567", "1000001", "〒", "-", ",", ", ,", " ", "　",
+                               "Korea", "Japan", "日本", "대한민국", "Opens 9", "⋅", "Seoul", "\U0001F600", "台",
+                               "​", "a"])
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(ADDR_TOKENS, max_size=14).map("".join), min_size=1, max_size=40))
+def test_c5_matches_js_model(spark, values):
+    rows = _eval(spark, values, T.standard_address(F.col("v")))
+    for s, (got,) in zip(values, rows):
+        assert got == c5_model(s), s
