@@ -188,3 +188,38 @@ def test_c5_matches_js_model(spark, values):
     rows = _eval(spark, values, T.standard_address(F.col("v")))
     for s, (got,) in zip(values, rows):
         assert got == c5_model(s), s
+
+
+def c4_model(s):
+    """cleanBusinessHours with JavaScript semantics."""
+    if not s:
+        return ""
+    ws = f"[{re.escape(JS_WS)}]"
+    c = clean_model(s)
+    c = re.sub("copy open hours", "", c, flags=re.I)
+    c = c.replace("複製營業時間", "")
+    c = re.sub(r"(?<![A-Za-z0-9_])see more hours(?![A-Za-z0-9_])", "", c, flags=re.I)
+    c = re.sub(f"·{ws}*see more", "", c, flags=re.I)
+    c = re.sub(f",{ws}*複製營業時間", "", c)
+    c = re.sub(f",{ws}*copy hours", "", c, flags=re.I)
+    c = js_trim_model(c)
+    if "24 小時營業" in c or "24小時營業" in c:
+        c = re.sub(f"^(星期[一二三四五六日])[、，]{ws}*", r"\1: ", c, count=1)
+        c = re.sub(f"^(週[一二三四五六日])[、，]{ws}*", r"\1: ", c, count=1)
+    c = re.sub(f",{ws}*\\Z", "", c)
+    if _js_len(c) < 5 or re.fullmatch("[\u0080-\U0010FFFF]+", c):
+        return ""
+    return c
+
+
+HOURS_TOKENS = st.sampled_from(["星期一", "週三", "、", "，", "24 小時營業", "24小時營業", "Copy open hours",
+                                "複製營業時間", "See more hours", "See more hoursX", "· See more", ", Copy hours", ",",
+                                " ", "09:00", "–", "Mon", "　", "\U0001F600", "\x00", "休息"])
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(HOURS_TOKENS, max_size=10).map("".join), min_size=1, max_size=40))
+def test_c4_matches_js_model(spark, values):
+    rows = _eval(spark, values, T.standard_hours(F.col("v")))
+    for s, (got,) in zip(values, rows):
+        assert got == c4_model(s), s
