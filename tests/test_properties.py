@@ -223,3 +223,32 @@ def test_c4_matches_js_model(spark, values):
     rows = _eval(spark, values, T.standard_hours(F.col("v")))
     for s, (got,) in zip(values, rows):
         assert got == c4_model(s), s
+
+
+def c7_model(s):
+    """cleanPhoneNumber with JavaScript semantics."""
+    if not s:
+        return ""
+    if re.fullmatch(r"[0-9]{2,3}-[0-9]{2,3}", s):
+        return ""
+    ws = re.escape(JS_WS)
+    c = js_trim_model(re.sub(f"[^0-9+{ws}\\-()]", "", s))
+    if not re.search("[0-9]", c):
+        return ""
+    sep = f"[{ws}\\-]"
+    for shape in (f"0[0-9]{{1,2}}{sep}?[0-9]{{3,4}}{sep}?[0-9]{{3,4}}", f"09[0-9]{{2}}{sep}?[0-9]{{3}}{sep}?[0-9]{{3}}"):
+        if re.fullmatch(shape, c):
+            c = re.sub(f"{sep}+", " ", re.sub("^0", "+886 ", c, count=1))
+    return c
+
+
+PHONE_TOKENS = st.sampled_from(["0", "09", "9", "12", "345", "678", "2345", "6789", "-", " ", "(", ")", "+886", "a",
+                                "　", "\n", "200-400", "Tel:"])
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(PHONE_TOKENS, max_size=8).map("".join), min_size=1, max_size=40))
+def test_c7_matches_js_model(spark, values):
+    rows = _eval(spark, values, T.standard_phone(F.col("v")))
+    for s, (got,) in zip(values, rows):
+        assert got == c7_model(s), s
