@@ -252,3 +252,47 @@ def test_c7_matches_js_model(spark, values):
     rows = _eval(spark, values, T.standard_phone(F.col("v")))
     for s, (got,) in zip(values, rows):
         assert got == c7_model(s), s
+
+
+def pid_model(href, page_id, pos, data_pid):
+    """L1/L3 (no first div, so no generated id) and L4 with JavaScript semantics."""
+    pid = None
+    m = re.search(r"/place/[^/]+/([^/?]+)", href)
+    if m and m.group(1).startswith("ChI"):
+        pid = m.group(1)
+    for pattern in (r"[!&]1s(ChI[^!&?]+)", r"!19s(ChI[^!&?]+)"):
+        if not pid:
+            m = re.search(pattern, href)
+            pid = m.group(1) if m else None
+    if not pid and data_pid and data_pid.startswith("ChI"):
+        pid = data_pid
+    if not pid:
+        m = re.search(r"[!&]1s(0x[0-9a-f]+:0x[0-9a-f]+)", href)
+        pid = f"hex_{m.group(1)}" if m else f"fallback_{page_id}_{pos}"
+    pid = pid.split("?")[0]
+    m = re.search(r"!3d([^!]+)!4d([^!]+)", href)
+
+    def num(t):
+        n = re.match(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", t)
+        return float(n.group(0)) if n else None
+    return pid, (num(m.group(1)) if m else None), (num(m.group(2)) if m else None)
+
+
+HREF_TOKENS = st.sampled_from(["https://m.test/maps", "/place/", "Cafe", "/", "ChIJab", "ChIJcd", "!1s", "&1s", "!19s",
+                               "0x1a:0x2b", "?", "hl=en", "!3d", "25.03", "-1", "x", "!4d", "121.5", "data=", "!8m2"])
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.lists(HREF_TOKENS, max_size=12).map("".join),
+                          st.sampled_from([None, "", "ChIJattr", "xyz"])), min_size=1, max_size=40))
+def test_place_id_chain_matches_js_model(spark, links):
+    from placeweave.operators.placeids import coordinate_of, place_id_of
+
+    df = spark.createDataFrame([(i, 7, i, h, d) for i, (h, d) in enumerate(links)],
+                               "i int, page_id long, pos int, href string, data_pid string")
+    none = F.lit(None).cast("string")
+    got = df.orderBy("i").select(
+        place_id_of(F.col("href"), F.col("data_pid"), none, none, none, none, none, F.col("page_id"), F.col("pos")),
+        coordinate_of(F.col("href"), 1), coordinate_of(F.col("href"), 2)).collect()
+    for i, ((h, d), r) in enumerate(zip(links, got)):
+        assert tuple(r) == pid_model(h, 7, i, d), h
