@@ -296,3 +296,34 @@ def test_place_id_chain_matches_js_model(spark, links):
         coordinate_of(F.col("href"), 1), coordinate_of(F.col("href"), 2)).collect()
     for i, ((h, d), r) in enumerate(zip(links, got)):
         assert tuple(r) == pid_model(h, 7, i, d), h
+
+
+def l11_model(text):
+    """The five phone patterns in priority order (JavaScript \\s, ASCII \\d)."""
+    sep = f"[{re.escape(JS_WS)}-]"
+    patterns = (f"(\\+886{sep}?[0-9]{{1,2}}{sep}?[0-9]{{3,4}}{sep}?[0-9]{{3,4}})",
+                f"(\\([0-9]{{2}}\\){sep}?[0-9]{{3,4}}{sep}?[0-9]{{3,4}})",
+                f"([0-9]{{2}}{sep}[0-9]{{4}}{sep}[0-9]{{4}})",
+                f"(\\+[0-9]{{1,3}}{sep}?\\(?[0-9]{{1,4}}\\)?{sep}?[0-9]{{3,4}}{sep}?[0-9]{{3,4}})",
+                f"([0-9]{{4}}{sep}[0-9]{{3}}{sep}[0-9]{{3}})")
+    for p in patterns:
+        m = re.search(p, text)
+        if m:
+            cand = js_trim_model(m.group(1))
+            if not re.fullmatch(r"[0-9]{2,3}-[0-9]{2,3}", cand):
+                return cand
+    return None
+
+
+TEXT_TOKENS = st.sampled_from(["+886", "+1", "(02)", "02", "2345", "6789", "0912", "345", "678", "312", "555",
+                               "1234", " ", "-", "　", "x", "(", ")"])
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(TEXT_TOKENS, max_size=12).map("".join), min_size=1, max_size=40))
+def test_l11_matches_js_model(spark, values):
+    from placeweave.operators.phones import first_phone_expr
+
+    rows = _eval(spark, values, first_phone_expr(F.col("v")))
+    for s, (got,) in zip(values, rows):
+        assert got == l11_model(s), s
