@@ -12,6 +12,10 @@ Main entry points::
     from placeweave.plans import metrics, quality, analyses
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from placeweave.operators.details import detail_fields
 from placeweave.operators.elements import page_elements
 from placeweave.operators.listing import listings
@@ -20,3 +24,7 @@ from placeweave.session import checkpoint_dir, get_spark
 
 __all__ = ["get_spark", "checkpoint_dir", "run", "page_elements", "listings", "detail_fields"]
 __version__ = "0.1.0"
+
+# Functions that run inside tasks travel with their code, so workers need no
+# copy of the package on their own path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,7 +8,6 @@ session and invents a local folder only for ``local[*]`` test sessions.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -32,12 +31,12 @@ _DEFAULTS = {
 
 def get_spark(app: str = "placeweave", master: str | None = None,
               shuffle_partitions: int | None = None) -> SparkSession:
-    """Return the active session or build one (local[*] when no master is set)."""
+    """Return the active session or build one.  A master is set only when the
+    caller passes one: ``spark-submit --master`` and the platform's own
+    setting always win, and plain Python falls back to Spark's ``local[*]``."""
     builder = SparkSession.builder.appName(app)
     if master is not None:
         builder = builder.master(master)
-    elif not os.environ.get("SPARK_MASTER") and not SparkSession.getActiveSession():
-        builder = builder.master("local[*]")
     spark = builder.getOrCreate()
     for key, value in _DEFAULTS.items():
         if spark.conf.get(key, None) in (None, ""):
@@ -50,7 +49,9 @@ def get_spark(app: str = "placeweave", master: str | None = None,
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One process: ``local``, ``local[n]``, ``local[*]`` — not ``local-cluster``."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
