@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from placeweave.session import scratch_path
 
@@ -49,6 +50,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def with_fields(df: DataFrame, kinds: dict[str, str]) -> StructType:
+    """The schema of ``df`` with further columns (``df.schema`` is shared, so
+    it is copied)."""
+    schema = StructType(list(df.schema.fields))
+    for name, kind in kinds.items():
+        schema = schema.add(name, kind)
+    return schema
+
+
 def md5_long(column) -> F.Column:
     """60 bits of a string's MD5 as a LONG (the same in any SQL engine)."""
     return F.conv(F.substring(F.md5(column), 1, 15), 16, 10).cast("long")

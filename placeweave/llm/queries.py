@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import mixing, sharding, urlfilter
+from placeweave.llm import decontam, langid, mixing, sharding, simhash, toxicity, urlfilter
 from placeweave.llm.common import documents, md5_long, table
 from placeweave.llm.queries_sql import SHARDING_SQL, URL_FILTER_SQL
 
@@ -24,6 +24,40 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+def _held_out(parts: int, part: int):
+    """Rows whose ids no model may learn from."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts == part
+
+
+# -- Language ----------------------------------------------------------------
+
+@register("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    samples = langid.fit(docs.where(~_held_out(4, 2)))
+    out = langid.predict(docs.select("doc_id", "text"), samples)
+    return out.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+# -- Benchmark leaks ---------------------------------------------------------
+
+@register("op2_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "distance", "end")
+
+
+# -- Toxicity ----------------------------------------------------------------
+
+@register("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~_held_out(3, 1))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", _held_out(3, 1).alias("held_out"), "score",
+                      (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 # -- URL filters -------------------------------------------------------------
 
 #: Captures are spread by a hash of their id over the days of the list.
@@ -70,3 +104,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+# -- Near duplicates ---------------------------------------------------------
+
+@register("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(documents(spark, sf_dir))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
