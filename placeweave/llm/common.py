@@ -81,8 +81,8 @@ def estimate_bytes(docs: DataFrame, text: str = "text") -> int:
 
 def bucket_count(spark: SparkSession, items: int, per_bucket: int) -> int:
     """So many hash buckets that one holds about ``per_bucket`` items, at
-    least one per shuffle partition."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items // per_bucket))
+    least a few per shuffle partition (they are dealt out by hash)."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items // per_bucket))
 
 
 def runs(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import decontam, langid, mixing, sharding, simhash, toxicity, urlfilter
+from placeweave.llm import decontam, langid, mixing, sharding, simhash, substring, toxicity, urlfilter
 from placeweave.llm.common import documents, md5_long, table
-from placeweave.llm.queries_sql import SHARDING_SQL, URL_FILTER_SQL
+from placeweave.llm.queries_sql import SHARDING_SQL, SUBSTRING_SQL, URL_FILTER_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -112,3 +112,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# -- Repeated passages, by words ---------------------------------------------
+
+@register("op9_substring", SUBSTRING_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -59,3 +59,27 @@ WITH RECURSIVE names AS (
 )
 SELECT doc_id, slot, shard, shard_name FROM placed JOIN slots USING (slot) JOIN names USING (shard)
 """
+
+# Every window of 50 words by its text, without anchors.
+SUBSTRING_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), starts AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS content
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 49)) AS i FROM d)
+), least AS (
+  SELECT content, min(doc_id) AS first_doc FROM starts GROUP BY content
+), lost AS (
+  SELECT doc_id, i FROM starts JOIN least USING (content) WHERE first_doc < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(generate_series(i, i + 49)) AS j FROM lost)
+), every AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM d
+), rest AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.j) FILTER (WHERE g.j IS NULL) AS kept, count(g.j) AS n_removed
+  FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.j = e.j GROUP BY e.doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN rest USING (doc_id)
+"""

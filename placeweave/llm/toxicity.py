@@ -1,7 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed n-grams.
 
-Features of a text: its words, pairs of neighbouring words and pairs that skip
-one word, each present or not, hashed into ``DIM`` coordinates.  FTRL-proximal
+Features of a text: its words (whole, and their first ``STEM`` bytes), pairs of
+neighbouring words and pairs that skip one word, each present or not, hashed
+into ``DIM`` coordinates.  FTRL-proximal
 keeps two numbers per coordinate; its rates fall per coordinate and its L1
 term leaves most weights at exactly zero, so what is broadcast for scoring is
 a short list of (coordinate, weight), at most ``DIM`` long.
@@ -26,8 +27,9 @@ DIM_BITS = 20
 DIM = 1 << DIM_BITS
 #: Bound of the labelled sample that the model is fitted on.
 MAX_TRAINING_ROWS = 12_000
-EPOCHS = 2
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+EPOCHS = 3
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
+STEM = 4
 #: Documents with at least this score count as toxic.
 THRESHOLD = 0.7
 # ASCII punctuation separates words here: "fool," and "fool" are one feature.
@@ -38,8 +40,10 @@ _NEXT, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct coordinates of a text (none for a null or empty one)."""
     words = text_bytes(text).lower().translate(_LETTERS).split()
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    every = np.concatenate([h, mix64(h[:-1] * _NEXT + h[1:]), mix64(h[:-2] * _SKIP + h[2:])])
+    digest = xxhash.xxh3_64_intdigest
+    h = np.fromiter(map(digest, words), np.uint64, len(words))
+    stems = np.fromiter((digest(w[:STEM]) for w in words), np.uint64, len(words))
+    every = np.concatenate([h, mix64(stems + _NEXT), mix64(h[:-1] * _NEXT + h[1:]), mix64(h[:-2] * _SKIP + h[2:])])
     return np.unique((every >> np.uint64(64 - DIM_BITS)).astype(np.int32))
 
 
