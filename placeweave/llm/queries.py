@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import decontam, langid, mixing, sharding, simhash, substring, toxicity, urlfilter
+from placeweave.llm import decontam, langid, mixing, quality, sharding, simhash, substring, toxicity, urlfilter
 from placeweave.llm.common import documents, md5_long, table
 from placeweave.llm.queries_sql import SHARDING_SQL, SUBSTRING_SQL, URL_FILTER_SQL
 
@@ -120,3 +120,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+# -- Quality -----------------------------------------------------------------
+
+@register("op10_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
