@@ -64,6 +64,12 @@ def md5_long(column) -> F.Column:
     return F.conv(F.substring(F.md5(column), 1, 15), 16, 10).cast("long")
 
 
+def held_out(parts: int, part: int, doc_id: str = "doc_id") -> F.Column:
+    """Rows whose ids no model may learn from: the CRC-32 of the id as text
+    leaves the remainder ``part`` (a null id counts as the empty text)."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts == part
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> F.Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 

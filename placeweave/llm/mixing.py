@@ -83,10 +83,13 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP
         more = min(int(have[i] - take[i]), (left - dp_words + int(size[i]) - 1) // int(size[i]), left // int(size[i]))
         take[i] += more
         left -= more * int(size[i])
-    # bounded knapsack: for each sum the length that first reached it
+    # bounded knapsack: for each sum the length that first reached it (a larger
+    # remainder than dp_words is left only if no further length fits)
+    usable = np.flatnonzero((size > 0) & (size <= left) & (have > take))
+    left = left if len(usable) else 0
     by = np.full(left + 1, -1, np.int64)
     by[0] = -2
-    for i in np.flatnonzero((size > 0) & (size <= left) & (have > take)):
+    for i in usable:
         if by[left] != -1:
             break
         s, spare = int(size[i]), int(have[i] - take[i])
@@ -168,10 +171,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     often as the mix takes it (rows that it never takes are gone)."""
     doc_id, text, source = (options.get(k, k) for k in ("doc_id", "text", "source"))
     m = mix(docs, **options)
-    # equal rows may differ in their copies; their sum is what counts
+    # equal rows are told apart by number only: they share out their copies
     take = (m.groupBy("doc_id", "source", "text_key")
-            .agg((F.sum("copies") / F.count(F.lit(1))).alias("share"), F.sum("copies").alias("all_copies"),
-                 F.count(F.lit(1)).alias("same")))
+            .agg(F.sum("copies").alias("all_copies"), F.count(F.lit(1)).alias("same")))
     i, s, k, n, r = fresh(docs, "m_id", "m_source", "m_key", "m_copies", "m_row")
     take = take.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("text_key").alias(k),
                        F.col("all_copies").alias(n), F.col("same").alias(r))

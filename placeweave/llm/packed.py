@@ -72,8 +72,8 @@ def number_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                     "text"))
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, int, bytes]]]:
-    """Rows ``(doc_id, twin, text bytes)`` in lists of about ``CHUNK_BYTES``."""
+def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[list[tuple[int | None, int, bytes]]]:
+    """Rows ``(doc_id, twin, text bytes)`` in lists of about ``limit`` bytes."""
     out: list[tuple[int | None, int, bytes]] = []
     size = 0
     for batch in batches:
@@ -81,7 +81,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None,
             data = text_bytes(text.as_py())
             out.append((i.as_py(), twin.as_py(), data))
             size += len(data)
-            if size >= CHUNK_BYTES:
+            if size >= limit:
                 yield out
                 out, size = [], 0
     if out:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import decontam, langid, mixing, quality, sharding, simhash, substring, toxicity, urlfilter
-from placeweave.llm.common import documents, md5_long, table
-from placeweave.llm.queries_sql import SHARDING_SQL, SUBSTRING_SQL, URL_FILTER_SQL
+import corpus_pipeline
+from placeweave.llm import decontam, langid, mixing, quality, sharding, simhash, substring, suffixdedup, toxicity, urlfilter
+from placeweave.llm.common import documents, held_out, md5_long, table
+from placeweave.llm.queries_sql import SHARDING_SQL, SUBSTRING_SQL, SUFFIX_SQL, URL_FILTER_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,19 +25,14 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
-def _held_out(parts: int, part: int):
-    """Rows whose ids no model may learn from."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts == part
-
-
 # -- Language ----------------------------------------------------------------
 
 @register("op1_language_id")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    samples = langid.fit(docs.where(~_held_out(4, 2)))
+    samples = langid.fit(docs.where(~held_out(4, 2)))
     out = langid.predict(docs.select("doc_id", "text"), samples)
-    return out.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 # -- Benchmark leaks ---------------------------------------------------------
@@ -52,9 +48,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~_held_out(3, 1))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out(3, 1))
     out = toxicity.score(docs, model)
-    return out.select("doc_id", _held_out(3, 1).alias("held_out"), "score",
+    return out.select("doc_id", held_out(3, 1).alias("held_out"), "score",
                       (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -128,3 +124,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
+# -- Repeated passages, by bytes ---------------------------------------------
+
+@register("op5_suffix_array", SUFFIX_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixdedup.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# -- The pipeline ------------------------------------------------------------
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

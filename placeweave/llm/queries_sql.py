@@ -83,3 +83,35 @@ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) A
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN rest USING (doc_id)
 """
+
+# Every string of 50 bytes by its hexadecimal form, without a suffix array.
+SUFFIX_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS bytes FROM documents
+), starts AS (
+  SELECT doc_id, i, md5(substr(bytes, 2 * i + 1, 100)) AS content
+  FROM (SELECT doc_id, bytes, unnest(generate_series(0, length(bytes) // 2 - 50)) AS i FROM d)
+), least AS (
+  SELECT content, min(doc_id) AS first_doc FROM starts GROUP BY content
+), lost AS (
+  SELECT doc_id, i FROM starts JOIN least USING (content) WHERE first_doc < doc_id
+), flagged AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, TRUE) AS opens FROM lost
+), numbered AS (
+  SELECT doc_id, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM flagged
+), spans AS (
+  SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, span
+), bounds AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_byte, span,
+         max(b) OVER (PARTITION BY doc_id) AS last_byte FROM spans
+), pieces AS (
+  SELECT doc_id, string_agg(substr(bytes, 2 * from_byte + 1, 2 * (a - from_byte)), '' ORDER BY a) AS head, max(last_byte) AS tail
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(length(bytes) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN tail IS NULL THEN bytes ELSE head || substr(bytes, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN bounds USING (doc_id) LEFT JOIN pieces USING (doc_id)
+"""

@@ -111,24 +111,43 @@ def fit(docs: DataFrame, labels: DataFrame, learnable=None, max_rows: int = MAX_
     return model["at"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], doc_id: str = "doc_id", text: str = "text",
-          score_col: str = "score") -> DataFrame:
+def probabilities(batch: pa.RecordBatch, at: int, dense: np.ndarray) -> np.ndarray:
+    sums = np.array([dense[features(t)].sum() + dense[DIM] for t in batch.column(at).to_pylist()])
+    return 1.0 / (1.0 + np.exp(-np.clip(sums, -35, 35)))
+
+
+def dense_weights(model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    dense = np.zeros(DIM + 1)
+    dense[model[0]] = model[1]
+    return dense
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", score_col: str = "score") -> DataFrame:
     """All columns of ``docs`` plus ``score`` from 0 to 1 (a column of that
     name in the input is replaced).  A null or empty text has the score of
     the bias.  No shuffle."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     (own,) = fresh(docs, "score")
     base = docs.drop(*[c for c in docs.columns if c.lower() == score_col.lower()])
-    schema = with_fields(base, {own: "double"})
     at = base.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros(DIM + 1)
-        dense[sent.value[0]] = sent.value[1]
+        dense = dense_weights(sent.value)
         for batch in batches:
-            sums = np.array([dense[features(t)].sum() + dense[DIM] for t in batch.column(at).to_pylist()])
-            p = 1.0 / (1.0 + np.exp(-np.clip(sums, -35, 35)))
+            p = probabilities(batch, at, dense)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, own])
 
-    return base.mapInArrow(run, schema).withColumnRenamed(own, score_col)
+    return base.mapInArrow(run, with_fields(base, {own: "double"})).withColumnRenamed(own, score_col)
+
+
+def clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = dense_weights(sent.value)
+        for batch in batches:
+            yield batch.filter(pa.array(probabilities(batch, at, dense) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
