@@ -50,13 +50,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def with_fields(df: DataFrame, kinds: dict[str, str]) -> StructType:
-    """The schema of ``df`` with further columns (``df.schema`` is shared, so
-    it is copied)."""
-    schema = StructType(list(df.schema.fields))
-    for name, kind in kinds.items():
-        schema = schema.add(name, kind)
-    return schema
+def map_rows(df: DataFrame, run, **kinds: str) -> DataFrame:
+    """``df.mapInArrow(run)`` where ``run`` gives the columns of its batches,
+    all or some rows, plus columns ``n0``, ``n1``, … of the given kinds, which
+    get their names here.  Columns may have any names (dots, say)."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = StructType(list(plain.schema.fields))
+    for i, kind in enumerate(kinds.values()):
+        schema = schema.add(f"n{i}", kind)
+    return plain.mapInArrow(run, schema).toDF(*df.columns, *kinds)
 
 
 def md5_long(column) -> F.Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.llm.common import row_key
+from placeweave.llm.common import map_rows, row_key
 
 ERROR_RATE = 0.05
 BLOCK_CHARS = 4_000_000
@@ -183,5 +183,5 @@ def clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, tex
             for batch in batches:
                 keep = [not matcher.find(t) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
-        out = out.mapInArrow(run, docs.schema)
+        out = map_rows(out, run)
     return out

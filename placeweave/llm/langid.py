@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeweave.llm.common import fresh, text_bytes, with_fields
+from placeweave.llm.common import map_rows, text_bytes
 
 #: Bounds of the labelled sample per language.
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 400
@@ -91,8 +91,6 @@ def predict(docs: DataFrame, samples: dict[str, list[str]], text: str = "text")
     no other column is looked at.  No shuffle."""
     own = {"lang_pred": "string", "score": "double", "rejected": "boolean"}
     base = docs.drop(*[c for c in docs.columns if c.lower() in own])
-    names = fresh(base, *own)
-    schema = with_fields(base, dict(zip(names, own.values())))
     at = base.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +98,6 @@ def predict(docs: DataFrame, samples: dict[str, list[str]], text: str = "text")
         for batch in batches:
             found = [classify(t, by) for t in batch.column(at).to_pylist()]
             cols = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "n0", "n1", "n2"])
 
-    return base.mapInArrow(run, schema).withColumnsRenamed(dict(zip(names, own)))
+    return map_rows(base, run, **own)

@@ -34,7 +34,7 @@ def pack(*columns: np.ndarray) -> bytes:
     """Columns of equal length as bytes; values of 8, 4, 2 or 1 bytes."""
     n = len(columns[0])
     head = np.array([n, len(columns)], np.int64).tobytes() + "".join(c.dtype.str[1:] for c in columns).encode()
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T.tobytes() for c in columns]
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(n, c.dtype.itemsize).T.tobytes() for c in columns]
     return zstandard.compress(head + b"".join(planes), 1)
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.llm.common import fresh, mix64, text_bytes, with_fields
+from placeweave.llm.common import map_rows, mix64, text_bytes
 
 DIM_BITS = 20
 DIM = 1 << DIM_BITS
@@ -127,7 +127,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
     name in the input is replaced).  A null or empty text has the score of
     the bias.  No shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    (own,) = fresh(docs, "score")
     base = docs.drop(*[c for c in docs.columns if c.lower() == score_col.lower()])
     at = base.columns.index(text)
 
@@ -135,9 +134,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
         dense = dense_weights(sent.value)
         for batch in batches:
             p = probabilities(batch, at, dense)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, own])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "n0"])
 
-    return base.mapInArrow(run, with_fields(base, {own: "double"})).withColumnRenamed(own, score_col)
+    return map_rows(base, run, **{score_col: "double"})
 
 
 def clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -150,4 +149,4 @@ def clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
         for batch in batches:
             yield batch.filter(pa.array(probabilities(batch, at, dense) < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
