@@ -54,16 +54,21 @@ def main(argv=None) -> None:
     ap.add_argument("--cut-lineage", action="store_true", help="checkpoint extracted rows after X1")
     args = ap.parse_args(argv)
 
-    from placeweave.session import get_spark
+    from placeweave.session import get_spark, scratch_path
 
     spark = get_spark(app="placeweave-run")
     with open(args.input, encoding="utf-8") as fh:
         cfg = json.load(fh)
     res = run(requests_from_input(spark, cfg), spark.read.schema(CAPTURED_PAGE_SCHEMA).parquet(args.pages),
               cut_lineage=args.cut_lineage)
-    sinks.write_businesses(res.businesses, f"{args.out}/businesses", fmt=args.format)
+    # extract once: everything else reads the rows as they were written
+    rows = f"{args.out}/businesses" if args.format == "parquet" else scratch_path(spark, "run")
+    sinks.write_businesses(res.businesses, rows, fmt="parquet")
+    written = spark.read.parquet(rows)
+    if args.format != "parquet":
+        sinks.write_businesses(written, f"{args.out}/businesses", fmt=args.format)
     sinks.write_errors(res.errors, f"{args.out}/errors")
-    sinks.write_stats(res.stats, f"{args.out}/stats")
+    sinks.write_stats(res.stats_of(written), f"{args.out}/stats")
 
 
 if __name__ == "__main__":

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 WS_BODY = (r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}"
            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}")
 WS = f"[{WS_BODY}]"
+WS_CHARACTERS = ("\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+                 + "\u2028\u2029\u202f\u205f\u3000\ufeff")
 NOT_WS = f"[^{WS_BODY}]"
 
 # Characters deleted by the Unicode clean (C1) — C0/C1
@@ -72,13 +74,9 @@ def let(value: Column, body) -> Column:
 
 
 def js_trim(col) -> Column:
-    r"""String.prototype.trim.
-
-    Both ends use an anchored leading match (the tail via ``reverse``): an
-    unanchored ``WS+\z`` would be retried at every position of a long
-    whitespace run, which is quadratic in backtracking engines."""
-    lead = rf"^{WS}+"
-    return F.reverse(F.regexp_replace(F.reverse(F.regexp_replace(_c(col), lead, "")), lead, ""))
+    r"""String.prototype.trim: one pass over both ends, no regex (an unanchored
+    ``WS+\z`` would be retried at every position of a long whitespace run)."""
+    return F.btrim(_c(col), F.lit(WS_CHARACTERS))
 
 
 def collapse_ws(col, to: str = " ") -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 ELEMENT_DDL = ("STRUCT<idx: INT, parent: INT, depth: INT, last: INT, tag: STRING, "
                "attrs: MAP<STRING, STRING>, t0: INT, t1: INT>")
 ELEMENTS_SCHEMA = (f"page_id BIGINT, url STRING, doc_bytes BINARY, elements ARRAY<{ELEMENT_DDL}>, "
-                   "text_nodes ARRAY<STRUCT<t0: INT, t1: INT>>")
+                   "text_nodes ARRAY<STRUCT<t0: INT, t1: INT>>, parse_error STRING")
 
 # HTML void elements (never have children).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -151,6 +151,13 @@ class _Flattener(HTMLParser):
     def handle_comment(self, data):
         self.in_text = False
 
+    def parse_marked_section(self, i, report=1):
+        # ``<![`` is a bogus comment in HTML; the base class refuses some forms
+        return self.parse_bogus_comment(i)
+
+    def unknown_decl(self, data):
+        self.in_text = False
+
     def finish(self):
         self.close()
         while self.stack:
@@ -167,14 +174,21 @@ def flatten_html(html: str | None):
 
 def flatten_html_nodes(html: str | None):
     """``(doc_bytes, rows, text_nodes)`` for one page (byte offsets)."""
+    return flatten_page(html)[:3]
+
+
+def flatten_page(html: str | None):
+    """``(doc_bytes, rows, text_nodes, parse_error)`` for one page.  A page that
+    the parser refuses yields no elements and the reason, so a job neither
+    dies on it nor passes a part of it off as the whole."""
     parser = _Flattener()
-    if html:
-        try:
+    try:
+        if html:
             parser.feed(html)
-        except Exception:  # noqa: BLE001 — a broken page yields what was parsed
-            pass
-    text, rows = parser.finish()
-    return text, rows, parser.nodes
+        text, rows = parser.finish()
+    except Exception as exc:  # noqa: BLE001 — reported per page
+        return b"", [], [], f"{type(exc).__name__}: {exc}"
+    return text, rows, parser.nodes, None
 
 
 def _arrow_type():
@@ -185,14 +199,12 @@ def _arrow_type():
                          ("t0", pa.int32()), ("t1", pa.int32())])
     node = pa.struct([("t0", pa.int32()), ("t1", pa.int32())])
     return pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("doc_bytes", pa.binary()),
-                      ("elements", pa.list_(element)), ("text_nodes", pa.list_(node))])
+                      ("elements", pa.list_(element)), ("text_nodes", pa.list_(node)), ("parse_error", pa.string())])
 
 
 # Output batches are cut when this many elements have accumulated, so one
 # batch of very large pages never has to sit in a Python worker at once.
 MAX_ELEMENTS_PER_OUTPUT_BATCH = 250_000
-# Input batches (whole HTML documents) are capped at this many pages.
-MAX_PAGES_PER_ARROW_BATCH = 256
 
 
 def _columnar(pages_rows, pages_nodes):
@@ -238,39 +250,36 @@ def _flatten_batches(batches, carry=()):
         ids = batch.column("page_id").to_pylist()
         urls = batch.column("url").to_pylist()
         htmls = batch.column("html").to_pylist()
-        start, texts, rows_acc, nodes_acc, n_elements = 0, [], [], [], 0
+        start, texts, rows_acc, nodes_acc, errors, n_elements = 0, [], [], [], [], 0
         for i, html in enumerate(htmls):
-            text, rows, text_nodes = flatten_html_nodes(html)
+            text, rows, text_nodes, error = flatten_page(html)
             texts.append(text)
+            errors.append(error)
             rows_acc.append(rows)
             nodes_acc.append(text_nodes)
             n_elements += len(rows)
             if n_elements >= MAX_ELEMENTS_PER_OUTPUT_BATCH or i == len(htmls) - 1:
                 elements, nodes = _columnar(rows_acc, nodes_acc)
                 arrays = [pa.array(ids[start:i + 1], pa.int64()), pa.array(urls[start:i + 1], pa.string()),
-                          pa.array(texts, pa.binary()), elements, nodes]
+                          pa.array(texts, pa.binary()), elements, nodes, pa.array(errors, pa.string())]
                 names = list(schema.names)
                 for c in carry:          # extra page columns pass through untouched
                     arrays.append(batch.column(c).slice(start, i + 1 - start))
                     names.append(c)
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
-                start, texts, rows_acc, nodes_acc, n_elements = i + 1, [], [], [], 0
+                start, texts, rows_acc, nodes_acc, errors, n_elements = i + 1, [], [], [], [], 0
 
 
 def page_elements(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(page_id, url, doc_bytes, elements, text_nodes, *carry)`` per page.
+    """``(page_id, url, doc_bytes, elements, text_nodes, parse_error,
+    *carry)`` per page.
 
     Only ``page_id, url, html`` and the (small, scalar) ``carry`` columns cross
     into Python, so page metadata rides along instead of being joined back
-    (which would shuffle the element arrays).  Arrow batches are capped by
-    ``spark.sql.execution.arrow.maxRecordsPerBatch``."""
+    (which would shuffle the element arrays).  Arrow batches are bounded by the
+    session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` and
+    ``maxBytesPerBatch``; X1 changes neither."""
     carry = tuple(carry)
-    spark = pages.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    # Spark's default (10,000 records) would ship 10,000 whole HTML pages to
-    # one Python worker at once; X1 lowers the session value when it is larger.
-    if int(spark.conf.get(key, "10000")) > MAX_PAGES_PER_ARROW_BATCH:
-        spark.conf.set(key, str(MAX_PAGES_PER_ARROW_BATCH))
     dtypes = dict(pages.dtypes)
     schema = ELEMENTS_SCHEMA + "".join(f", `{c}` {dtypes[c]}" for c in carry)
     return pages.select("page_id", "url", "html", *carry).mapInArrow(

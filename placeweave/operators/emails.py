@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from placeweave.functions.text import EMAIL_IN_TEXT, EMAIL_SHAPE_STRICT
 from placeweave.operators.pages import anchor_hrefs_expr, visible_text_expr
+from placeweave.operators.relational import newest_first
 
 # Substrings that disqualify an e-mail address (E5).
 EMAIL_BLACKLIST = ("example.com", "sentry.io", "wixpress.com", "noreply", "no-reply")
@@ -57,36 +58,42 @@ def filter_emails_expr(emails) -> Column:
     return F.filter(_c(emails), lambda e: ~blacklisted(e) & e.rlike(EMAIL_SHAPE_STRICT))
 
 
-def page_emails(pages: DataFrame, apply_filter: bool = True) -> DataFrame:
+def page_emails(pages: DataFrame, apply_filter: bool = True, keep: list[str] | None = None) -> DataFrame:
     """E2–E6 per captured website page: ``(url, emails, email)``.
 
     ``apply_filter=False`` skips E5 (all driver e-mails sit on a blacklisted
     domain, so reports run unfiltered)."""
     raw = page_emails_expr("html")
     emails = filter_emails_expr(raw) if apply_filter else raw
-    return (pages.select("page_id", "url", emails.alias("emails"))
+    return (pages.select("page_id", "url", *(keep or []), emails.alias("emails"))
             .withColumn("email", F.try_element_at("emails", F.lit(1))))
 
 
+def site_key(url) -> Column:
+    """The same key for every spelling of a site's address: scheme and host
+    lower-cased, default port, fragment and a lone final slash dropped."""
+    c = F.substring_index(_c(url), "#", 1)
+    origin = F.lower(F.regexp_extract(c, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?]*)", 1))
+    path = F.substr(c, F.length(origin) + 1)
+    origin = F.regexp_replace(F.regexp_replace(origin, r"^(http://[^@]*):80\z", "$1"), r"^(https://[^@]*):443\z", "$1")
+    return F.when(path == "/", origin).otherwise(F.concat(origin, path))
+
+
 def enrich_emails(business: DataFrame, website_pages: DataFrame, apply_filter: bool = True) -> DataFrame:
-    """Left-join page e-mails onto businesses by website URL.
+    """Left-join page e-mails onto businesses by website (:func:`site_key`).
 
     Eligible rows (E1) with no captured page get ``email = NULL, emails = []``
     (a failed fetch); rows that were never eligible keep NULL in both."""
-    # One row per site (the lowest page_id wins); a partial aggregate, so
-    # only one small row per site and map task reaches the shuffle.
-    found = (page_emails(website_pages, apply_filter)
-             .groupBy(F.col("url").alias("_site"))
-             .agg(F.min_by("emails", "page_id").alias("_emails")))
+    # One row per site (the newest capture, then the lowest page_id, wins); a
+    # partial aggregate: one small row per site and map task is shuffled.
+    order = newest_first("captured_at", "page_id") if "captured_at" in website_pages.columns else F.col("page_id")
+    found = (page_emails(website_pages, apply_filter, keep=[c for c in ("captured_at",) if c in website_pages.columns])
+             .groupBy(site_key("url").alias("_site"))
+             .agg(F.min_by("emails", order).alias("_emails")))
     eligible = (F.col("website").isNotNull() & (F.col("website") != "")
                 & ~F.col("website").contains("google.com"))
-    joined = business.join(found, business["website"] == found["_site"], "left")
+    joined = business.join(found, site_key(business["website"]) == found["_site"], "left")
     emails = F.when(eligible, F.coalesce(F.col("_emails"), F.array().cast("array<string>")))
     return (joined.withColumn("emails", emails)
             .withColumn("email", F.when(eligible, F.try_element_at(F.col("emails"), F.lit(1))))
             .drop("_site", "_emails"))
-
-
-def email_count(df: DataFrame) -> DataFrame:
-    """Number of e-mails found."""
-    return df.agg(F.coalesce(F.sum(F.size(F.coalesce("emails", F.array()))), F.lit(0)).alias("emails_found"))

@@ -35,19 +35,21 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFra
 
 
 def limit_per_query(df: DataFrame, key: str | Sequence[str], order: Sequence,
-                    limit: int | str = "max_results", cap: int = 200, rank_col: str | None = None) -> DataFrame:
+                    limit: int | str = "max_results", bound: int | None = None, rank_col: str | None = None) -> DataFrame:
     """The first ``limit`` rows per query in ``order``.
 
-    ``limit`` is an int or a column name (per-request ``max_results``, capped
-    at ``cap`` by O1); the literal ``cap`` bound keeps a map-side group limit
-    in the plan either way."""
+    ``limit`` is an int or a column name.  Where a column's values have a known
+    upper bound (O1 caps ``max_results``), the caller names it as ``bound``: a
+    literal lets Catalyst put a group limit on the map side."""
     keys = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*keys).orderBy(*_cols(order))
     rn = rank_col or "_rn"
-    bound = F.lit(limit) if isinstance(limit, int) else F.col(limit)
-    out = (df.withColumn(rn, F.row_number().over(w))
-           .filter(F.col(rn) <= F.lit(cap if not isinstance(limit, int) else limit))
-           .filter(F.col(rn) <= bound))
+    out = df.withColumn(rn, F.row_number().over(w))
+    literal = limit if isinstance(limit, int) else bound
+    if literal is not None:
+        out = out.filter(F.col(rn) <= F.lit(literal))
+    if not isinstance(limit, int):
+        out = out.filter(F.col(rn) <= F.col(limit))
     return out if rank_col else out.drop(rn)
 
 
@@ -89,12 +91,17 @@ def union_results(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def one_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
+def newest_first(ts: str, tiebreak: str) -> Column:
+    """An ascending order: latest ``ts`` first (null last), then ``tiebreak``."""
+    return F.struct(F.coalesce(-F.unix_micros(F.col(ts).cast("timestamp")), F.lit(2 ** 63 - 1)), F.col(tiebreak))
+
+
+def one_per_key(df: DataFrame, key: str, order: str | Column) -> DataFrame:
     """Reduce ``df`` to one row per ``key`` (smallest ``order`` wins) with a
     partial aggregate; all other columns are kept."""
     others = [c for c in df.columns if c != key]
     packed = F.struct(*[F.col(c) for c in others])
-    return (df.groupBy(key).agg(F.min_by(packed, F.col(order)).alias("_r"))
+    return (df.groupBy(key).agg(F.min_by(packed, F.col(order) if isinstance(order, str) else order).alias("_r"))
             .select(key, *[F.col(f"_r.{c}").alias(c) for c in others]))
 
 

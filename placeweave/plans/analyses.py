@@ -2,8 +2,8 @@
 
 All are grouped aggregates, anti joins or bounded per-key windows:
 * R1 uses ``cube`` (one shuffle, partial aggregation per grouping set);
-* R2's ranking keeps a literal top-k, so the window gets a map-side
-  ``WindowGroupLimit`` and a hot category never moves whole;
+* R2 ranks every row; with a ``top_k`` the window gets a map-side
+  ``WindowGroupLimit``;
 * R6 keeps the two newest rows per key the same way, then folds them.
 """
 
@@ -33,16 +33,19 @@ def density(df: DataFrame, dims: Sequence[str], lat: str | None = None, lng: str
                         for d in dims], "n")
 
 
-def rating_rank(df: DataFrame, group: str, score: str, top_k: int = 10, tiebreak: str | None = None,
+def rating_rank(df: DataFrame, group: str, score: str, top_k: int | None = None, tiebreak: str | None = None,
                 approx_quantiles: bool = False) -> DataFrame:
-    """R2: the ``top_k`` best ``score`` per ``group`` with their rank, and the
-    group's count/mean/min/max (a top-k report: the limit is the feature).
+    """R2: every row's rank by ``score`` in its ``group`` (with ``top_k`` only
+    the best ranks), and the group's count, mean (to the cent), min and max.
     ``approx_quantiles`` adds the group's approximate quartiles
     (``percentile_approx``: mergeable sketches, partial aggregation)."""
     order = [F.col(score).desc()] + ([F.col(tiebreak).asc()] if tiebreak else [])
     w = Window.partitionBy(group).orderBy(*order)
-    top = df.withColumn("rank", F.rank().over(w)).filter(F.col("rank") <= top_k)
-    aggs = [F.count(F.lit(1)).alias("group_n"), F.avg(score).alias("group_avg"),
+    top = df.withColumn("rank", F.rank().over(w))
+    if top_k is not None:
+        top = top.filter(F.col("rank") <= top_k)
+    cents = F.sum(F.round(F.col(score) * 100)) * 1.0 / F.count(F.lit(1))      # whole cents: exact in any order
+    aggs = [F.count(F.lit(1)).alias("group_n"), (F.floor(cents + 0.5) / 100).alias("group_avg"),
             F.min(score).alias("group_min"), F.max(score).alias("group_max")]
     if approx_quantiles:
         aggs.append(F.percentile_approx(score, [0.25, 0.5, 0.75], 10000).alias("group_quartiles"))

@@ -32,7 +32,6 @@ from placeweave.operators import relational as R
 from placeweave.operators.details import detail_fields
 from placeweave.operators.elements import page_elements
 from placeweave.operators.listing import listings
-from placeweave.plans import metrics as M
 from placeweave.session import checkpoint_dir
 from placeweave.sources import requests as RQ
 
@@ -55,7 +54,17 @@ BUSINESS_TYPES = {
 class RunResult:
     businesses: DataFrame
     errors: DataFrame
-    stats: DataFrame
+    searches: DataFrame
+    failed: DataFrame
+
+    @property
+    def stats(self) -> DataFrame:
+        return self.stats_of(self.businesses)
+
+    def stats_of(self, businesses: DataFrame) -> DataFrame:
+        """A1 and A2 of the run from its business rows — the lazy ones, or the
+        rows as they were written, so that nothing is extracted again."""
+        return run_stats(self.searches, businesses, self.failed)
 
 
 def _conform(df: DataFrame) -> DataFrame:
@@ -89,8 +98,10 @@ def run(requests: DataFrame, pages: DataFrame, run_ts=None, cut_lineage: bool =
     ts = F.current_timestamp() if run_ts is None else F.lit(run_ts).cast("timestamp")
     req = _requests(requests)
     query_req = req.filter(F.col("query").isNotNull() & (F.col("source_url").isNull() | (F.col("source_url") == "")))
-    url_req = RQ.requests_from_urls(req.filter(F.col("source_url").isNotNull() & (F.col("source_url") != "")),
-                                    "source_url")
+    by_url = req.filter(F.col("source_url").isNotNull() & (F.col("source_url") != ""))
+    # a failed start URL gives an error row and no business row
+    url_req, bad_url = RQ.split_errors(by_url, RQ.url_error_expr("source_url"))
+    url_req = RQ.requests_from_urls(url_req, "source_url")
 
     # One target table: expanded query searches and direct URLs (E-2 rows
     # are never enriched, so their flags are off).
@@ -107,20 +118,28 @@ def run(requests: DataFrame, pages: DataFrame, run_ts=None, cut_lineage: bool =
     if cut_lineage:
         checkpoint_dir(pages.sparkSession)
         extracted = extracted.checkpoint(eager=True)
-    rows = extracted.join(targets, ["request_id", "region_pos"])
-    rows = R.limit_per_query(rows, ["request_id", "region_pos"], ["pos"], limit="max_results")   # per page
-    rows = R.dedupe_first(rows, ["request_id", "placeId"], ["region_pos", "pos"])                 # W2
-    rows = R.limit_per_query(rows, "request_id", ["region_pos", "pos"], limit="max_results")      # W3/W4
+    # A search captured several times counts once, by its newest capture (even
+    # if that one shows nothing).
+    newest = R.one_per_key(
+        pages.filter(F.col("kind") == "listing").select(
+            F.struct("request_id", "region_pos").alias("search"), "page_id", "captured_at"),
+        "search", R.newest_first("captured_at", "page_id")).select(
+            F.col("search.request_id").alias("request_id"), F.col("search.region_pos").alias("region_pos"), "page_id")
+    rows = extracted.join(newest, ["request_id", "region_pos", "page_id"]).join(targets, ["request_id", "region_pos"])
+    cap = RQ.MAX_RESULTS_CAP
+    rows = R.limit_per_query(rows, ["request_id", "region_pos"], ["pos"], limit="max_results", bound=cap)   # per page
+    rows = R.dedupe_first(rows, ["request_id", "placeId"], ["region_pos", "pos"])                            # W2
+    rows = R.limit_per_query(rows, "request_id", ["region_pos", "pos"], limit="max_results", bound=cap)      # W3/W4
 
     # Details by place id, then e-mails by website (left joins, flag-gated).
     detail_pages = pages.filter(F.col("kind") == "detail")
-    details = detail_fields(page_elements(detail_pages, carry=("place_id",)))
+    details = detail_fields(page_elements(detail_pages, carry=("place_id", "captured_at")))
     details = R.one_per_key(details.withColumnRenamed("place_id", "placeId").drop("url", "hours_entries"),
-                            "placeId", "page_id").drop("page_id")
+                            "placeId", R.newest_first("captured_at", "page_id")).drop("page_id", "captured_at")
     if cut_lineage:
         details = details.checkpoint(eager=True)
     enriched = R.merge_details(rows, details, enabled=F.col("scrape_details"))
-    website_pages = pages.filter(F.col("kind") == "website").select("page_id", "url", "html")
+    website_pages = pages.filter(F.col("kind") == "website").select("page_id", "url", "captured_at", "html")
     emailed = E.enrich_emails(enriched, website_pages)
     gate = F.col("scrape_details") & F.col("scrape_emails")
     emailed = (emailed.withColumn("email", F.when(gate, F.col("email")))
@@ -128,22 +147,22 @@ def run(requests: DataFrame, pages: DataFrame, run_ts=None, cut_lineage: bool =
 
     businesses = _conform(emailed.withColumn("query", F.col("label")).withColumn("timestamp", ts))
 
-    # Requests without any captured listing page, and undecodable URLs.
+    # Failed start URLs, requests without any captured listing page, and
+    # pages that X1 could not read.
     captured = pages.filter(F.col("kind") == "listing").select("request_id").distinct()
-    missing = req.join(captured, "request_id", "left_anti")
-    bad_url = url_req.filter(F.col("query").isNull()).select("request_id", "source_url", F.lit(None).cast("string")
-                                                              .alias("query"))
-    errors = (missing.select("request_id", "source_url", "query",
-                             F.lit("No captured page for this search").alias("error"))
-              .unionByName(bad_url.withColumn("error", F.lit("URI malformed")))
-              .withColumn("timestamp", ts))
+    missing = (req.join(captured, "request_id", "left_anti").join(bad_url.select("request_id"), "request_id", "left_anti")
+               .select("request_id", "source_url", "query", F.lit("No captured page for this search").alias("error")))
+    unread = (page_elements(pages, carry=("request_id",)).filter(F.col("parse_error").isNotNull())
+              .select("request_id", F.col("url").alias("source_url"), F.lit(None).cast("string").alias("query"),
+                      F.col("parse_error").alias("error")))
+    errors = (missing.unionByName(bad_url.select("request_id", "source_url", F.lit(None).cast("string").alias("query"), "error"))
+              .unionByName(unread).withColumn("timestamp", ts))
 
-    searches = req.select("request_id")
-    stats = _run_stats(searches, businesses, errors)
-    return RunResult(businesses, errors, stats)
+    failed = missing.select("request_id").unionByName(bad_url.select("request_id"))
+    return RunResult(businesses, errors, req.select("request_id"), failed)
 
 
-def _run_stats(searches: DataFrame, businesses: DataFrame, errors: DataFrame) -> DataFrame:
+def run_stats(searches: DataFrame, businesses: DataFrame, errors: DataFrame) -> DataFrame:
     """A1 and A2 for one run in one pass over the business rows: three
     global aggregates (searches, businesses, errors) folded into one row by
     a union and one more aggregate — the business subtree (X1 included) is
@@ -153,7 +172,7 @@ def _run_stats(searches: DataFrame, businesses: DataFrame, errors: DataFrame) ->
         F.coalesce(F.sum(F.size(F.coalesce(F.col("emails"), F.array().cast("array<string>")))), F.lit(0))
         .cast("long").alias("emails_found"),
         F.count_if(F.col("hours").isNotNull() | F.col("website").isNotNull()).alias("with_details"),
-        F.count_distinct("placeId").alias("final_count")).withColumn("k", F.lit("results"))
+        F.count(F.lit(1)).alias("final_count")).withColumn("k", F.lit("results"))
     parts = (searches.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit("searches"))
              .unionByName(b, allowMissingColumns=True)
              .unionByName(errors.agg(F.count_distinct("request_id").alias("n")).withColumn("k", F.lit("failed")),
@@ -171,8 +190,3 @@ def _run_stats(searches: DataFrame, businesses: DataFrame, errors: DataFrame) ->
                F.concat(F.floor(ok / F.col("total_searches") * 100 + 0.5).cast("long").cast("string"), F.lit("%")))
         .otherwise(F.lit("0%")).alias("success_rate"),
         F.col("total_results").alias("extracted"), "emails_found", "with_details", "final_count")
-
-
-def extraction_stats(businesses: DataFrame) -> DataFrame:
-    """A2 over a run's business rows."""
-    return M.extraction_stats(businesses)

@@ -72,17 +72,6 @@ def run_summary(log: DataFrame, by: str | None = "category") -> DataFrame:
         .alias("duration_s"))
 
 
-def extraction_stats(business: DataFrame) -> DataFrame:
-    """A2: extracted rows, e-mails found, rows with details, final count."""
-    has_detail = F.col("hours").isNotNull() | F.col("website").isNotNull() if "hours" in business.columns \
-        else F.lit(False)
-    return business.agg(
-        F.count(F.lit(1)).alias("extracted"),
-        F.coalesce(F.sum(F.size(F.coalesce(F.col("emails"), F.array()))), F.lit(0)).cast("long").alias("emails_found"),
-        F.count_if(has_detail).alias("with_details"),
-        F.count_distinct("placeId").alias("final_count"))
-
-
 def rate_by_category(log: DataFrame, category: str = "category") -> DataFrame:
     """A3: passed/failed/total and pass rate (2 decimals) per category, plus a
     total row (``category = 'ALL'``) from a roll-up."""
@@ -108,35 +97,40 @@ def latency_stats(log: DataFrame, by: str = "scenario") -> DataFrame:
 
 
 def latency_percentiles(log: DataFrame, by: str = "scenario", value: str = "duration_ms",
-                        partitions: int | None = None) -> DataFrame:
+                        buckets: int = 1024) -> DataFrame:
     """A5: p50/p90/p95/p99 as the element at 0-based index ``floor(n·p)`` of the
     sorted values (upper nearest rank), per scenario and overall.
 
-    Exact, and no task ever holds a whole group:
+    Exact, the same under any partitioning, and no task ever holds a whole
+    group:
 
     1. a partial aggregate turns rows into a histogram ``(group, value, count)``
-       — a value repeated by a third of the rows is one row;
-    2. the histogram is range-partitioned by ``(group, value)``, so a large
-       group spans many partitions;
-    3. per (group, partition) counts give each partition's offset inside its
-       group (at most one row per partition and group);
-    4. running counts inside each (partition, group) slice plus the offset give
-       every value's rank range; the answer is the first value whose running
-       count reaches ``floor(n·p) + 1``."""
-    n_parts = partitions or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one scan: every value counts for its scenario and for "ALL"
-    tagged = log.select(F.explode(F.array(F.col(by).cast("string"), F.lit("ALL"))).alias("_grp"),
-                        F.col(value).alias("_v"))
-    hist = tagged.filter(F.col("_v").isNotNull()).groupBy("_grp", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    ranged = hist.repartitionByRange(n_parts, "_grp", "_v").withColumn("_pid", F.spark_partition_id())
-    parts = ranged.groupBy("_grp", "_pid").agg(F.sum("_n").alias("_pn"))
-    before = Window.partitionBy("_grp").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = (parts.withColumn("_before", F.coalesce(F.sum("_pn").over(before), F.lit(0)))
-             .withColumn("_total", F.sum("_pn").over(Window.partitionBy("_grp"))))
-    inside = Window.partitionBy("_pid", "_grp").orderBy("_v").rowsBetween(Window.unboundedPreceding,
-                                                                          Window.currentRow)
-    cum = (ranged.withColumn("_in", F.sum("_n").over(inside))
-           .join(parts.select("_grp", "_pid", "_before", "_total"), ["_grp", "_pid"])
+       — a value repeated by a third of the rows is one row — and the overall
+       group is summed from the scenarios' histograms;
+    2. every value falls into one of ``buckets`` equal ranges between the
+       smallest and the largest value, a function of the value alone;
+    3. bucket counts give each bucket's offset inside its group (at most
+       ``buckets`` rows per group);
+    4. running counts inside each (group, bucket) plus the offset give every
+       value's rank range; the answer is the first value whose running count
+       reaches ``floor(n·p) + 1``."""
+    own = (log.filter(F.col(value).isNotNull()).groupBy(F.col(by).cast("string").alias("_grp"), F.col(value).alias("_v"))
+           .agg(F.count(F.lit(1)).alias("_n")))
+    hist = own.unionByName(own.groupBy("_v").agg(F.sum("_n").alias("_n")).withColumn("_grp", F.lit("ALL")))
+    edges = log.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / buckets
+    placed = (hist.join(F.broadcast(edges))      # one row
+              .withColumn("_b", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1)))
+                          .otherwise(F.lit(0)).cast("long"))
+              .drop("_lo", "_hi"))
+    counts = placed.groupBy("_grp", "_b").agg(F.sum("_n").alias("_bn"))
+    before = Window.partitionBy("_grp").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (counts.withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
+              .withColumn("_total", F.sum("_bn").over(Window.partitionBy("_grp"))))
+    inside = Window.partitionBy("_grp", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select(F.col("_grp").alias("_g"), F.col("_b").alias("_c"), "_before", "_total")
+    ranked = placed.withColumn("_in", F.sum("_n").over(inside))
+    cum = (ranked.join(offsets, F.col("_grp").eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_c")))
            .withColumn("_cum", F.col("_before") + F.col("_in")))
     picks = [F.min(F.when(F.col("_cum") >= F.floor(F.col("_total") * p) + 1, F.col("_v"))).alias(name)
              for name, p in PERCENTILES]
@@ -198,3 +192,13 @@ def verdict(log: DataFrame, by: str = "scenario") -> DataFrame:
                     (F.col("p95") > P95_LIMIT_MS).alias("slow_p95"),
                     (F.col("failures") / total > FAILURE_LIMIT).alias("high_failure"),
                     F.coalesce(runs_per_s < THROUGHPUT_FLOOR, F.lit(False)).alias("low_throughput")))
+
+
+def end_to_end_verdict(log: DataFrame, by: str) -> DataFrame:
+    """A8, end-to-end band per ``by``: ``pass`` when no run failed, ``partial``
+    when at least ``PARTIAL_RATE`` of them succeeded, else ``fail``."""
+    agg = log.groupBy(by).agg(F.count(F.lit(1)).alias("runs"), F.count_if(~F.col("success")).alias("failures"))
+    rate = (F.col("runs") - F.col("failures")) / F.col("runs")
+    return agg.select(by, "runs", "failures",
+                      F.when(F.col("failures") == 0, F.lit("pass")).when(rate >= PARTIAL_RATE, F.lit("partial"))
+                      .otherwise(F.lit("fail")).alias("band"))

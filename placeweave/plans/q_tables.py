@@ -54,14 +54,16 @@ SELECT request_id, 'query' AS kind, region_pos, max_results, query,
        {S.rlike('query', r'[^\x00-\x7F]')} AS non_ascii
 FROM q
 UNION ALL
-SELECT page_id AS request_id, 'url' AS kind, 0 AS region_pos, 100 AS max_results,
-       'Direct URL' AS query, url AS search_url, false AS non_ascii
-FROM pages
+SELECT request_id, 'url', 0, 100, label, search_url, regexp_matches(label, '[^\\x00-\\x7F]') FROM (
+  SELECT page_id AS request_id, CASE WHEN page_id % 2 = 0 THEN word ELSE 'Direct URL' END AS label,
+         CASE WHEN page_id % 2 = 0 THEN 'https://maps.example/search/' || {_encode_uri_sql('word')} || '/@25,121' ELSE url END AS search_url
+  FROM (SELECT page_id, url, split_part(regexp_extract(html, '<title>([^<]*)', 1), ' ', 1) || '+x' AS word FROM pages))
 """)
 def request_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part name as a search request (``p_size·10``
     results, multi-region when ``p_size > 25``) expanded over regions with its
-    search URL; every page URL as a direct-URL request with its label (O2)."""
+    search URL; every page as a URL request — a direct URL, or a search URL whose label is
+    its decoded query (O2)."""
     parts = load(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
     req = parts.select(
         F.col("p_partkey").alias("request_id"), F.col("p_name").alias("query"),
@@ -71,7 +73,12 @@ def request_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     expanded = RQ.with_search_url(RQ.expand_regions(RQ.normalise_requests(req)))
     q = expanded.select("request_id", F.lit("query").alias("kind"), F.col("region_pos").cast("int"),
                         "max_results", "query", "search_url", "non_ascii")
-    urls = RQ.requests_from_urls(load(spark, sf_dir, "pages", "page_id", "url"))
+    # every second page is reached through a search URL for its title's first word
+    pages = load(spark, sf_dir, "pages", "page_id", "url", "html")
+    word = F.concat(F.substring_index(F.regexp_extract("html", "<title>([^<]*)", 1), " ", 1), F.lit("+x"))
+    search = F.concat(F.lit("https://maps.example/search/"), RQ.uri_component(word), F.lit("/@25,121"))
+    urls = RQ.requests_from_urls(pages.select(
+        "page_id", F.when(F.col("page_id") % 2 == 0, search).otherwise(F.col("url")).alias("url")))
     u = urls.select(F.col("page_id").alias("request_id"), F.lit("url").alias("kind"),
                     F.lit(0).alias("region_pos"), F.lit(100).alias("max_results"), "query",
                     F.col("url").alias("search_url"), F.col("query").rlike(r"[^\x00-\x7F]").alias("non_ascii"))
@@ -119,9 +126,10 @@ def top_n_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("user_id", "event_id", F.col("rank").cast("int"), "event_type")
 
 
-PAGE_SIZE = 20
 REGION_MAX = 60
-REGION_PIVOT = 1500.0
+
+# A captured result of a nation's search in region r: customers with key % 7 = r
+# or key % 5 = r, so neighbouring regions overlap.
 
 
 @register("region_expansion", f"""
@@ -130,36 +138,31 @@ WITH req AS (
          CAST(generate_subscripts({_REGIONS_SQL}, 1) - 1 AS INTEGER) AS region_pos
   FROM nation),
 hits AS (
-  SELECT r.base_query, r.region_pos, c.c_custkey AS placeId, c.c_name AS name,
-         row_number() OVER (PARTITION BY r.request_id, r.region_pos
-                            ORDER BY abs(c.c_acctbal - r.region_pos * {REGION_PIVOT}), c.c_custkey) AS pos
-  FROM req r JOIN customer c ON c.c_nationkey = r.n_nationkey),
-page AS (SELECT * FROM hits WHERE pos <= {PAGE_SIZE}),
-firsts AS (SELECT * FROM page QUALIFY row_number() OVER (PARTITION BY base_query, placeId ORDER BY region_pos, pos) = 1)
-SELECT base_query, region_pos, CAST(pos AS INTEGER) AS pos, placeId, name
+  SELECT r.base_query, r.region_pos, c.c_custkey AS placeId, c.c_name AS name
+  FROM req r JOIN customer c ON c.c_nationkey = r.n_nationkey
+   AND (c.c_custkey % 7 = r.region_pos OR c.c_custkey % 5 = r.region_pos)),
+firsts AS (SELECT base_query, min(region_pos) AS region_pos, placeId, name FROM hits GROUP BY base_query, placeId, name)
+SELECT base_query, region_pos, placeId, name
 FROM firsts
-QUALIFY row_number() OVER (PARTITION BY base_query ORDER BY region_pos, pos) <= {REGION_MAX}
+QUALIFY row_number() OVER (PARTITION BY base_query ORDER BY region_pos, placeId) <= {REGION_MAX}
 """)
 def region_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each nation name is a multi-region search over the
-    7 default regions; a region search returns one page of 20 customers of
-    that nation (those whose balance is closest to the region's pivot); the
-    region results are unioned, de-duplicated first-wins across regions and
-    cut to 60 per base query."""
+    7 default regions; the captured results of all its regions are unioned,
+    de-duplicated first-wins across regions and cut to the request's
+    ``max_results`` of 60."""
     nation = load(spark, sf_dir, "nation", "n_nationkey", "n_name")
     req = nation.select(F.col("n_nationkey").alias("request_id"), F.col("n_name").alias("query"),
                         "n_nationkey", F.lit(REGION_MAX).alias("max_results"), F.lit(True).alias("use_multi"))
     expanded = RQ.expand_regions(req)
-    cust = load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal")
-    hits = expanded.join(cust, expanded["n_nationkey"] == cust["c_nationkey"])
-    w = Window.partitionBy("request_id", "region_pos").orderBy(
-        F.abs(F.col("c_acctbal") - F.col("region_pos") * REGION_PIVOT), F.col("c_custkey"))
-    page = (hits.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= PAGE_SIZE)
-            .select("base_query", F.col("region_pos").cast("int"), F.col("pos").cast("int"),
-                    F.col("c_custkey").alias("placeId"), F.col("c_name").alias("name"), "max_results"))
-    firsts = R.dedupe_first(page, ["base_query", "placeId"], ["region_pos", "pos"])
-    top = R.limit_per_query(firsts, "base_query", ["region_pos", "pos"], limit="max_results")
-    return top.select("base_query", "region_pos", "pos", "placeId", "name")
+    cust = load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey")
+    in_region = (F.col("c_custkey") % 7 == F.col("region_pos")) | (F.col("c_custkey") % 5 == F.col("region_pos"))
+    hits = expanded.join(cust, (expanded["n_nationkey"] == cust["c_nationkey"]) & in_region).select(
+        "base_query", F.col("region_pos").cast("int"), F.col("c_custkey").alias("placeId"), F.col("c_name").alias("name"),
+        "max_results")
+    firsts = R.dedupe_first(hits, ["base_query", "placeId"], ["region_pos"])
+    top = R.limit_per_query(firsts, "base_query", ["region_pos", "placeId"], limit="max_results", bound=REGION_MAX)
+    return top.select("base_query", "region_pos", "placeId", "name")
 
 
 @register("union_sources", """
@@ -618,10 +621,7 @@ def density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AN.density(joined, ["n_name", "c_mktsegment"])
 
 
-RANK_TOP = 10
-
-
-@register("rating_rank", f"""
+@register("rating_rank", """
 WITH ranked AS (
   SELECT p_type, p_partkey, p_retailprice,
          rank() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS rnk
@@ -632,36 +632,35 @@ st AS (
   FROM part GROUP BY p_type)
 SELECT r.p_type, r.p_partkey, CAST(r.rnk AS INTEGER) AS rank, r.p_retailprice,
        CAST(st.group_n AS BIGINT) AS group_n, st.group_avg, st.group_min, st.group_max
-FROM ranked r JOIN st ON st.p_type = r.p_type WHERE r.rnk <= {RANK_TOP}
+FROM ranked r JOIN st ON st.p_type = r.p_type
 """)
 def rating_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2: top-10 parts by price inside each type with the type's count,
+    """R2: every part's rank by price inside its type, with the type's count,
     mean (to the cent), min and max — the ranking report of the README."""
     part = load(spark, sf_dir, "part", "p_partkey", "p_type", "p_retailprice")
-    w = Window.partitionBy("p_type").orderBy(F.col("p_retailprice").desc(), F.col("p_partkey"))
-    top = part.withColumn("rank", F.rank().over(w)).filter(F.col("rank") <= RANK_TOP)
-    stats = part.groupBy("p_type").agg(
-        F.count(F.lit(1)).alias("group_n"),
-        (F.floor(F.sum(F.round(F.col("p_retailprice") * 100)) * 1.0 / F.count(F.lit(1)) + 0.5) / 100)
-        .alias("group_avg"),
-        F.min("p_retailprice").alias("group_min"), F.max("p_retailprice").alias("group_max"))
-    return top.join(stats, "p_type").select("p_type", "p_partkey", F.col("rank").cast("int"), "p_retailprice",
-                                            "group_n", "group_avg", "group_min", "group_max")
+    out = AN.rating_rank(part, "p_type", "p_retailprice", tiebreak="p_partkey")
+    return out.select("p_type", "p_partkey", F.col("rank").cast("int"), "p_retailprice",
+                      "group_n", "group_avg", "group_min", "group_max")
 
 
 @register("no_website", """
-SELECT c_custkey, c_name FROM customer c
-WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)
+WITH b AS (
+  SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 <> 0 THEN 'https://site' || CAST(c_custkey % 400 AS VARCHAR) || '.example' END AS website
+  FROM customer)
+SELECT c_custkey, c_name, website FROM b
+WHERE website IS NULL
+   OR website NOT IN (SELECT 'https://site' || CAST(o_orderkey % 397 AS VARCHAR) || '.example' FROM orders WHERE o_orderstatus = 'F')
 """)
 def no_website(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opportunities — customers with no captured order, by left anti join.
-
-    The right side is reduced to distinct keys first (partial aggregation per
-    map task), so a customer holding a third of all orders ships one row per
-    task instead of all its orders into the anti join's build side."""
-    cust = load(spark, sf_dir, "customer", "c_custkey", "c_name")
-    keys = load(spark, sf_dir, "orders", "o_custkey").distinct()
-    return cust.join(keys, cust["c_custkey"] == keys["o_custkey"], "left_anti")
+    """Opportunities — businesses (customers) without a website, and those
+    whose site was never captured.  Four in five customers have a site; the
+    captured sites are those that finished orders point to."""
+    site = F.concat(F.lit("https://site"), (F.col("c_custkey") % 400).cast("string"), F.lit(".example"))
+    business = load(spark, sf_dir, "customer", "c_custkey", "c_name").withColumn(
+        "website", F.when(F.col("c_custkey") % 5 != 0, site))
+    captured = load(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").where("o_orderstatus = 'F'").select(
+        F.concat(F.lit("https://site"), (F.col("o_orderkey") % 397).cast("string"), F.lit(".example")).alias("url"))
+    return AN.no_website(business, captured).select("c_custkey", "c_name", "website")
 
 
 @register("contacts", f"""

@@ -166,17 +166,24 @@ def strict_type(x: str) -> str:
 # ---- page rules ------------------------------------------------------------
 
 def decode_entities(x: str) -> str:
-    c = x
-    for ent, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                    ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        c = f"replace({c}, {q(ent)}, {q(ch)})"
-    return c
+    # spelled without the Spark side's patterns: the text after each '&' up to
+    # its ';' is looked up in Python's own table or read as a number
+    from html.entities import name2codepoint
+
+    known = {n: chr(p) for n, p in name2codepoint.items()} | {"apos": "'", "commat": "@", "period": "."}
+    names = "MAP {" + ", ".join(f"{q(n)}: {q(c)}" for n, c in known.items()) + "}"
+    head = "split_part(p, ';', 1)"
+    rest = f"substr(p, length({head}) + 2)"
+    number = f"CAST(CASE WHEN ({head})[2] IN ('x', 'X') THEN '0x' || ({head})[3:] ELSE ({head})[2:] END AS INTEGER)"
+    return (f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: CASE WHEN i = 1 THEN p "
+            f"WHEN strpos(p, ';') > 0 AND regexp_full_match({head}, '#([0-9]+|[xX][0-9a-fA-F]+)') THEN chr({number}) || {rest} "
+            f"WHEN strpos(p, ';') > 0 AND {names}[{head}] IS NOT NULL THEN {names}[{head}] || {rest} "
+            f"ELSE '&' || p END), '')")
 
 
 def visible_text(html: str) -> str:
-    c = rx_all(html, P.BODY_START)
-    c = rx_all(c, P.BODY_END)
-    c = rx_all(c, P.HIDDEN_STRIP)
+    c = rx_all(html, P.HIDDEN_STRIP)
+    c = rx_all(c, P.BODY_START)
     c = rx_all(c, P.HTML_SPACE, " ")
     c = rx_all(c, P.BLOCK_TAG, "\n")
     c = rx_all(c, P.CELL_TAG, "\t")
@@ -192,8 +199,8 @@ def markup_only(html: str) -> str:
 
 def anchor_tags(html: str) -> str:
     tags = f"regexp_extract_all({markup_only(html)}, {q(P.ANCHOR_TAG)}, 0)"
-    return (f"list_filter({tags}, lambda t: {rlike('t', P.HREF_DQ)} OR {rlike('t', P.HREF_SQ)} "
-            f"OR {rlike('t', P.HREF_BARE)})")
+    return (f"list_filter({tags}, lambda t: ends_with(t, '>') AND ({rlike('t', P.HREF_DQ)} OR {rlike('t', P.HREF_SQ)} "
+            f"OR {rlike('t', P.HREF_BARE)}))")
 
 
 def anchor_hrefs(html: str) -> str:
@@ -202,8 +209,9 @@ def anchor_hrefs(html: str) -> str:
                 f"WHEN {rlike(t, P.HREF_SQ)} THEN {extract(t, P.HREF_SQ, 1)} "
                 f"WHEN {rlike(t, P.HREF_BARE)} THEN {extract(t, P.HREF_BARE, 1)} END")
     tags = f"regexp_extract_all({markup_only(html)}, {q(P.ANCHOR_TAG)}, 0)"
-    return (f"list_filter(list_transform({tags}, lambda t: {decode_entities(href_of('t'))}), "
-            f"lambda h: h IS NOT NULL)")
+    hrefs = (f"list_filter(list_transform(list_filter({tags}, lambda t: ends_with(t, '>')), lambda t: {href_of('t')}), "
+             f"lambda h: h IS NOT NULL)")
+    return f"list_transform({hrefs}, lambda h: {decode_entities('h')})"
 
 
 def resolve_url(h: str, b: str) -> str:

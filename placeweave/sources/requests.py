@@ -55,7 +55,7 @@ def require_requests(df: DataFrame) -> DataFrame:
     return df
 
 
-def _js_uri_component(c: Column) -> Column:
+def uri_component(c: Column) -> Column:
     """``encodeURIComponent`` from ``url_encode`` (form encoding)."""
     e = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
     for enc, ch in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
@@ -66,7 +66,7 @@ def _js_uri_component(c: Column) -> Column:
 def with_search_url(df: DataFrame, query: str = "query", language: str = "language") -> DataFrame:
     """O3: ``search_url`` = base + percent-encoded query + ``?hl=`` language;
     ``non_ascii`` flags queries with any non-ASCII character."""
-    return (df.withColumn("search_url", F.concat(F.lit(SEARCH_BASE), _js_uri_component(_c(query)),
+    return (df.withColumn("search_url", F.concat(F.lit(SEARCH_BASE), uri_component(_c(query)),
                                                  F.lit("?hl="), _c(language)))
             .withColumn("non_ascii", _c(query).rlike(r"[^\x00-\x7F]")))
 
@@ -85,18 +85,29 @@ def url_label_expr(url) -> Column:
     return F.when(has & (piece != ""), decoded).otherwise(F.lit(DIRECT_URL_LABEL))
 
 
+# Why a start URL fails before anything is searched.
+INVALID_URL, MALFORMED_ESCAPE = "Invalid URL", "URI malformed"
+
+
+def url_error_expr(url) -> Column:
+    """Why a start URL fails, or NULL: it is no absolute URL, or its label
+    holds a malformed escape."""
+    return (F.when(~F.coalesce(_c(url).rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#\s]+([/?#]|\z)"), F.lit(False)), F.lit(INVALID_URL))
+            .when(url_label_expr(url).isNull(), F.lit(MALFORMED_ESCAPE)))
+
+
 def requests_from_urls(df: DataFrame, url: str = "url") -> DataFrame:
-    """O2: one request per start URL with its query label."""
-    return df.withColumn("query", url_label_expr(url)).withColumn("source_url", F.col(url))
+    """O2: one request per start URL with its query label (NULL where the URL
+    fails)."""
+    return (df.withColumn("query", F.when(url_error_expr(url).isNull(), url_label_expr(url)))
+            .withColumn("source_url", F.col(url)))
 
 
-def split_errors(df: DataFrame, ok: Column, message: str) -> tuple[DataFrame, DataFrame]:
-    """``(good, bad)``; ``bad`` carries ``error`` and ``timestamp``."""
-    good = df.filter(ok)
-    bad = (df.filter(~ok | ok.isNull())
-           .withColumn("error", F.lit(message))
-           .withColumn("timestamp", F.current_timestamp()))
-    return good, bad
+def split_errors(df: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
+    """``(good, bad)``: rows where ``error`` is NULL, and the others with
+    it as their ``error``."""
+    marked = df.withColumn("error", error)
+    return marked.filter(F.col("error").isNull()).drop("error"), marked.filter(F.col("error").isNotNull())
 
 
 def expand_regions(df: DataFrame) -> DataFrame:
@@ -118,4 +129,4 @@ def expand_regions(df: DataFrame) -> DataFrame:
 
 
 __all__ = ["normalise_requests", "require_requests", "with_search_url", "url_label_expr",
-           "requests_from_urls", "split_errors", "expand_regions"]
+           "requests_from_urls", "split_errors", "url_error_expr", "expand_regions"]

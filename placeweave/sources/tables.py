@@ -18,37 +18,24 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-# About one task per 512 KB of (compressed) text-table input.
-SPREAD_BYTES_PER_PARTITION = 512 * 1024
-
-
-def spread(df: DataFrame, factor: int = 4) -> DataFrame:
-    """Give CPU-heavy per-row work enough tasks — but not more than the input
-    is worth.
-
-    A small file of long texts can arrive as a handful of row-group splits
-    (fewer than the cores), with one straggler holding the longest texts.
-    When the scan has fewer than 2× default-parallelism splits, the rows are
-    spread round-robin over about one partition per 512 KB of estimated
-    input (rounded up to a multiple of the parallelism, at most ``factor``×
-    it); tiny inputs stay where they are, since every task also pays for
-    setting up the large rule expressions.  At cluster scale the scan already
-    has far more splits than cores, so this is a no-op there and adds no
-    shuffle."""
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    current = df._jdf.rdd().getNumPartitions()     # JVM side: no Python RDD wrapper
-    if current >= 2 * parallelism:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = max(1, -(-size // SPREAD_BYTES_PER_PARTITION))
-    if wanted <= current:
-        return df
-    return df.repartition(min(factor * parallelism, -(-wanted // parallelism) * parallelism))
+#: Session setting: deal the rows of text tables out over so many partitions.
+SCAN_PARTITIONS = "placeweave.scan.partitions"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly if the session asks for it, else ``df`` itself.
+
+    On a cluster ``spark.sql.files.maxPartitionBytes`` gives the scan its
+    tasks and nothing is shuffled.  One small file with a single row group
+    cannot be split by the scan; whoever runs on such inputs may set
+    ``placeweave.scan.partitions``.  The plan never depends on the input."""
+    wanted = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str, spread_rows: bool | None = None) -> DataFrame:
     """Read one driver table; ``columns`` (optional) prunes the scan.  Text
-    tables are spread over enough tasks (see :func:`spread`)."""
+    tables go through :func:`spread`."""
     df = spark.read.parquet(table_path(sf_dir, name))
     df = df.select(*columns) if columns else df
     if spread_rows or (spread_rows is None and name in TEXT_TABLES):

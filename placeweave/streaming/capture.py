@@ -13,6 +13,7 @@ The checkpoint lives in the shared folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,7 +30,10 @@ def start_capture(spark: SparkSession, source_dir: str, schema: str, sink_dir: s
 
     ``transform`` is the batch job applied to each de-duplicated micro-batch
     (e.g. listing extraction for captured pages)."""
-    ckpt = checkpoint or f"{checkpoint_dir(spark)}/placeweave-stream/{query_name or 'capture'}"
+    # without an explicit checkpoint, one per sink and query name: two streams
+    # never resume from each other's offsets
+    sink = zlib.crc32(f"{sink_dir.rstrip('/')}|{query_name or ''}".encode())
+    ckpt = checkpoint or f"{checkpoint_dir(spark)}/placeweave-stream/{query_name or 'capture'}-{sink:08x}"
     stream = (spark.readStream.schema(schema).parquet(source_dir)
               .withWatermark(event_time, watermark)
               .dropDuplicatesWithinWatermark(key))

@@ -20,7 +20,7 @@ def test_first_wins_and_top_n_limit_map_side(spark):
     rows = [(k % 3, i, i) for k in range(200) for i in range(5)]
     df = spark.createDataFrame(rows, "key int, pos int, v int")
     for out in (dedupe_first(df, ["key"], ["pos"]), limit_per_query(df, "key", ["pos"], limit=3),
-                limit_per_query(df.withColumn("max_results", F.lit(2)), "key", ["pos"])):
+                limit_per_query(df.withColumn("max_results", F.lit(2)), "key", ["pos"], bound=200)):
         plan = _plan(out)
         assert "WindowGroupLimit" in plan and "Partial" in plan, plan
 
@@ -36,10 +36,15 @@ def test_extraction_runs_once(spark):
 
 
 def test_filters_stay_above_the_spread(spark):
-    # the checked values are computed after the round-robin spread, once
-    # (sf0.1: its text tables arrive as fewer splits than cores, so they are spread)
+    # nothing is spread unless the session asks; then the checked values are
+    # computed after the round-robin spread, once
     for name in ("violations", "document_phones"):
-        plan = _optimized(entry.queries()[name](spark, "/root/testdata/sf0.1"))
+        assert "Repartition" not in _optimized(entry.queries()[name](spark, SF)), name
+        spark.conf.set("placeweave.scan.partitions", "6")
+        try:
+            plan = _optimized(entry.queries()[name](spark, SF))
+        finally:
+            spark.conf.unset("placeweave.scan.partitions")
         assert "Repartition" in plan, name
         below_spread = plan.split("Repartition")[-1]
         assert "regexp" not in below_spread, name

@@ -202,7 +202,19 @@ def test_a5_distributed_matches_brute_force(spark):
         dur = 500 if (scen == "hot" and i % 2) else rnd.randint(1, 2000)   # a hot repeated value
         rows.append((str(i), "q", "c", scen, t, dur, True, 1, None))
     log = _log(spark, rows)
-    got = {r.scenario: r for r in M.latency_percentiles(log, partitions=7).collect()}
+    answers = []
+    for partitions, aqe, reuse in ((1, "true", "true"), (8, "false", "false"), (50, "true", "false")):
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            answers.append(sorted(M.latency_percentiles(log.repartition(partitions), buckets=partitions * 7).collect()))
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+            spark.conf.set("spark.sql.exchange.reuse", "true")
+    assert answers[0] == answers[1] == answers[2]
+    got = {r.scenario: r for r in answers[0]}
+    bands = {r.scenario: r.band for r in M.end_to_end_verdict(log, "scenario").collect()}
+    assert bands == {"hot": "pass", "a": "pass", "b": "pass"}
     groups = {}
     for r in rows:
         groups.setdefault(r[3], []).append(r[5])
@@ -255,7 +267,7 @@ def test_helpers(spark):
         ("Cafe One", "", "$$$$", "+886 912 345 678", "https://shop.tw", 4.6, 1234)
 
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, label string")
-    good, bad = RQ.split_errors(df, F.col("label").isNotNull(), "URI malformed")
+    good, bad = RQ.split_errors(df, F.when(F.col("label").isNull(), "URI malformed"))
     assert [r.id for r in good.collect()] == [1] and [(r.id, r.error) for r in bad.collect()] == [(2, "URI malformed")]
 
     mails = spark.createDataFrame([("a@x.tw",), ("NoReply@x.tw",), ("b@sentry.io",)], "e string")

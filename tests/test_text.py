@@ -110,10 +110,10 @@ def test_idempotent(spark, value):
 
 def test_traps(spark):
     from placeweave.operators.hours import hours_map
-    from placeweave.sources.requests import _js_uri_component, url_label_expr
+    from placeweave.sources.requests import uri_component, url_label_expr
 
     df = spark.createDataFrame([("a+b c!~*'()é/?",)], "v string")
-    r = df.select(_js_uri_component(F.col("v")).alias("enc"),
+    r = df.select(uri_component(F.col("v")).alias("enc"),
                   url_label_expr(F.lit("https://x/maps/search/a+b%20c/@1")).alias("label"),
                   T.first_only_replace(F.lit("x12-34 y56-78"), "([0-9]+)-([0-9]+)", "$2:$1").alias("first"),
                   T.standard_type(F.lit("1,234\n")).alias("t9"),
