@@ -433,6 +433,6 @@ def _field_exprs() -> tuple[Column, ...]:
 def detail_fields(page_elements: DataFrame) -> DataFrame:
     """D1–D12 per captured detail page (extra page columns are carried).
     The rule expressions are built once per process and reused."""
-    extra = [c for c in page_elements.columns if c not in ("doc_bytes", "elements", "text_nodes")]
+    extra = [c for c in page_elements.columns if c not in ("doc_bytes", "elements", "text_nodes", "parse_error")]
     st = _with_hours(_candidates(page_elements))
     return st.select(*extra, *_field_exprs())

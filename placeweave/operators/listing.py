@@ -247,7 +247,7 @@ def listings(page_elements: DataFrame) -> DataFrame:
 
     The first link of each place id wins inside a page *before* links without
     a container or name are dropped, as in the reference."""
-    extra = [c for c in page_elements.columns if c not in ("doc_bytes", "elements", "text_nodes")]
+    extra = [c for c in page_elements.columns if c not in ("doc_bytes", "elements", "text_nodes", "parse_error")]
     links, with_pid, w1, with_container, card, fields = _stage_exprs()
     staged = (page_elements.withColumn("_l", links).withColumn("_l", with_pid).withColumn("_l", w1)
               .withColumn("_l", with_container).withColumn("_l", card).withColumn("_l", fields))

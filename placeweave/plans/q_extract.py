@@ -1,6 +1,5 @@
-"""Registered queries for the element-based extraction (X1, L*, D*), the
-end-to-end run, quality completeness (V5), sinks (O5–O7) and streaming
-(ST1).  The element jobs have no SQL twin (rows-only check); the others do.
+"""Registered queries for X1 over raw pages, quality completeness (V5), sinks
+(O5–O7) and streaming (ST1).
 """
 
 from __future__ import annotations
@@ -8,11 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.functions.arrays import size0
 from placeweave.operators import elements as X
-from placeweave.operators.details import detail_fields
-from placeweave.operators.listing import listings
-from placeweave.plans import business_run as PL
 from placeweave.plans import quality as V
 from placeweave.plans.registry import register
 from placeweave.session import scratch_path
@@ -39,45 +34,6 @@ def page_elements_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         title.alias("title"))
 
 
-@register("listings")
-def listings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X1 + L1–L12 + W1 over every page (only place links yield rows)."""
-    return listings(_pages_x1(spark, sf_dir))
-
-
-@register("detail_fields")
-def detail_fields_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X1 + D1–D12 over every page: one row per page."""
-    d = detail_fields(_pages_x1(spark, sf_dir))
-    return d.select("page_id", "address", "phone", "website", F.array_join("hours", " | ").alias("hours"),
-                    size0(F.col("hours_entries")).alias("n_days"), "priceLevel", "businessType")
-
-
-@register("weekly_hours")
-def weekly_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X1 + D1–D3 over every page: the weekly day→hours entries found (table
-    rows, else the first hours panel, 24-hour fill), one row per page."""
-    d = detail_fields(_pages_x1(spark, sf_dir))
-    return d.select("page_id", size0(F.col("hours_entries")).alias("n_days"),
-                    F.to_json("hoursDetail").alias("hours_detail"))
-
-
-@register("business_run")
-def business_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole run with every page as a direct-URL request answered by its
-    own capture: A1 statistics of the run with the A2 extraction counters
-    (one row)."""
-    pages = load(spark, sf_dir, "pages", "page_id", "url", "html")
-    requests = pages.select(
-        F.col("page_id").alias("request_id"), F.lit(None).cast("string").alias("query"),
-        F.col("url").alias("source_url"), F.lit("en").alias("language"), F.lit(100).alias("max_results"),
-        F.lit(False).alias("use_multi"), F.lit(None).cast("array<string>").alias("regions"))
-    captured = pages.select("page_id", F.lit("listing").alias("kind"), F.col("page_id").alias("request_id"),
-                            F.lit(0).alias("region_pos"), F.lit(None).cast("string").alias("place_id"), "url",
-                            F.lit(None).cast("timestamp").alias("captured_at"), "html")
-    return PL.run(requests, captured, run_ts="1970-01-01 00:00:00").stats
-
-
 @register("completeness", """
 WITH j AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
            FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
