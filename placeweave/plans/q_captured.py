@@ -21,7 +21,10 @@ from placeweave.plans.registry import register
 from placeweave.sources.tables import load
 
 SITE = "https://m.example"
-K = F.col("c_custkey")
+
+
+def key() -> Column:
+    return F.col("c_custkey")
 
 
 def _text(*parts) -> Column:
@@ -41,7 +44,7 @@ def _pick(selector: Column, *options: Column) -> Column:
 # ---------------------------------------------------------------------------
 
 def _lat() -> Column:
-    return _text("25.", F.lpad((K % 1000).cast("string"), 3, "0"))
+    return _text("25.", F.lpad((key() % 1000).cast("string"), 3, "0"))
 
 
 def _link() -> Column:
@@ -49,32 +52,32 @@ def _link() -> Column:
     hexadecimal, parent attribute, generated from the name, none."""
     at = _text("!3d", _lat(), "!4d121.5")
     return _pick(
-        K % 8,
-        _text('<a href="/maps/place/P/ChIJp', K, '?hl=en"></a>'),
-        _text(f'<a href="{SITE}/maps/place/P/data=!4m1!1sChIJd', K, "!8m2", at, '"></a>'),
-        _text(f'<a href="{SITE}/maps/place/P/data=!4m1!19sChIJg', K, '?x"></a>'),
-        _text('<a data-pid="ChIJa', K, '" href="/maps/place/P/"></a>'),
-        _text('<a href="/maps/place/P/data=!1s0x', F.lower(F.hex(K)), ':0x1"></a>'),
-        _text('<span data-pid="ChIJq', K, '"><a href="/maps/place/P/"></a></span>'),
+        key() % 8,
+        _text('<a href="/maps/place/P/ChIJp', key(), '?hl=en"></a>'),
+        _text(f'<a href="{SITE}/maps/place/P/data=!4m1!1sChIJd', key(), "!8m2", at, '"></a>'),
+        _text(f'<a href="{SITE}/maps/place/P/data=!4m1!19sChIJg', key(), '?x"></a>'),
+        _text('<a data-pid="ChIJa', key(), '" href="/maps/place/P/"></a>'),
+        _text('<a href="/maps/place/P/data=!1s0x', F.lower(F.hex(key())), ':0x1"></a>'),
+        _text('<span data-pid="ChIJq', key(), '"><a href="/maps/place/P/"></a></span>'),
         _text(f'<a href="{SITE}/maps/place/P/@1,2/data=', at, '"><div>', F.col("c_name"), "</div></a>"),
         F.lit('<a href="/maps/place/P/"></a>'))
 
 
 def _card() -> Column:
-    score = _text((K % 50 / 10).cast("int"), ".", K % 10)
-    rating = _pick(K % 4, _text('<span role="img" aria-label="', score, ' stars"></span>'),
+    score = _text((key() % 50 / 10).cast("int"), ".", key() % 10)
+    rating = _pick(key() % 4, _text('<span role="img" aria-label="', score, ' stars"></span>'),
                    _text('<span class="MW4etd">', score, "</span>"), F.lit('<span class="MW4etd">.</span>'), F.lit(""))
-    n = K * 7
+    n = key() * 7
     count = F.when(n >= 1000, _text((n / 1000).cast("long"), ",", F.lpad((n % 1000).cast("string"), 3, "0"))).otherwise(n.cast("string"))
-    blocks = F.when(K % 5 == 0, _text('<div class="W4Efsd">', F.col("c_mktsegment"), " · ", K, "區 Road</div>")).otherwise(
+    blocks = F.when(key() % 5 == 0, _text('<div class="W4Efsd">', F.col("c_mktsegment"), " · ", key(), "區 Road</div>")).otherwise(
         _text('<div class="W4Efsd"><span>4.2</span><span>$$</span></div><div class="W4Efsd"><span>', F.col("c_mktsegment"),
-              "</span><span>· ", K, " Main St</span></div>"))
-    phone = F.when(K % 3 == 0, F.lit("")).otherwise(
-        _text("<div>(02) 2345-", F.lpad((K % 10000).cast("string"), 4, "0"), "</div>"))
+              "</span><span>· ", key(), " Main St</span></div>"))
+    phone = F.when(key() % 3 == 0, F.lit("")).otherwise(
+        _text("<div>(02) 2345-", F.lpad((key() % 10000).cast("string"), 4, "0"), "</div>"))
     body = _text('<div class="fontHeadlineSmall"> ', F.col("c_name"), "</div>", rating, "<span>(", count, ")</span>", blocks, phone)
     # a card without a name yields no row; a second card of an id is dropped
-    shown = F.when((K % 13 == 0) & (K % 8 != 6), F.lit("")).otherwise(body)
-    again = F.when((K % 24 == 0) & (K % 13 != 0), _text(
+    shown = F.when((key() % 13 == 0) & (key() % 8 != 6), F.lit("")).otherwise(body)
+    again = F.when((key() % 24 == 0) & (key() % 13 != 0), _text(
         '<div jsaction="mouseover:pane.d">', _link(), '<div class="fontHeadlineSmall">Second</div></div>')).otherwise(F.lit(""))
     return _text('<div jsaction="mouseover:pane.c">', _link(), shown, "</div>", again)
 
@@ -82,7 +85,7 @@ def _card() -> Column:
 def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per nation and 500 customer keys (20 cards on average)."""
     cust = load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    cards = cust.select((F.col("c_nationkey") * 1000000 + F.floor(K / 500)).cast("long").alias("page_id"), K.alias("k"),
+    cards = cust.select((F.col("c_nationkey") * 1000000 + F.floor(key() / 500)).cast("long").alias("page_id"), key().alias("k"),
                         _card().alias("card"))
     html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "card"))), lambda c: c["card"]), "")
     return cards.groupBy("page_id").agg(html.alias("cards")).select(
@@ -141,21 +144,21 @@ _ALL_DAY = "24 小時營業"
 def detail_html() -> Column:
     """Country by ``key % 4``, hours by ``key // 4 % 4``, price by ``key % 7``."""
     address = _pick(
-        K % 4, _text('<button data-item-id="address" aria-label="Address: ', K, ' Road, Taiwan"></button>'),
-        _text('<button data-item-id="address" aria-label="Address: ', K, ' Cho, Japan 1000001"></button>'),
-        _text('<button aria-label="Address: Street A', K, ', Seoul, Korea, 04524"></button>'),
-        _text('<button data-item-id="address">', K, "  Hill , , Lane,</button>"))
-    phone = _text('<button aria-label="Phone: +886 2 2345 ', F.lpad((K % 10000).cast("string"), 4, "0"), '"></button>')
-    website = F.when(K % 5 == 0, F.lit("")).otherwise(_text('<a aria-label="Website: s" href="https://site', K, '.example/">s</a>'))
-    opens = _text("0", K % 9 + 1, ":00–17:00")
+        key() % 4, _text('<button data-item-id="address" aria-label="Address: ', key(), ' Road, Taiwan"></button>'),
+        _text('<button data-item-id="address" aria-label="Address: ', key(), ' Cho, Japan 1000001"></button>'),
+        _text('<button aria-label="Address: Street A', key(), ', Seoul, Korea, 04524"></button>'),
+        _text('<button data-item-id="address">', key(), "  Hill , , Lane,</button>"))
+    phone = _text('<button aria-label="Phone: +886 2 2345 ', F.lpad((key() % 10000).cast("string"), 4, "0"), '"></button>')
+    website = F.when(key() % 5 == 0, F.lit("")).otherwise(_text('<a aria-label="Website: s" href="https://site', key(), '.example/">s</a>'))
+    opens = _text("0", key() % 9 + 1, ":00–17:00")
     week = _text("<table>", *[x for d in _DAYS_EN for x in (f"<tr><td>{d}</td><td>", opens, "</td></tr>")], "</table>")
     hours = _pick(
-        (K / 4).cast("long") % 4, week,
+        (key() / 4).cast("long") % 4, week,
         F.lit('<button aria-label="Hours">24 hours</button><div class="hours"><ul>'
               f"<li>{_DAYS_ZH[0]}: {_ALL_DAY}</li><li>{_DAYS_ZH[1]}: {_ALL_DAY}</li></ul></div>"),
         F.lit('<button aria-label="Hours: Open 9 AM to 5 PM"></button>'), F.lit(""))
     price = _pick(
-        K % 7, F.lit('<span aria-label="Price level">$$</span>'), F.lit("<div>price <span>·</span></div>"),
+        key() % 7, F.lit('<span aria-label="Price level">$$</span>'), F.lit("<div>price <span>·</span></div>"),
         F.lit('<button aria-label="Price: moderate"></button>'), F.lit('<div data-attrid="review">about $$$ here</div>'),
         F.lit("<p>$$</p>"), F.lit("<p>a cheap place</p>"), F.lit(""))
     kind = _text('<button jsaction="pane.category">· ', F.col("c_mktsegment"), "</button>")
@@ -164,7 +167,7 @@ def detail_html() -> Column:
 
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").select(
-        K.alias("page_id"), F.lit(f"{SITE}/maps/place/x").alias("url"), detail_html().alias("html"))
+        key().alias("page_id"), F.lit(f"{SITE}/maps/place/x").alias("url"), detail_html().alias("html"))
 
 
 _OPENS = "'0' || (k % 9 + 1) || ':00–17:00'"
@@ -229,15 +232,15 @@ def _run(spark: SparkSession, sf_dir: str) -> PL.RunResult:
             F.when(F.col("r_regionkey") % 2 == 0, _text(f"{SITE}/search/", F.col("r_name"), "+x/@1,2")).otherwise(
                 F.col("r_name")).alias("source_url"), F.lit(10).alias("max_results"), F.lit(False).alias("use_multi"), *flags))
 
-    card = _text('<div jsaction="mouseover:pane.c"><a href="/maps/place/P/ChIJr', K, '"></a><div class="fontHeadlineSmall">',
+    card = _text('<div jsaction="mouseover:pane.c"><a href="/maps/place/P/ChIJr', key(), '"></a><div class="fontHeadlineSmall">',
                  F.col("c_name"), "</div></div>")
     regions = F.explode(F.sequence(F.lit(0), F.lit(6)))
     by_nation = cust.withColumn("region_pos", regions).where(
-        F.when(F.col("c_nationkey") % 2 == 0, (K % 7 == F.col("region_pos")) | (K % 5 == F.col("region_pos")))
-        .otherwise((F.col("region_pos") == 0) & (K % 3 == 0)))
-    hits = by_nation.select(F.col("c_nationkey").cast("long").alias("request_id"), "region_pos", K.alias("k"), card.alias("card"))
-    hits = hits.unionByName(cust.where(K < 12).select(
-        (1000 + K % 5).cast("long").alias("request_id"), F.lit(0).alias("region_pos"), K.alias("k"), card.alias("card")))
+        F.when(F.col("c_nationkey") % 2 == 0, (key() % 7 == F.col("region_pos")) | (key() % 5 == F.col("region_pos")))
+        .otherwise((F.col("region_pos") == 0) & (key() % 3 == 0)))
+    hits = by_nation.select(F.col("c_nationkey").cast("long").alias("request_id"), "region_pos", key().alias("k"), card.alias("card"))
+    hits = hits.unionByName(cust.where(key() < 12).select(
+        (1000 + key() % 5).cast("long").alias("request_id"), F.lit(0).alias("region_pos"), key().alias("k"), card.alias("card")))
     cards = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "card"))), lambda c: c["card"]), "")
     none = F.lit(None).cast("string")
     stamp = F.timestamp_seconds(F.lit(1_700_000_000))
@@ -250,15 +253,15 @@ def _run(spark: SparkSession, sf_dir: str) -> PL.RunResult:
         F.lit(0).alias("region_pos"), none.alias("place_id"), F.lit(f"{SITE}/maps/search/x").alias("url"),
         F.timestamp_seconds(F.lit(1_600_000_000)).alias("captured_at"),
         F.lit('<div jsaction="mouseover:pane.c"><a href="/maps/place/P/ChIJold"></a><div>Old</div></div>').alias("html"))
-    details = cust.where(K % 2 == 0).select(
-        (K + 10_000_000).alias("page_id"), F.lit("detail").alias("kind"), F.lit(None).cast("long").alias("request_id"),
-        F.lit(None).cast("int").alias("region_pos"), _text("ChIJr", K).alias("place_id"), F.lit(f"{SITE}/maps/place/x").alias("url"),
+    details = cust.where(key() % 2 == 0).select(
+        (key() + 10_000_000).alias("page_id"), F.lit("detail").alias("kind"), F.lit(None).cast("long").alias("request_id"),
+        F.lit(None).cast("int").alias("region_pos"), _text("ChIJr", key()).alias("place_id"), F.lit(f"{SITE}/maps/place/x").alias("url"),
         stamp.alias("captured_at"), detail_html().alias("html"))
-    sites = cust.where(K % 4 == 0).select(
-        (K + 20_000_000).alias("page_id"), F.lit("website").alias("kind"), F.lit(None).cast("long").alias("request_id"),
-        F.lit(None).cast("int").alias("region_pos"), none.alias("place_id"), _text("HTTPS://Site", K, ".example:443#top").alias("url"),
+    sites = cust.where(key() % 4 == 0).select(
+        (key() + 20_000_000).alias("page_id"), F.lit("website").alias("kind"), F.lit(None).cast("long").alias("request_id"),
+        F.lit(None).cast("int").alias("region_pos"), none.alias("place_id"), _text("HTTPS://Site", key(), ".example:443#top").alias("url"),
         stamp.alias("captured_at"),
-        _text("<body>Mail INFO", K, "&#64;shop.test, no-reply@shop.test <a href='mailto:owner", K, "@shop.test?subject=x'>m</a></body>").alias("html"))
+        _text("<body>Mail INFO", key(), "&#64;shop.test, no-reply@shop.test <a href='mailto:owner", key(), "@shop.test?subject=x'>m</a></body>").alias("html"))
     pages = found.unionByName(stale).unionByName(details).unionByName(sites)
     return PL.run(requests, pages, run_ts="1970-01-01 00:00:00")
 

@@ -25,8 +25,9 @@ from placeweave.session import checkpoint_dir
 def start_capture(spark: SparkSession, source_dir: str, schema: str, sink_dir: str,
                   transform: Callable[[DataFrame], DataFrame], key: list[str], event_time: str,
                   watermark: str = "1 day", checkpoint: str | None = None, available_now: bool = True,
-                  query_name: str | None = None):
-    """Start the stream; returns the ``StreamingQuery``.
+                  query_name: str | None = None, max_files: int | None = None):
+    """Start the stream; returns the ``StreamingQuery``.  ``max_files`` bounds
+    the new files of one micro-batch (all of them are read, batch by batch).
 
     ``transform`` is the batch job applied to each de-duplicated micro-batch
     (e.g. listing extraction for captured pages)."""
@@ -34,7 +35,10 @@ def start_capture(spark: SparkSession, source_dir: str, schema: str, sink_dir: s
     # never resume from each other's offsets
     sink = zlib.crc32(f"{sink_dir.rstrip('/')}|{query_name or ''}".encode())
     ckpt = checkpoint or f"{checkpoint_dir(spark)}/placeweave-stream/{query_name or 'capture'}-{sink:08x}"
-    stream = (spark.readStream.schema(schema).parquet(source_dir)
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = (reader.parquet(source_dir)
               .withWatermark(event_time, watermark)
               .dropDuplicatesWithinWatermark(key))
 

@@ -31,7 +31,7 @@ def test_extraction_runs_once(spark):
         plan = _optimized(queries[name](spark, SF))
         assert plan.count("MapInArrow") == 1, name
         assert "Filter (size(" not in plan, name           # no inferred generate filter re-running rules
-    run_plan = _optimized(queries["business_run"](spark, SF))
+    run_plan = _optimized(queries["business_rows"](spark, SF))
     assert run_plan.count("MapInArrow") <= 2                  # listing pages once, detail pages once
 
 
