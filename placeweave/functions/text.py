@@ -159,13 +159,16 @@ def clean_unicode(col) -> Column:
     return F.coalesce(collapse_ws(js_trim(deleted)), F.lit(""))
 
 
-def standard_type(col) -> Column:
-    """A rating-like or digits-only value is not a business type."""
+def standard_type(col, cleaned=None) -> Column:
+    """A rating-like or digits-only value is not a business type.
+
+    ``cleaned`` (here and in C4, C5): a column that already holds
+    ``clean_unicode(col)``, for jobs that apply several rules to one text."""
     c = _c(col)
     return (F.when(c.isNull() | (c == ""), F.lit(""))
             .when(c.rlike(rf"^[0-9]+\.[0-9]+{WS}*\([0-9]"), F.lit(""))
             .when(c.rlike(rf"^[0-9{WS_BODY}.,()]+\z"), F.lit(""))
-            .otherwise(clean_unicode(c)))
+            .otherwise(clean_unicode(c) if cleaned is None else _c(cleaned)))
 
 
 def standard_price(col) -> Column:
@@ -181,13 +184,13 @@ def standard_price(col) -> Column:
             .otherwise(F.lit("")))
 
 
-def standard_hours(col) -> Column:
+def standard_hours(col, cleaned=None) -> Column:
     """C4: tidy one hours text; ``''`` when too short or without any ASCII.
 
     Written as one linear chain: the 24-hour condition is a lookahead and the
     final length/ASCII test a single replacement, so every step reads its
     input once."""
-    c = clean_unicode(col)
+    c = clean_unicode(col) if cleaned is None else _c(cleaned)
     c = F.regexp_replace(c, "(?i)Copy open hours", "")
     c = F.regexp_replace(c, "複製營業時間", "")
     c = F.regexp_replace(c, f"(?i){WB_BEFORE}See more hours{WB_AFTER}", "")
@@ -217,11 +220,11 @@ def _korea_move(c: Column) -> Column:
     return let(_korea_postal(c), with_postal)
 
 
-def standard_address(col) -> Column:
+def standard_address(col, cleaned=None) -> Column:
     """Clean an address, cut trailing opening-hours text, format Japanese
     and Korean postal codes (Korean code moves to the front only when it
     starts in the last 20 % of the text)."""
-    c = clean_unicode(col)
+    c = clean_unicode(col) if cleaned is None else _c(cleaned)
     c = F.regexp_replace(c, JS_SHORTER_THAN_5, "")
     # cutting at each word in turn = cutting once at the earliest of them
     c = F.regexp_replace(c, ADDRESS_TAIL, "")

@@ -196,12 +196,13 @@ FROM documents
 def standardise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2–C5, C7, C10, C12–C14 applied to whole document texts and sizes."""
     docs = load(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
+    docs = docs.withColumn("cleaned", T.clean_unicode("text"))       # once for C2, C4 and C5
     return docs.select(
         "doc_id",
-        T.standard_type("text").alias("std_type"),
+        T.standard_type("text", "cleaned").alias("std_type"),
         T.standard_price("text").alias("std_price"),
-        T.standard_hours("text").alias("std_hours"),
-        T.standard_address("text").alias("std_address"),
+        T.standard_hours("text", "cleaned").alias("std_hours"),
+        T.standard_address("text", "cleaned").alias("std_address"),
         T.standard_phone("text").alias("std_phone"),
         T.is_email("text").alias("is_email"),
         T.standard_rating("text").alias("std_rating"),
