@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from placeweave.session import scratch_path
+from placeweave.sources.tables import spread
 
 # A word, as all contracts define it: what ASCII white space leaves.
 # ``bytes.split()`` cuts at exactly these bytes.
@@ -21,7 +22,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """All documents; dealt out evenly only where the session asks for it."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
