@@ -40,7 +40,8 @@ SUPPLEMENTARY = r"[^\x{10000}-\x{10FFFF}]"
 # alternation; everything from the earliest of them on is removed.
 ADDRESS_TAIL = r"(?is)(?:營業中|已打烊|Opens|Closes|⋅).*\z"
 
-# Patterns shared by several rules.
+# Shapes of ratings, price ranges and e-mail addresses that
+# several rules share.
 RATING_WITH_COUNT = rf"^[0-9.]+{WS}*\([0-9,]+\)\z"       # "4.9(200)", "4.6 (2,846)"
 PRICE_RANGE = r"^[0-9]{2,3}-[0-9]{2,3}\z"                # "200-400"
 EMAIL_IN_TEXT = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
@@ -191,6 +192,7 @@ def standard_hours(col, cleaned=None) -> Column:
     final length/ASCII test a single replacement, so every step reads its
     input once."""
     c = clean_unicode(col) if cleaned is None else _c(cleaned)
+    # fixed values: button captions that stick to the text
     c = F.regexp_replace(c, "(?i)Copy open hours", "")
     c = F.regexp_replace(c, "複製營業時間", "")
     c = F.regexp_replace(c, f"(?i){WB_BEFORE}See more hours{WB_AFTER}", "")
@@ -252,6 +254,7 @@ def standard_phone(col, taiwan_brackets: bool = False) -> Column:
     kept_runs = F.regexp_extract_all(c, F.lit(rf"[0-9+{WS_BODY}\-()]+"), 0)
     kept = js_trim(F.array_join(kept_runs, ""))
     kept = F.regexp_replace(kept, r"^[^0-9]*\z", "")
+    # fixed values: the two Taiwanese shapes
     landline = rf"^0[0-9]{{1,2}}{sep}?[0-9]{{3,4}}{sep}?[0-9]{{3,4}}\z"
     mobile = rf"^09[0-9]{{2}}{sep}?[0-9]{{3}}{sep}?[0-9]{{3}}\z"
     bracket = rf"^\(0([0-9]{{1,2}})\){sep}?([0-9]{{3,4}}){sep}?([0-9]{{3,4}})\z"

@@ -82,7 +82,7 @@ def _clean_hours_text(c: Column, drop_emoji: bool = False) -> Column:
 def _candidate_exprs() -> tuple[list[Column], Column, Column]:
     """Per-page candidate lists, the hours panel and the first hours button
     (built once per process: they only name columns)."""
-    els = F.col("elements")
+    els = F.col("elements")      # fixed values below: the captured pages' tags and attribute texts
 
     def tag(name):
         return X.select(els, lambda e: X.is_tag(e, name))
@@ -192,6 +192,7 @@ def _fill_24h(entries: Column, button: Column) -> Column:
 
 def _fill_24h_bound(entries: Column, button: Column) -> Column:
     btn_text = F.coalesce(F.nullif(_txt(button), F.lit("")), X.attr(button, "aria-label"), F.lit(""))
+    # fixed values: what says "all day"
     is24 = _any_contains(btn_text, ("24 小時", "24小時", "24 hours", "24h"))
     n = F.size(entries)
     all24 = F.forall(entries, lambda x: _any_contains(x["hours"], ("24 小時", "24小時", "24 hours"))
@@ -209,7 +210,7 @@ def _fill_24h_bound(entries: Column, button: Column) -> Column:
 def _hours_fallbacks() -> tuple[Column, Column, Column]:
     """D5, D6, D7 candidates (each NULL when nothing qualifies)."""
     els = F.col("elements")
-    lists = [
+    lists = [        # fixed values: selectors in priority order
         F.filter("_buttons", lambda b: X.attr_contains(b, "data-item-id", "hour")),
         F.filter("_buttons", lambda b: X.attr_contains(b, "data-item-id", "oh")),
         F.filter("_buttons", lambda b: X.attr_contains(b, "aria-label", "Hours")),
@@ -255,7 +256,7 @@ def _korea_detail(a: Column) -> Column:
 
 def _address() -> Column:
     """Labelled address button; label prefix removed; country rules."""
-    btn = X.first_match(
+    btn = X.first_match(        # fixed values: selectors in priority order
         F.filter("_buttons", lambda b: X.attr_equals(b, "data-item-id", "address")),
         F.filter("_buttons", lambda b: X.attr_contains(b, "aria-label", "Address")),
         F.filter("_buttons", lambda b: X.attr_contains(b, "aria-label", "address")),

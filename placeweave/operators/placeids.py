@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.functions.text import js_trim, let
+from placeweave.functions.text import float_prefix, js_trim, let
 
 # The id patterns, in priority order.
 PLACE_PATH = r"/place/[^/]+/([^/?]+)"
@@ -19,7 +19,6 @@ DATA_CHI = r"[!&]1s(ChI[^!&?]+)"
 PID_19S = r"!19s(ChI[^!&?]+)"
 HEX_ID = r"[!&]1s(0x[0-9a-f]+:0x[0-9a-f]+)"
 COORDS = r"!3d([^!]+)!4d([^!]+)"
-FLOAT_PREFIX = r"^[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]*([+-]?(?:Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?))"
 
 TWO_32 = 4294967296
 TWO_31 = 2147483648
@@ -91,8 +90,7 @@ def with_place_id(links: DataFrame) -> DataFrame:
 
 def coordinate_of(href: Column, i: int) -> Column:
     """L4 for one coordinate (1 = latitude, 2 = longitude)."""
-    lit = F.regexp_extract(F.regexp_extract(href, COORDS, i), FLOAT_PREFIX, 1)
-    return F.when(href.rlike(COORDS), F.nullif(lit, F.lit("")).try_cast("double"))
+    return F.when(href.rlike(COORDS), float_prefix(F.regexp_extract(href, COORDS, i)))
 
 
 def with_coordinates(links: DataFrame) -> DataFrame:

@@ -397,7 +397,7 @@ def _place_id_sql() -> str:
 
 
 def _coord_sql(i: int) -> str:
-    lit = S.extract(S.extract("href", L.COORDS, i), L.FLOAT_PREFIX, 1)
+    lit = S.float_literal(S.extract("href", L.COORDS, i))
     return f"CASE WHEN {S.rlike('href', L.COORDS)} THEN try_cast(nullif({lit}, '') AS DOUBLE) END"
 
 
