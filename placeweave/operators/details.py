@@ -35,8 +35,7 @@ AMPM_TIME = rf"[0-9]{{1,2}}{WS}*(:|：){WS}*[0-9]{{2}}{WS}*(AM|PM|am|pm)"
 FACILITY_WORDS = ("自助餐廳", "泳池", "健身", "餐廳", "Pool", "Gym", "Restaurant", "Buffet", "Spa", "Bar", "Lounge",
                   "酒吧", "大廳", "Lobby")
 MAIN_HOURS_WORDS = ("24", "週", "Monday", "星期", "Daily", "每日", "Open", "營業")
-STATUS_START = r"^(Open|Closed|營業中|已打烊|열림|닫힘)"
-STATUS_BYTES = 12        # no word above is longer in UTF-8
+STATUS_WORDS = ("Open", "Closed", "營業中", "已打烊", "열림", "닫힘")
 PRIVATE_USE = r"[\x{E000}-\x{F8FF}]"
 EMOJI_PLANE = r"[\x{1F000}-\x{1FFFF}]"
 # Address, phone and website labels.
@@ -238,10 +237,14 @@ def _hours_fallbacks() -> tuple[Column, Column, Column]:
         _first(F.filter(m, lambda e: _any_contains(_txt(e), MAIN_HOURS_WORDS))), _first(m)))))
 
     def d7_match(e):
-        # the words are short and anchored: the element's first bytes decide
+        # the words are anchored: compare the element's first bytes, decode nothing
         parent = X.parent_of(els, e)
-        head = X.text_range(e["t0"], F.least(e["t1"], e["t0"] + STATUS_BYTES))
-        return head.rlike(STATUS_START) & parent.isNotNull() & _any_contains(_txt(parent), ("⋅", "·"))
+        starts = F.lit(False)
+        for word in STATUS_WORDS:
+            raw = word.encode()
+            starts = starts | ((e["t1"] - e["t0"] >= len(raw))
+                               & (F.substring(F.col("doc_bytes"), e["t0"] + 1, F.lit(len(raw))) == F.lit(bytearray(raw))))
+        return starts & parent.isNotNull() & _any_contains(_txt(parent), ("⋅", "·"))
     hit = _first(F.filter("_sds", d7_match))
     d7 = _clean_hours_text(_txt(X.parent_of(els, hit)))
     return d5, d6, d7
