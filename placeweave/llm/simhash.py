@@ -184,6 +184,24 @@ def links(spark: SparkSession, fps: DataFrame, distance: int = DISTANCE) -> Data
     return ordered.mapInArrow(_links(distance), "u long, v long").distinct()
 
 
+def _in_components(docs: DataFrame, shingle: int, distance: int, doc_id: str, text: str) -> DataFrame:
+    """``(doc_id, row_key, fp, component_id, root)``; ``root`` is a fingerprint
+    that names the component, whatever ids its rows have."""
+    rows = written(fingerprints(docs, shingle, doc_id, text), "simhash-rows")
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-fps")
+    star = components(links(docs.sparkSession, fps.select("fp"), distance))
+    # signed order of the nodes only names the component; the id is a minimum
+    member = star.unionByName(star.select("v").distinct().select(F.col("v").alias("u"), "v"))
+    grouped = fps.join(member, F.col("fp") == F.col("u"))
+    least = grouped.groupBy(F.col("v").alias("of")).agg(F.min("first_doc").alias("component"))
+    of_fp = grouped.join(least, F.col("v") == F.col("of")).select(F.col("fp").alias("g_fp"), "component", "v")
+    look = (fps.join(of_fp, F.col("fp") == F.col("g_fp"), "left")
+            .select(F.col("fp").alias("l_fp"),
+                    F.when(F.col("g_fp").isNotNull(), F.col("component")).otherwise(F.col("first_doc")).alias("component_id"),
+                    F.coalesce("v", "fp").alias("root")))
+    return rows.join(look, F.col("fp") == F.col("l_fp")).drop("l_fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, row_key, fp, component_id)`` for every row of ``docs``.
@@ -194,30 +212,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     any other.  Repeated rows all appear.  An empty table gives no rows; other
     columns are not read.
     """
-    rows = written(fingerprints(docs, shingle, doc_id, text), "simhash-rows")
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-fps")
-    star = components(links(docs.sparkSession, fps.select("fp"), distance))
-    # signed order of the nodes only names the component; the id is a minimum
-    member = star.unionByName(star.select("v").distinct().select(F.col("v").alias("u"), "v"))
-    grouped = fps.join(member, F.col("fp") == F.col("u"))
-    least = grouped.groupBy(F.col("v").alias("root")).agg(F.min("first_doc").alias("component"))
-    of_fp = grouped.join(least, F.col("v") == F.col("root")).select(F.col("fp").alias("g_fp"), "component")
-    look = (fps.join(of_fp, F.col("fp") == F.col("g_fp"), "left")
-            .select(F.col("fp").alias("l_fp"),
-                    F.when(F.col("g_fp").isNotNull(), F.col("component")).otherwise(F.col("first_doc")).alias("component_id")))
-    return rows.join(look, F.col("fp") == F.col("l_fp")).drop("l_fp")
+    return _in_components(docs, shingle, distance, doc_id, text).drop("root")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
                 doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept: of each component the one with the
-    smallest doc_id (repeated rows of that id: one of them; a component of
-    null ids: the row with the smallest text hash)."""
-    found = near_duplicates(docs, shingle, distance, doc_id, text)
+    smallest doc_id (several rows of that id: the one with the smallest text
+    hash; a component of null ids: likewise).  An id whose texts are in two
+    components is kept once in each."""
+    found = _in_components(docs, shingle, distance, doc_id, text)
     keep = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("fp", "component_id").agg(F.min(F.struct("row_key", "doc_id")).alias("k"), F.count(F.lit(1)).alias("n"))
-            .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
-            .agg(F.min("k").alias("k"), F.sum("n").alias("n")))
+            .groupBy("root").agg(F.min(F.struct("row_key", "doc_id")).alias("k"), F.count(F.lit(1)).alias("n")))
     k_id, k_key, k_n = fresh(docs, "keep_id", "keep_key", "keep_n")
     keep = keep.select(F.col("k.doc_id").alias(k_id), F.col("k.row_key").alias(k_key), F.col("n").alias(k_n))
     d, t = docs[f"`{doc_id}`"], docs[f"`{text}`"]

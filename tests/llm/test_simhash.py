@@ -100,6 +100,14 @@ def test_odd_documents(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.one_of_each(no_docs).count() == 0
 
 
+def test_an_id_with_texts_in_two_components_keeps_both(make_docs, odd_docs):
+    one, two = prose("en", 8, 90), prose("de", 88, 80)
+    docs = [(5, one), (9, one), (5, two), (7, two), (5, two), (None, "a b c"), (None, "a b c")]
+    kept = simhash.one_of_each(make_docs(docs)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(5, one), (5, two), (None, "a b c")], key=str)
+    assert {r["text"] for r in simhash.one_of_each(odd_docs).collect() if r["doc_id"] == 8} == {one, two}
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     chain = [(i, i + 1) for i in range(100, 160)]
