@@ -73,11 +73,13 @@ def classify(text: str | None, by: dict[str, zstandard.ZstdCompressor]) -> tuple
 
 def fit(rows: DataFrame, lang: str = "lang", text: str = "text", order=None) -> dict[str, list[str]]:
     """Samples per language from rows with a language and a letter; null
-    languages and texts teach nothing.  ``order`` draws the sample."""
+    languages and texts teach nothing, copies of a sample teach it once.
+    ``order`` draws the sample."""
     known = rows.select(F.col(f"`{lang}`").alias("lang"),
                         F.substring(F.col(f"`{text}`"), 1, SAMPLE_CHARS).alias("piece"),
                         (F.xxhash64(F.col(f"`{text}`")) if order is None else order).alias("order"))
     known = known.where(F.col("lang").isNotNull() & F.col("piece").rlike("\\p{L}"))
+    known = known.groupBy("lang", "piece").agg(F.min("order").alias("order"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "piece"))
     samples: dict[str, list[str]] = {}
     for row in known.withColumn("n", rank).where(F.col("n") <= SAMPLE_ROWS).orderBy("lang", "n").toLocalIterator():

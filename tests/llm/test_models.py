@@ -42,6 +42,16 @@ def test_language_of_odd_documents(odd_docs, no_docs):
     assert langid.predict(no_docs, samples).count() == 0
 
 
+def test_language_samples_are_different_texts(make_docs):
+    from placeweave.llm.common import md5_long
+    texts = [prose("en", i, 90) for i in range(80)]
+    docs = make_docs([(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[0]) for i in range(200)])
+    for order in (None, md5_long(F.col("text")), F.when(F.col("text") == texts[0], -2 ** 63).otherwise(F.xxhash64("text"))):
+        got = langid.fit(docs, order=order)["en"]
+        assert len(got) == len(set(got)) == langid.SAMPLE_ROWS and set(got) <= {t[:langid.SAMPLE_CHARS] for t in texts}
+    assert got[0] == texts[0][:langid.SAMPLE_CHARS]
+
+
 def test_language_margin():
     by = langid.encoders({k: [prose(k, i, 200) for i in range(3)] for k in ("en", "de", "fr")})
     for k in by:
