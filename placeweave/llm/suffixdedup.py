@@ -18,6 +18,12 @@ one segment.
    the same string, and the smallest id among them keeps it.
 3. The removed strings of each document are merged and cut out.
 
+An anchor whose different segments hold more than ``HOT_BYTES`` (a passage that
+very many documents share amid different surroundings) would be one group in
+one task.  Anchors are counted first, in hashed cells; segments of a cell above
+the bound are dealt out string by string, by the hash of all ``width`` bytes, so
+no group outgrows the records that its tasks send: one per string.
+
 Records are packed by hash bucket (see ``packed``).  A task gives its own
 later copies of a segment away before it sends anything, so a passage that
 very many documents share costs one record per task.
@@ -34,12 +40,14 @@ from pyspark.sql import functions as F
 
 from placeweave.llm.common import bucket_count, estimate_bytes, merged, mix64, runs, written
 from placeweave.llm.packed import (SCHEMA, Rolling, batch_of, chunks, gaps, number_rows, pack, split, texts_with_records,
-                                   to_docs, unpack, with_texts)
+                                   second_rolling, to_docs, unpack, with_texts)
 
 WIDTH, GRAM = 50, 20
 #: Segments, and segment bytes that are sorted together, per bucket (about).
 SEGMENTS_PER_BUCKET, SORTED_BYTES = 500_000, 8 << 20
 TEXT_PER_BUCKET = 32 << 20
+#: Bytes of different segments above which a cell of anchors is dealt out by string.
+HOT_BYTES = SORTED_BYTES
 REQUEST, LOST, SEGMENT = 1, 2, 3
 _CHUNK, _FLUSH = 512 << 10, 1_000_000
 _CONTENT = np.uint64(16)
@@ -90,10 +98,57 @@ def _settle(anchor, content, doc):
     return order, late, several
 
 
-def _segments(width: int, gram: int, n: int, n_docs: int):
-    """Documents → segments by anchor bucket."""
+def _byte_hash() -> np.ndarray:
+    return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _cell(anchor: np.ndarray, cells: int) -> np.ndarray:
+    return (anchor % np.uint64(cells)).astype(np.int64)
+
+
+def _weigh(width: int, gram: int, cells: int):
+    """Documents → bytes of different segments per cell of anchors."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roll, byte_hash = Rolling(), _byte_hash()
+        total = np.zeros(cells, np.int64)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush():
+            anchor, content, count = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            _, one = np.unique(content, return_index=True)
+            np.add.at(total, _cell(anchor[one], cells), count[one] + (width - 1))
+
+        for chunk in chunks(batches, _CHUNK):
+            texts = [x[2] for x in chunk if x[0] is not None and len(x[2]) >= width]
+            if not texts:
+                continue
+            _, count, anchor, content = segments(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]),
+                                                 roll, byte_hash, width, gram)
+            held.append((anchor, content, count))
+            if sum(len(x[0]) for x in held) >= _FLUSH:
+                flush()
+        if held:
+            flush()
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+    return run
+
+
+def hot_cells(rows: DataFrame, width: int, gram: int, cells: int) -> np.ndarray:
+    """Cells above ``HOT_BYTES``: at most the corpus's segment bytes divided
+    by that bound reach the driver."""
+    weighed = rows.mapInArrow(_weigh(width, gram, cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return np.array([r["cell"] for r in weighed.where(F.col("n") > HOT_BYTES).select("cell").collect()], np.int64)
+
+
+def _segments(width: int, gram: int, n: int, n_docs: int, cells: int, hot: np.ndarray):
+    """Documents → segments by anchor bucket; segments of the hot cells as
+    single strings, whose anchor and content are hashes of the string."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, byte_hash = Rolling(), mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        roll, other, byte_hash = Rolling(), second_rolling(), _byte_hash()
+        is_hot = np.zeros(cells, bool)
+        is_hot[hot] = True
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush():
@@ -114,8 +169,14 @@ def _segments(width: int, gram: int, n: int, n_docs: int):
             if not chunk:
                 continue
             ends = np.cumsum([len(x[2]) for x in chunk])
-            first, count, anchor, content = segments(np.frombuffer(b"".join(x[2] for x in chunk), np.uint8), ends,
-                                                     roll, byte_hash, width, gram)
+            flat = np.frombuffer(b"".join(x[2] for x in chunk), np.uint8)
+            first, count, anchor, content = segments(flat, ends, roll, byte_hash, width, gram)
+            apart = is_hot[_cell(anchor, cells)]
+            if apart.any():
+                at = _ranges(first[apart], count[apart])
+                name, check = (mix64(r.spans(r.sums(byte_hash[flat]), at, at + width)) for r in (roll, other))
+                first, count = np.r_[first[~apart], at], np.r_[count[~apart], np.ones(len(at), np.int64)]
+                anchor, content = np.r_[anchor[~apart], name], np.r_[content[~apart], check]
             which = np.searchsorted(ends, first, "right")
             doc = np.array([x[0] for x in chunk], np.int64)[which]
             twin = np.array([x[1] for x in chunk], np.int32)[which]
@@ -377,8 +438,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
     n = bucket_count(spark, 2 * size // (width - gram + 2), SEGMENTS_PER_BUCKET)
     n_sort = bucket_count(spark, size // 2, SORTED_BYTES)
     n_docs = bucket_count(spark, size, TEXT_PER_BUCKET)
+    cells = 1 << max(10, (64 * size // SORTED_BYTES).bit_length())     # an even cell holds a 16th of the bound
     rows = number_rows(docs, doc_id, text)
-    met = (rows.mapInArrow(_segments(width, gram, n, n_docs), SCHEMA).repartition("bucket")
+    hot = hot_cells(rows, width, gram, cells)
+    met = (rows.mapInArrow(_segments(width, gram, n, n_docs, cells, hot), SCHEMA).repartition("bucket")
            .sortWithinPartitions("bucket", "kind").mapInArrow(_meet(n_docs), SCHEMA))
     met = written(met, "suffix-met")
     sent = with_texts(rows, met.where(F.col("kind") == REQUEST), n_docs).mapInArrow(_cut_out(width, n_sort), SCHEMA)

@@ -89,6 +89,29 @@ def test_bytes_of_production_width(make_docs):
     check_bytes(suffixdedup.remove_repeats(make_docs(docs, 5)).collect(), docs, 50)
 
 
+def test_a_hot_anchor_is_split(make_docs, monkeypatch):
+    """One passage in many documents, each time amid other text: without the
+    split all of its anchor's segments meet in one sort."""
+    rng = random.Random(11)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = noise(300)
+    docs = [(i, noise(60) + passage + noise(60)) for i in range(120)] + [(500 + i, "ab" * (100 + i)) for i in range(4)]
+    monkeypatch.setattr(suffixdedup, "HOT_BYTES", 4000)
+    asked, real = [], suffixdedup.written
+
+    def spy(df, name):
+        out = real(df, name)
+        if name == "suffix-met":
+            asked.extend(packed.unpack(bytes(r["data"]))[4] for r in out.where(f"kind = {suffixdedup.REQUEST}").collect())
+        return out
+    monkeypatch.setattr(suffixdedup, "written", spy)
+    check_bytes(suffixdedup.remove_repeats(make_docs(docs, 4)).collect(), docs, 50)
+    per_anchor = np.unique(np.concatenate(asked), return_counts=True)[1] if asked else np.zeros(1, int)
+    assert per_anchor.max() * 50 <= 4000
+
+
 def test_odd_documents(odd_docs, no_docs):
     from conftest_rows import ODD
     check_words(substring.remove_repeats(odd_docs).collect(), ODD, 50)
