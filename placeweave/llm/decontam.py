@@ -125,7 +125,7 @@ class Matcher:
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
     block: list[tuple[int, str]] = []
     size = 0
-    rows = items.select(items[f"`{item_id}`"].alias("i"), items[f"`{text}`"].alias("t")).where("i is not null")
+    rows = items.select(items[f"`{item_id}`"].alias("i"), items[f"`{text}`"].alias("t")).where("t is not null")
     for i, t in rows.orderBy("i", "t").toLocalIterator():
         folded = fold(t)
         if block and size + len(folded) > BLOCK_CHARS:
@@ -142,8 +142,9 @@ def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, d
     ``docs`` and item found in it, with the smallest distance and where that
     occurrence ends in the folded text.
 
-    Null and empty texts match nothing, null and empty items are found
-    nowhere; items shorter than ``1 / error_rate`` must match exactly.
+    Null and empty texts match nothing, items with a null or empty text are
+    found nowhere; an item with a null id is searched like any other and
+    reported with that null id; items shorter than ``1 / error_rate`` must match exactly.
     Repeated rows and repeated items each have their own result rows.
     """
     spark = docs.sparkSession

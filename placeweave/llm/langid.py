@@ -74,12 +74,16 @@ def classify(text: str | None, by: dict[str, zstandard.ZstdCompressor]) -> tuple
 def fit(rows: DataFrame, lang: str = "lang", text: str = "text", order=None) -> dict[str, list[str]]:
     """Samples per language from rows with a language and a letter; null
     languages and texts teach nothing, copies of a sample teach it once.
-    ``order`` draws the sample."""
-    known = rows.select(F.col(f"`{lang}`").alias("lang"),
-                        F.substring(F.col(f"`{text}`"), 1, SAMPLE_CHARS).alias("piece"),
-                        (F.xxhash64(F.col(f"`{text}`")) if order is None else order).alias("order"))
+    ``order`` draws the sample; a row's piece starts at a hashed place of its
+    whole text.  Ranked in two steps, so no task holds a language's rows."""
+    t = F.col(f"`{text}`")
+    known = rows.select(F.col(f"`{lang}`").alias("lang"), t.alias("t"), (F.xxhash64(t) if order is None else order).alias("order"))
+    start = F.pmod(F.xxhash64("t", F.lit(1)), F.greatest(F.length("t") - SAMPLE_CHARS + 1, F.lit(1)).cast("long"))
+    known = known.select("lang", F.substring(F.col("t"), start.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("piece"), "order")
     known = known.where(F.col("lang").isNotNull() & F.col("piece").rlike("\\p{L}"))
     known = known.groupBy("lang", "piece").agg(F.min("order").alias("order"))
+    part = F.row_number().over(Window.partitionBy("lang", F.pmod("order", F.lit(64))).orderBy("order", "piece"))
+    known = known.withColumn("n", part).where(F.col("n") <= SAMPLE_ROWS)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "piece"))
     samples: dict[str, list[str]] = {}
     for row in known.withColumn("n", rank).where(F.col("n") <= SAMPLE_ROWS).orderBy("lang", "n").toLocalIterator():

@@ -8,7 +8,9 @@ term leaves most weights at exactly zero, so what is broadcast for scoring is
 a short list of (coordinate, weight), at most ``DIM`` long.
 
 The model is fitted on a sample of at most ``MAX_TRAINING_ROWS`` labelled rows
-(the smallest hashes of the id); every row is scored, over its whole text.
+(the smallest hashes of the id, then of the row) with at most
+``MAX_TRAINING_FEATURES`` coordinates in all; every row is scored, over its
+whole text.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ DIM_BITS = 20
 DIM = 1 << DIM_BITS
 #: Bound of the labelled sample that the model is fitted on.
 MAX_TRAINING_ROWS = 12_000
+#: Bound of the sample's coordinates (4 bytes each): what the fitting task holds.
+MAX_TRAINING_FEATURES = 64_000_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 STEM = 4
@@ -75,8 +79,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [(np.frombuffer(x, np.int32), y) for b in batches
-            for x, y in zip(b.column("at").to_pylist(), b.column("label").to_pylist())]
+    rows, held = [], 0
+    for b in batches:
+        for x, y in zip(b.column("at").to_pylist(), b.column("label").to_pylist()):
+            held += len(x) // 4
+            if held <= MAX_TRAINING_FEATURES:
+                rows.append((np.frombuffer(x, np.int32), y))
     model = Ftrl()
     for _ in range(EPOCHS):
         for at, label in rows:
@@ -92,9 +100,10 @@ def fit(docs: DataFrame, labels: DataFrame, learnable=None, max_rows: int = MAX_
 
     ``labels(doc_id, toxic)``; ``learnable`` (a Column of ``doc_id``) says
     which ids may be learned from.  Repeated labels of an id count as toxic if
-    one is; null ids and labels teach nothing.  The sample is broadcast to the
-    documents, whose texts are not shuffled; only the sampled rows' features
-    meet in one task, in a fixed order.
+    one is; null ids and labels teach nothing.  The sampled ids are broadcast to
+    the documents, whose texts are not shuffled; of the rows that they find
+    (more than ids, where documents repeat an id) the ``max_rows`` with the
+    smallest hashes meet in one task, in a fixed order.
     """
     known = labels.where("doc_id is not null and toxic is not null")
     if learnable is not None:
@@ -106,6 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable=None, max_rows: int = MAX_
             .join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"))
             .select("text", "label", F.xxhash64("doc_id", "text").alias("order")))
     model = (rows.mapInArrow(_extract, "order long, label int, at binary")
+             .orderBy("order", "label").limit(max_rows)
              .repartition(1).sortWithinPartitions("order", "label")
              .mapInArrow(_train, "at int, weight double").toPandas())
     return model["at"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)

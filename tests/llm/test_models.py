@@ -48,8 +48,18 @@ def test_language_samples_are_different_texts(make_docs):
     docs = make_docs([(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[0]) for i in range(200)])
     for order in (None, md5_long(F.col("text")), F.when(F.col("text") == texts[0], -2 ** 63).otherwise(F.xxhash64("text"))):
         got = langid.fit(docs, order=order)["en"]
-        assert len(got) == len(set(got)) == langid.SAMPLE_ROWS and set(got) <= {t[:langid.SAMPLE_CHARS] for t in texts}
-    assert got[0] == texts[0][:langid.SAMPLE_CHARS]
+        assert len(got) == len(set(got)) == langid.SAMPLE_ROWS
+        assert all(len(piece) == langid.SAMPLE_CHARS or piece in texts for piece in got)
+    assert got[0] in texts[0]
+
+
+def test_language_samples_start_anywhere(make_docs):
+    """Pieces are cut at hashed places, not from the start of the texts."""
+    texts = {prose("en", i, 400) for i in range(20)}
+    got = langid.fit(make_docs(list(enumerate(texts))))["en"]
+    places = [next(t.index(piece) for t in texts if piece in t) for piece in got]
+    assert len(got) == 20 and {len(piece) for piece in got} == {langid.SAMPLE_CHARS}
+    assert len(set(places)) > 10 and max(places) > 400
 
 
 def test_language_margin():
@@ -110,6 +120,28 @@ def test_toxicity_of_odd_documents(spark, odd_docs, no_docs):
     assert toxicity.clean(odd_docs, none).columns == odd_docs.columns
 
 
+def test_toxicity_sample_bounds_rows_and_coordinates(spark, monkeypatch):
+    """An id on very many rows does not widen the sample."""
+    docs = spark.createDataFrame([(1, prose("en", i, 30)) for i in range(500)] + [(2, "scum and moron")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches, train=toxicity._train):
+        batches = list(batches)
+        seen.add(sum(b.num_rows for b in batches))
+        yield from train(iter(batches))
+    monkeypatch.setattr(toxicity, "_train", counting)
+    toxicity.fit(docs, labels, max_rows=2)
+    assert seen.value == 2
+    batch = next(toxicity._extract(iter([__import__("pyarrow").RecordBatch.from_pydict(
+        {"order": [1, 2], "label": [1, 1], "text": ["scum scum", prose("en", 3, 50)]})])))
+    monkeypatch.undo()
+    monkeypatch.setattr(toxicity, "MAX_TRAINING_FEATURES", 4)
+    some = list(toxicity._train(iter([batch])))[0]
+    few = list(toxicity._train(iter([batch.slice(0, 1)])))[0]
+    assert some.equals(few)                                                # the second row is over the bound
+
+
 def test_ftrl_updates_by_hand():
     m = toxicity.Ftrl()
     m.learn(np.array([5]), 1)                                              # p = 0.5, gradient -0.5
@@ -184,10 +216,10 @@ def test_blocks_of_items_give_the_same(spark, make_docs, monkeypatch):
     docs = make_docs([(1, "x " + prose("de", 1, 30)), (2, prose("de", 2, 30)), (3, "none of it")])
     items = spark.createDataFrame([(k, prose("de", k, 30)) for k in range(4)] + [(9, None), (8, ""), (None, "x")],
                                   "item_id long, text string")
-    whole = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in decontam.matches(docs, items).collect())
+    whole = sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in decontam.matches(docs, items).collect()), key=str)
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 100)
-    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in decontam.matches(docs, items).collect()) == whole
-    assert whole == [(1, 1, 0), (2, 2, 0)]
+    assert sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in decontam.matches(docs, items).collect()), key=str) == whole
+    assert whole == [(1, 1, 0), (1, None, 0), (2, 2, 0)]
     assert [r["doc_id"] for r in decontam.clean(docs, items).collect()] == [3]
 
 
@@ -199,6 +231,9 @@ def test_leaks_in_odd_documents(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == len(ODD) - 4
     assert decontam.matches(no_docs, items).count() == 0 == decontam.clean(no_docs, items).count()
     assert decontam.clean(odd_docs, items.limit(0)).count() == len(ODD)
+    nameless = spark.createDataFrame([(None, prose("de", 2, 130)), (None, None), (3, "")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.matches(odd_docs, nameless).collect()] == [(2, None)]
+    assert 2 not in {r["doc_id"] for r in decontam.clean(odd_docs, nameless).collect()}
 
 
 # -- quality -----------------------------------------------------------------
