@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from placeweave.llm import decontam, langid, mixing, quality, sharding, simhash, substring, suffixdedup, toxicity, urlfilter
+from placeweave.llm import (decontam, divergence, filteraudit, langid, linededup, mixing, quality, sharding, simhash, substring,
+                            suffixdedup, toxicity, urlfilter)
 from placeweave.llm.common import documents, held_out, md5_long, table
-from placeweave.llm.queries_sql import SHARDING_SQL, SUBSTRING_SQL, SUFFIX_SQL, URL_FILTER_SQL
+from placeweave.llm.queries_sql import (DIVERGENCE_SQL, FILTER_AUDIT_SQL, LINE_SQL, SHARDING_SQL, SUBSTRING_SQL, SUFFIX_SQL,
+                                        URL_FILTER_SQL)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -135,6 +137,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# -- Audits and lines --------------------------------------------------------
+
+@register("op11_filter_audit", FILTER_AUDIT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@register("op12_line_dedup", LINE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.drop_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register("op13_source_divergence", DIVERGENCE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 # -- The pipeline ------------------------------------------------------------
 
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
