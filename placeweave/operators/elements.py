@@ -2,8 +2,10 @@
 ``closest`` as higher-order expressions over it.
 
 X1 is the one Python-side map of the library: an Arrow-batched
-``mapInArrow`` over the stdlib ``html.parser`` (narrow — no shuffle).  Per
-page it emits
+``mapInArrow`` over the stdlib ``html.parser`` and the tree rules of
+``htmltree`` (narrow — no shuffle).  A page of any kind, also a fragment, has
+the elements that a browser gives it: ``html``, ``head`` and ``body`` are
+implied, a null page has none.  Per page it emits
 
 * ``doc_bytes``: every text node of the page concatenated in document order
   (entities decoded, script/style content included, as ``textContent``),
@@ -25,145 +27,16 @@ no shuffle, no per-link copy of the element array.
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeweave.operators.htmltree import Tree
+
 ELEMENT_DDL = ("STRUCT<idx: INT, parent: INT, depth: INT, last: INT, tag: STRING, "
                "attrs: MAP<STRING, STRING>, t0: INT, t1: INT>")
 ELEMENTS_SCHEMA = (f"page_id BIGINT, url STRING, doc_bytes BINARY, elements ARRAY<{ELEMENT_DDL}>, "
                    "text_nodes ARRAY<STRUCT<t0: INT, t1: INT>>, parse_error STRING")
 
-# HTML void elements (never have children).
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Elements whose start closes an open <p> (HTML "p in button scope").
-CLOSES_P = frozenset(("address article aside blockquote details div dl fieldset figcaption figure footer form "
-                      "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt").split())
-P_SCOPE_BOUNDARY = frozenset("applet button caption html marquee object table td template th".split())
-_P_ONLY = frozenset({"p"})
-# Start tag → open tags it implicitly closes, up to a boundary.
-IMPLIED = {
-    "li": ({"li"}, {"ul", "ol"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select", "datalist"}),
-    "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
-    "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
-    "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
-}
-
-
-class _Flattener(HTMLParser):
-    """Tolerant tree builder: pop-to-match end tags, implied closes, voids."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []      # idx, parent, depth, last, tag, attrs, t0, t1 (byte offsets)
-        self.stack: list[int] = []
-        self.text: list[bytes] = []
-        self.nodes: list[list[int]] = []  # [t0, t1] of each text node (byte offsets)
-        self.pos = 0
-        self.in_text = False
-        self.open_count: dict[str, int] = {}   # open elements per tag name
-
-    def updatepos(self, i: int, j: int) -> int:
-        # html.parser keeps line/column numbers only for getpos(); not used here
-        return j
-
-    def _close_top(self) -> None:
-        i = self.stack.pop()
-        row = self.rows[i]
-        self.open_count[row[4]] -= 1
-        row[3] = len(self.rows) - 1
-        row[7] = self.pos
-
-    def _close_to(self, i: int) -> None:
-        while self.stack:
-            top = self.stack[-1]
-            self._close_top()
-            if top == i:
-                return
-
-    def _find_open(self, names, boundary) -> int | None:
-        # O(1) in the common case: nothing of that name is open
-        if not any(self.open_count.get(n, 0) for n in names):
-            return None
-        for i in reversed(self.stack):
-            tag = self.rows[i][4]
-            if tag in names:
-                return i
-            if tag in boundary:
-                return None
-        return None
-
-    def handle_starttag(self, tag, attrs):
-        self.in_text = False
-        if tag in IMPLIED:
-            names, boundary = IMPLIED[tag]
-            hit = self._find_open(names, boundary)
-            if hit is not None:
-                self._close_to(hit)
-        if tag in CLOSES_P and self.open_count.get("p", 0):
-            hit = self._find_open(_P_ONLY, P_SCOPE_BOUNDARY)
-            if hit is not None:
-                self._close_to(hit)
-        amap: dict[str, str] = {}
-        for k, v in attrs:
-            if k not in amap:            # the first of a repeated attribute wins
-                amap[k] = "" if v is None else v
-        idx = len(self.rows)
-        parent = self.stack[-1] if self.stack else -1
-        self.rows.append([idx, parent, len(self.stack), idx, tag, amap, self.pos, self.pos])
-        if tag in VOID:
-            return
-        self.stack.append(idx)
-        self.open_count[tag] = self.open_count.get(tag, 0) + 1
-
-    def handle_startendtag(self, tag, attrs):
-        # HTML ignores the self-closing slash on non-void elements.
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        self.in_text = False
-        if not self.open_count.get(tag, 0):
-            return                       # an end tag with no open element is ignored
-        for i in reversed(self.stack):
-            if self.rows[i][4] == tag:
-                self._close_to(i)
-                return
-        # an end tag with no open element is ignored
-
-    def handle_data(self, data):
-        if data:
-            chunk = data.encode("utf-8", "replace")
-            if self.in_text:
-                self.nodes[-1][1] += len(chunk)
-            else:
-                self.nodes.append([self.pos, self.pos + len(chunk)])
-                self.in_text = True
-            self.text.append(chunk)
-            self.pos += len(chunk)
-
-    def handle_comment(self, data):
-        self.in_text = False
-
-    def parse_marked_section(self, i, report=1):
-        # ``<![`` is a bogus comment in HTML; the base class refuses some forms
-        return self.parse_bogus_comment(i)
-
-    def unknown_decl(self, data):
-        self.in_text = False
-
-    def finish(self):
-        self.close()
-        while self.stack:
-            self._close_top()
-        return b"".join(self.text), self.rows
-
 
 def flatten_html(html: str | None):
     """Python model of X1 for one page: ``(doc_bytes, rows)``; the text-node
@@ -181,14 +54,15 @@ def flatten_page(html: str | None):
     """``(doc_bytes, rows, text_nodes, parse_error)`` for one page.  A page that
     the parser refuses yields no elements and the reason, so a job neither
     dies on it nor passes a part of it off as the whole."""
-    parser = _Flattener()
+    if html is None:
+        return b"", [], [], None
+    tree = Tree()
     try:
-        if html:
-            parser.feed(html)
-        text, rows = parser.finish()
+        tree.feed(html)
+        tree.finish()
+        return *tree.rows(), None
     except Exception as exc:  # noqa: BLE001 — reported per page
         return b"", [], [], f"{type(exc).__name__}: {exc}"
-    return text, rows, parser.nodes, None
 
 
 def _arrow_type():

@@ -132,6 +132,41 @@ def listings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "businessType", "phone", "url")
 
 
+def fragment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One captured fragment per customer, without ``html`` or ``body`` and with
+    the nesting faults that a browser repairs (by ``key % 6``): a bare link
+    beside its name; a card inside a table outside its cells; a card that is
+    never closed; formatting closed across a block; rows without a table; a
+    link closed by the next link."""
+    link = _text('<a href="/maps/place/P/ChIJf', key(), '">')
+    name = _text('<div class="fontHeadlineSmall">', F.col("c_name"))
+    phone = _text("(02) 2345-", F.lpad((key() % 10000).cast("string"), 4, "0"))
+    card = '<div jsaction="mouseover:pane.c">'
+    html = _pick(
+        key() % 6,
+        _text(link, "</a>", name, "</div><div>", phone),
+        _text("<table>", link, "</a>", name, "</div><tr><td>", phone, "</table>"),
+        _text(card, link, "</a><p>", name, "</div><p>", phone),
+        _text("<b>", card, link, "</a>", name, "</b></div>", phone, "</div>"),
+        _text(card, "<tr><td>", link, "</a></td>", name, "</div></tr>", phone, "</table></div>"),
+        _text(card, link, link, "</a>", name, "</div></div>", phone))
+    return load(spark, sf_dir, "customer", "c_custkey", "c_name").select(
+        key().cast("long").alias("page_id"), F.lit(f"{SITE}/maps/search/x").alias("url"), html.alias("html"))
+
+
+@register("listing_fragments", f"""
+SELECT k AS page_id, CAST(0 AS INTEGER) AS pos, c_name AS name, 'ChIJf' || k AS placeId,
+       CASE WHEN k % 6 <> 5 THEN '(02) 2345-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') END AS phone,
+       '{SITE}/maps/place/P/ChIJf' || k AS url
+FROM (SELECT *, c_custkey AS k FROM customer)
+""")
+def listing_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 + L1–L12 over fragments: a link's ancestors are those that a browser
+    gives it.  In the last variant the phone stands outside the card."""
+    rows = listings(X.page_elements(fragment_pages(spark, sf_dir)))
+    return rows.select("page_id", "pos", "name", "placeId", "phone", "url")
+
+
 # ---------------------------------------------------------------------------
 # Detail pages
 # ---------------------------------------------------------------------------

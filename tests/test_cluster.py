@@ -30,4 +30,4 @@ def test_a_submitted_master_stays_and_x1_runs_anywhere(tmp_path):
         df = spark.createDataFrame([(1, "u", "<p>a</p><p>b</p>")], "page_id long, url string, html string")
         print("ELEMENTS", len(page_elements(df).first().elements))
         """, "--master local[2]")
-    assert "MASTER local[2]" in out and "ELEMENTS 2" in out
+    assert "MASTER local[2]" in out and "ELEMENTS 5" in out

@@ -23,9 +23,9 @@ def _listing_html():
 def test_flatten_text_ranges():
     text, rows = flatten_html("<div><p>a<b>b</b><p>c</div><script>x='</p>'</script>")
     tags = [r[4] for r in rows]
-    assert tags == ["div", "p", "b", "p", "script"]
-    assert [text[r[6]:r[7]].decode() for r in rows] == ["abc", "ab", "b", "c", "x='</p>'"]
-    assert rows[0][3] == 3 and rows[1][3] == 2     # last descendant
+    assert tags == ["html", "head", "body", "div", "p", "b", "p", "script"]
+    assert [text[r[6]:r[7]].decode() for r in rows[3:]] == ["abc", "ab", "b", "c", "x='</p>'"]
+    assert rows[3][3] == 6 and rows[4][3] == 5     # last descendant
 
 
 def test_listing_fixture(spark):
@@ -86,4 +86,5 @@ def test_flatten_deep_unclosed_is_linear():
     t = time.perf_counter()
     text, rows = flatten_html(html)
     assert time.perf_counter() - t < 3.0          # was ~9 s with a stack scan per tag
-    assert len(rows) == 22000 and text == b"x" * 2000
+    assert len(rows) == 22003 and text == b"x" * 2000
+    assert max(r[2] for r in rows) < 520          # browsers stop nesting there too
