@@ -236,6 +236,8 @@ class Tree(HTMLParser):
     def _before_body(self, tag: str, attrs: dict[str, str]) -> bool:
         """Whether the start tag was settled before a body was there."""
         if self.stack and self.tags[self.stack[-1]] not in ("html", "head"):
+            if tag == "head" or tag == "body" and self.count.get("template", 0):
+                return True
             if tag != "body" and self.tags[self.stack[-1]] in ("noscript", "template") or self.tags[self.stack[-1]] not in HEAD_ONLY:
                 self._insert(tag, attrs, leaf=tag in VOID)
                 return True
