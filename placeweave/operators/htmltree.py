@@ -238,10 +238,12 @@ class Tree(HTMLParser):
         if self.stack and self.tags[self.stack[-1]] not in ("html", "head"):
             if tag == "head" or tag == "body" and self.count.get("template", 0):
                 return True
-            if tag != "body" and self.tags[self.stack[-1]] in ("noscript", "template") or self.tags[self.stack[-1]] not in HEAD_ONLY:
-                self._insert(tag, attrs, leaf=tag in VOID)
-                return True
-            self._pop()
+            inside = self.tags[self.stack[-1]]
+            if tag != "body":
+                if inside in ("noscript", "template") or inside not in HEAD_ONLY:
+                    self._insert(tag, attrs, leaf=tag in VOID)
+                    return True
+                self._pop()
         if tag in HEAD_ONLY:
             self._start_head({})
             closed = self.head not in self.is_open           # after </head>: still the head's
