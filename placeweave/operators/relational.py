@@ -159,3 +159,16 @@ def anti_match(df: DataFrame, column: str, needles: Sequence[str]) -> DataFrame:
     for n in needles:
         hit = hit | low.contains(n.lower())
     return df.filter(~hit)
+
+
+def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], small_keys: list[str], parts: int = 16) -> DataFrame:
+    """Inner join (null-safe) of ``rows`` with a table of one row per key, in
+    which a key that holds very many rows goes to ``parts`` tasks: its rows are
+    dealt out by their own content, its one row is repeated for each."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c, kind in rows.dtypes if not kind.startswith("map")]), F.lit(parts))
+    left = rows.withColumn("_salt", salt.cast("int"))
+    right = small.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    on = F.col("_salt") == F.col("_copy")
+    for a, b in zip(keys, small_keys):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return left.join(right, on).drop("_salt", "_copy")

@@ -2,19 +2,22 @@
 
 All are grouped aggregates, anti joins or bounded per-key windows:
 * R1 uses ``cube`` (one shuffle, partial aggregation per grouping set);
-* R2 ranks every row; with a ``top_k`` the window gets a map-side
-  ``WindowGroupLimit``;
+* R2 ranks every row by range partitions and prefix sums of their counts;
+  with a ``top_k`` the window gets a map-side ``WindowGroupLimit``;
 * R6 keeps the two newest rows per key the same way, then folds them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeweave.operators.relational import explode_rows
+from placeweave.operators.relational import explode_rows, spread_join
+from placeweave.session import scratch_path
 
 
 def density(df: DataFrame, dims: Sequence[str], lat: str | None = None, lng: str | None = None,
@@ -33,24 +36,65 @@ def density(df: DataFrame, dims: Sequence[str], lat: str | None = None, lng: str
                         for d in dims], "n")
 
 
+def _ranks(df: DataFrame, group: str, order: list, keys: list[str]) -> DataFrame:
+    """``(keys…, _rank)``: the rank of every distinct key row in its group.
+
+    Key rows are counted, dealt out by range in the groups' order and written
+    with the number of their part.  A row's rank is one more than the rows of
+    its group in earlier parts and those before it in its own, so a group may
+    be larger than any task: windows hold one part's rows of a group, or one
+    number per part."""
+    spark = df.sparkSession
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    parts = counted.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id())
+    path = scratch_path(spark, "ranks")
+    parts.write.parquet(path)
+    parts = spark.read.schema(parts.schema).parquet(path)
+    sizes = parts.groupBy(F.col(group).alias("_s_group"), F.col("_part").alias("_s_part")).agg(F.sum("_n").alias("_size"))
+    earlier = Window.partitionBy("_s_group").orderBy("_s_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_earlier", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    before = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    of = F.col(group).eqNullSafe(F.col("_s_group")) & (F.col("_part") == F.col("_s_part"))
+    return inside.join(sizes, of).select(*keys, (F.col("_earlier") + F.col("_before") + 1).alias("_rank"))
+
+
 def rating_rank(df: DataFrame, group: str, score: str, top_k: int | None = None, tiebreak: str | None = None,
                 approx_quantiles: bool = False) -> DataFrame:
     """R2: every row's rank by ``score`` in its ``group`` (with ``top_k`` only
     the best ranks), and the group's count, mean (to the cent), min and max.
     ``approx_quantiles`` adds the group's approximate quartiles
-    (``percentile_approx``: mergeable sketches, partial aggregation)."""
+    (``percentile_approx``: mergeable sketches, partial aggregation).  Rows
+    without a group are ranked among themselves, those without a score last;
+    equal rows share a rank."""
     order = [F.col(score).desc()] + ([F.col(tiebreak).asc()] if tiebreak else [])
-    w = Window.partitionBy(group).orderBy(*order)
-    top = df.withColumn("rank", F.rank().over(w))
-    if top_k is not None:
-        top = top.filter(F.col("rank") <= top_k)
+    if top_k is not None:                # a map-side group limit: few rows of a group move
+        w = Window.partitionBy(group).orderBy(*order)
+        top = df.withColumn("rank", F.rank().over(w).cast("long")).filter(F.col("rank") <= top_k)
+    else:
+        keys = [group, score, *([tiebreak] if tiebreak else [])]
+        ranks = _ranks(df, group, order, keys).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        top = df.join(ranks, same).drop(*[f"_k{i}" for i in range(len(keys))]).withColumnRenamed("_rank", "rank")
     cents = F.sum(F.round(F.col(score) * 100)) * 1.0 / F.count(F.lit(1))      # whole cents: exact in any order
     aggs = [F.count(F.lit(1)).alias("group_n"), (F.floor(cents + 0.5) / 100).alias("group_avg"),
             F.min(score).alias("group_min"), F.max(score).alias("group_max")]
     if approx_quantiles:
         aggs.append(F.percentile_approx(score, [0.25, 0.5, 0.75], 10000).alias("group_quartiles"))
-    stats = df.groupBy(group).agg(*aggs)
-    return top.join(stats, group)
+    stats = df.groupBy(F.col(group).alias("_of")).agg(*aggs)
+    return spread_join(top, stats, [group], ["_of"]).drop("_of")
+
+
+def rating_distribution(df: DataFrame, group: str, score: str, step: float = 1.0) -> DataFrame:
+    """R2: how many rows of each group fall into each score band (``band`` is
+    its lower end, null for rows without a score), their share of the group
+    and the share of the group that scores no higher than the band.  Bands are
+    counted by partial aggregates; a window holds one group's bands."""
+    bands = df.groupBy(group, (F.floor(F.col(score) / step) * step).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(group)
+    upto = whole.orderBy(F.col("band").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (bands.withColumn("share", F.col("n") / F.sum("n").over(whole))
+            .withColumn("share_upto", F.sum("n").over(upto) / F.sum("n").over(whole)))
 
 
 def no_website(business: DataFrame, captured: DataFrame | None = None, key: str = "website") -> DataFrame:

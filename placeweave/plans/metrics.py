@@ -96,45 +96,57 @@ def latency_stats(log: DataFrame, by: str = "scenario") -> DataFrame:
                       "min_ms", "max_ms", "avg_ms", "successes", "failures")
 
 
-def latency_percentiles(log: DataFrame, by: str = "scenario", value: str = "duration_ms",
-                        buckets: int = 1024) -> DataFrame:
-    """A5: p50/p90/p95/p99 as the element at 0-based index ``floor(n·p)`` of the
-    sorted values (upper nearest rank), per scenario and overall.
-
-    Exact, the same under any partitioning, and no task ever holds a whole
-    group:
-
-    1. a partial aggregate turns rows into a histogram ``(group, value, count)``
-       — a value repeated by a third of the rows is one row — and the overall
-       group is summed from the scenarios' histograms;
-    2. every value falls into one of ``buckets`` equal ranges between the
-       smallest and the largest value, a function of the value alone;
-    3. bucket counts give each bucket's offset inside its group (at most
-       ``buckets`` rows per group);
-    4. running counts inside each (group, bucket) plus the offset give every
-       value's rank range; the answer is the first value whose running count
-       reaches ``floor(n·p) + 1``."""
-    own = (log.filter(F.col(value).isNotNull()).groupBy(F.col(by).cast("string").alias("_grp"), F.col(value).alias("_v"))
+#: A5 reads values from the top, so many bits at a time.
+_DIGIT_BITS = 16
+_LOWEST = -(1 << 63)
+
+
+def _percentiles(log: DataFrame, by: str, value: str) -> DataFrame:
+    """``(_all, _grp, n, p50, p90, p95, p99)``; ``_all`` marks the overall row.
+
+    Selection by digits: values are integers, read as 64 bits in order of size.
+    A level counts, for each wanted rank, the digits that follow the prefix
+    found so far, and running counts say in which digit the rank lies.  Only
+    values under a wanted prefix are counted, a window holds at most
+    2 ** _DIGIT_BITS counts, and after the last digit the prefix is the value,
+    whatever the distribution."""
+    own = (log.filter(F.col(value).isNotNull()).groupBy(F.col(by).cast("string").alias("_grp"), F.col(value).cast("long").alias("_v"))
            .agg(F.count(F.lit(1)).alias("_n")))
-    hist = own.unionByName(own.groupBy("_v").agg(F.sum("_n").alias("_n")).withColumn("_grp", F.lit("ALL")))
-    edges = log.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / buckets
-    placed = (hist.join(F.broadcast(edges))      # one row
-              .withColumn("_b", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1)))
-                          .otherwise(F.lit(0)).cast("long"))
-              .drop("_lo", "_hi"))
-    counts = placed.groupBy("_grp", "_b").agg(F.sum("_n").alias("_bn"))
-    before = Window.partitionBy("_grp").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (counts.withColumn("_before", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
-              .withColumn("_total", F.sum("_bn").over(Window.partitionBy("_grp"))))
-    inside = Window.partitionBy("_grp", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select(F.col("_grp").alias("_g"), F.col("_b").alias("_c"), "_before", "_total")
-    ranked = placed.withColumn("_in", F.sum("_n").over(inside))
-    cum = (ranked.join(offsets, F.col("_grp").eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_c")))
-           .withColumn("_cum", F.col("_before") + F.col("_in")))
-    picks = [F.min(F.when(F.col("_cum") >= F.floor(F.col("_total") * p) + 1, F.col("_v"))).alias(name)
-             for name, p in PERCENTILES]
-    return cum.groupBy(F.col("_grp").alias(by)).agg(F.max("_total").alias("n"), *picks)
+    overall = own.groupBy("_v").agg(F.sum("_n").alias("_n")).select(F.lit(None).cast("string").alias("_grp"), "_v", "_n")
+    hist = (own.withColumn("_all", F.lit(False)).unionByName(overall.withColumn("_all", F.lit(True)))
+            .select(F.col("_all").alias("_h_all"), F.col("_grp").alias("_h_grp"),
+                    F.col("_v").bitwiseXOR(F.lit(_LOWEST)).alias("_k"), "_n"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("p"), (F.floor(F.col("n") * p) + 1).alias("rank")) for name, p in PERCENTILES]))
+    wanted = (hist.groupBy(F.col("_h_all").alias("_all"), F.col("_h_grp").alias("_grp")).agg(F.sum("_n").alias("n"))
+              .select("_all", "_grp", "n", ranks.alias("_r"), F.lit(0).cast("long").alias("_prefix"))
+              .select("_all", "_grp", "n", "_prefix", F.col("_r.p").alias("_p"), F.col("_r.rank").alias("_rank")))
+    for shift in range(64 - _DIGIT_BITS, -1, -_DIGIT_BITS):
+        known = F.lit(0).cast("long") if shift + _DIGIT_BITS == 64 else F.shiftrightunsigned("_k", shift + _DIGIT_BITS)
+        digit = F.shiftrightunsigned("_k", shift).bitwiseAND(F.lit((1 << _DIGIT_BITS) - 1).cast("long"))
+        level = hist.select("_h_all", "_h_grp", known.alias("_known"), digit.alias("_digit"), "_n")
+        of = (F.col("_h_all") == F.col("_all")) & F.col("_h_grp").eqNullSafe(F.col("_grp")) & (F.col("_known") == F.col("_prefix"))
+        counts = (level.join(wanted, of).groupBy("_all", "_grp", "n", "_p", "_rank", "_prefix", "_digit").agg(F.sum("_n").alias("_here")))
+        upto = F.sum("_here").over(Window.partitionBy("_all", "_grp", "_p").orderBy("_digit")
+                                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        wanted = (counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_here") < F.col("_rank")))
+                  .select("_all", "_grp", "n", F.shiftleft("_prefix", _DIGIT_BITS).bitwiseOR(F.col("_digit")).alias("_prefix"), "_p",
+                          (F.col("_rank") - (F.col("_upto") - F.col("_here"))).alias("_rank")))
+    found = F.col("_prefix").bitwiseXOR(F.lit(_LOWEST))
+    return wanted.groupBy("_all", "_grp").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_p") == name, found)).alias(name) for name, _ in PERCENTILES])
+
+
+def latency_percentiles(log: DataFrame, by: str = "scenario", value: str = "duration_ms") -> DataFrame:
+    """A5: p50/p90/p95/p99 as the element at 0-based index ``floor(n·p)`` of the
+    sorted values (upper nearest rank), per scenario and overall (``ALL``).
+
+    Exact, lazy, and the same under any partitioning: rows become a histogram
+    ``(scenario, value, count)`` by a partial aggregate, the ranks are found by
+    :func:`_percentiles` digit by digit, so neither a hot scenario nor an
+    outlier brings many values into one task.  ``value`` is an integer column;
+    null values do not count; a scenario that is null, or named ``ALL``, has a
+    row of its own."""
+    found = _percentiles(log, by, value)
+    return found.select(F.when(F.col("_all"), F.lit("ALL")).otherwise(F.col("_grp")).alias(by), "n", *[name for name, _ in PERCENTILES])
 
 
 def latency_percentiles_approx(log: DataFrame, by: str = "scenario", value: str = "duration_ms",
@@ -178,18 +190,18 @@ def verdict(log: DataFrame, by: str = "scenario") -> DataFrame:
         F.count_if("success").alias("successes"), F.count_if(~F.col("success")).alias("failures"),
         F.count(F.lit(1)).alias("runs"), F.min("started_at").alias("_s"), F.max(end).alias("_e"),
         F.grouping(by).alias("_g"))
-    stats = agg.select(F.when(F.col("_g") == 1, F.lit("ALL")).otherwise(F.col(by)).alias(by),
+    stats = agg.select(F.when(F.col("_g") == 0, F.col(by).cast("string")).alias(by), (F.col("_g") == 1).alias("_total"),
                        "successes", "failures", "runs",
                        F.timestamp_diff("MICROSECOND", F.col("_s"), F.col("_e")).alias("_us"))
-    pct = latency_percentiles(log, by).select(by, "p95")
+    pct = _percentiles(log, by, "duration_ms").select("_all", "_grp", "p95")
     total = F.col("successes") + F.col("failures")
     rate = F.col("successes") / total
     runs_per_s = F.when(F.col("_us") > 0, F.col("runs") / (F.col("_us") / 1000000.0))
-    return (stats.join(pct, by)
-            .select(by, rate.alias("success_rate"),
+    return (stats.join(pct, (F.col("_total") == F.col("_all")) & F.col(by).eqNullSafe(F.col("_grp")), "left")
+            .select(F.when(F.col("_total"), F.lit("ALL")).otherwise(F.col(by)).alias(by), rate.alias("success_rate"),
                     F.when(rate >= PASS_RATE, F.lit("pass")).when(rate >= PARTIAL_RATE, F.lit("partial"))
                     .otherwise(F.lit("fail")).alias("band"),
-                    (F.col("p95") > P95_LIMIT_MS).alias("slow_p95"),
+                    F.coalesce(F.col("p95") > P95_LIMIT_MS, F.lit(False)).alias("slow_p95"),
                     (F.col("failures") / total > FAILURE_LIMIT).alias("high_failure"),
                     F.coalesce(runs_per_s < THROUGHPUT_FLOOR, F.lit(False)).alias("low_throughput")))
 

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from placeweave.operators import elements as X
 from placeweave.plans import quality as V
+from placeweave.plans.q_tables import LATEST_SNAPSHOT_SQL
 from placeweave.plans.registry import register
 from placeweave.session import scratch_path
 from placeweave.sources import sinks
 from placeweave.sources.tables import load
 from placeweave.streaming.capture import latest_view, start_capture
+from placeweave.streaming.changes import current, start_changes
 
 
 def _pages_x1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,26 +84,48 @@ SELECT user_id, event_id, value, n_captured FROM (
          row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1
 """)
 def incremental_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST1: the events land in two deliveries.  The first run reads its files
-    one micro-batch each; then everything is delivered again, with a copy of
+    """ST1: the events land in several deliveries.  The first run reads them
+    in two micro-batches; then everything is delivered again, with a copy of
     each event dated beyond the watermark, and a second run resumes from the
     checkpoint.  Repeats and late rows are dropped, so each user's newest row
     (R6) and number of captured rows are those of the table."""
     base = scratch_path(spark, "capture")
+    landing = f"{base}/landing"
     events = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
-    def capture():
-        start_capture(spark, f"{base}/landing", EVENTS_DDL, f"{base}/sink",
+    def capture(files: int):
+        start_capture(spark, landing, EVENTS_DDL, f"{base}/sink",
                       transform=lambda b: b.select("user_id", "event_id", "ts", "value"),
                       key=["event_id"], event_time="ts", watermark="31 days",
-                      checkpoint=f"{base}/checkpoint", max_files=1).awaitTermination()
+                      checkpoint=f"{base}/checkpoint", max_files=files).awaitTermination()
 
-    # the later events first: repeats and the late copies meet a set watermark
-    events.repartitionByRange(2, F.col("ts").desc()).write.parquet(f"{base}/landing")
-    capture()
+    deliver(events.where("event_id % 2 = 0"), landing)
+    capture((deliver(events.where("event_id % 2 = 1"), landing) + 1) // 2)
     late = events.withColumn("event_id", F.col("event_id") + 1_000_000_000_000).withColumn("ts", F.col("ts") - F.expr("INTERVAL 90 DAYS"))
-    events.unionByName(late).coalesce(1).write.mode("append").parquet(f"{base}/landing")
-    capture()
+    capture(deliver(events.unionByName(late), landing))
     counts = spark.read.parquet(f"{base}/sink").groupBy(F.col("user_id").alias("u")).agg(F.count(F.lit(1)).alias("n_captured"))
     newest = latest_view(spark, f"{base}/sink", "user_id", "ts", "event_id")
     return newest.join(counts, newest["user_id"] == counts["u"]).select("user_id", "event_id", "value", "n_captured")
+
+
+def deliver(rows: DataFrame, landing: str) -> int:
+    """Append ``rows`` as files of the tasks' own; returns the files there."""
+    rows.write.mode("append").parquet(landing)
+    return len(rows.sparkSession.read.parquet(landing).inputFiles())
+
+
+@register("change_feed", LATEST_SNAPSHOT_SQL)
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 + R6 as state: two thirds of the events, then the rest (older and
+    newer than what is known) with half of the first delivery once more, then
+    everything again, each read by a run that resumes from the checkpoint.
+    What the feed's changes add up to is the snapshot of the whole table."""
+    base = scratch_path(spark, "changes")
+    landing = f"{base}/landing"
+    events = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first = events.where("event_id % 3 <> 0")
+    for rows, batches in ((first, 2), (events.where("event_id % 3 = 0").unionByName(first.where("event_id % 2 = 0")), 1), (events, 1)):
+        files = deliver(rows, landing)
+        start_changes(spark, landing, EVENTS_DDL, f"{base}/sink", "user_id", "ts", "event_id", "value",
+                      checkpoint=f"{base}/checkpoint", max_files=max(1, files // batches)).awaitTermination()
+    return current(spark, f"{base}/sink", "user_id").select("user_id", "latest_event_id", "latest_value", "previous_value", "changed")

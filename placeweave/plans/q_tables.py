@@ -643,6 +643,19 @@ def rating_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "group_n", "group_avg", "group_min", "group_max")
 
 
+@register("rating_distribution", """
+WITH b AS (
+  SELECT p_type, floor(p_retailprice / 100.0) * 100.0 AS band, count(*) AS n FROM part GROUP BY ALL
+)
+SELECT p_type, band, n, n / sum(n) OVER (PARTITION BY p_type) AS share,
+       sum(n) OVER (PARTITION BY p_type ORDER BY band) / sum(n) OVER (PARTITION BY p_type) AS share_upto
+FROM b
+""")
+def rating_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: the distribution of prices inside each type, by bands of 100."""
+    return AN.rating_distribution(load(spark, sf_dir, "part", "p_type", "p_retailprice"), "p_type", "p_retailprice", 100.0)
+
+
 @register("no_website", """
 WITH b AS (
   SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 <> 0 THEN 'https://site' || CAST(c_custkey % 400 AS VARCHAR) || '.example' END AS website
@@ -674,7 +687,7 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return AN.contacts(docs.select("source", T.extract_emails("text").alias("emails")), "source")
 
 
-@register("latest_snapshot", """
+LATEST_SNAPSHOT_SQL = """
 WITH two AS (
   SELECT user_id, event_id, value,
          row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
@@ -686,7 +699,10 @@ SELECT user_id, max(CASE WHEN rn = 1 THEN event_id END) AS latest_event_id,
             ELSE max(CASE WHEN rn = 1 THEN value END) IS DISTINCT FROM max(CASE WHEN rn = 2 THEN value END) END
          AS changed
 FROM two WHERE rn <= 2 GROUP BY user_id
-""")
+"""
+
+
+@register("latest_snapshot", LATEST_SNAPSHOT_SQL)
 def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest capture per user and whether its value changed since the
     capture before."""
