@@ -61,14 +61,15 @@ def main(argv=None) -> None:
         cfg = json.load(fh)
     res = run(requests_from_input(spark, cfg), spark.read.schema(CAPTURED_PAGE_SCHEMA).parquet(args.pages),
               cut_lineage=args.cut_lineage)
-    # extract once: everything else reads the rows as they were written
-    rows = f"{args.out}/businesses" if args.format == "parquet" else scratch_path(spark, "run")
-    sinks.write_businesses(res.businesses, rows, fmt="parquet")
-    written = spark.read.parquet(rows)
-    if args.format != "parquet":
-        sinks.write_businesses(written, f"{args.out}/businesses", fmt=args.format)
+    # extract once: the statistics are counted while the rows are written
+    if args.format == "parquet":
+        stats = res.write(f"{args.out}/businesses")
+    else:
+        rows = scratch_path(spark, "run")
+        stats = res.write(rows)
+        sinks.write_businesses(spark.read.parquet(rows), f"{args.out}/businesses", fmt=args.format)
     sinks.write_errors(res.errors, f"{args.out}/errors")
-    sinks.write_stats(res.stats_of(written), f"{args.out}/stats")
+    sinks.write_stats(stats, f"{args.out}/stats")
 
 
 if __name__ == "__main__":

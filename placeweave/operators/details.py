@@ -436,9 +436,11 @@ def _field_exprs() -> tuple[Column, ...]:
             _price().alias("priceLevel"), _category().alias("businessType"))
 
 
-def detail_fields(page_elements: DataFrame) -> DataFrame:
-    """D1–D12 per captured detail page (extra page columns are carried).
-    The rule expressions are built once per process and reused."""
-    extra = [c for c in page_elements.columns if c not in ("doc_bytes", "elements", "text_nodes", "parse_error")]
+def detail_fields(page_elements: DataFrame, with_error: bool = False) -> DataFrame:
+    """D1–D12 per captured detail page (extra page columns are carried, with
+    ``with_error`` also ``parse_error``).  The rule expressions are built once
+    per process and reused."""
+    left_out = ("doc_bytes", "elements", "text_nodes") + (() if with_error else ("parse_error",))
+    extra = [c for c in page_elements.columns if c not in left_out]
     st = _with_hours(_candidates(page_elements))
     return st.select(*extra, *_field_exprs())

@@ -5,7 +5,8 @@ X1 is the one Python-side map of the library: an Arrow-batched
 ``mapInArrow`` over the stdlib ``html.parser`` and the tree rules of
 ``htmltree`` (narrow — no shuffle).  A page of any kind, also a fragment, has
 the elements that a browser gives it: ``html``, ``head`` and ``body`` are
-implied, a null page has none.  Per page it emits
+implied; a null page has none and says so in ``parse_error``.  Per page it
+emits
 
 * ``doc_bytes``: every text node of the page concatenated in document order
   (entities decoded, script/style content included, as ``textContent``),
@@ -38,6 +39,10 @@ ELEMENTS_SCHEMA = (f"page_id BIGINT, url STRING, doc_bytes BINARY, elements ARRA
                    "text_nodes ARRAY<STRUCT<t0: INT, t1: INT>>, parse_error STRING")
 
 
+#: Why a page without content has no elements.
+NO_CONTENT = "No content captured"
+
+
 def flatten_html(html: str | None):
     """Python model of X1 for one page: ``(doc_bytes, rows)``; the text-node
     ranges are available from :func:`flatten_html_nodes`."""
@@ -55,7 +60,7 @@ def flatten_page(html: str | None):
     the parser refuses yields no elements and the reason, so a job neither
     dies on it nor passes a part of it off as the whole."""
     if html is None:
-        return b"", [], [], None
+        return b"", [], [], NO_CONTENT
     tree = Tree()
     try:
         tree.feed(html)

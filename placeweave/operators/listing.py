@@ -247,11 +247,23 @@ def listings(page_elements: DataFrame) -> DataFrame:
 
     The first link of each place id wins inside a page *before* links without
     a container or name are dropped, as in the reference."""
+    return listing_rows(listing_arrays(page_elements))
+
+
+def listing_arrays(page_elements: DataFrame) -> DataFrame:
+    """One row per page: its columns, ``parse_error`` and the found listings
+    as an array — what X1 and the rules have to say about it, in one pass."""
     extra = [c for c in page_elements.columns if c not in ("doc_bytes", "elements", "text_nodes", "parse_error")]
     links, with_pid, w1, with_container, card, fields = _stage_exprs()
     staged = (page_elements.withColumn("_l", links).withColumn("_l", with_pid).withColumn("_l", w1)
               .withColumn("_l", with_container).withColumn("_l", card).withColumn("_l", fields))
-    rows = explode_rows(staged, extra, F.col("_l"), "r").select(*[c for c in extra if c != "url"], "r.*")
+    return staged.select(*extra, "parse_error", "_l")
+
+
+def listing_rows(arrays: DataFrame) -> DataFrame:
+    """The listings of :func:`listing_arrays`, one row each."""
+    extra = [c for c in arrays.columns if c not in ("parse_error", "_l")]
+    rows = explode_rows(arrays, extra, F.col("_l"), "r").select(*[c for c in extra if c != "url"], "r.*")
     rows = rows.filter(F.col("name") != "")
     address = F.when(F.col("_address") != "", F.col("_address")).otherwise(F.col("_fb_address"))
     btype = F.coalesce(F.col("_type"),

@@ -9,6 +9,8 @@ no pattern with the extraction.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -248,83 +250,89 @@ def weekly_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The whole run
 # ---------------------------------------------------------------------------
 
-def _run(spark: SparkSession, sf_dir: str) -> PL.RunResult:
-    """Each nation is a search: even ones over 7 regions for 60 results, odd
-    ones for 25.  Each region of the world is a start URL; those with odd keys
-    are no URLs.  The first search of each nation was captured twice, its
-    newer capture counts.  Every second customer has a captured detail page,
-    every fourth a captured website."""
-    nation = load(spark, sf_dir, "nation", "n_nationkey", "n_name")
-    world = load(spark, sf_dir, "region", "r_regionkey", "r_name")
-    cust = load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    even = F.col("n_nationkey") % 2 == 0
-    flags = [F.lit("en").alias("language"), F.lit(None).cast("array<string>").alias("regions")]
-    requests = nation.select(
-        F.col("n_nationkey").cast("long").alias("request_id"), F.concat(F.lit(" "), "n_name").alias("query"),
-        F.lit(None).cast("string").alias("source_url"), F.when(even, 60).otherwise(25).alias("max_results"),
-        even.alias("use_multi"), *flags).unionByName(world.select(
-            (1000 + F.col("r_regionkey")).cast("long").alias("request_id"), F.lit(None).cast("string").alias("query"),
-            F.when(F.col("r_regionkey") % 2 == 0, _text(f"{SITE}/search/", F.col("r_name"), "+x/@1,2")).otherwise(
-                F.col("r_name")).alias("source_url"), F.lit(10).alias("max_results"), F.lit(False).alias("use_multi"), *flags))
-
-    card = _text('<div jsaction="mouseover:pane.c"><a href="/maps/place/P/ChIJr', key(), '"></a><div class="fontHeadlineSmall">',
-                 F.col("c_name"), "</div></div>")
-    regions = F.explode(F.sequence(F.lit(0), F.lit(6)))
-    by_nation = cust.withColumn("region_pos", regions).where(
-        F.when(F.col("c_nationkey") % 2 == 0, (key() % 7 == F.col("region_pos")) | (key() % 5 == F.col("region_pos")))
-        .otherwise((F.col("region_pos") == 0) & (key() % 3 == 0)))
-    hits = by_nation.select(F.col("c_nationkey").cast("long").alias("request_id"), "region_pos", key().alias("k"), card.alias("card"))
-    hits = hits.unionByName(cust.where(key() < 12).select(
-        (1000 + key() % 5).cast("long").alias("request_id"), F.lit(0).alias("region_pos"), key().alias("k"), card.alias("card")))
-    cards = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "card"))), lambda c: c["card"]), "")
-    none = F.lit(None).cast("string")
-    stamp = F.timestamp_seconds(F.lit(1_700_000_000))
-    found = hits.groupBy("request_id", "region_pos").agg(cards.alias("cards")).select(
-        (F.col("request_id") * 10 + F.col("region_pos")).alias("page_id"), F.lit("listing").alias("kind"), "request_id",
-        F.col("region_pos").cast("int"), none.alias("place_id"), F.lit(f"{SITE}/maps/search/x").alias("url"),
-        stamp.alias("captured_at"), _text('<div role="feed">', F.col("cards"), "</div>").alias("html"))
-    stale = nation.select(
-        F.lit(-1).cast("long").alias("page_id"), F.lit("listing").alias("kind"), F.col("n_nationkey").cast("long").alias("request_id"),
-        F.lit(0).alias("region_pos"), none.alias("place_id"), F.lit(f"{SITE}/maps/search/x").alias("url"),
-        F.timestamp_seconds(F.lit(1_600_000_000)).alias("captured_at"),
-        F.lit('<div jsaction="mouseover:pane.c"><a href="/maps/place/P/ChIJold"></a><div>Old</div></div>').alias("html"))
-    details = cust.where(key() % 2 == 0).select(
-        (key() + 10_000_000).alias("page_id"), F.lit("detail").alias("kind"), F.lit(None).cast("long").alias("request_id"),
-        F.lit(None).cast("int").alias("region_pos"), _text("ChIJr", key()).alias("place_id"), F.lit(f"{SITE}/maps/place/x").alias("url"),
-        stamp.alias("captured_at"), detail_html().alias("html"))
-    sites = cust.where(key() % 4 == 0).select(
-        (key() + 20_000_000).alias("page_id"), F.lit("website").alias("kind"), F.lit(None).cast("long").alias("request_id"),
-        F.lit(None).cast("int").alias("region_pos"), none.alias("place_id"), _text("HTTPS://Site", key(), ".example:443#top").alias("url"),
-        stamp.alias("captured_at"),
-        _text("<body>Mail INFO", key(), "&#64;shop.test, no-reply@shop.test <a href='mailto:owner", key(), "@shop.test?subject=x'>m</a></body>").alias("html"))
-    pages = found.unionByName(stale).unionByName(details).unionByName(sites)
-    return PL.run(requests, pages, run_ts="1970-01-01 00:00:00")
-
-
-_RUN_SQL = """
-WITH c AS (SELECT *, c_custkey AS k FROM customer
+#: Orders whose numbers share this range are what one search found.
+_RANGE = 64
+
+
+def _run(spark: SparkSession, sf_dir: str, cut_lineage: bool = False) -> PL.RunResult:
+    """Every range of 64 order numbers is a request, its orders' customers are
+    what it found (a page never holds more than its range).  By ``request %
+    6``: a search over 7 regions for 60 results; a search for 25, with a stale
+    capture beside the newest; a start URL; a start URL that is none; a search
+    without a capture; a search whose newest capture has no content (every
+    second one has an older capture that has).  Every second customer has a
+    captured detail page — of every tenth the newest has no content, of every
+    twentieth an older one has — and every fourth a captured website."""
+    orders = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    o, r = F.col("o"), F.col("r")
+    hits = orders.select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("k"),
+                         F.floor(F.col("o_orderkey") / _RANGE).cast("long").alias("r"))
+    case = r % 6
+    none, no_id = F.lit(None).cast("string"), F.lit(None).cast("long")
+    requests = hits.select("r").distinct().select(
+        r.alias("request_id"), F.when(case.isin(2, 3), none).otherwise(_text("find ", r, " ")).alias("query"),
+        F.when(case == 2, _text(f"{SITE}/search/w", r, "+x/@1,2")).when(case == 3, _text("word ", r)).alias("source_url"),
+        F.when(case == 0, 60).when(case == 2, 10).otherwise(25).alias("max_results"), (case == 0).alias("use_multi"),
+        F.lit("en").alias("language"), F.lit(None).cast("array<string>").alias("regions"))
+
+    card = _text('<div jsaction="mouseover:pane.c"><a href="/maps/place/P/ChIJr', F.col("k"), '"></a><div class="fontHeadlineSmall">Place ',
+                 F.col("k"), "</div></div>")
+    in_region = hits.withColumn("region_pos", F.explode(F.sequence(F.lit(0), F.lit(6)))).where(F.when(
+        case == 0, (o % 7 == F.col("region_pos")) | ((o + 3) % 7 == F.col("region_pos"))).otherwise((F.col("region_pos") == 0) & ~case.isin(3, 4)))
+    cards = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", card.alias("card")))), lambda c: c["card"]), "")
+    now, earlier = F.timestamp_seconds(F.lit(1_700_000_000)), F.timestamp_seconds(F.lit(1_600_000_000))
+
+    def listing(page_id: Column, region, at: Column, html: Column) -> list[Column]:
+        return [page_id.alias("page_id"), F.lit("listing").alias("kind"), r.alias("request_id"), region.cast("int").alias("region_pos"),
+                none.alias("place_id"), _text(f"{SITE}/maps/search/", r).alias("url"), at.alias("captured_at"), html.alias("html")]
+
+    def other(df: DataFrame, kind: str, page_id: Column, place: Column, url: Column, at: Column, html: Column) -> DataFrame:
+        return df.select(page_id.alias("page_id"), F.lit(kind).alias("kind"), no_id.alias("request_id"), F.lit(None).cast("int").alias("region_pos"),
+                         place.alias("place_id"), url.alias("url"), at.alias("captured_at"), html.alias("html"))
+
+    found = in_region.groupBy("r", "region_pos").agg(cards.alias("cards"))
+    shown = found.where((case != 5) | (r % 12 == 5)).select(*listing(
+        r * 10 + F.col("region_pos"), F.col("region_pos"), F.when(case == 5, earlier).otherwise(now), _text('<div role="feed">', F.col("cards"), "</div>")))
+    empty = found.where(case == 5).select(*listing(-r - 1, F.lit(0), now, none))
+    old = _text('<div jsaction="mouseover:pane.c"><a href="/maps/place/P/ChIJold"></a><div>Old</div></div>')
+    stale = found.where(case == 1).select(*listing(-r - 1, F.lit(0), earlier, old))
+    cust = load(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
+    place, place_url = _text("ChIJr", key()), _text(f"{SITE}/maps/place/", key())
+    details = cust.where((key() % 2 == 0) & ((key() % 10 != 0) | (key() % 20 == 0)))
+    lost = cust.where(key() % 10 == 0)
+    sites = cust.where(key() % 4 == 0)
+    mail = _text("<body>Mail INFO", key(), "&#64;shop.test, no-reply@shop.test <a href='mailto:owner", key(), "@shop.test?subject=x'>m</a></body>")
+    pages = reduce(DataFrame.unionByName, [
+        shown, empty, stale,
+        other(details, "detail", key() * 10 + 1, place, place_url, F.when(key() % 20 == 0, earlier).otherwise(now), detail_html()),
+        other(lost, "detail", key() * 10 + 2, place, place_url, now, none),
+        other(sites, "website", key() * 10 + 3, none, _text("HTTPS://Site", key(), ".example:443#top"), now, mail)])
+    return PL.run(requests, pages, run_ts="1970-01-01 00:00:00", cut_lineage=cut_lineage)
+
+
+_RUN_SQL = f"""
+WITH hits AS (
+  SELECT o_orderkey AS o, o_custkey AS k, o_orderkey // {_RANGE} AS r FROM orders
 ), searches AS (
-  SELECT CAST(n_nationkey AS BIGINT) AS request_id, n_name AS query, NULL AS source_url,
-         CASE WHEN n_nationkey % 2 = 0 THEN 60 ELSE 25 END AS max_results, TRUE AS enrich FROM nation
-  UNION ALL
-  SELECT 1000 + r_regionkey, r_name || '+x', 'https://m.example/search/' || r_name || '+x/@1,2', 10, FALSE FROM region WHERE r_regionkey % 2 = 0
-), hits AS (
-  SELECT CAST(c_nationkey AS BIGINT) AS request_id, r AS region_pos, c.* FROM c, range(7) t(r)
-  WHERE CASE WHEN c_nationkey % 2 = 0 THEN k % 7 = r OR k % 5 = r ELSE r = 0 AND k % 3 = 0 END
-  UNION ALL
-  SELECT 1000 + k % 5, 0, c.* FROM c WHERE k < 12
-), paged AS (
-  SELECT h.*, s.query, s.source_url, s.max_results, s.enrich,
-         row_number() OVER (PARTITION BY request_id, region_pos ORDER BY k) AS pos
-  FROM hits h JOIN searches s USING (request_id)
+  SELECT DISTINCT r, CASE WHEN r % 6 = 2 THEN 'w' || r || '+x' ELSE 'find ' || r END AS query,
+         CASE WHEN r % 6 = 2 THEN '{SITE}/search/w' || r || '+x/@1,2' END AS source_url,
+         CASE r % 6 WHEN 0 THEN 60 WHEN 2 THEN 10 ELSE 25 END AS max_results, r % 6 <> 2 AS enrich FROM hits
+), in_page AS (
+  SELECT r, g AS region_pos, k, min(o) AS o FROM hits, range(7) t(g)
+  WHERE CASE WHEN r % 6 = 0 THEN o % 7 = g OR (o + 3) % 7 = g ELSE g = 0 AND (r % 6 IN (1, 2) OR r % 12 = 5) END
+  GROUP BY ALL
+), extracted AS (
+  SELECT p.*, s.query, s.source_url, s.max_results, s.enrich FROM in_page p JOIN searches s USING (r)
+  QUALIFY row_number() OVER (PARTITION BY r, region_pos ORDER BY o) <= max_results
 ), firsts AS (
-  SELECT * FROM paged WHERE pos <= max_results
-  QUALIFY row_number() OVER (PARTITION BY request_id, k ORDER BY region_pos, pos) = 1
+  SELECT * FROM extracted QUALIFY row_number() OVER (PARTITION BY r, k ORDER BY region_pos, o) = 1
 ), kept AS (
-  SELECT *, enrich AND k % 2 = 0 AS detailed FROM firsts
-  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY region_pos, pos) <= max_results
+  SELECT f.*, c_custkey IS NOT NULL AND k % 2 = 0 AS has_page, k % 2 = 0 AND (k % 10 <> 0 OR k % 20 = 0) AS readable,
+         enrich AND c_custkey IS NOT NULL AND k % 2 = 0 AND (k % 10 <> 0 OR k % 20 = 0) AS detailed, c_mktsegment
+  FROM firsts f LEFT JOIN customer ON c_custkey = k
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY region_pos, o) <= max_results
 ), business AS (
-  SELECT query, source_url, c_name AS name, 'ChIJr' || k AS placeId,
+  SELECT query, source_url, 'Place ' || k AS name, 'ChIJr' || k AS placeId,
          CASE WHEN detailed THEN """ + _PHONE_SQL + """ END AS phone,
          CASE WHEN detailed AND k % 5 <> 0 THEN 'https://site' || k || '.example/' END AS website,
          CASE WHEN detailed THEN """ + _HOURS_SQL + """ END AS hours,
@@ -347,28 +355,38 @@ def business_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("emails").isNotNull(), F.size("emails")).alias("n_emails"))
 
 
-@register("business_errors", """
-SELECT CAST(1000 + r_regionkey AS BIGINT) AS request_id, r_name AS source_url, 'Invalid URL' AS error
-FROM region WHERE r_regionkey % 2 = 1
+@register("business_errors", f"""
+WITH s AS (SELECT DISTINCT o_orderkey // {_RANGE} AS r FROM orders)
+SELECT r AS request_id, 'word ' || r AS source_url, 'Invalid URL' AS error FROM s WHERE r % 6 = 3
+UNION ALL SELECT r, NULL, 'No captured page for this search' FROM s WHERE r % 6 = 4
+UNION ALL SELECT r, '{SITE}/maps/search/' || r, 'No content captured' FROM s WHERE r % 6 = 5
+UNION ALL SELECT NULL, '{SITE}/maps/place/' || c_custkey, 'No content captured' FROM customer WHERE c_custkey % 10 = 0
 """)
 def business_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The error rows of the run — the start URLs that are none."""
+    """The error rows of the run — start URLs that are none, searches
+    without a capture, captures without content."""
     return _run(spark, sf_dir).errors.select("request_id", "source_url", "error")
 
 
-@register("business_run", _RUN_SQL + """, totals AS (
-  SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS total_searches, count(*) AS total_results,
-         (SELECT count(*) FROM region WHERE r_regionkey % 2 = 1) AS failed_searches,
-         CAST(coalesce(sum(n_emails), 0) AS BIGINT) AS emails_found,
-         count(*) FILTER (WHERE hours IS NOT NULL OR website IS NOT NULL) AS with_details
-  FROM business
+@register("business_run", _RUN_SQL + """, wanted AS (
+  SELECT * FROM kept WHERE enrich
+), totals AS (
+  SELECT count(*) AS total_searches, count(*) FILTER (WHERE r % 6 IN (3, 4) OR r % 12 = 11) AS failed_searches FROM searches
+), counts AS (
+  SELECT (SELECT count(*) FROM business) AS total_results, (SELECT count(*) FROM extracted) AS extracted,
+         (SELECT CAST(coalesce(sum(n_emails), 0) AS BIGINT) FROM business) AS emails_found,
+         (SELECT count(*) FILTER (WHERE has_page AND readable) FROM wanted) AS details_success,
+         (SELECT count(*) FILTER (WHERE has_page AND NOT readable) FROM wanted) AS details_failed,
+         (SELECT count(*) FILTER (WHERE NOT has_page) FROM wanted) AS details_missing,
+         (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT k FROM wanted)) AS details_orphan
 )
 SELECT total_searches, total_results, failed_searches,
        CAST(floor(total_results / total_searches + 0.5) AS BIGINT) AS avg_results_per_search,
        CAST(floor((total_searches - failed_searches) / total_searches * 100 + 0.5) AS BIGINT) || '%' AS success_rate,
-       total_results AS extracted, emails_found, with_details, total_results AS final_count
-FROM totals
+       extracted, emails_found, details_success, details_failed, details_missing, details_orphan, total_results AS final_count
+FROM totals, counts
 """)
 def business_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1 statistics of the run with the A2 extraction counters (one row)."""
-    return _run(spark, sf_dir).stats
+    """A1 statistics of the run with the A2 extraction counters (one row);
+    each page is parsed once."""
+    return _run(spark, sf_dir, cut_lineage=True).stats

@@ -6,7 +6,7 @@ task, and committed atomically per job by Spark's output committer.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -44,8 +44,15 @@ def _flatten_for_text(df: DataFrame) -> DataFrame:
 
 
 def write_businesses(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "append",
-                     max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE, partition_by=None) -> None:
-    """Append business rows as parquet, JSON, CSV (flattened) or XML."""
+                     max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE, partition_by=None,
+                     metrics: dict | None = None) -> dict:
+    """Append business rows as parquet, JSON, CSV (flattened) or XML.
+
+    ``metrics`` (name → aggregate column) are counted in the same pass as the
+    rows are written; their values are returned."""
+    seen = Observation() if metrics else None
+    if seen is not None:
+        df = df.observe(seen, *[c.alias(name) for name, c in metrics.items()])
     out = df
     if fmt in ("csv",):
         out = _flatten_for_text(df)
@@ -63,6 +70,7 @@ def write_businesses(df: DataFrame, path: str, fmt: str = "parquet", mode: str =
         writer.json(path)
     else:
         writer.parquet(path)
+    return dict(seen.get) if seen is not None else {}
 
 
 def write_errors(errors: DataFrame, path: str, fmt: str = "json", mode: str = "append") -> None:

@@ -85,6 +85,45 @@ def test_business_run(spark, cut_lineage):
     stats = res.stats.first()
     assert (stats.total_searches, stats.total_results, stats.failed_searches,
             stats.avg_results_per_search, stats.success_rate) == (4, 5, 1, 1, "75%")
+    assert (stats.extracted, stats.final_count, stats.emails_found) == (6, 5, 3)      # "Bar Two" was found in two regions
+    # Pizza is never enriched and the bar search wanted no details: their pages are orphans
+    assert [stats[c] for c in PL.DETAIL_OUTCOMES] == [2, 0, 0, 2]
+
+
+def test_unreadable_pages_count_as_failures(spark, tmp_path):
+    """Every outcome of a detail page; searches fail that have no
+    readable capture; the figures counted while writing equal those of the
+    written rows."""
+    t = dt.datetime(2024, 1, 1)
+    later = dt.datetime(2024, 1, 2)
+    requests = spark.createDataFrame([(i, f"q{i}", None, "en", 10, False, None, True, True) for i in range(1, 6)], REQ_SCHEMA)
+    cards = [card(f"P{i}", f"https://m.test/maps/place/X/ChIJp{i}") for i in range(4)]
+    site = "https://m.test/maps/search/x"
+    pages = spark.createDataFrame([
+        (1, "listing", 1, 0, None, site, t, listing(*cards)),
+        (2, "listing", 2, 0, None, site, later, None),                       # the newest has no content, the older one has
+        (3, "listing", 2, 0, None, site, t, listing(cards[0], cards[3])),
+        (4, "listing", 3, 0, None, site, t, None),                           # never readable
+        (5, "listing", 4, 0, None, site, t, listing()),                      # readable, shows nothing
+        (11, "detail", None, None, "ChIJp0", "d0", t, TW),
+        (12, "detail", None, None, "ChIJp1", "d1", t, None),
+        (13, "detail", None, None, "ChIJp2", "d2", later, None),
+        (14, "detail", None, None, "ChIJp2", "d2", t, TW),                   # an older capture can be read
+        (15, "detail", None, None, "ChIJother", "dx", t, TW),
+        (16, "detail", None, None, None, "dn", t, TW),
+        (21, "website", None, None, None, "https://gone.test/", t, None),
+    ], PL.CAPTURED_PAGE_SCHEMA)
+    res = PL.run(requests, pages, run_ts="2024-01-02 03:04:05", cut_lineage=True)
+    stats = res.write(str(tmp_path / "rows")).first()
+    # P0 in two searches: 2 rows enriched, and P2; P1 unreadable; P3 (two rows) never captured
+    assert [stats[c] for c in PL.DETAIL_OUTCOMES] == [3, 1, 2, 2]
+    assert (stats.total_searches, stats.failed_searches, stats.success_rate) == (5, 2, "60%")
+    assert (stats.extracted, stats.total_results, stats.final_count) == (6, 6, 6)
+    assert stats == res.stats_of(spark.read.parquet(str(tmp_path / "rows"))).first() == res.stats.first()
+    got = {(r.request_id, r.source_url, r.error) for r in res.errors.collect()}
+    no = "No content captured"
+    assert got == {(5, None, "No captured page for this search"), (2, site, no), (3, site, no), (None, "d1", no), (None, "d2", no),
+                   (None, "https://gone.test/", no)}
 
 
 def test_cli_run(spark, tmp_path):
