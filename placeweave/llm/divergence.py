@@ -23,8 +23,10 @@ them, and the rest is extended, until every surviving prefix is a whole term.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import compress
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -63,23 +65,24 @@ class _Language:
     """The documents of one language in one chunk."""
 
     def __init__(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__    # a new term gets the next number
         self.sources: dict[str, int] = {}
         self.source: list[int] = []
         self.ids: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
 
     def add(self, source: str, text: bytes) -> None:
-        found, number = Counter(terms_of(text)), self.number
+        found = Counter(terms_of(text))
         self.source.append(self.sources.setdefault(source, len(self.sources)))
-        self.ids.append(np.fromiter((number.setdefault(t, len(number)) for t in found), np.int32, len(found)))
+        self.ids.append(np.fromiter(map(self.number.__getitem__, found), np.int32, len(found)))
         self.counts.append(np.fromiter(found.values(), np.int32, len(found)))
 
     def row(self, lang: str) -> tuple:
         """Terms in byte order; triples by document, then term."""
         terms = sorted(self.number)
         place = np.empty(len(terms), np.int32)
-        place[np.fromiter((self.number[t] for t in terms), np.int32, len(terms))] = np.arange(len(terms), dtype=np.int32)
+        place[np.fromiter(map(self.number.__getitem__, terms), np.int32, len(terms))] = np.arange(len(terms), dtype=np.int32)
         n = np.array([len(x) for x in self.ids], np.int64)
         doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
         term, count = place[np.concatenate(self.ids)], np.concatenate(self.counts)
@@ -136,8 +139,9 @@ def _hashes(lang: str, prefixes: list[bytes]) -> np.ndarray:
 def _groups(terms: list[bytes], length: int) -> tuple[list[bytes], np.ndarray]:
     """Distinct prefixes of sorted terms, and each term's prefix number."""
     cut = [t[:length] for t in terms]
-    new = np.fromiter((i == 0 or cut[i] != cut[i - 1] for i in range(len(cut))), bool, len(cut))
-    return [cut[i] for i in np.flatnonzero(new)], np.cumsum(new) - 1
+    new = np.ones(len(cut), bool)
+    new[1:] = np.fromiter(map(ne, cut[1:], cut), bool, max(len(cut) - 1, 0))
+    return list(compress(cut, new)), np.cumsum(new) - 1
 
 
 def _alive(lang: str, terms: list[bytes], length: int, seen: bloom.Filter | None) -> np.ndarray:
@@ -161,7 +165,7 @@ def _level(length: int, sent, n_blocks: int):
             new = np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1])][:len(d)]
             docs = np.bincount(p[new], minlength=len(prefixes))
             longer = np.zeros(len(prefixes), bool)
-            np.logical_or.at(longer, of[alive], np.fromiter((len(t) > length for t in terms), bool, len(terms))[alive])
+            longer[of[alive & (np.fromiter(map(len, terms), np.int64, len(terms)) > length)]] = True
             at = np.flatnonzero(docs)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(at), pa.string()), pa.array([prefixes[i] for i in at], pa.binary()), pa.array(docs[at].astype(np.int64)),

@@ -1,6 +1,5 @@
 """Language, toxicity, benchmark and quality operators."""
 
-import itertools
 import math
 import random
 import re
@@ -8,10 +7,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from conftest_rows import ODD, prose
 from pyspark.sql import functions as F
 
-from placeweave.llm import decontam, langid, quality, toxicity
+from placeweave.llm import decontam, langid, ngrams, quality, toxicity
 from placeweave.llm.common import held_out
 
 SF = "/root/testdata/sf0.01"
@@ -258,44 +258,92 @@ def test_base_figures():
         assert quality.base_figures(t.encode()) == plain_figures(t)
 
 
-def small_model(seed=0, texts=40):
-    table = quality._classes()
-    every = np.concatenate([quality.codes(quality.symbols(prose("en", f"{seed}{i}", 60), table)) for i in range(texts)])
-    return quality.Model.estimate(*np.unique(every, return_counts=True)), every
-
-
-def test_kneser_ney_sums_to_one():
-    model, every = small_model()
-    last = np.arange(quality.SYMBOLS, dtype=np.uint32)
-    for context in [*np.unique(every // quality.SYMBOLS)[::200], 63 * 64 + 5, 0]:
-        total = model.probability(np.uint32(context) * np.uint32(quality.SYMBOLS) + last, quality.ORDER - 1).sum()
-        assert total == pytest.approx(1.0, abs=1e-9)
-    assert all((np.diff(g.astype(np.int64)) > 0).all() for g in model.grams)      # sorted arrays
-
-
-def test_kneser_ney_by_hand():
-    """Bigrams over three symbols, from the formula written out."""
-    pairs = [(1, 2)] * 4 + [(1, 3)] + [(2, 1)] * 2 + [(3, 1), (2, 3)] + [(3, 2)] * 3
-    counts = Counter(pairs)
-    code = np.array(sorted(a * quality.SYMBOLS + b for a, b in counts), np.uint32)
-    n = np.array([counts[divmod(int(c), quality.SYMBOLS)] for c in code])
-    model = quality.Model.estimate(code, n, order=2)
+def plain_costs(docs):
+    """docs: (key, text) → key: (words, nats), from the formulas, one document
+    after the other, its own occurrences left out."""
+    def context(word):
+        return xxhash.xxh3_64_intdigest(word) >> 64 - ngrams.CONTEXT_BITS
 
     def discounts(values):
         ones = [sum(v == i for v in values) for i in range(1, 5)]
         y = ones[0] / max(ones[0] + 2 * ones[1], 1)
-        cut = [max(min(i + 1 - (i + 2) * y * ones[i + 1] / ones[i], i + 1), 0) if ones[i] else (i + 1) / 2 for i in range(3)]
-        return lambda v: max(cut[min(v, 3) - 1], .05)
-    left = Counter(b for _, b in counts)
-    d1, d2 = discounts(left.values()), discounts(counts.values())
-    uni = {b: (left[b] - d1(left[b])) / len(counts) + sum(map(d1, left.values())) / len(counts) / quality.SYMBOLS for b in left}
-    for a, b in itertools.product((1, 2, 3), repeat=2):
-        total = sum(v for (x, _), v in counts.items() if x == a)
-        back = sum(d2(v) for (x, _), v in counts.items() if x == a) / total
-        seen = counts.get((a, b), 0)
-        want = ((seen - d2(seen)) / total if seen else 0) + back * uni.get(b, 0)
-        got = model.probability(np.array([a * quality.SYMBOLS + b], np.uint32), 1)[0]
-        assert got == pytest.approx(want)
+        cut = [i + 1 - (i + 2) * y * ones[i + 1] / ones[i] if ones[i] else (i + 1) / 2 for i in range(3)]
+        cut = [min(max(c, .05), i + .95) for i, c in enumerate(cut)]
+        return lambda v: cut[min(v, 3) - 1] if v else 0.0
+    own = []
+    for key, text in docs:
+        words = (text or "").encode().lower().split()
+        own.append((key, len(words), Counter(zip(map(context, [b"", *words]), words))))
+    counts = sum((c for _, _, c in own), Counter())
+    left, total = Counter(w for _, w in counts), Counter()
+    for (ctx, _), n in counts.items():
+        total[ctx] += n
+    d2, d1 = discounts(counts.values()), discounts(left.values())
+    back = Counter()
+    for (ctx, _), n in counts.items():
+        back[ctx] += d2(n) / total[ctx]
+    base = sum(map(d1, left.values())) / max(len(counts), 1) / (len(left) + 1)
+    out = {}
+    for key, n_words, mine in own:
+        nats = 0.0
+        for (ctx, w), n in mine.items():
+            c = counts[ctx, w] - n
+            nats -= n * math.log((c - d2(c)) / total[ctx] + back[ctx] * ((left[w] - d1(left[w])) / len(counts) + base))
+        out[key] = n_words, nats
+    return out
+
+
+def lm_docs(n=60):
+    rng = random.Random(12)
+    docs = [(i, prose(rng.choice(["en", "de"]), i % 40, rng.randrange(1, 90))) for i in range(n)]
+    return docs + [(n, None), (n + 1, ""), (n + 2, "中文 語言 模型 中文 語言 模型"), (n + 3, "乄斞 誵託 樸垢"), (n + 4, "THE Cat\tand the dog"), (n + 5, "x")]
+
+
+@pytest.mark.parametrize("hot,chunk,parts", [([], 24 << 20, 1), ([b"the", b"und", b"cat"], 300, 5)])
+def test_kneser_ney_costs_against_the_formulas(spark, monkeypatch, hot, chunk, parts):
+    """Also with hot words dealt out by context, many chunks and buckets."""
+    monkeypatch.setattr(ngrams, "hot_words", lambda rows: np.sort(ngrams._hashes(hot)))
+    monkeypatch.setattr(ngrams, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(ngrams, "bucket_count", lambda *a: 7 if hot else 1)
+    docs = lm_docs()
+    rows = spark.createDataFrame([(k, None if t is None else t.encode()) for k, t in docs], "row_key long, data binary").repartition(parts)
+    got = {r["row_key"]: (r["words"], r["cost"] / ngrams.MICRO) for r in ngrams.costs(rows).collect()}
+    want = plain_costs(docs)
+    assert set(got) == set(want)
+    for k, (n, nats) in want.items():
+        assert got[k][0] == n and got[k][1] == pytest.approx(nats, abs=1e-6 * n + 1e-9)
+
+
+def test_kneser_ney_sums_to_one(spark):
+    docs = lm_docs()
+    rows = spark.createDataFrame([(k, (t or "").encode()) for k, t in docs], "row_key long, data binary")
+    hot = np.empty(0, np.uint64)
+    grams = rows.coalesce(1).mapInArrow(ngrams._count(hot, 1, False), ngrams.GRAMS)
+    found = {(r["kind"], r["key"]): (r["a"], r["b"], r["c"], r["d"]) for r in grams.mapInArrow(ngrams._statistics(hot), ngrams.STATISTICS).collect()}
+    model = ngrams.Model(found, hot)
+    b = ngrams.Bucket([ngrams.unpacked(bytes(r["heads"]), bytes(r["grams"])) for r in grams.collect()])
+    assert (np.diff(b.h.astype(object)) >= 0).all()                        # sorted arrays
+    for ctx in [*np.unique(b.ctx)[::7].tolist(), 12345]:
+        count = np.zeros(len(b.word), np.int64)
+        count[b.word_of[b.ctx == ctx]] = b.count[b.ctx == ctx]
+        p = model.probability(count, np.full(len(b.word), ctx), b.types).sum()
+        unknown = model.probability(np.array([0]), np.array([ctx]), np.array([0]))[0]
+        assert p + unknown == pytest.approx(1.0)
+
+
+def test_hot_words_and_growth(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "SAMPLE", 1)
+    monkeypatch.setattr(ngrams, "HOT_SHARE", 8)
+    texts = ["the " * 3 + " ".join(f"w{i}x{j}" for j in range(9)) for i in range(30)]
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "row_key long, data binary").repartition(3)
+    assert ngrams.hot_words(rows).tolist() == ngrams._hashes([b"the"]).tolist()
+    # what is gathered grows with the corpus, and other scripts are not folded
+    none = np.empty(0, np.uint64)
+
+    def grams(df):
+        return sum(len(ngrams.unpacked(bytes(r["heads"]), bytes(r["grams"]))[0]) for r in df.coalesce(1).mapInArrow(ngrams._count(none, 1, False), ngrams.GRAMS).collect())
+    assert grams(rows) > 2.9 * grams(rows.where("row_key < 10"))
+    assert len(set(ngrams._hashes(["中文".encode(), "乄斞".encode(), "語言".encode()]).tolist())) == 3
 
 
 def test_bands_reject_strange_texts_and_keep_clean_ones(spark):
@@ -310,22 +358,12 @@ def test_bands_reject_strange_texts_and_keep_clean_ones(spark):
     assert not got[2000]["kept"] and not got[2001]["kept"]
 
 
-def test_counts_cover_every_character(spark, make_docs):
-    docs = [(i, prose("en", i, 30)) for i in range(20)] + [(77, None), (78, "")]
-    rows = make_docs(docs, 6).select("text").mapInArrow(quality._count, "code long, n long")
-    total = Counter()
-    for r in rows.collect():
-        total[r["code"]] += r["n"]
-    table = quality._classes()
-    assert total == Counter(int(c) for _, t in docs if t for c in quality.codes(quality.symbols(t, table)))
-
-
 def test_quality_of_odd_documents(odd_docs, no_docs):
     rows = quality.rate(odd_docs).collect()
     assert sorted((r["n_words"], r["n_repeat_words"]) for r in rows) == sorted(
         (f[0], f[4]) for f in (plain_figures(t or "") for _, t in ODD))
     for r in rows:
         assert r["kept"] is not None and not (r["kept"] and r["base_failed"])
-        assert (r["log_perplexity"] is None) == (r["n_words"] == 0 and r["n_chars"] == 0)
+        assert (r["log_perplexity"] is None) == (r["n_words"] == 0)
         assert r["log_perplexity"] is None or math.isfinite(r["log_perplexity"])
     assert quality.rate(no_docs).count() == 0
