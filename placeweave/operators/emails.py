@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from placeweave.functions.text import EMAIL_IN_TEXT, EMAIL_SHAPE_STRICT
 from placeweave.operators.pages import anchor_hrefs_expr, visible_text_expr
 from placeweave.operators.relational import newest_first
+from placeweave.operators.visibility import shown_texts
 
 # Substrings that disqualify an e-mail address (E5).
 EMAIL_BLACKLIST = ("example.com", "sentry.io", "wixpress.com", "noreply", "no-reply")
@@ -79,15 +80,28 @@ def site_key(url) -> Column:
     return F.when(path == "/", origin).otherwise(F.concat(origin, path))
 
 
-def enrich_emails(business: DataFrame, website_pages: DataFrame, apply_filter: bool = True) -> DataFrame:
-    """Left-join page e-mails onto businesses by website (:func:`site_key`).
+def shown_page_emails(pages: DataFrame, apply_filter: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """E2–E6 like :func:`page_emails`, with E2 over the text that the page shows
+    (``visibility``): an address in a hidden element is none.  ``mailto:``
+    links count wherever they are, as in the DOM."""
+    shown = shown_texts(pages.select("page_id", "url", *(keep or []), "html", F.col("html").alias("_page")), "_page", "_shown")
+    raw = F.array_distinct(F.concat(text_emails_expr("_shown"), mailto_emails_expr("html")))
+    emails = filter_emails_expr(raw) if apply_filter else raw
+    return (shown.select("page_id", "url", *(keep or []), emails.alias("emails"))
+            .withColumn("email", F.try_element_at("emails", F.lit(1))))
+
+
+def enrich_emails(business: DataFrame, website_pages: DataFrame, apply_filter: bool = True, shown_only: bool = False) -> DataFrame:
+    """Left-join page e-mails onto businesses by website (:func:`site_key`);
+    ``shown_only`` leaves out hidden text (one Arrow pass over the pages).
 
     Eligible rows (E1) with no captured page get ``email = NULL, emails = []``
     (a failed fetch); rows that were never eligible keep NULL in both."""
     # One row per site (the newest capture, then the lowest page_id, wins); a
     # partial aggregate: one small row per site and map task is shuffled.
     order = newest_first("captured_at", "page_id") if "captured_at" in website_pages.columns else F.col("page_id")
-    found = (page_emails(website_pages, apply_filter, keep=[c for c in ("captured_at",) if c in website_pages.columns])
+    read = shown_page_emails if shown_only else page_emails
+    found = (read(website_pages, apply_filter, keep=[c for c in ("captured_at",) if c in website_pages.columns])
              .groupBy(site_key("url").alias("_site"))
              .agg(F.min_by("emails", order).alias("_emails")))
     eligible = (F.col("website").isNotNull() & (F.col("website") != "")

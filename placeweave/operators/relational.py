@@ -16,6 +16,7 @@ Scale notes
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -172,3 +173,39 @@ def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], small_keys:
     for a, b in zip(keys, small_keys):
         on = on & F.col(a).eqNullSafe(F.col(b))
     return left.join(right, on).drop("_salt", "_copy")
+
+
+def grams_of(text: Column, n: int) -> Column:
+    """The distinct pieces of ``n`` characters of a text."""
+    last = F.length(text) - n
+    return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(text, i + 1, F.lit(n))))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def anti_match_table(df: DataFrame, column: str, needles: DataFrame, needle: str, gram: int = 3) -> DataFrame:
+    """J4 for a blacklist that is a table: rows whose ``column`` contains none
+    of its words (case-insensitive).  Null values stay; null and empty words
+    match nothing.
+
+    Instead of testing every word on every row, distinct values meet words by a
+    shared piece of ``gram`` characters (a shorter word: the whole word).  A
+    word is keyed by that of its pieces which the fewest values have, and not
+    at all if some piece is in none, so frequent pieces ("com") key nothing
+    that has a rarer one.  Hits are verified on the whole word, then the rows
+    go by an anti join on the value."""
+    words = (needles.select(F.lower(F.col(needle)).alias("_word")).where("_word is not null and _word <> ''").distinct()
+             .withColumn("_n", F.least(F.length("_word"), F.lit(gram))))
+    sizes = sorted(r[0] for r in words.select("_n").distinct().collect())          # at most ``gram`` numbers
+    values = df.select(F.lower(F.col(column)).alias("_value")).where("_value is not null").distinct()
+    if not sizes:
+        return df
+    pieces = values.select("_value", F.explode(F.flatten(F.array(*[grams_of(F.col("_value"), n) for n in sizes]))).alias("_gram"))
+    often = pieces.groupBy(F.col("_gram").alias("_g")).agg(F.count(F.lit(1)).alias("_times"))
+    own = reduce(lambda a, b: a.unionByName(b), [words.where(F.col("_n") == n).select("_word", F.explode(grams_of(F.col("_word"), n)).alias("_of"))
+                                                 for n in sizes])
+    keyed = (own.join(often, F.col("_of") == F.col("_g"), "left").groupBy("_word")
+             .agg(F.min_by(F.col("_of"), F.struct(F.coalesce("_times", F.lit(0)), "_of")).alias("_key"), F.min(F.coalesce("_times", F.lit(0))).alias("_least"))
+             .where("_least > 0").select("_word", "_key"))
+    hits = (pieces.join(keyed, F.col("_gram") == F.col("_key")).where(F.col("_value").contains(F.col("_word")))
+            .select(F.col("_value").alias("_hit")).distinct())
+    return df.join(hits, F.lower(F.col(column)) == F.col("_hit"), "left_anti")

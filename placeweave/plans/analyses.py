@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeweave.operators.relational import explode_rows, spread_join
@@ -36,6 +36,53 @@ def density(df: DataFrame, dims: Sequence[str], lat: str | None = None, lng: str
                         for d in dims], "n")
 
 
+#: Finest level of R1's cells: 2 ** 16 columns and rows of the whole globe.
+MAX_LEVEL = 16
+
+
+def _spread_bits(c: Column) -> Column:
+    """The low 16 bits of a number, one place apart (bits of a Morton code)."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return c
+
+
+def _gather_bits(c: Column) -> Column:
+    c = c.bitwiseAND(F.lit(0x55555555).cast("long"))
+    for shift, mask in ((1, 0x33333333), (2, 0x0F0F0F0F), (4, 0x00FF00FF), (8, 0x0000FFFF)):
+        c = c.bitwiseOR(F.shiftright(c, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return c
+
+
+def morton_cell(lat: Column, lng: Column, level: int = MAX_LEVEL) -> Column:
+    """The Morton code of a coordinate's cell; null where there is none.  A
+    code without its last two bits is the cell around it."""
+    n = 1 << level
+    x = F.greatest(F.least(F.floor((lng + 180.0) / 360.0 * n), F.lit(n - 1)), F.lit(0)).cast("long")
+    y = F.greatest(F.least(F.floor((lat + 90.0) / 180.0 * n), F.lit(n - 1)), F.lit(0)).cast("long")
+    return F.shiftleft(_spread_bits(y), 1).bitwiseOR(_spread_bits(x))
+
+
+def area_density(df: DataFrame, lat: str, lng: str, most: int, levels: int = MAX_LEVEL) -> DataFrame:
+    """R1 by area: cells sized by what is in them.  The globe is one cell of
+    level 0; a cell with more than ``most`` rows is cut in four, down to the
+    finest level, and empty quarters are left out.  ``(level, cell_x, cell_y,
+    n)``: each row with coordinates is in one cell, cells do not overlap.
+
+    Rows become counts of finest cells by a partial aggregate; those are rolled
+    up to every level in one shuffle (a Morton code loses two bits per level).
+    Whether a cell's parent was cut is read off its siblings: a window of four
+    rows.  A city that holds a third of all rows is a few counts."""
+    finest = (df.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).groupBy(morton_cell(F.col(lat), F.col(lng), levels).alias("_code"))
+              .agg(F.count(F.lit(1)).alias("_n")))
+    every = finest.select("_code", "_n", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    cells = (every.groupBy("level", F.expr(f"shiftright(_code, ({levels} - level) * 2)").alias("_cell")).agg(F.sum("_n").alias("n")))
+    around = F.sum("n").over(Window.partitionBy("level", F.shiftright("_cell", 2)))
+    leaf = ((F.col("n") <= most) | (F.col("level") == levels)) & ((F.col("level") == 0) | (F.col("_around") > most))
+    return (cells.withColumn("_around", around).where(leaf)
+            .select("level", _gather_bits(F.col("_cell")).alias("cell_x"), _gather_bits(F.shiftright("_cell", 1)).alias("cell_y"), "n"))
+
+
 def _ranks(df: DataFrame, group: str, order: list, keys: list[str]) -> DataFrame:
     """``(keys…, _rank)``: the rank of every distinct key row in its group.
 

@@ -176,7 +176,7 @@ def run(requests: DataFrame, pages: DataFrame, run_ts=None, cut_lineage: bool =
     outcomes = detail_outcomes(rows.where("scrape_details"), details)
     enriched = R.merge_details(rows, details.where("parse_error is null").drop("parse_error"), enabled=F.col("scrape_details"))
     website_pages = pages.filter(F.col("kind") == "website").select("page_id", "url", "captured_at", "html")
-    emailed = E.enrich_emails(enriched, website_pages)
+    emailed = E.enrich_emails(enriched, website_pages, shown_only=True)
     gate = F.col("scrape_details") & F.col("scrape_emails")
     emailed = (emailed.withColumn("email", F.when(gate, F.col("email")))
                .withColumn("emails", F.when(gate, F.col("emails"))))

@@ -6,10 +6,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeweave.functions.text import PRICE_RANGE
+from placeweave.session import scratch_path
 
 # Accepted place-id prefixes.
 PLACE_ID_PREFIXES = ("ChI", "hex_", "generated_", "fallback_")
@@ -97,6 +98,33 @@ def violations(df: DataFrame, row_id: str, checks: dict[str, str] | None = None)
     return out.select("row_id", F.col("v.field").alias("field"), F.col("v.value").alias("value"))
 
 
+def with_row_index(df: DataFrame, *order: Column | str, name: str = "row_index") -> DataFrame:
+    """``df`` with the number of each row, from 0, in the given order.
+
+    Rows are dealt out by range of the order and written with the number of
+    their part, so bounds and numbers cannot change between two evaluations; a
+    row's number is its place in its part plus the sizes of the parts before,
+    one number per part.  No task holds all rows.  Rows that agree in the whole
+    order are numbered one after the other."""
+    spark = df.sparkSession
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    path = scratch_path(spark, "row-index")
+    parts.write.parquet(path)
+    parts = spark.read.schema(parts.schema).parquet(path)
+    sizes = parts.groupBy(F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)       # one row per part
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return (parts.withColumn("_place", place).join(F.broadcast(sizes), F.col("_part") == F.col("_of"))
+            .withColumn(name, F.col("_before") + F.col("_place") - 1).drop("_part", "_of", "_size", "_before", "_place"))
+
+
+def violations_in_order(df: DataFrame, *order: Column | str, checks: dict[str, str] | None = None) -> DataFrame:
+    """V6 as ``(row_index, field, value)``: the index of a failing row in the
+    given order, as a list of results would have it."""
+    return violations(with_row_index(df, *order), "row_index", checks).withColumnRenamed("row_id", "row_index")
+
+
 def check_duration(log: DataFrame, max_ms: int, col: str = "duration_ms") -> DataFrame:
     """V7: runs slower than ``max_ms``."""
     return log.filter(F.col(col) > max_ms)
