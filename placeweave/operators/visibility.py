@@ -10,11 +10,10 @@ cells behind tabs, white space is collapsed outside ``pre``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from placeweave.functions.arrow import map_column
 from placeweave.operators.elements import flatten_page
 
 # Elements that are never shown, and those on lines of their own.
@@ -84,7 +83,11 @@ def shown_text(html: str | None) -> str:
             out.append(breaks[t0])
         if not a <= t0:                          # a node lies in a hidden range or outside of all
             piece = text[t0:t1].decode("utf-8")
-            out.append(piece if p0 <= t0 else _SPACES.sub(" ", piece))
+            if p0 > t0:
+                piece = _SPACES.sub(" ", piece)
+                if piece[0] == " " and out and out[-1][-1:] in (" ", "\n", "\t"):
+                    piece = piece[1:]            # one space between two pieces of text
+            out.append(piece)
         if t1 in breaks:
             out.append(breaks[t1])
     lines = "".join(out)
@@ -94,11 +97,4 @@ def shown_text(html: str | None) -> str:
 def shown_texts(pages: DataFrame, html: str = "html", name: str = "shown") -> DataFrame:
     """All columns of ``pages`` with the text shown in place of ``html``; one
     narrow Arrow pass."""
-    rest = [c for c in pages.columns if c != html]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in pages.dtypes if c != html), f"`{name}` string"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [shown_text(h) for h in batch.column(html).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], names=[*rest, name])
-    return pages.select(*rest, html).mapInArrow(run, schema)
+    return map_column(pages, html, lambda h: (shown_text(h),), {name: "string"})

@@ -13,12 +13,12 @@ are listed and read by the tasks.  One narrow Arrow pass, no shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeweave.functions.arrow import map_column
+
 #: How far a declaration is looked for, as in browsers.
 PRESCAN = 1024
 # Byte order marks, and names that mean another encoding.
@@ -79,16 +79,7 @@ def decode_page(data: bytes | None, fallback: str = "windows-1252") -> tuple[str
 def decode_pages(pages: DataFrame, content: str = "content", fallback: str = "windows-1252") -> DataFrame:
     """All columns of ``pages`` but ``content``, with ``html`` and ``charset``
     (null for a null page)."""
-    rest = [c for c in pages.columns if c != content]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in pages.dtypes if c != content), "html string", "charset string"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [decode_page(d, fallback) for d in batch.column(content).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in rest), pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.string())],
-                names=[*rest, "html", "charset"])
-    return pages.select(*rest, content).mapInArrow(run, schema)
+    return map_column(pages, content, lambda d: decode_page(d, fallback), {"html": "string", "charset": "string"})
 
 
 def read_page_files(spark: SparkSession, path: str, pattern: str = "*", fallback: str = "windows-1252") -> DataFrame:
