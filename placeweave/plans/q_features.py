@@ -13,10 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeweave.functions.arrays import size0
 from placeweave.operators import elements as X
 from placeweave.operators import emails as E
 from placeweave.operators import relational as R
+from placeweave.operators.details import detail_fields
+from placeweave.operators.listing import listings
 from placeweave.plans import analyses as AN
+from placeweave.plans import metrics as M
 from placeweave.plans import quality as V
 from placeweave.plans.q_captured import _pick, _text, key
 from placeweave.plans.q_checks import null
@@ -229,3 +233,81 @@ def grid_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat, lng = _coordinates()
     cust = load(spark, sf_dir, "customer", "c_custkey").select(lat.alias("lat"), lng.alias("lng"), _text("s", key() % 3).alias("kind"))
     return AN.density(cust, ["kind"], lat="lat", lng="lng", cell_deg=0.5)
+
+
+# ---------------------------------------------------------------------------
+# Rules that only odd pages reach: D2, D6, D7, D12; L8, L9; A8 end to end
+# ---------------------------------------------------------------------------
+
+def odd_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By ``key % 8``: a panel that is a table; an empty panel beside a week
+    table; hours among facilities, with and without a main word; a status line;
+    star classes after no, a too long and a booking button."""
+    button = '<button aria-label="Hours">x</button>'
+    body = _pick(
+        key() % 8,
+        _text(button, '<table class="hour"><tr><td>週一 (holiday)<td>9:00–17:00<tr><td>Feast ', key(), "<td>8:00–9:00<tr><td>複製營業時間<td>z</table>"),
+        _text(button, '<table class="hour"></table><table><tr><td>Monday<td>1', key() % 9, ":00</table>"),
+        _text("<div>Pool 7:00 AM – 9:00 PM</div><div>8:00 AM – 5:00 PM</div><div>Daily ", key(), "  6:00 AM – 7:00 PM</div>"),
+        _text("<span>Gym 5:00 AM</span><span>1:0", key() % 10, " PM</span>"),
+        _text("<p>Shop </p><div><span>Open</span> ⋅ until ", key(), "</div>"),
+        _text("<span>", key() % 5 + 1, " 星級飯店</span>"),
+        _text('<button jsaction="pane.category">', F.lit("x" * 60), "</button><span>· ", key() % 5 + 1, " 星級</span>"),
+        F.lit('<button jsaction="pane.category">選取日期</button>'))
+    return load(spark, sf_dir, "customer", "c_custkey").select(
+        key().cast("long").alias("page_id"), F.lit("https://m.example/maps/place/x").alias("url"), body.alias("html"))
+
+
+@register("detail_branches", """
+SELECT CAST(k AS BIGINT) AS page_id,
+       CASE k % 8 WHEN 0 THEN '週一: 9:00–17:00 | Feast ' || k || ': 8:00–9:00' WHEN 2 THEN 'Daily ' || k || ' 6:00 AM – 7:00 PM'
+            WHEN 3 THEN '1:0' || k % 10 || ' PM' WHEN 4 THEN 'Shop Open ⋅ until ' || k END AS hours,
+       CAST(CASE k % 8 WHEN 0 THEN 2 ELSE 0 END AS INTEGER) AS n_days,
+       CASE k % 8 WHEN 5 THEN (k % 5 + 1) || ' 星級飯店' WHEN 6 THEN (k % 5 + 1) || ' 星級' END AS businessType
+FROM (SELECT c_custkey AS k FROM customer)
+""")
+def detail_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2, D6, D7, D12 where they decide."""
+    d = detail_fields(X.page_elements(odd_detail_pages(spark, sf_dir)))
+    return d.select("page_id", F.array_join("hours", " | ").alias("hours"), size0(F.col("hours_entries")).alias("n_days"), "businessType")
+
+
+def odd_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One card per page, by ``key % 4``: several blocks with types; several
+    addresses; addresses of one length; an address behind a dot."""
+    block, end = '<div class="W4Efsd"><span>', "</span></div>"
+    blocks = _pick(
+        key() % 4,
+        _text(block, "Cafe", end, block, F.col("c_mktsegment"), end, block, "$$", end),
+        _text(block, "1 A St</span><span>22 Longer Street ", key(), end, block, "3 B", end),
+        _text(block, "11 Aa Rd", "</span><span>22 Bb Rd", end),
+        _text(block, "· 12 Main St ", key(), end))
+    card = _text('<div jsaction="mouseover:pane.c"><a href="/maps/place/P/ChIJo', key(), '"></a><div class="fontHeadlineSmall">', F.col("c_name"),
+                 "</div>", blocks, "</div>")
+    return load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment").select(
+        key().cast("long").alias("page_id"), F.lit("https://m.example/maps/search/x").alias("url"), card.alias("html"))
+
+
+@register("listing_branches", """
+SELECT CAST(k AS BIGINT) AS page_id, c_name AS name,
+       CASE k % 4 WHEN 1 THEN '22 Longer Street ' || k WHEN 2 THEN '22 Bb Rd' WHEN 3 THEN '12 Main St ' || k END AS address,
+       CASE k % 4 WHEN 0 THEN c_mktsegment WHEN 1 THEN '3 B' WHEN 2 THEN '11 Aa Rd' END AS businessType
+FROM (SELECT *, c_custkey AS k FROM customer)
+""")
+def listing_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last block with a type decides; L9: the longest address, of
+    equals the last of its block."""
+    rows = listings(X.page_elements(odd_cards(spark, sf_dir)))
+    return rows.select("page_id", "name", "address", "businessType")
+
+
+@register("end_to_end_verdicts", f"""
+WITH e AS (SELECT 'user ' || user_id AS query, event_type FROM events)
+SELECT query, count(*) AS runs, count(*) FILTER (WHERE event_type = 'error') AS failures,
+       CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 THEN 'pass'
+            WHEN count(*) FILTER (WHERE event_type <> 'error') / count(*) >= {M.PARTIAL_RATE} THEN 'partial' ELSE 'fail' END AS band
+FROM e GROUP BY query
+""")
+def end_to_end_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band of every user's runs."""
+    return M.end_to_end_verdict(M.run_log_from_events(load(spark, sf_dir, "events")), "query")
