@@ -83,7 +83,7 @@ def area_density(df: DataFrame, lat: str, lng: str, most: int, levels: int = MAX
             .select("level", _gather_bits(F.col("_cell")).alias("cell_x"), _gather_bits(F.shiftright("_cell", 1)).alias("cell_y"), "n"))
 
 
-def _ranks(df: DataFrame, group: str, order: list, keys: list[str]) -> DataFrame:
+def group_ranks(df: DataFrame, group: str, order: list, keys: list[str]) -> DataFrame:
     """``(keys…, _rank)``: the rank of every distinct key row in its group.
 
     Key rows are counted, dealt out by range in the groups' order and written
@@ -120,7 +120,7 @@ def rating_rank(df: DataFrame, group: str, score: str, top_k: int | None = None,
         top = df.withColumn("rank", F.rank().over(w).cast("long")).filter(F.col("rank") <= top_k)
     else:
         keys = [group, score, *([tiebreak] if tiebreak else [])]
-        ranks = _ranks(df, group, order, keys).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+        ranks = group_ranks(df, group, order, keys).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
         same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
         top = df.join(ranks, same).drop(*[f"_k{i}" for i in range(len(keys))]).withColumnRenamed("_rank", "rank")
     cents = F.sum(F.round(F.col(score) * 100)) * 1.0 / F.count(F.lit(1))      # whole cents: exact in any order

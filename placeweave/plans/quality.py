@@ -54,7 +54,7 @@ def check_phone(df: DataFrame, col: str = "phone") -> DataFrame:
     return df.filter(~phone_ok(col))
 
 
-def check_counts(df: DataFrame, key: str, min_rows: int | None = None, max_rows: int | None = None) -> DataFrame:
+def check_counts(df: DataFrame, key: str, min_rows: int | Column | None = None, max_rows: int | Column | None = None) -> DataFrame:
     """V4: groups whose row count is outside ``[min_rows, max_rows]``."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     bad = F.lit(False)
