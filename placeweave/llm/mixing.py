@@ -51,7 +51,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat
     source, and the excess is shared again until none is above.  That is
     ``min(level * weight, cap)`` for one level, found here by sorting the
     sources by the level at which each is full: below it lie the full ones.
-    Works on one row per source.
+    Works on one row per source, in one task: a source is a row of some 50
+    bytes there, so a million sources are 50 MB.
     """
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("n") - 1) % len(weights) + 1)
     # UTF-8 byte order, Spark's order of strings, is code-point order.
@@ -181,16 +182,19 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     # equal rows are told apart by number only: they share out their copies
     take = (m.groupBy("doc_id", "source", "text_key")
             .agg(F.sum("copies").alias("all_copies"), F.count(F.lit(1)).alias("same")))
-    i, s, k, n, r = fresh(docs, "m_id", "m_source", "m_key", "m_copies", "m_row")
+    i, s, k, n, r, w = fresh(docs, "m_id", "m_source", "m_key", "m_copies", "m_row", "m_whole")
     take = take.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("text_key").alias(k),
                        F.col("all_copies").alias(n), F.col("same").alias(r))
     d_id, d_source = docs[f"`{doc_id}`"], docs[f"`{source}`"]
     joined = docs.join(take, d_id.eqNullSafe(take[i]) & d_source.eqNullSafe(take[s])
                        & (F.xxhash64(docs[f"`{text}`"]) == take[k]))
-    rank = F.row_number().over(Window.partitionBy(i, s, k).orderBy(F.lit(0)))
+    # in an order of the whole rows, so a stage that runs again takes the same
+    whole = F.xxhash64(*[docs[f"`{c}`"] for c, kind in docs.dtypes if not kind.startswith("map")])
+    joined = joined.withColumn(w, whole)
+    rank = F.row_number().over(Window.partitionBy(i, s, k).orderBy(w))
     single = joined.where(F.col(r) == 1).withColumn(r, F.lit(0).cast("long"))
     several = joined.where(F.col(r) > 1).withColumn(
         n, F.floor(F.col(n) / F.col(r)) + (rank <= F.col(n) % F.col(r)).cast("long")).withColumn(r, F.lit(0).cast("long"))
     both = single.unionByName(several.withColumn(n, F.col(n).cast("long")))
     return (both.where(F.col(n) > 0).withColumn(r, F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int"))))
-            .drop(i, s, k, n, r))
+            .drop(i, s, k, n, r, w))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.llm.common import mix64, text_bytes, written
+from placeweave.plans.analyses import group_ranks
 
 SCHEMA = "bucket int, kind int, data binary"
 #: Text bytes that a task takes up at once (a longer text is taken alone).
@@ -59,17 +60,18 @@ def gaps(values: np.ndarray) -> np.ndarray:
 def number_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, twin, text)`` of every row.  Ids that occur with several
     texts are found by one aggregate over (id, text hash); as a rule there are
-    none, and the join below is with an empty table."""
+    none, and the join below is with an empty table.  The texts of an id are
+    numbered over range parts, so an id may have any number of them."""
     rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text"))
     key = F.xxhash64("text")
     several = (rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high"))
                .where("low <> high").select(F.col("doc_id").alias("s_id")))
     several = written(several, "several")
-    each = (rows.join(several, F.col("doc_id") == F.col("s_id"), "left_semi").select("doc_id", key.alias("t_key")).distinct())
-    twins = written(each.groupBy(F.col("doc_id").alias("t_id")).agg(F.sort_array(F.collect_list("t_key")).alias("t_keys")), "twins")
-    return (rows.join(twins, F.col("doc_id") == F.col("t_id"), "left")
-            .select("doc_id", F.when(F.col("t_id").isNull(), 0).otherwise(F.array_position("t_keys", key)).cast("int").alias("twin"),
-                    "text"))
+    each = rows.join(several, F.col("doc_id") == F.col("s_id"), "left_semi").select("doc_id", key.alias("t_key")).distinct()
+    ranks = group_ranks(each, "doc_id", [F.col("t_key")], ["doc_id", "t_key"])
+    twins = written(ranks.select(F.col("doc_id").alias("t_id"), "t_key", F.col("_rank").cast("int").alias("rank")), "twins")
+    return (rows.join(twins, (F.col("doc_id") == F.col("t_id")) & (key == F.col("t_key")), "left")
+            .select("doc_id", F.coalesce("rank", F.lit(0)).alias("twin"), "text"))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[list[tuple[int | None, int, bytes]]]:

@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeweave.llm.common import fresh, row_key, text_bytes, written
@@ -224,10 +224,14 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     found = _in_components(docs, shingle, distance, doc_id, text)
     keep = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .groupBy("root").agg(F.min(F.struct("row_key", "doc_id")).alias("k"), F.count(F.lit(1)).alias("n")))
-    k_id, k_key, k_n = fresh(docs, "keep_id", "keep_key", "keep_n")
+    k_id, k_key, k_n, k_row = fresh(docs, "keep_id", "keep_key", "keep_n", "keep_row")
     keep = keep.select(F.col("k.doc_id").alias(k_id), F.col("k.row_key").alias(k_key), F.col("n").alias(k_n))
     d, t = docs[f"`{doc_id}`"], docs[f"`{text}`"]
     rows = docs.join(keep, d.cast("long").eqNullSafe(keep[k_id]) & (F.xxhash64(d.cast("long"), t) == keep[k_key]))
     once = rows.where(F.col(k_n) == 1)
-    again = rows.where(F.col(k_n) > 1).dropDuplicates([k_id, k_key])
+    # rows that differ in other columns only: the smallest hash of the whole row
+    whole = F.xxhash64(*[docs[f"`{c}`"] for c, kind in docs.dtypes if not kind.startswith("map")])
+    again = rows.where(F.col(k_n) > 1).withColumn(k_row, whole)
+    first = F.row_number().over(Window.partitionBy(k_id, k_key).orderBy(k_row))
+    again = again.withColumn(k_row, first).where(F.col(k_row) == 1).drop(k_row)
     return once.unionByName(again).drop(k_id, k_key, k_n)

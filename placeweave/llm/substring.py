@@ -11,9 +11,10 @@ also starts in a document with a smaller id.
    (80 bits); the smallest id that has a window keeps it, the others lose it.
 3. Runs of lost windows are the maximal repeats; their words go.
 
-Each step moves packed records by hash bucket (see ``packed``).  Index
-buckets hold only distinct hashes and are small; probes pass by them in
-a stream.  Before step 2 meets, a task gives its own later copies of a window
+Each step moves packed records by hash bucket (see ``packed``).  Of a block
+that many documents share, a task sends the smallest document only, so index
+buckets hold little more than distinct hashes; probes pass by them in a
+stream.  Before step 2 meets, a task gives its own later copies of a window
 away, so a passage that very many documents share sends one record per task.
 """
 
@@ -45,6 +46,18 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def _of_least(low: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The entries of each hash's smallest document, in order.  Only those are
+    needed as an index: every other document that has the block probes it,
+    meets a smaller id and is a candidate by that."""
+    order = np.lexsort((doc, low))
+    new = np.r_[True, low[order][1:] != low[order][:-1]]
+    least = doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    keep = np.empty(len(low), bool)
+    keep[order] = doc[order] == least
+    return np.flatnonzero(keep)
+
+
 def _probe(block: int, n: int):
     """Documents → index blocks and rolling windows by hash bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,6 +74,7 @@ def _probe(block: int, n: int):
                 rows.append((b, PROBE, pack(low[at], gaps(doc[at]), twin[at], pos[at])))
                 at = at[pos[at] % block == 0]
                 if len(at):
+                    at = at[_of_least(low[at], doc[at])]
                     rows.append((b, INDEX, pack(low[at], gaps(doc[at]), twin[at], pos[at])))
             return batch_of(rows)
 
@@ -85,6 +99,9 @@ class _Index:
 
     def __init__(self, blobs: list[list[np.ndarray]]) -> None:
         low, doc, twin, pos = [np.concatenate(c) for c in zip(*blobs)] if blobs else [np.empty(0, np.int64)] * 4
+        if len(low):
+            at = _of_least(low, doc)
+            low, doc, twin, pos = low[at], doc[at], twin[at], pos[at]
         order = np.lexsort((doc, low))
         self.low, self.doc, self.twin, self.pos = low[order], doc[order], twin[order], pos[order]
         first = np.flatnonzero(np.r_[True, self.low[1:] != self.low[:-1]]) if len(low) else np.empty(0, np.int64)

@@ -10,7 +10,7 @@ from conftest_rows import ODD, prose
 from test_simhash import plain_components, plain_fingerprint
 
 import corpus_pipeline
-from placeweave.llm import decontam, mixing, sharding, toxicity, urlfilter
+from placeweave.llm import decontam, mixing, sharding, simhash, toxicity, urlfilter
 
 SF = "/root/testdata/sf0.001"
 
@@ -248,3 +248,15 @@ def test_stages_survive_odd_documents(spark, odd_docs, no_docs):
             at = fn(spark, at, SF)
             assert at.columns == start.columns, name
         corpus_pipeline.place_shards(spark, at, SF).count()
+
+
+def test_rows_that_differ_in_other_columns_are_chosen_alike(spark):
+    """A stage that runs again takes the same rows."""
+    rows = [(i // 4, prose("en", i // 4, 40), "en", f"s{i // 4 % 2}", i) for i in range(80)]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    takes = []
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(rows[::-1] if parts == 3 else rows, ddl).repartition(parts)
+        takes.append((sorted(map(tuple, mixing.mixed_documents(docs).collect())), sorted(map(tuple, simhash.one_of_each(docs).collect()))))
+    assert takes[0] == takes[1] == takes[2]
+    assert len({r[0] for r in takes[0][1]}) == len(takes[0][1])

@@ -7,6 +7,8 @@ import re
 import numpy as np
 import pytest
 
+from conftest_rows import prose
+
 from placeweave.llm import packed, substring, suffixdedup
 
 
@@ -159,3 +161,20 @@ def test_rolling_hash_names_equal_windows():
         key = values[i:i + 6].tobytes()
         assert seen.setdefault(key, h[i]) == h[i]
     assert len(set(seen.values())) == len(seen)
+
+
+def test_index_keeps_the_smallest_document_of_a_block():
+    low = np.array([5, 7, 5, 5, 7, 9], np.uint32)
+    doc = np.array([3, 8, 2, 2, 9, 1], np.int64)
+    assert substring._of_least(low, doc).tolist() == [1, 2, 3, 5]
+
+
+def test_one_id_with_very_many_texts(spark, make_docs):
+    """Texts of one id are numbered without meeting in one row."""
+    texts = [prose("en", i, 5) + f" {i}" for i in range(300)]
+    docs = make_docs([(1, t) for t in texts] + [(2, texts[0]), (3, "x"), (3, "x")], 6)
+    rows = packed.number_rows(docs).collect()
+    assert sorted(r["twin"] for r in rows if r["doc_id"] == 1) == list(range(1, 301))
+    assert {r["twin"] for r in rows if r["doc_id"] != 1} == {0}
+    again = {(r["doc_id"], r["text"]): r["twin"] for r in packed.number_rows(docs.repartition(3)).collect()}
+    assert again == {(r["doc_id"], r["text"]): r["twin"] for r in rows}
