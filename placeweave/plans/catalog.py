@@ -8,7 +8,7 @@ between the two; lists are rendered as ``,``-joined strings.
 
 from __future__ import annotations
 
-from placeweave.plans import q_captured, q_checks, q_extract, q_features, q_pages, q_tables  # noqa: F401  (registration side effect)
+from placeweave.plans import q_captured, q_checks, q_extract, q_features, q_pages, q_rules, q_tables  # noqa: F401  (registration side effect)
 from placeweave.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
