@@ -51,6 +51,7 @@ def main(argv=None) -> None:
     ap.add_argument("--pages", required=True, help="captured pages (parquet)")
     ap.add_argument("--out", required=True, help="output folder")
     ap.add_argument("--format", default="parquet", choices=["parquet", "json", "csv", "xml"])
+    ap.add_argument("--run-id", help="append under this name: a repeated command replaces its rows (parquet only)")
     ap.add_argument("--cut-lineage", action="store_true", help="checkpoint extracted rows after X1")
     args = ap.parse_args(argv)
 
@@ -62,8 +63,10 @@ def main(argv=None) -> None:
     res = run(requests_from_input(spark, cfg), spark.read.schema(CAPTURED_PAGE_SCHEMA).parquet(args.pages),
               cut_lineage=args.cut_lineage)
     # extract once: the statistics are counted while the rows are written
+    if args.run_id and args.format != "parquet":
+        ap.error("--run-id needs --format parquet")
     if args.format == "parquet":
-        stats = res.write(f"{args.out}/businesses")
+        stats = res.write(f"{args.out}/businesses", run=args.run_id)
     else:
         rows = scratch_path(spark, "run")
         stats = res.write(rows)

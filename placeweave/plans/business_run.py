@@ -34,7 +34,7 @@ from placeweave.operators.elements import NO_CONTENT, page_elements
 from placeweave.operators.listing import listing_arrays, listing_rows
 from placeweave.session import checkpoint_dir
 from placeweave.sources import requests as RQ
-from placeweave.sources import sinks
+from placeweave.sources import runs, sinks
 
 CAPTURED_PAGE_SCHEMA = ("page_id BIGINT, kind STRING, request_id BIGINT, region_pos INT, place_id STRING, "
                         "url STRING, captured_at TIMESTAMP, html STRING")
@@ -80,10 +80,14 @@ class RunResult:
         rows as they were written, so that nothing is extracted again."""
         return run_stats(self, businesses.agg(*[c.alias(k) for k, c in row_counts().items()]))
 
-    def write(self, path: str, fmt: str = "parquet", mode: str = "append") -> DataFrame:
+    def write(self, path: str, fmt: str = "parquet", mode: str = "append", run: str | None = None) -> DataFrame:
         """Write the business rows; the statistics, with what was counted in
-        the same pass."""
-        seen = sinks.write_businesses(self.businesses, path, fmt=fmt, mode=mode, metrics=row_counts())
+        the same pass.  With a ``run`` the rows are appended under that name
+        (parquet, ``sources.runs``): writing the run again replaces them."""
+        if run is not None:
+            seen = runs.append_run(self.businesses, path, run, row_counts())
+        else:
+            seen = sinks.write_businesses(self.businesses, path, fmt=fmt, mode=mode, metrics=row_counts())
         spark = self.businesses.sparkSession
         return run_stats(self, spark.range(1).select(*[F.lit(seen[k]).cast("long").alias(k) for k in row_counts()]))
 

@@ -150,6 +150,15 @@ def test_cli_run(spark, tmp_path):
     assert sorted((r.query, r.placeId) for r in out.collect()) == [
         ("bar", "ChIJppp"), ("bar", "hex_0x3442abb6:0x1f2"), ("pizza", "ChIJzza")]
     assert spark.read.json(str(tmp_path / "out" / "stats")).first().total_searches == 2
+    # a command that is repeated under the name of its run adds nothing
+    from placeweave.sources import runs
+    ddl = ", ".join(f"`{c}` {PL.BUSINESS_TYPES[c]}" for c in PL.BUSINESS_COLUMNS)
+    for _ in range(2):
+        cli.main(["--input", str(tmp_path / "input.json"), "--pages", str(tmp_path / "pages"), "--out", str(tmp_path / "again"),
+                  "--run-id", "monday"])
+    again = runs.read_runs(spark, str(tmp_path / "again" / "businesses"), ddl)
+    assert again.count() == 3 and {r.run for r in again.collect()} == {"monday"}
+    assert spark.read.json(str(tmp_path / "again" / "stats")).first().total_results == 3
 
 
 def test_input_without_searches_fails(spark):
