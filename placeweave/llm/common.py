@@ -89,12 +89,12 @@ def estimate_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(row[0] or 0)
 
 
-def bucket_count(spark: SparkSession, items: int, per_bucket: int) -> int:
+def bucket_count(spark: SparkSession, items: int, per_bucket: int, each: int = 4) -> int:
     """So many hash buckets that one holds about ``per_bucket`` items.  Where
     that gives too few for the shuffle partitions (buckets are dealt out by
-    hash), a few per partition, but none of under a 64th of ``per_bucket``:
+    hash), ``each`` per partition, but none of under a 64th of ``per_bucket``:
     each task sends a row per bucket, and rows should be worth sending."""
-    spread = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = each * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(1, -(-items // per_bucket), min(spread, -(-64 * items // per_bucket)))
 
 

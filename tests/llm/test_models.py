@@ -62,6 +62,48 @@ def test_language_samples_start_anywhere(make_docs):
     assert len(set(places)) > 10 and max(places) > 400
 
 
+def test_language_query_against_a_plain_classifier(spark):
+    """The whole query on a table: samples picked and texts encoded one by one."""
+    import zlib
+
+    import zstandard
+
+    from placeweave.llm.queries import QUERIES
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("h", F.xxhash64("text")).withColumn("at", F.xxhash64("text", F.lit(1))).collect()
+
+    def plain(text):
+        return b" ".join(re.sub(r"[^A-Za-z\x80-\U0010ffff]+", " ", text.lower()).encode().split())
+    pieces = {}
+    for r in docs:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"]:
+            start = r["at"] % max(len(r["text"]) - langid.SAMPLE_CHARS + 1, 1)
+            piece = r["text"][start:start + langid.SAMPLE_CHARS]
+            if any(c.isalpha() for c in piece):
+                known = pieces.setdefault(r["lang"], {})
+                known[piece] = min(known.get(piece, r["h"]), r["h"])
+    coders = {}
+    for lang, known in sorted(pieces.items()):
+        first = sorted((h, x) for x, h in known.items())[:langid.SAMPLE_ROWS]
+        p = zstandard.ZstdCompressionParameters(window_log=18, chain_log=16, hash_log=16, search_log=3, min_match=4, target_length=16,
+                                                strategy=zstandard.STRATEGY_BTLAZY2, write_checksum=0, write_content_size=0, write_dict_id=0)
+        d = zstandard.ZstdCompressionDict(b" ".join(plain(x) for _, x in first), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        coders[lang] = zstandard.ZstdCompressor(compression_params=p, dict_data=d)
+    got = {r["doc_id"]: r for r in QUERIES["op1_language_id"](spark, sf).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        out = got[r["doc_id"]]
+        assert out["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert out["lang_pred"] == "und"
+            continue
+        data = plain(r["text"])
+        sizes = {lang: sum(len(c.compress(data[i:i + langid.PIECE])) for i in range(0, len(data), langid.PIECE)) for lang, c in coders.items()}
+        assert sizes[out["lang_pred"]] == min(sizes.values())
+        second = sorted(sizes.values())[1]
+        assert out["rejected"] == ((second - min(sizes.values())) / second < langid.MIN_MARGIN)
+
+
 def test_language_margin():
     by = langid.encoders({k: [prose(k, i, 200) for i in range(3)] for k in ("en", "de", "fr")})
     for k in by:
@@ -105,6 +147,46 @@ def test_toxicity_learns_outside_the_held_out_rows(spark):
     assert clean == {r["doc_id"] for r in toxicity.score(docs, model).collect() if r["score"] < toxicity.THRESHOLD}
 
 
+def test_toxicity_query_against_plain_ftrl(spark):
+    """The whole query on a table: one number after the other, in dictionaries."""
+    import zlib
+
+    from placeweave.llm.queries import QUERIES
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("order", F.xxhash64("doc_id", "text")).collect()
+    labels = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            labels[r["doc_id"]] = max(labels.get(r["doc_id"], 0), r["toxic"])
+    rows = sorted((r["order"], labels[r["doc_id"]], r["text"]) for r in docs if r["doc_id"] in labels)
+    assert 20 < len(rows) < toxicity.MAX_TRAINING_ROWS
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        l1 = 0.0 if i == toxicity.DIM else toxicity.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return (math.copysign(l1, z[i]) - z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    def score(at):
+        return 1 / (1 + math.exp(-min(max(sum(map(weight, at)), -35), 35)))
+    for _ in range(toxicity.EPOCHS):
+        for _, label, text in rows:
+            at = [*toxicity.features(text).tolist(), toxicity.DIM]
+            old = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-min(max(sum(old.values()), -35), 35))) - label
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * old[i]
+                n[i] += g * g
+    got = {r["doc_id"]: r for r in QUERIES["op3_toxicity"](spark, sf).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        want = score([*toxicity.features(r["text"]).tolist(), toxicity.DIM])
+        out = got[r["doc_id"]]
+        assert out["score"] == pytest.approx(want, abs=1e-6) and out["predicted"] == int(out["score"] >= toxicity.THRESHOLD)
+        assert out["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
 def test_toxicity_of_odd_documents(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (None, 1), (3, None), (4, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd_docs, labels)
@@ -299,19 +381,19 @@ def lm_docs(n=60):
     return docs + [(n, None), (n + 1, ""), (n + 2, "中文 語言 模型 中文 語言 模型"), (n + 3, "乄斞 誵託 樸垢"), (n + 4, "THE Cat\tand the dog"), (n + 5, "x")]
 
 
-@pytest.mark.parametrize("hot,chunk,parts", [([], 24 << 20, 1), ([b"the", b"und", b"cat"], 300, 5)])
+@pytest.mark.parametrize("hot,chunk,parts", [([], 16 << 20, 1), ([b"the", b"und", b"cat"], 300, 5)])
 def test_kneser_ney_costs_against_the_formulas(spark, monkeypatch, hot, chunk, parts):
     """Also with hot words dealt out by context, many chunks and buckets."""
     monkeypatch.setattr(ngrams, "hot_words", lambda rows: np.sort(ngrams._hashes(hot)))
     monkeypatch.setattr(ngrams, "CHUNK_BYTES", chunk)
-    monkeypatch.setattr(ngrams, "bucket_count", lambda *a: 7 if hot else 1)
+    monkeypatch.setattr(ngrams, "bucket_count", lambda *a, **k: 7 if hot else 1)
     docs = lm_docs()
     rows = spark.createDataFrame([(k, None if t is None else t.encode()) for k, t in docs], "row_key long, data binary").repartition(parts)
-    got = {r["row_key"]: (r["words"], r["cost"] / ngrams.MICRO) for r in ngrams.costs(rows).collect()}
+    got = {r["row_key"]: (r["words"], r["cost"] / ngrams.PARTS) for r in ngrams.costs(rows).collect()}
     want = plain_costs(docs)
     assert set(got) == set(want)
     for k, (n, nats) in want.items():
-        assert got[k][0] == n and got[k][1] == pytest.approx(nats, abs=1e-6 * n + 1e-9)
+        assert got[k][0] == n and got[k][1] == pytest.approx(nats, abs=5e-4 * n + 1e-9)
 
 
 def test_kneser_ney_sums_to_one(spark):
@@ -323,7 +405,7 @@ def test_kneser_ney_sums_to_one(spark):
     model = ngrams.Model(found, hot)
     b = ngrams.Bucket([ngrams.unpacked(bytes(r["heads"]), bytes(r["grams"])) for r in grams.collect()])
     assert (np.diff(b.h.astype(object)) >= 0).all()                        # sorted arrays
-    for ctx in [*np.unique(b.ctx)[::7].tolist(), 12345]:
+    for ctx in [*np.unique(b.ctx)[::7].tolist(), 777]:
         count = np.zeros(len(b.word), np.int64)
         count[b.word_of[b.ctx == ctx]] = b.count[b.ctx == ctx]
         p = model.probability(count, np.full(len(b.word), ctx), b.types).sum()
@@ -346,6 +428,36 @@ def test_hot_words_and_growth(spark, monkeypatch):
     assert len(set(ngrams._hashes(["中文".encode(), "乄斞".encode(), "語言".encode()]).tolist())) == 3
 
 
+def test_quality_bands_against_plain_medians(spark):
+    """What is kept, from every document's cost, by medians of plain lists."""
+    rng = random.Random(13)
+    rows = [(i, prose(k or "fr", i, 50 + i % 200), k) for i, k in enumerate(["en", "de", None] * 30)]
+    rows += [(200 + i, " ".join("".join(rng.choice("qxzjvwk#%&") for _ in range(5)) for _ in range(90)), "en") for i in range(4)]
+    rows += [(300, "x " * 60, "en"), (301, None, "de"), (302, prose("de", 9, 20), "de")]
+    got = {r["doc_id"]: r for r in quality.rate(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()}
+    mean = {k: nats / n for k, (n, nats) in plain_costs([(i, t) for i, t, _ in rows]).items() if n}
+
+    def lower_median(values):
+        return sorted(values)[(len(values) - 1) // 2]
+    for lang in ("en", "de", None):
+        mine = [i for i, _, x in rows if x == lang]
+        bins = {i: math.floor(got[i]["log_perplexity"] / quality.BIN) for i in mine if i in mean}
+        mid = lower_median(bins.values())
+        dev = max(lower_median([abs(b - mid) for b in bins.values()]) * quality.BIN * 1.4826, quality.DEVIATION_FLOOR)
+        for i in mine:
+            r = got[i]
+            if i not in mean:
+                assert r["log_perplexity"] is None and not r["kept"]
+                continue
+            assert r["log_perplexity"] == pytest.approx(mean[i], abs=1e-3)
+            wide = dev * math.sqrt(1 + quality.LENGTH_SCALE / r["n_words"])
+            middle = (mid + .5) * quality.BIN
+            inside = middle - wide * quality.BAND_BELOW <= r["log_perplexity"] <= middle + wide * quality.BAND_ABOVE
+            n, _, _, _, repeats = plain_figures(dict((k, t) for k, t, _ in rows)[i])
+            assert r["kept"] == (inside and n >= 50 and 100 * repeats <= 50 * n)
+    assert not any(got[200 + i]["kept"] for i in range(4)) and got[0]["kept"]
+
+
 def test_bands_reject_strange_texts_and_keep_clean_ones(spark):
     rng = random.Random(9)
     rows = [(i, prose(k, i, 50 + i % 300), k) for i, k in enumerate(["en", "de", "fr"] * 60)]
