@@ -15,6 +15,7 @@ from placeweave.operators import pages as P
 from placeweave.operators.phones import first_phone_expr
 from placeweave.plans.q_captured import _pick, _text, key
 from placeweave.plans.registry import register
+from placeweave.sources import requests as RQ
 from placeweave.sources.tables import load
 
 # Inputs and results ("{k}" is the key), per rule.
@@ -108,3 +109,27 @@ def link_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "customer", "c_custkey").select(
         key().cast("long").alias("page_id"), _text("https://h", key(), ".test/d/x?q#f").alias("url"), html.alias("html"))
     return P.page_links(rows).select("page_id", "pos", "link_url")
+
+
+#: Search texts with their encoded form, and start URLs with their label or error.
+SEARCHES = (("咖啡 {k}", "%E5%92%96%E5%95%A1%20{k}", "true"), ("bar & grill {k}", "bar%20%26%20grill%20{k}", "false"),
+            ("café+{k}", "caf%C3%A9%2B{k}", "true"), ("it's 100% (ok)! ~{k}", "it's%20100%25%20(ok)!%20~{k}", "false"))
+START_URLS = (("https://m.test/maps/search/tea+house/@1,2?x={k}", "tea+house", ""), ("https://m.test/search/%E8%8C%B6%20{k}/", "茶 {k}", ""),
+              ("https://m.test/maps/place/P{k}", "Direct URL", ""), ("https://m.test/search/%E4%ZZ{k}", "", "URI malformed"),
+              ("m.test/search/x{k}", "", "Invalid URL"), ("https:// /search/x{k}", "", "Invalid URL"), ("word {k}", "", "Invalid URL"))
+
+
+@register("request_rules", "SELECT CAST(k AS BIGINT) AS id, " + ", ".join(
+    f"CASE k % {len(cases)} " + " ".join(f"WHEN {i} THEN {prefix}{_literal(c[j])}{suffix}" for i, c in enumerate(cases)) + f" END AS {name}"
+    for cases, j, name, prefix, suffix in (
+        (SEARCHES, 1, "search_url", "'https://www.google.com/maps/search/' || ", " || '?hl=zh-TW'"), (SEARCHES, 2, "non_ascii", "", ""),
+        (START_URLS, 1, "label", "", ""), (START_URLS, 2, "error", "", ""))) + " FROM (SELECT c_custkey AS k FROM customer)")
+def request_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2, O3 and the reasons of O4 on literal searches and start URLs."""
+    rows = load(spark, sf_dir, "customer", "c_custkey").select(
+        key().cast("long").alias("id"), _pick(key() % len(SEARCHES), *[_filled(c[0]) for c in SEARCHES]).alias("query"), F.lit("zh-TW").alias("language"),
+        _pick(key() % len(START_URLS), *[_filled(c[0]) for c in START_URLS]).alias("start_url"))
+    error = RQ.url_error_expr("start_url")
+    return RQ.with_search_url(rows).select(
+        "id", "search_url", F.col("non_ascii").cast("string").alias("non_ascii"),
+        F.when(error.isNull(), RQ.url_label_expr("start_url")).otherwise(F.lit("")).alias("label"), F.coalesce(error, F.lit("")).alias("error"))
