@@ -393,7 +393,7 @@ def test_kneser_ney_costs_against_the_formulas(spark, monkeypatch, hot, chunk, p
     want = plain_costs(docs)
     assert set(got) == set(want)
     for k, (n, nats) in want.items():
-        assert got[k][0] == n and got[k][1] == pytest.approx(nats, abs=5e-4 * n + 1e-9)
+        assert got[k][0] == n and got[k][1] == pytest.approx(nats, abs=5e-3 * n + 1e-9)
 
 
 def test_kneser_ney_sums_to_one(spark):
@@ -449,7 +449,7 @@ def test_quality_bands_against_plain_medians(spark):
             if i not in mean:
                 assert r["log_perplexity"] is None and not r["kept"]
                 continue
-            assert r["log_perplexity"] == pytest.approx(mean[i], abs=1e-3)
+            assert r["log_perplexity"] == pytest.approx(mean[i], abs=5e-3)
             wide = dev * math.sqrt(1 + quality.LENGTH_SCALE / r["n_words"])
             middle = (mid + .5) * quality.BIN
             inside = middle - wide * quality.BAND_BELOW <= r["log_perplexity"] <= middle + wide * quality.BAND_ABOVE
