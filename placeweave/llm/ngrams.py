@@ -1,20 +1,21 @@
 """A modified Kneser-Ney model of word n-grams over all texts, and every text's
 cost under it.
 
-An n-gram is a word after a context.  Words are 48-bit hashes of the whole
-lower-cased word; a context is the word before it, hashed to
-``2 ** CONTEXT_BITS`` values, so the statistics of contexts have a bound and
-may be broadcast, while n-grams and words grow with the corpus and never leave
-their buckets:
-
-1. Tasks count the n-grams of their texts; sorted hash arrays go to the bucket
-   of their word.  A bucket knows every context of its words, hence exact
-   counts and continuation counts.  What leaves it are counts of counts and
-   sums per context, which Spark adds up.
-2. The same n-grams come once more, now with the documents that have them.
-   The bucket merges them to the same sorted arrays, looks each document's
+An n-gram is a word after a context, the whole word before it.  Words and
+contexts are 48-bit hashes of whole lower-cased words; n-grams, words and
+contexts all grow with the corpus and never leave their buckets:
+
+1. Tasks count the n-grams of their texts, with the documents that have them;
+   sorted hash arrays go to the bucket of their word.  A bucket knows every
+   context of its words, hence exact counts and continuation counts.
+2. A context's words lie in many buckets.  Each bucket sends its sums of a
+   context to the context's own bucket, which adds them up and answers each
+   sender in the order of its contexts.
+3. The bucket of words, read again from the same shuffle, looks each document's
    distinct n-grams up and sends back one sum of costs per document.
 
+Only counts of counts and the continuation counts of hot words meet as a whole.
+
 A document does not vouch for itself: its own occurrences are taken off an
 n-gram's count before it is scored.  Costs are whole hundredths of a nat, so sums are
 the same in any order.  Very frequent words would make their bucket large;
@@ -25,6 +26,7 @@ rest.  The sample decides where work is done, never a result.
 
 from __future__ import annotations
 
+import json
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -38,17 +40,24 @@ from pyspark.sql import functions as F
 from placeweave.llm.common import bucket_count, estimate_bytes, mix64
 from placeweave.llm.packed import gaps, pack, split, unpack
 
-HASH_BITS, CONTEXT_BITS = 48, 10
-CONTEXTS = 1 << CONTEXT_BITS
+HASH_BITS = 48
+#: A context keeps all bits of its word.
+CONTEXT_BITS = HASH_BITS
 START = b""
 #: Text that makes one set of n-grams; words of one bucket (about).
 CHUNK_BYTES, WORDS_PER_BUCKET = 16 << 20, 1_500_000
+#: Buckets of words for each bucket of contexts.
+PER_CONTEXT_BUCKET = 4
 HOT_SHARE, SAMPLE = 2000, 64
 #: Costs are whole parts of a nat.
 PARTS = 100
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 GRAMS = "bucket int, chunk long, heads binary, grams binary, docs binary"
 _GRAMS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("heads", pa.binary()), ("grams", pa.binary()), ("docs", pa.binary())])
+PARTIAL = "bucket int, origin int, data binary"
+_PARTIAL = pa.schema([("bucket", pa.int32()), ("origin", pa.int32()), ("data", pa.binary())])
+REPLIES = "bucket int, part int, data binary"
+_REPLIES = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
 SUMS = "chunk long, kind int, data binary"
 _SUMS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 
@@ -61,10 +70,6 @@ def _hashes(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64) >> np.uint64(64 - HASH_BITS)
 
 
-def context_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(HASH_BITS - CONTEXT_BITS)).astype(np.int64)
-
-
 class Chunk:
     """The n-grams of some documents."""
 
@@ -77,7 +82,7 @@ class Chunk:
     def add(self, key: int, data: bytes) -> None:
         words = words_of(data)
         self.keys.append(key)
-        self.ids.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+        self.ids.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
 
     def grams(self) -> tuple[np.ndarray, ...]:
         """Sorted by word hash, context and document: (hash, context,
@@ -85,20 +90,25 @@ class Chunk:
         numbers are frequent then, and pack well."""
         longest = sorted(range(len(self.ids)), key=lambda i: -len(self.ids[i]))
         self.keys, self.ids = [self.keys[i] for i in longest], [self.ids[i] for i in longest]
-        h = _hashes(self.number)
-        order = np.argsort(h)
-        rank = np.empty(len(h), np.int64)
-        rank[order] = np.arange(len(h))
+        hashes, rank = np.unique(_hashes([*self.number, START]), return_inverse=True)
         lens = np.array([len(x) for x in self.ids], np.int64)
-        flat = np.concatenate([*self.ids, np.empty(0, np.int64)])
+        word = rank[np.concatenate([*self.ids, np.empty(0, np.int32)])]
+        code = word * len(hashes)                        # the n-gram
+        code[1:] += word[:-1]
         begin = (np.cumsum(lens) - lens)[lens > 0]
-        ctx = np.empty(len(flat), np.int64)
-        ctx[1:] = context_of(h)[flat[:-1]]
-        ctx[begin] = context_of(_hashes([START]))[0]
-        doc = np.repeat(np.arange(len(lens)), lens)
-        code, n = np.unique((rank[flat] * CONTEXTS + ctx) * max(len(lens), 1) + doc, return_counts=True)
-        gram, doc = code // max(len(lens), 1), code % max(len(lens), 1)
-        return h[order][gram // CONTEXTS], gram % CONTEXTS, doc, n
+        code[begin] = word[begin] * len(hashes) + rank[-1]
+        del word
+        grams, docs = None, max(len(lens), 1)
+        if len(hashes) ** 2 * docs >= 1 << 63:           # too many for one number with the document
+            grams, code = np.unique(code, return_inverse=True)
+        code *= docs
+        code += np.repeat(np.arange(len(lens)), lens)
+        code.sort()
+        first = _starts(code)
+        n, code = np.diff(np.r_[first, len(code)]), code[first]
+        doc, code = code % docs, code // docs
+        code = code if grams is None else grams[code]
+        return hashes[code // len(hashes)], hashes[code % len(hashes)].astype(np.int64), doc, n
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -116,6 +126,22 @@ def bucket_of(h: np.ndarray, ctx: np.ndarray, hot: np.ndarray, n: int) -> np.nda
     return (mix64(h + spread * _ODD) % np.uint64(n)).astype(np.int64)
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest needs."""
+    most = int(values.max(initial=0))
+    return values.astype(next((t for t in (np.uint8, np.uint16, np.uint32) if most <= np.iinfo(t).max), np.int64))
+
+
+def packed_contexts(ctx: np.ndarray, count: np.ndarray) -> bytes:
+    """Contexts as numbers in a sorted list of those that occur, frequent ones
+    first: small numbers are frequent then, and pack well."""
+    known, at, often = np.unique(ctx, return_inverse=True, return_counts=True)
+    rank = np.empty(len(known), np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(known))
+    names = pack(gaps(known), _narrow(often))
+    return len(names).to_bytes(4, "little") + names + pack(_narrow(rank[at]), _narrow(count))
+
+
 def packed(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, n: np.ndarray, with_docs: bool) -> tuple[bytes, bytes, bytes | None]:
     """Sorted n-grams as words with their numbers of contexts, contexts with
     their counts (or numbers of documents), and documents with their counts."""
@@ -123,19 +149,22 @@ def packed(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, n: np.ndarray, with_
     per_gram = np.diff(np.r_[gram, len(h)])
     count = per_gram if with_docs else np.add.reduceat(n, gram)
     per_word = np.diff(np.r_[np.searchsorted(gram, word), len(gram)])
-    heads = pack(gaps(h[word]), per_word.astype(np.int32))
-    grams = pack(ctx[gram].astype(np.uint16), count.astype(np.int32))
+    heads = pack(gaps(h[word]), _narrow(per_word))
+    grams = packed_contexts(ctx[gram], count)
     if not with_docs:
         return heads, grams, None
     step = np.diff(doc, prepend=0)                   # documents as gaps within their n-gram
     step[gram] = doc[gram]
-    return heads, grams, pack(step.astype(np.int32), n.astype(np.int32))
+    return heads, grams, pack(_narrow(step), _narrow(n))
 
 
 def unpacked(heads: bytes, grams: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, per_word = unpack(heads)
-    ctx, count = unpack(grams)
-    return np.repeat(np.cumsum(h, dtype=np.uint64), per_word), ctx.astype(np.int64), count.astype(np.int64)
+    end = 4 + int.from_bytes(grams[:4], "little")
+    step, often = unpack(grams[4:end])
+    code, count = unpack(grams[end:])
+    known = np.cumsum(step)[np.argsort(-often.astype(np.int64), kind="stable")]
+    return np.repeat(np.cumsum(h, dtype=np.uint64), per_word), known[code], count.astype(np.int64)
 
 
 def documents_of(docs: bytes, n_docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +221,29 @@ class Bucket:
         self.types = np.diff(np.r_[word, len(self.h)])
         self.word, self.word_of = self.h[word], np.repeat(np.arange(len(word)), self.types)
 
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts, sorted, and what their n-grams here add up to: counts,
+        and n-grams with a count of 1, of 2, and of 3 and more."""
+        known, at = np.unique(self.ctx, return_inverse=True)
+        sums = np.zeros((len(known), 4), np.int64)
+        np.add.at(sums[:, 0], at, self.count)
+        np.add.at(sums, (at, np.minimum(self.count, 3)), 1)
+        return known, sums
+
+
+def _part(row: dict) -> tuple[np.ndarray, ...]:
+    """A row's n-grams: (hash, context, count), and with documents the
+    document, the count and the n-gram of each entry."""
+    h, ctx, count = unpacked(row["heads"], row["grams"])
+    if row["docs"] is None:
+        return h, ctx, count
+    doc, n = documents_of(row["docs"], count)
+    return h, ctx, np.add.reduceat(n, np.cumsum(count) - count), doc, n, np.repeat(np.arange(len(h), dtype=np.int32), count)
+
+
+def context_bucket(ctx: np.ndarray, n: int) -> np.ndarray:
+    return (mix64(ctx.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of one bucket after the other."""
@@ -209,32 +261,62 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 STATISTICS = "kind string, key long, a long, b long, c long, d long"
 
 
-def _statistics(hot: np.ndarray):
+def _statistics(hot: np.ndarray, contexts: bool = True):
+    """Counts of counts and continuation counts; ``contexts`` adds a row for
+    each context of each bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, types, size = np.zeros(5, np.int64), np.zeros(5, np.int64), np.zeros(2, np.int64)
-        context, spread = np.zeros((4, CONTEXTS), np.int64), np.zeros(len(hot), np.int64)
+        spread, names = np.zeros(len(hot), np.int64), [c.split()[0] for c in STATISTICS.split(", ")]
         for rows in _buckets(batches):
-            b = Bucket([unpacked(r["heads"], r["grams"]) for r in rows])
+            parts = [_part(r)[:3] for r in rows if r["heads"] is not None]
+            if not parts:
+                continue
+            b = Bucket(parts)
             counts += np.bincount(np.minimum(b.count, 5), minlength=6)[1:]
-            np.add.at(context[0], b.ctx, b.count)
-            for k in (1, 2, 3):
-                np.add.at(context[k], b.ctx[np.minimum(b.count, 3) == k], 1)
             at = np.searchsorted(hot, b.word)
             is_hot = hot[np.minimum(at, len(hot) - 1)] == b.word if len(hot) else np.zeros(len(b.word), bool)
             spread[at[is_hot]] += b.types[is_hot]
             types += np.bincount(np.minimum(b.types[~is_hot], 5), minlength=6)[1:]
             size += [len(b.h), int((~is_hot).sum())]
-        known = np.flatnonzero(context[0])
+            if contexts:
+                known, sums = b.contexts()
+                yield pa.RecordBatch.from_arrays([pa.array(["context"] * len(known), pa.string()), pa.array(known),
+                                                  *(pa.array(sums[:, k]) for k in range(4))], names=names)
         out = [("counts", 0, *counts[:4]), ("types", 0, *types[:4]), ("size", 0, *size, 0, 0)]
         out += [("hot", i, int(x), 0, 0, 0) for i, x in enumerate(spread)]
         cols = [pa.array([x[i] for x in out]) if i == 0 else pa.array([int(x[i]) for x in out], pa.int64()) for i in range(6)]
-        names = [c.split()[0] for c in STATISTICS.split(", ")]
         yield pa.RecordBatch.from_arrays(cols, names=names)
-        yield pa.RecordBatch.from_arrays([pa.array(["context"] * len(known), pa.string()), pa.array(known),
-                                          *(pa.array(context[k, known]) for k in range(4))], names=names)
     return run
 
 
+def _partial(n: int):
+    """A bucket's sums of its contexts → the contexts' own buckets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _buckets(batches):
+            parts = [_part(r)[:3] for r in rows if r["heads"] is not None]
+            if not parts:
+                continue
+            known, sums = Bucket(parts).contexts()
+            out = [(to, rows[0]["bucket"], pack(gaps(known[at]), *(_narrow(sums[at, k]) for k in range(4))))
+                   for to, at in split(context_bucket(known, n), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PARTIAL)], schema=_PARTIAL)
+    return run
+
+
+def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the contexts of a bucket add up to, for each sender in its order."""
+    for rows in _buckets(batches):
+        parts = [unpack(r["data"]) for r in rows]
+        lens = np.array([len(p[0]) for p in parts])
+        known, at = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+        sums = np.zeros((len(known), 4), np.int64)
+        for k in range(4):
+            np.add.at(sums[:, k], at, np.concatenate([p[k + 1] for p in parts]).astype(np.int64))
+        out = [(r["origin"], r["bucket"], pack(*(_narrow(sums[mine, k]) for k in range(4))))
+               for r, mine in zip(rows, np.split(at, np.cumsum(lens)[:-1]))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _REPLIES)], schema=_REPLIES)
+
+
 def discounts(ones: list[int]) -> np.ndarray:
     """The three discounts of modified Kneser-Ney from the numbers of n-grams
     with count 1 to 4 (at index 1 to 3; a count of 0 has none)."""
@@ -244,26 +326,28 @@ def discounts(ones: list[int]) -> np.ndarray:
 
 
 class Model:
-    """What is known of the whole corpus: bounded, and broadcast."""
+    """What is known of the whole corpus, and of the contexts of a bucket."""
 
     def __init__(self, rows: dict[tuple[str, int], tuple[int, int, int, int]], hot: np.ndarray) -> None:
         self.hot = hot
-        self.hot_types = np.array([rows[("hot", i)][0] for i in range(len(hot))], np.int64)
+        self.hot_types = np.array([rows.get(("hot", i), (0,))[0] for i in range(len(hot))], np.int64)
         grams, words = rows.get(("size", 0), (0, 0, 0, 0))[:2]
         found = self.hot_types[self.hot_types > 0]
         ones = [x + int((found == i).sum()) for i, x in enumerate(rows.get(("types", 0), (0,) * 4), 1)]
         self.grams, self.words = grams, words + len(found)
         self.cut, self.low_cut = discounts(list(rows.get(("counts", 0), (0,) * 4))), discounts(ones)
-        sums = np.zeros((CONTEXTS, 4), np.int64)
-        for (kind, key), values in rows.items():
-            if kind == "context":
-                sums[key] = values
-        self.total = np.maximum(sums[:, 0], 1).astype(np.float64)
-        # a context that was never seen leaves everything to the words alone
-        self.back = np.where(sums[:, 0] > 0, sums[:, 1:] @ self.cut[1:] / self.total, 1.0)
         less = self.low_cut[1] * ones[0] + self.low_cut[2] * ones[1] + self.low_cut[3] * (self.words - ones[0] - ones[1])
         # the lowest order: one word more than are known has an equal share
         self.base = less / max(grams, 1) / (self.words + 1) if grams else 1.0
+        known = sorted(key for kind, key in rows if kind == "context")
+        self.know(np.array(known, np.int64), np.array([rows[("context", k)] for k in known], np.int64).reshape(-1, 4))
+
+    def know(self, ctx: np.ndarray, sums: np.ndarray) -> None:
+        """Sorted contexts with what they add up to."""
+        # a context that was never seen leaves everything to the words alone
+        self.ctx = np.r_[ctx, np.int64(1) << 62]
+        self.total = np.r_[sums[:, 0].astype(np.float64), 1.0]
+        self.back = np.r_[sums[:, 1:] @ self.cut[1:] / self.total[:-1], 1.0]
 
     def word_probability(self, types: np.ndarray) -> np.ndarray:
         """Of a word that follows ``types`` different contexts."""
@@ -271,41 +355,40 @@ class Model:
 
     def probability(self, count: np.ndarray, ctx: np.ndarray, types: np.ndarray) -> np.ndarray:
         """Of a word after a context, from the n-gram's count."""
-        return (count - self.cut[np.minimum(count, 3)]) / self.total[ctx] + self.back[ctx] * self.word_probability(types)
-
-
-def _costs(sent):
-    """n-grams with their documents → costs per document, chunk by chunk."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = Model.__new__(Model)
-        model.__dict__.update(sent.value)
-        for rows in _buckets(batches):
-            out = [(r["chunk"], 1, r["docs"]) for r in rows if r["heads"] is None]
-            rows = [r for r in rows if r["heads"] is not None]
-            parts = []
-            for r in rows:
-                h, ctx, n_docs = unpacked(r["heads"], r["grams"])
-                doc, n = documents_of(r["docs"], n_docs)
-                gram = np.repeat(np.arange(len(h), dtype=np.int32), n_docs)
-                total = np.zeros(len(h), np.int64)
-                np.add.at(total, gram, n)
-                parts.append((h, ctx, total, doc, n, gram))
-            if parts:
-                b = Bucket([p[:3] for p in parts])
-                types = b.types.copy()
-                at = np.searchsorted(model.hot, b.word)
-                if len(model.hot):
-                    is_hot = model.hot[np.minimum(at, len(model.hot) - 1)] == b.word
-                    types[is_hot] = model.hot_types[at[is_hot]]
-                for r, where, (_, ctx, _, doc, n, gram) in zip(rows, b.where, parts):
-                    row = where[gram]
-                    p = model.probability(b.count[row] - n, ctx[gram], types[b.word_of[row]])
-                    cost = np.rint(-np.log(p) * PARTS).astype(np.int64) * n
-                    sums = np.zeros(int(doc.max()) + 1, np.int64)
-                    np.add.at(sums, doc, cost)
-                    known = np.flatnonzero(sums)
-                    out.append((r["chunk"], 0, pack(gaps(known).astype(np.int32), sums[known])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SUMS)], schema=_SUMS)
+        at = np.searchsorted(self.ctx, ctx)
+        at = np.where(self.ctx[at] == ctx, at, len(self.ctx) - 1)
+        return (count - self.cut[np.minimum(count, 3)]) / self.total[at] + self.back[at] * self.word_probability(types)
+
+
+def _costs(hot: np.ndarray, n: int):
+    """A bucket's n-grams with their documents, and what is known of its
+    contexts → costs per document, chunk by chunk."""
+    def run(grams: pa.Table, known: pa.Table) -> pa.Table:
+        rows, said = grams.to_pylist(), {r["part"]: r["data"] for r in known.to_pylist()}
+        out = [(r["chunk"], 1, r["docs"]) for r in rows if r["heads"] is None]
+        rows = [r for r in rows if r["heads"] is not None]
+        parts = [_part(r) for r in rows]
+        if parts:
+            b = Bucket([p[:3] for p in parts])
+            model = Model({(r["kind"], r["key"]): (r["a"], r["b"], r["c"], r["d"]) for r in json.loads(said[-1])}, hot)
+            ctx, sums = b.contexts()
+            for c, at in split(context_bucket(ctx, n), n):
+                sums[at] = np.stack(unpack(said[c]), axis=1)
+            model.know(ctx, sums)
+            types = b.types.copy()
+            at = np.searchsorted(model.hot, b.word)
+            if len(model.hot):
+                is_hot = model.hot[np.minimum(at, len(model.hot) - 1)] == b.word
+                types[is_hot] = model.hot_types[at[is_hot]]
+            for r, where, (_, ctx, _, doc, n_here, gram) in zip(rows, b.where, parts):
+                row = where[gram]
+                p = model.probability(b.count[row] - n_here, ctx[gram], types[b.word_of[row]])
+                cost = np.rint(-np.log(p) * PARTS).astype(np.int64) * n_here
+                of_docs = np.zeros(int(doc.max()) + 1, np.int64)
+                np.add.at(of_docs, doc, cost)
+                found = np.flatnonzero(of_docs)
+                out.append((r["chunk"], 0, pack(gaps(found).astype(np.int32), of_docs[found])))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 3, _SUMS)], schema=_SUMS)
     return run
 
 
@@ -358,13 +441,16 @@ def costs(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     hot = hot_words(rows)
     n = bucket_count(spark, estimate_bytes(rows, "data") // 6, WORDS_PER_BUCKET, each=2)
-    counted = rows.mapInArrow(_count(hot, n, False), GRAMS).repartition("bucket").sortWithinPartitions("bucket")
-    added = (counted.mapInArrow(_statistics(hot), STATISTICS).groupBy("kind", "key")
+    n_ctx = -(-n // PER_CONTEXT_BUCKET)
+    # one shuffle, read by all three branches
+    grams = rows.mapInArrow(_count(hot, n, True), GRAMS).repartition("bucket")
+    in_order = grams.sortWithinPartitions("bucket")
+    added = (in_order.mapInArrow(_statistics(hot, contexts=False), STATISTICS).groupBy("kind", "key")
              .agg(*[F.sum(c).alias(c) for c in "abcd"]))
-    found = {(r["kind"], r["key"]): (r["a"], r["b"], r["c"], r["d"]) for r in added.toArrow().to_pylist()}
-    for i in range(len(hot)):
-        found.setdefault(("hot", i), (0, 0, 0, 0))
-    sent = spark.sparkContext.broadcast(Model(found, hot).__dict__)
-    with_docs = rows.mapInArrow(_count(hot, n, True), GRAMS).repartition("bucket").sortWithinPartitions("bucket")
-    sums = with_docs.mapInArrow(_costs(sent), SUMS).repartition("chunk").sortWithinPartitions("chunk", F.col("kind").desc())
+    whole = added.agg(F.to_json(F.collect_list(F.struct("kind", "key", *"abcd"))).cast("binary").alias("data"))
+    model = spark.range(n).select(F.col("id").cast("int").alias("bucket"), F.lit(-1).alias("part")).crossJoin(F.broadcast(whole))
+    partial = in_order.mapInArrow(_partial(n_ctx), PARTIAL).repartition("bucket").sortWithinPartitions("bucket")
+    known = model.unionByName(partial.mapInArrow(_replies, REPLIES))
+    sums = (grams.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_costs(hot, n_ctx), SUMS)
+            .repartition("chunk").sortWithinPartitions("chunk", F.col("kind").desc()))
     return sums.mapInArrow(_add_up, "row_key long, words long, cost long")

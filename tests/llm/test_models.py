@@ -396,6 +396,66 @@ def test_kneser_ney_costs_against_the_formulas(spark, monkeypatch, hot, chunk, p
         assert got[k][0] == n and got[k][1] == pytest.approx(nats, abs=5e-3 * n + 1e-9)
 
 
+def test_contexts_are_whole_words(spark):
+    """Words whose hashes begin alike are contexts of their own, in sums that
+    several buckets send and in costs."""
+    found = {}
+    for i in range(10 ** 4):
+        found.setdefault(xxhash.xxh3_64_intdigest(f"c{i}".encode()) >> 54, []).append(f"c{i}")
+    alike = max(found.values(), key=len)[:6]
+    docs = [(i, " ".join(f"{a} {'left' if j % 2 else 'right'} t{i} {a} w{j}" for j, a in enumerate(alike))) for i in range(12)]
+    chunk = ngrams.Chunk()
+    chunk.add(1, docs[0][1].encode())
+    h, ctx, _, n = chunk.grams()
+    assert set(ctx.tolist()) == set(ngrams._hashes([ngrams.START, *docs[0][1].encode().split()]).astype(np.int64).tolist()) - {
+        int(ngrams._hashes([b"w5"])[0])}
+    assert n.sum() == 30 and (np.diff(h.astype(object)) >= 0).all()
+    rows = spark.createDataFrame([(k, t.encode()) for k, t in docs], "row_key long, data binary").repartition(3)
+    got = {r["row_key"]: (r["words"], r["cost"] / ngrams.PARTS) for r in ngrams.costs(rows).collect()}
+    counts = Counter()
+    for _, t in docs:
+        counts.update(zip(["", *t.split()], t.split()))
+    total, left = Counter(), Counter(w for _, w in counts)
+    for (c, _), k in counts.items():
+        total[c] += k
+
+    def discounts(values):
+        ones = [sum(v == i for v in values) for i in range(1, 5)]
+        y = ones[0] / max(ones[0] + 2 * ones[1], 1)
+        cut = [i + 1 - (i + 2) * y * ones[i + 1] / ones[i] if ones[i] else (i + 1) / 2 for i in range(3)]
+        return [0.0] + [min(max(c, .05), i + .95) for i, c in enumerate(cut)]
+    d2, d1 = discounts(counts.values()), discounts(left.values())
+    base = sum(d1[min(v, 3)] for v in left.values()) / len(counts) / (len(left) + 1)
+    back = Counter()
+    for (c, _), k in counts.items():
+        back[c] += d2[min(k, 3)] / total[c]
+    for key, t in docs:
+        mine, nats = Counter(zip(["", *t.split()], t.split())), 0.0
+        for (c, w), k in mine.items():
+            k2 = counts[c, w] - k
+            low = (left[w] - d1[min(left[w], 3)]) / len(counts) + base
+            nats -= k * math.log((k2 - d2[min(k2, 3)]) / total[c] + back[c] * low)
+        assert got[key][0] == 30 and got[key][1] == pytest.approx(nats, abs=.15)
+
+
+def test_grams_of_a_chunk():
+    """Every n-gram with its document and count."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(rng.randrange(30))) for _ in range(40)]
+
+    def grams():
+        chunk = ngrams.Chunk()
+        for i, t in enumerate(texts):
+            chunk.add(i, t.encode())
+        h, ctx, doc, n = chunk.grams()
+        return Counter({(a, b, chunk.keys[d]): k for a, b, d, k in zip(h.tolist(), ctx.tolist(), doc.tolist(), n.tolist())})
+    want = Counter()
+    for i, t in enumerate(texts):
+        w = t.encode().split()
+        want.update((a, b, i) for a, b in zip(ngrams._hashes(w).tolist(), ngrams._hashes([ngrams.START, *w]).tolist()))
+    assert grams() == want
+
+
 def test_kneser_ney_sums_to_one(spark):
     docs = lm_docs()
     rows = spark.createDataFrame([(k, (t or "").encode()) for k, t in docs], "row_key long, data binary")
