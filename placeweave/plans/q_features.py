@@ -28,7 +28,7 @@ from placeweave.plans.registry import register
 from placeweave.session import scratch_path
 from placeweave.sources import runs
 from placeweave.sources.pagebytes import decode_pages
-from placeweave.sources.tables import load
+from placeweave.sources.tables import dealt, load
 
 # ---------------------------------------------------------------------------
 # Runs that are written again
@@ -284,7 +284,7 @@ def odd_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text(block, "· 12 Main St ", key(), end))
     card = _text('<div jsaction="mouseover:pane.c"><a href="/maps/place/P/ChIJo', key(), '"></a><div class="fontHeadlineSmall">', F.col("c_name"),
                  "</div>", blocks, "</div>")
-    return load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment").select(
+    return dealt(load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")).select(
         key().cast("long").alias("page_id"), F.lit("https://m.example/maps/search/x").alias("url"), card.alias("html"))
 
 

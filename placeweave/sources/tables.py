@@ -7,6 +7,7 @@ Catalyst prunes columns and pushes filters into the Parquet reader.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The captured-page schema.
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
@@ -33,6 +34,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(wanted)) if wanted else df
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """The rows of ``df`` dealt out evenly over the session's tasks, for rules
+    that cost far more than reading and moving their rows.
+
+    A scan's tasks follow the file's row groups, and one row group may hold a
+    million short rows: all rules would run in one task.  Rows are dealt by
+    their place in the scan, so neither keys that repeat nor nulls meet; or by
+    the columns ``by``, where groups of them are what comes next."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    if by:
+        return df.repartition(parts, *by)
+    return df.withColumn("_place", F.monotonically_increasing_id()).repartition(parts, "_place").drop("_place")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str, spread_rows: bool | None = None) -> DataFrame:
     """Read one driver table; ``columns`` (optional) prunes the scan.  Text
     tables go through :func:`spread`."""
@@ -46,8 +62,6 @@ def load(spark: SparkSession, sf_dir: str, name: str, *columns: str, spread_rows
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Captured pages.  ``fmt='text'`` reads a folder of loose HTML files
     (one page per file, ``wholetext``), numbering pages by file path."""
-    from pyspark.sql import functions as F
-
     if fmt == "parquet":
         return spark.read.schema(PAGE_SCHEMA).parquet(path)
     raw = spark.read.text(path, wholetext=True)   # one row per file
