@@ -20,7 +20,7 @@ from placeweave.operators.details import detail_fields
 from placeweave.operators.listing import listings
 from placeweave.plans import business_run as PL
 from placeweave.plans.registry import register
-from placeweave.sources.tables import load
+from placeweave.sources.tables import dealt, load
 
 SITE = "https://m.example"
 
@@ -203,7 +203,7 @@ def detail_html() -> Column:
 
 
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").select(
+    return dealt(load(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")).select(
         key().alias("page_id"), F.lit(f"{SITE}/maps/place/x").alias("url"), detail_html().alias("html"))
 
 
