@@ -152,7 +152,7 @@ def fragment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text("<b>", card, link, "</a>", name, "</b></div>", phone, "</div>"),
         _text(card, "<tr><td>", link, "</a></td>", name, "</div></tr>", phone, "</table></div>"),
         _text(card, link, link, "</a>", name, "</div></div>", phone))
-    return load(spark, sf_dir, "customer", "c_custkey", "c_name").select(
+    return dealt(load(spark, sf_dir, "customer", "c_custkey", "c_name")).select(
         key().cast("long").alias("page_id"), F.lit(f"{SITE}/maps/search/x").alias("url"), html.alias("html"))
 
 
