@@ -13,7 +13,7 @@ from placeweave.operators import pages as P
 from placeweave.operators.phones import first_phone_expr
 from placeweave.plans import sqlgen as S
 from placeweave.plans.registry import register
-from placeweave.sources.tables import load
+from placeweave.sources.tables import dealt, load
 
 
 # ---------------------------------------------------------------------------
@@ -195,7 +195,7 @@ FROM documents
 """)
 def standardise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2–C5, C7, C10, C12–C14 applied to whole document texts and sizes."""
-    docs = load(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
+    docs = dealt(load(spark, sf_dir, "documents", "doc_id", "text", "n_chars", spread_rows=False))
     docs = docs.withColumn("cleaned", T.clean_unicode("text"))       # once for C2, C4 and C5
     return docs.select(
         "doc_id",
