@@ -16,7 +16,7 @@ from placeweave.operators.phones import first_phone_expr
 from placeweave.plans.q_captured import _pick, _text, key
 from placeweave.plans.registry import register
 from placeweave.sources import requests as RQ
-from placeweave.sources.tables import load
+from placeweave.sources.tables import dealt, load
 
 # Inputs and results ("{k}" is the key), per rule.
 CASES: dict[str, tuple] = {
@@ -65,7 +65,7 @@ def _case_sql(cases) -> str:
 def rule_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1–C14 and L11 on literal cases."""
     inputs = [_pick(key() % len(cases), *[_filled(given) for given, _ in cases]).alias(name) for name, (_, *cases) in CASES.items()]
-    rows = load(spark, sf_dir, "customer", "c_custkey").select(key().cast("long").alias("id"), *inputs)
+    rows = dealt(load(spark, sf_dir, "customer", "c_custkey")).select(key().cast("long").alias("id"), *inputs)
     return rows.select("id", *[rule(F.col(name)).alias(name) for name, (rule, *_) in CASES.items()])
 
 
@@ -87,7 +87,7 @@ PAGES = (
 def page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X2 and E2–E4 on literal pages."""
     html = _pick(key() % len(PAGES), *[_filled(p[0]) for p in PAGES])
-    rows = load(spark, sf_dir, "customer", "c_custkey").select(key().cast("long").alias("page_id"), html.alias("html"))
+    rows = dealt(load(spark, sf_dir, "customer", "c_custkey")).select(key().cast("long").alias("page_id"), html.alias("html"))
     return rows.select("page_id", P.visible_text_expr("html").alias("text"), F.array_join(E.page_emails_expr("html"), ",").alias("emails"))
 
 
@@ -106,7 +106,7 @@ def link_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X3 on literal links; those in comments, scripts and without ``href``
     are none."""
     html = _text("<body><a name=n>x</a><!-- <a href='/c'> --><script>'<a href=\"/s\">'</script>", *[_filled(given) for given, _ in LINKS], "</body>")
-    rows = load(spark, sf_dir, "customer", "c_custkey").select(
+    rows = dealt(load(spark, sf_dir, "customer", "c_custkey")).select(
         key().cast("long").alias("page_id"), _text("https://h", key(), ".test/d/x?q#f").alias("url"), html.alias("html"))
     return P.page_links(rows).select("page_id", "pos", "link_url")
 
@@ -126,7 +126,7 @@ START_URLS = (("https://m.test/maps/search/tea+house/@1,2?x={k}", "tea+house", "
         (START_URLS, 1, "label", "", ""), (START_URLS, 2, "error", "", ""))) + " FROM (SELECT c_custkey AS k FROM customer)")
 def request_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O2, O3 and the reasons of O4 on literal searches and start URLs."""
-    rows = load(spark, sf_dir, "customer", "c_custkey").select(
+    rows = dealt(load(spark, sf_dir, "customer", "c_custkey")).select(
         key().cast("long").alias("id"), _pick(key() % len(SEARCHES), *[_filled(c[0]) for c in SEARCHES]).alias("query"), F.lit("zh-TW").alias("language"),
         _pick(key() % len(START_URLS), *[_filled(c[0]) for c in START_URLS]).alias("start_url"))
     error = RQ.url_error_expr("start_url")
