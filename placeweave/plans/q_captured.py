@@ -265,8 +265,8 @@ def _run(spark: SparkSession, sf_dir: str, cut_lineage: bool = False) -> PL.RunR
     twentieth an older one has — and every fourth a captured website."""
     orders = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     o, r = F.col("o"), F.col("r")
-    hits = orders.select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("k"),
-                         F.floor(F.col("o_orderkey") / _RANGE).cast("long").alias("r"))
+    hits = dealt(orders.select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("k"),
+                               F.floor(F.col("o_orderkey") / _RANGE).cast("long").alias("r")), "r")
     case = r % 6
     none, no_id = F.lit(None).cast("string"), F.lit(None).cast("long")
     requests = hits.select("r").distinct().select(
@@ -296,7 +296,7 @@ def _run(spark: SparkSession, sf_dir: str, cut_lineage: bool = False) -> PL.RunR
     empty = found.where(case == 5).select(*listing(-r - 1, F.lit(0), now, none))
     old = _text('<div jsaction="mouseover:pane.c"><a href="/maps/place/P/ChIJold"></a><div>Old</div></div>')
     stale = found.where(case == 1).select(*listing(-r - 1, F.lit(0), earlier, old))
-    cust = load(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
+    cust = dealt(load(spark, sf_dir, "customer", "c_custkey", "c_mktsegment"))
     place, place_url = _text("ChIJr", key()), _text(f"{SITE}/maps/place/", key())
     details = cust.where((key() % 2 == 0) & ((key() % 10 != 0) | (key() % 20 == 0)))
     lost = cust.where(key() % 10 == 0)
