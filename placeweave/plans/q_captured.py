@@ -86,7 +86,7 @@ def _card() -> Column:
 
 def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per nation and 500 customer keys (20 cards on average)."""
-    cust = load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    cust = dealt(load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
     cards = cust.select((F.col("c_nationkey") * 1000000 + F.floor(key() / 500)).cast("long").alias("page_id"), key().alias("k"),
                         _card().alias("card"))
     html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "card"))), lambda c: c["card"]), "")

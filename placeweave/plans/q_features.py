@@ -84,7 +84,7 @@ def page_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out.append((b"\xff\xfe" if codec == "utf-16-le" else b"") + html.encode(codec))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.binary())],
                                              names=["page_id", "url", "content"])
-    ids = load(spark, sf_dir, "customer", "c_custkey").select(key().cast("long").alias("page_id"), _text("https://m.example/", key()).alias("url"))
+    ids = dealt(load(spark, sf_dir, "customer", "c_custkey")).select(key().cast("long").alias("page_id"), _text("https://m.example/", key()).alias("url"))
     return ids.mapInArrow(run, "page_id long, url string, content binary")
 
 
@@ -118,7 +118,7 @@ def hidden_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                 _text("<template>", hidden, "</template><noscript>", hidden, "</noscript>"),
                 _text('<div hidden><div>', hidden, "</div>", hidden, '</div><a href="mailto:link', key(), '@shop.test" hidden>m</a>'))
     html = _text("<body><h1>Shop</h1>", way, "<div>mail", key(), "@shop.test</div><div>next</div></body>")
-    return load(spark, sf_dir, "customer", "c_custkey").select(
+    return dealt(load(spark, sf_dir, "customer", "c_custkey")).select(
         key().cast("long").alias("page_id"), _text("https://shop", key(), ".test/").alias("url"), html.alias("html"))
 
 
@@ -254,7 +254,7 @@ def odd_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text("<span>", key() % 5 + 1, " 星級飯店</span>"),
         _text('<button jsaction="pane.category">', F.lit("x" * 60), "</button><span>· ", key() % 5 + 1, " 星級</span>"),
         F.lit('<button jsaction="pane.category">選取日期</button>'))
-    return load(spark, sf_dir, "customer", "c_custkey").select(
+    return dealt(load(spark, sf_dir, "customer", "c_custkey")).select(
         key().cast("long").alias("page_id"), F.lit("https://m.example/maps/place/x").alias("url"), body.alias("html"))
 
 
