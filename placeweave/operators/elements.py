@@ -81,9 +81,9 @@ def _arrow_type():
                       ("elements", pa.list_(element)), ("text_nodes", pa.list_(node)), ("parse_error", pa.string())])
 
 
-# Output batches are cut when this many elements have accumulated, so one
-# batch of very large pages never has to sit in a Python worker at once.
-MAX_ELEMENTS_PER_OUTPUT_BATCH = 250_000
+# Output batches are cut when this many elements have accumulated, so what a
+# Python worker holds as Python values does not grow with the input's batches.
+MAX_ELEMENTS_PER_OUTPUT_BATCH = 20_000
 
 
 def _columnar(pages_rows, pages_nodes):
@@ -126,20 +126,18 @@ def _flatten_batches(batches, carry=()):
 
     schema = _arrow_type()
     for batch in batches:
-        ids = batch.column("page_id").to_pylist()
-        urls = batch.column("url").to_pylist()
-        htmls = batch.column("html").to_pylist()
+        ids, urls, htmls = (batch.column(c) for c in ("page_id", "url", "html"))
         start, texts, rows_acc, nodes_acc, errors, n_elements = 0, [], [], [], [], 0
-        for i, html in enumerate(htmls):
-            text, rows, text_nodes, error = flatten_page(html)
+        for i in range(batch.num_rows):
+            text, rows, text_nodes, error = flatten_page(htmls[i].as_py())
             texts.append(text)
             errors.append(error)
             rows_acc.append(rows)
             nodes_acc.append(text_nodes)
             n_elements += len(rows)
-            if n_elements >= MAX_ELEMENTS_PER_OUTPUT_BATCH or i == len(htmls) - 1:
+            if n_elements >= MAX_ELEMENTS_PER_OUTPUT_BATCH or i == batch.num_rows - 1:
                 elements, nodes = _columnar(rows_acc, nodes_acc)
-                arrays = [pa.array(ids[start:i + 1], pa.int64()), pa.array(urls[start:i + 1], pa.string()),
+                arrays = [ids.slice(start, i + 1 - start).cast(pa.int64()), urls.slice(start, i + 1 - start).cast(pa.string()),
                           pa.array(texts, pa.binary()), elements, nodes, pa.array(errors, pa.string())]
                 names = list(schema.names)
                 for c in carry:          # extra page columns pass through untouched
