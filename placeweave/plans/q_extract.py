@@ -13,7 +13,7 @@ from placeweave.plans.q_tables import LATEST_SNAPSHOT_SQL
 from placeweave.plans.registry import register
 from placeweave.session import scratch_path
 from placeweave.sources import sinks
-from placeweave.sources.tables import load
+from placeweave.sources.tables import dealt, load
 from placeweave.streaming.capture import latest_view, start_capture
 from placeweave.streaming.changes import current, start_changes
 
@@ -125,7 +125,7 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     first = events.where("event_id % 3 <> 0")
     for rows, batches in ((first, 2), (events.where("event_id % 3 = 0").unionByName(first.where("event_id % 2 = 0")), 1), (events, 1)):
-        files = deliver(rows, landing)
+        files = deliver(dealt(rows), landing)
         start_changes(spark, landing, EVENTS_DDL, f"{base}/sink", "user_id", "ts", "event_id", "value",
                       checkpoint=f"{base}/checkpoint", max_files=max(1, files // batches)).awaitTermination()
     return current(spark, f"{base}/sink", "user_id").select("user_id", "latest_event_id", "latest_value", "previous_value", "changed")

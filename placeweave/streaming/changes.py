@@ -5,7 +5,8 @@ the state store.  A micro-batch sends a key's new rows to its state and emits
 one row only if they change something: the newest capture, or the one before
 it.  Repeated deliveries and late rows that are older than both change nothing;
 a late row in between is put in its place, so the feed does not depend on the
-order of arrival.
+order of arrival.  Tasks send on only the two newest captures that they see of
+a key among some rows, so state is asked once per key, not per capture.
 
 Each change carries its number within the key, so the present state of all
 keys is the last change of each (:func:`current`): readers scan changes, not
@@ -18,6 +19,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -28,6 +32,38 @@ from placeweave.session import checkpoint_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _NEVER = -(1 << 63)
+#: Rows that a task looks at together.
+TOGETHER = 1 << 18
+
+
+def two_newest(rows: pa.Table) -> pa.Table:
+    """Of ``(_key, _at, _tie, _value)`` the two newest rows of each key; of
+    repeated deliveries the first."""
+    try:
+        key, tie = (pc.dictionary_encode(rows[c].combine_chunks(), null_encoding="encode") for c in ("_key", "_tie"))
+        key, tie = (c.indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in (key, tie))
+        at = pc.fill_null(rows["_at"], _NEVER)
+        order = pc.sort_indices(pa.table({"key": key, "at": at, "tie": rows["_tie"]}), null_placement="at_end",
+                                sort_keys=[("key", "ascending"), ("at", "descending"), ("tie", "descending")]).to_numpy()
+    except pa.ArrowNotImplementedError:                      # kinds that Arrow has no order for
+        return rows
+    key, at, tie = key[order], at.to_numpy()[order], tie[order]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1]) | (tie[1:] != tie[:-1])]
+    order, key = order[fresh], key[fresh]
+    third = np.r_[False, False, key[2:] == key[:-2]][:len(key)]
+    return rows.take(pa.array(np.sort(order[~third])))
+
+
+def _two_newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= TOGETHER:
+            yield from two_newest(pa.Table.from_batches(held)).to_batches()
+            held, n = [], 0
+    if n:
+        yield from two_newest(pa.Table.from_batches(held)).to_batches()
 
 
 class _Newest(StatefulProcessor):
@@ -80,7 +116,8 @@ def start_changes(spark: SparkSession, source_dir: str, schema: str, sink_dir: s
     entry = "{0}_at long, {0}_tie %s, {0}_value %s" % (kinds[tiebreak], kinds[value])
     state = f"{entry.format('a')}, {entry.format('b')}, seq long"
     out = f"_key {kinds[key]}, _at long, _tie {kinds[tiebreak]}, _value {kinds[value]}, _previous {kinds[value]}, _known int, _seq long"
-    changes = rows.groupBy("_key").transformWithState(_Newest(state), out, "Update", "None")
+    newest = rows.mapInArrow(_two_newest, rows.schema)
+    changes = newest.groupBy("_key").transformWithState(_Newest(state), out, "Update", "None")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         (batch.select(
