@@ -76,7 +76,7 @@ class _Newest(StatefulProcessor):
         self.state = handle.getValueState("newest", self.schema)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.state.get() if self.state.exists() else None
+        held = self.state.get()                             # None for a key never seen
         two = [] if held is None else [x for x in ((held[0], held[1], held[2]), (held[3], held[4], held[5])) if x[0] is not None]
         seq, before = (0 if held is None else held[6]), list(two)
         for r in rows:
