@@ -49,6 +49,8 @@ CHUNK_BYTES, WORDS_PER_BUCKET = 16 << 20, 1_500_000
 #: Buckets of words for each bucket of contexts.
 PER_CONTEXT_BUCKET = 4
 HOT_SHARE, SAMPLE = 2000, 64
+#: Words of the sample that have a number in packed rows, at most.
+NUMBERED = 1 << 17
 #: Costs are whole parts of a nat.
 PARTS = 100
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -84,19 +86,23 @@ class Chunk:
         self.keys.append(key)
         self.ids.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
 
-    def grams(self) -> tuple[np.ndarray, ...]:
-        """Sorted by word hash, context and document: (hash, context,
-        document, count).  Documents are numbered from the longest: small
-        numbers are frequent then, and pack well."""
+    def grams(self, numbered: Numbers | None = None) -> tuple[np.ndarray, ...]:
+        """Sorted by word hash, context (those with a number first, by number)
+        and document: (hash, context, document, count).  Documents are numbered
+        from the longest: small numbers are frequent then, and pack well."""
         longest = sorted(range(len(self.ids)), key=lambda i: -len(self.ids[i]))
         self.keys, self.ids = [self.keys[i] for i in longest], [self.ids[i] for i in longest]
         hashes, rank = np.unique(_hashes([*self.number, START]), return_inverse=True)
         lens = np.array([len(x) for x in self.ids], np.int64)
         word = rank[np.concatenate([*self.ids, np.empty(0, np.int32)])]
+        number = (numbered or Numbers()).of(hashes.astype(np.int64))
+        order = np.argsort(np.where(number < 0, NUMBERED, number), kind="stable")
+        place = np.empty(len(hashes), np.int64)          # of a context
+        place[order] = np.arange(len(hashes))
         code = word * len(hashes)                        # the n-gram
-        code[1:] += word[:-1]
+        code[1:] += place[word[:-1]]
         begin = (np.cumsum(lens) - lens)[lens > 0]
-        code[begin] = word[begin] * len(hashes) + rank[-1]
+        code[begin] = word[begin] * len(hashes) + place[rank[-1]]
         del word
         grams, docs = None, max(len(lens), 1)
         if len(hashes) ** 2 * docs >= 1 << 63:           # too many for one number with the document
@@ -108,7 +114,40 @@ class Chunk:
         n, code = np.diff(np.r_[first, len(code)]), code[first]
         doc, code = code % docs, code // docs
         code = code if grams is None else grams[code]
-        return hashes[code // len(hashes)], hashes[code % len(hashes)].astype(np.int64), doc, n
+        return hashes[code // len(hashes)], hashes[order[code % len(hashes)]].astype(np.int64), doc, n
+
+
+class Numbers:
+    """Numbers of frequent words, the most frequent first.  A word with a number
+    takes a byte or two in a packed row, any other its whole hash; what is
+    packed and unpacked is the same with any numbers, or none."""
+
+    def __init__(self, words: np.ndarray | tuple = ()) -> None:
+        self.words = np.asarray(words, np.int64)
+        self.order = np.argsort(self.words)
+        self.sorted = self.words[self.order]
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's number, or -1."""
+        if not len(self.words):
+            return np.full(len(h), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.words) - 1)
+        return np.where(self.sorted[at] == h, self.order[at], -1)
+
+    def pack(self, values: np.ndarray, *columns: np.ndarray) -> bytes:
+        """Different hashes, and columns that go with them, in the order that
+        ``unpack`` gives: by number, then those without a number by hash."""
+        number = self.of(values)
+        known, rest = np.flatnonzero(number >= 0), np.flatnonzero(number < 0)
+        known, rest = known[np.argsort(number[known])], rest[np.argsort(values[rest])]
+        first = pack(_narrow(gaps(number[known])), *(_narrow(c[known]) for c in columns))
+        return len(first).to_bytes(4, "little") + first + pack(gaps(values[rest]), *(_narrow(c[rest]) for c in columns))
+
+    def unpack(self, data: bytes) -> list[np.ndarray]:
+        end = 4 + int.from_bytes(data[:4], "little")
+        known, rest = unpack(data[4:end]), unpack(data[end:])
+        values = np.r_[self.words[np.cumsum(known[0], dtype=np.int64)], np.cumsum(rest[0])]
+        return [values, *(np.r_[a.astype(np.int64), b.astype(np.int64)] for a, b in zip(known[1:], rest[1:]))]
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -132,25 +171,31 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(next((t for t in (np.uint8, np.uint16, np.uint32) if most <= np.iinfo(t).max), np.int64))
 
 
-def packed_contexts(ctx: np.ndarray, count: np.ndarray) -> bytes:
-    """Contexts as numbers in a sorted list of those that occur, frequent ones
-    first: small numbers are frequent then, and pack well."""
-    known, at, often = np.unique(ctx, return_inverse=True, return_counts=True)
-    rank = np.empty(len(known), np.int64)
-    rank[np.argsort(-often, kind="stable")] = np.arange(len(known))
-    names = pack(gaps(known), _narrow(often))
-    return len(names).to_bytes(4, "little") + names + pack(_narrow(rank[at]), _narrow(count))
-
-
-def packed(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, n: np.ndarray, with_docs: bool) -> tuple[bytes, bytes, bytes | None]:
-    """Sorted n-grams as words with their numbers of contexts, contexts with
-    their counts (or numbers of documents), and documents with their counts."""
+def packed_contexts(ctx: np.ndarray, count: np.ndarray, word: np.ndarray, numbered: Numbers) -> bytes:
+    """Contexts, word after word (``word``: where each begins), as steps between
+    numbers; those without one are numbered on, in a sorted list of them."""
+    code = numbered.of(ctx)
+    rest = code < 0
+    names, at = np.unique(ctx[rest], return_inverse=True)
+    code[rest] = len(numbered.words) + at
+    step = np.diff(code, prepend=0)
+    step[word] = code[word]
+    first = pack(gaps(names))
+    return len(first).to_bytes(4, "little") + first + pack(_narrow(step), _narrow(count))
+
+
+def packed(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, n: np.ndarray, with_docs: bool,
+           numbered: Numbers | None = None) -> tuple[bytes, bytes, bytes | None]:
+    """N-grams in the order of ``Chunk.grams`` as words with their numbers of
+    contexts, contexts with their counts (or numbers of documents), and
+    documents with their counts."""
+    numbered = numbered or Numbers()
     word, gram = _starts(h), _starts(h, ctx)
+    first = np.searchsorted(gram, word)
     per_gram = np.diff(np.r_[gram, len(h)])
     count = per_gram if with_docs else np.add.reduceat(n, gram)
-    per_word = np.diff(np.r_[np.searchsorted(gram, word), len(gram)])
-    heads = pack(gaps(h[word]), _narrow(per_word))
-    grams = packed_contexts(ctx[gram], count)
+    heads = numbered.pack(h[word].astype(np.int64), np.diff(np.r_[first, len(gram)]), np.arange(len(word)))
+    grams = packed_contexts(ctx[gram], count, first, numbered)
     if not with_docs:
         return heads, grams, None
     step = np.diff(doc, prepend=0)                   # documents as gaps within their n-gram
@@ -158,13 +203,16 @@ def packed(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, n: np.ndarray, with_
     return heads, grams, pack(_narrow(step), _narrow(n))
 
 
-def unpacked(heads: bytes, grams: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h, per_word = unpack(heads)
+def unpacked(heads: bytes, grams: bytes, numbered: Numbers | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    numbered = numbered or Numbers()
+    h, per_word = numbered.unpack(heads)
     end = 4 + int.from_bytes(grams[:4], "little")
-    step, often = unpack(grams[4:end])
-    code, count = unpack(grams[end:])
-    known = np.cumsum(step)[np.argsort(-often.astype(np.int64), kind="stable")]
-    return np.repeat(np.cumsum(h, dtype=np.uint64), per_word), known[code], count.astype(np.int64)
+    names = np.cumsum(unpack(grams[4:end])[0])
+    step, count = unpack(grams[end:])
+    run = np.cumsum(step, dtype=np.int64)
+    begin = np.cumsum(per_word) - per_word
+    code = run - np.repeat(np.r_[0, run][begin], per_word)
+    return np.repeat(h.astype(np.uint64), per_word), np.r_[numbered.words, names][code], count.astype(np.int64)
 
 
 def documents_of(docs: bytes, n_docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -382,32 +382,35 @@ def _category() -> Column:
 
 
 @functools.lru_cache(maxsize=1)
-def _hours_exprs() -> tuple[Column, ...]:
-    """D1 → D2/D3 → D4 → D5 → D6 → D7 as staged columns.  Each stage binds
-    the previous stage's struct once (``let``), so a filter pushed through
-    these projections inlines one copy per stage, not a multiplied tree, and
-    each analysed expression stays shallow.  Leaves ``_hx`` =
-    ``struct(hours, hoursDetail, entries)``."""
+def _weekly_expr() -> Column:
+    """D1 → D2/D3: the weekly entries in a struct ``w`` (bound once)."""
     hbtn, panel = F.col("_hbtn"), F.col("_panel")
-    d5, d6, d7 = _hours_fallbacks()
 
     def weekly_of(d1: Column) -> Column:
         d2 = F.when((F.size(d1) < 7) & hbtn.isNotNull() & panel.isNotNull(), _fill_24h(_panel_hours(), hbtn))
         return let(d2, lambda d2v: (F.when(F.size(d1) >= 7, d1)
                                     .when(hbtn.isNotNull() & panel.isNotNull(), F.when(F.size(d2v) > 0, d2v))
                                     .when(F.size(d1) > 0, d1)))
+    return let(_existing_hours(), lambda d1: F.struct(weekly_of(d1).alias("w")))
 
+
+@functools.lru_cache(maxsize=1)
+def _hours_exprs() -> tuple[Column, ...]:
+    """D4 → D5 → D6 → D7 on the weekly entries ``_weekly`` as staged columns.
+    Each stage binds the previous stage's struct once (``let``), so a filter
+    pushed through these projections inlines one copy per stage, not a
+    multiplied tree, and each analysed expression stays shallow.  Leaves
+    ``_hx`` = ``struct(hours)``."""
+    d5, d6, d7 = _hours_fallbacks()
     return (
-        let(_existing_hours(), lambda d1: F.struct(weekly_of(d1).alias("w"))),
-        let(F.col("_hx"), lambda x: F.struct(
-        x["w"].alias("w"), F.when(F.size(x["w"]) > 0, H.hours_list(x["w"])).alias("h4"))),
+        let(F.col("_weekly"), lambda x: F.struct(F.when(F.size(x["w"]) > 0, H.hours_list(x["w"])).alias("h4"))),
         let(F.col("_hx"), lambda x: F.struct(
-        x["w"].alias("w"), x["h4"].alias("h4"), F.when(x["h4"].isNull(), d5).alias("h5"))),
+        x["h4"].alias("h4"), F.when(x["h4"].isNull(), d5).alias("h5"))),
         let(F.col("_hx"), lambda x: F.struct(
-        x["w"].alias("w"), x["h4"].alias("h4"), x["h5"].alias("h5"),
+        x["h4"].alias("h4"), x["h5"].alias("h5"),
         F.when((size0(x["h4"]) == 0) & x["h5"].isNull(), d6).alias("h6"))),
         let(F.col("_hx"), lambda x: F.struct(
-        x["w"].alias("w"), x["h4"].alias("h4"), x["h5"].alias("h5"), x["h6"].alias("h6"),
+        x["h4"].alias("h4"), x["h5"].alias("h5"), x["h6"].alias("h6"),
         F.when((size0(x["h4"]) == 0) & x["h5"].isNull() & x["h6"].isNull(), d7)
         .alias("h7"))),
         let(F.col("_hx"), lambda x: F.struct(
@@ -415,13 +418,15 @@ def _hours_exprs() -> tuple[Column, ...]:
          .when(x["h5"].isNotNull(), F.array(x["h5"]))
          .when(x["h6"].isNotNull(), F.array(x["h6"]))
          .when(x["h7"].isNotNull(), F.array(x["h7"]))
-         .otherwise(x["h4"])).alias("hours"),
-        H.hours_map(x["w"]).alias("hoursDetail"), x["w"].alias("entries"))),
+         .otherwise(x["h4"])).alias("hours"))),
     )
 
 
 def _with_hours(st: DataFrame) -> DataFrame:
-    """Apply the staged hours columns (leaves ``_hx``)."""
+    """Apply the staged hours columns: ``_weekly`` (D1–D3) and ``_hx``.
+    The weekly entries are a column of their own, so a query that reads only
+    them does not run the fallbacks of the hours text."""
+    st = st.withColumn("_weekly", _weekly_expr())
     for expr in _hours_exprs():
         st = st.withColumn("_hx", expr)
     return st
@@ -431,8 +436,8 @@ def _with_hours(st: DataFrame) -> DataFrame:
 def _field_exprs() -> tuple[Column, ...]:
     return (_address().alias("address"), F.nullif(_phone(), F.lit("")).alias("phone"),
             F.nullif(_website(), F.lit("")).alias("website"),
-            F.col("_hx.hours").alias("hours"), F.col("_hx.hoursDetail").alias("hoursDetail"),
-            F.col("_hx.entries").alias("hours_entries"),
+            F.col("_hx.hours").alias("hours"), H.hours_map(F.col("_weekly.w")).alias("hoursDetail"),
+            F.col("_weekly.w").alias("hours_entries"),
             _price().alias("priceLevel"), _category().alias("businessType"))
 
 

@@ -1,6 +1,6 @@
 """D1–D12 on captured detail pages with hand-derived expectations."""
 
-from placeweave.operators.details import detail_fields
+from placeweave.operators.details import FACILITY_WORDS, detail_fields
 from placeweave.operators.elements import page_elements
 
 DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -120,3 +120,23 @@ def test_d2_panel_table(spark):
     # D1 found only 2 days; a panel exists, so its (cleaned) rows win
     assert r.hours == ["Monday: Closed", "Tuesday: 10 AM–10 PM"]
     assert dict(r.hoursDetail) == {"Monday": "Closed", "Tuesday": "10 AM–10 PM"}
+
+
+def test_weekly_entries_do_not_run_the_hours_text(spark):
+    """Whoever reads the weekly entries alone does not pay for D5–D7, and gets
+    the same entries as whoever reads all fields."""
+    week = "<table>" + "".join(f"<tr><td>{d}</td><td>09:00–17:00</td></tr>" for d in ("Monday", "Tuesday")) + "</table>"
+    pages = [(1, "u", f"<body>{week}</body>"), (2, "u", "<body><button aria-label='Hours: Open 9 AM to 5 PM'></button></body>"),
+             (3, "u", "<body></body>"), (4, "u", None)]
+    fields = detail_fields(page_elements(spark.createDataFrame(pages, "page_id long, url string, html string")))
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    weekly = fields.select("page_id", "hours_entries", "hoursDetail")
+    assert FACILITY_WORDS[0] in plan(fields) and FACILITY_WORDS[0] not in plan(weekly)
+    days = [("Monday", "09:00–17:00"), ("Tuesday", "09:00–17:00")]
+    got = {r["page_id"]: (r["hours_entries"], r["hoursDetail"]) for r in weekly.collect()}
+    assert [tuple(x) for x in got[1][0]] == days and got[1][1] == dict(days) and [got[i] for i in (2, 3, 4)] == [(None, None)] * 3
+    whole = {r["page_id"]: r for r in fields.collect()}
+    assert {k: (r["hours_entries"], r["hoursDetail"]) for k, r in whole.items()} == got
+    assert whole[1]["hours"] == [f"{d}: {h}" for d, h in days] and whole[2]["hours"] == ["Hours: Open 9 AM to 5 PM"]
