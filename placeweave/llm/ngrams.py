@@ -21,7 +21,9 @@ n-gram's count before it is scored.  Costs are whole hundredths of a nat, so sum
 the same in any order.  Very frequent words would make their bucket large;
 words that a sample finds to hold over 1 / ``HOT_SHARE`` of all words are dealt
 out by context as well, and their continuation counts are added up like the
-rest.  The sample decides where work is done, never a result.
+rest.  The most frequent words of the sample have numbers, which stand for their
+hashes in packed rows.  The sample decides where work is done and how rows are
+packed, never a result.
 """
 
 from __future__ import annotations
@@ -87,22 +89,24 @@ class Chunk:
         self.ids.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
 
     def grams(self, numbered: Numbers | None = None) -> tuple[np.ndarray, ...]:
-        """Sorted by word hash, context (those with a number first, by number)
-        and document: (hash, context, document, count).  Documents are numbered
-        from the longest: small numbers are frequent then, and pack well."""
+        """Sorted by word, context (both in the order of ``numbered``, without
+        numbers by hash) and document: (hash, context, document, count).
+        Documents are numbered from the longest: small numbers are frequent
+        then, and pack well."""
         longest = sorted(range(len(self.ids)), key=lambda i: -len(self.ids[i]))
         self.keys, self.ids = [self.keys[i] for i in longest], [self.ids[i] for i in longest]
         hashes, rank = np.unique(_hashes([*self.number, START]), return_inverse=True)
         lens = np.array([len(x) for x in self.ids], np.int64)
+        if numbered is not None:
+            order = numbered.in_order(hashes.astype(np.int64))
+            place = np.empty(len(hashes), np.int64)
+            place[order] = np.arange(len(hashes))
+            hashes, rank = hashes[order], place[rank]
         word = rank[np.concatenate([*self.ids, np.empty(0, np.int32)])]
-        number = (numbered or Numbers()).of(hashes.astype(np.int64))
-        order = np.argsort(np.where(number < 0, NUMBERED, number), kind="stable")
-        place = np.empty(len(hashes), np.int64)          # of a context
-        place[order] = np.arange(len(hashes))
         code = word * len(hashes)                        # the n-gram
-        code[1:] += place[word[:-1]]
+        code[1:] += word[:-1]
         begin = (np.cumsum(lens) - lens)[lens > 0]
-        code[begin] = word[begin] * len(hashes) + place[rank[-1]]
+        code[begin] = word[begin] * len(hashes) + rank[-1]
         del word
         grams, docs = None, max(len(lens), 1)
         if len(hashes) ** 2 * docs >= 1 << 63:           # too many for one number with the document
@@ -114,7 +118,7 @@ class Chunk:
         n, code = np.diff(np.r_[first, len(code)]), code[first]
         doc, code = code % docs, code // docs
         code = code if grams is None else grams[code]
-        return hashes[code // len(hashes)], hashes[order[code % len(hashes)]].astype(np.int64), doc, n
+        return hashes[code // len(hashes)], hashes[code % len(hashes)].astype(np.int64), doc, n
 
 
 class Numbers:
@@ -124,30 +128,39 @@ class Numbers:
 
     def __init__(self, words: np.ndarray | tuple = ()) -> None:
         self.words = np.asarray(words, np.int64)
-        self.order = np.argsort(self.words)
-        self.sorted = self.words[self.order]
+        self.by_hash = np.argsort(self.words)
+        self.sorted = self.words[self.by_hash]
+
+    def __reduce__(self):
+        return Numbers, (self.words,)
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        """Each hash's number, or -1."""
+        """Each hash's number; a hash without one has the next."""
         if not len(self.words):
-            return np.full(len(h), -1, np.int64)
+            return np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.sorted, h), len(self.words) - 1)
-        return np.where(self.sorted[at] == h, self.order[at], -1)
+        return np.where(self.sorted[at] == h, self.by_hash[at], len(self.words))
+
+    def in_order(self, h: np.ndarray) -> np.ndarray:
+        """Positions of the hashes by number, then of those without one by hash."""
+        return np.lexsort((h, self.of(h)))
 
-    def pack(self, values: np.ndarray, *columns: np.ndarray) -> bytes:
-        """Different hashes, and columns that go with them, in the order that
-        ``unpack`` gives: by number, then those without a number by hash."""
-        number = self.of(values)
-        known, rest = np.flatnonzero(number >= 0), np.flatnonzero(number < 0)
-        known, rest = known[np.argsort(number[known])], rest[np.argsort(values[rest])]
-        first = pack(_narrow(gaps(number[known])), *(_narrow(c[known]) for c in columns))
-        return len(first).to_bytes(4, "little") + first + pack(gaps(values[rest]), *(_narrow(c[rest]) for c in columns))
+    def pack(self, h: np.ndarray, *columns: np.ndarray) -> bytes:
+        """Different hashes in that order, and columns that go with them."""
+        number = self.of(h)
+        n = int(np.searchsorted(number, len(self.words)))
+        first = pack(_narrow(gaps(number[:n])), *(_narrow(c[:n]) for c in columns))
+        return len(first).to_bytes(4, "little") + first + pack(gaps(h[n:]), *(_narrow(c[n:]) for c in columns))
 
     def unpack(self, data: bytes) -> list[np.ndarray]:
         end = 4 + int.from_bytes(data[:4], "little")
         known, rest = unpack(data[4:end]), unpack(data[end:])
-        values = np.r_[self.words[np.cumsum(known[0], dtype=np.int64)], np.cumsum(rest[0])]
-        return [values, *(np.r_[a.astype(np.int64), b.astype(np.int64)] for a, b in zip(known[1:], rest[1:]))]
+        h = np.r_[self.words[np.cumsum(known[0], dtype=np.int64)], np.cumsum(rest[0])]
+        return [h, *(np.r_[a.astype(np.int64), b.astype(np.int64)] for a, b in zip(known[1:], rest[1:]))]
+
+
+#: Without numbers all is in order of hash.
+PLAIN = Numbers()
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -175,26 +188,25 @@ def packed_contexts(ctx: np.ndarray, count: np.ndarray, word: np.ndarray, number
     """Contexts, word after word (``word``: where each begins), as steps between
     numbers; those without one are numbered on, in a sorted list of them."""
     code = numbered.of(ctx)
-    rest = code < 0
+    rest = code == len(numbered.words)
     names, at = np.unique(ctx[rest], return_inverse=True)
-    code[rest] = len(numbered.words) + at
+    code[rest] += at
     step = np.diff(code, prepend=0)
     step[word] = code[word]
-    first = pack(gaps(names))
-    return len(first).to_bytes(4, "little") + first + pack(_narrow(step), _narrow(count))
+    names = pack(gaps(names))
+    return len(names).to_bytes(4, "little") + names + pack(_narrow(step), _narrow(count))
 
 
 def packed(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, n: np.ndarray, with_docs: bool,
-           numbered: Numbers | None = None) -> tuple[bytes, bytes, bytes | None]:
+           numbered: Numbers = PLAIN) -> tuple[bytes, bytes, bytes | None]:
     """N-grams in the order of ``Chunk.grams`` as words with their numbers of
     contexts, contexts with their counts (or numbers of documents), and
     documents with their counts."""
-    numbered = numbered or Numbers()
     word, gram = _starts(h), _starts(h, ctx)
     first = np.searchsorted(gram, word)
     per_gram = np.diff(np.r_[gram, len(h)])
     count = per_gram if with_docs else np.add.reduceat(n, gram)
-    heads = numbered.pack(h[word].astype(np.int64), np.diff(np.r_[first, len(gram)]), np.arange(len(word)))
+    heads = numbered.pack(h[word].astype(np.int64), np.diff(np.r_[first, len(gram)]))
     grams = packed_contexts(ctx[gram], count, first, numbered)
     if not with_docs:
         return heads, grams, None
@@ -203,16 +215,17 @@ def packed(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, n: np.ndarray, with_
     return heads, grams, pack(_narrow(step), _narrow(n))
 
 
-def unpacked(heads: bytes, grams: bytes, numbered: Numbers | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    numbered = numbered or Numbers()
+def unpacked(heads: bytes, grams: bytes, numbered: Numbers = PLAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, per_word = numbered.unpack(heads)
     end = 4 + int.from_bytes(grams[:4], "little")
     names = np.cumsum(unpack(grams[4:end])[0])
     step, count = unpack(grams[end:])
     run = np.cumsum(step, dtype=np.int64)
-    begin = np.cumsum(per_word) - per_word
-    code = run - np.repeat(np.r_[0, run][begin], per_word)
-    return np.repeat(h.astype(np.uint64), per_word), np.r_[numbered.words, names][code], count.astype(np.int64)
+    code = run - np.repeat(np.r_[0, run][np.cumsum(per_word) - per_word], per_word)
+    known = code < len(numbered.words)
+    ctx = np.empty(len(code), np.int64)
+    ctx[known], ctx[~known] = numbered.words[code[known]], names[code[~known] - len(numbered.words)]
+    return np.repeat(h.astype(np.uint64), per_word), ctx, count.astype(np.int64)
 
 
 def documents_of(docs: bytes, n_docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,17 +236,17 @@ def documents_of(docs: bytes, n_docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return run - np.repeat(np.r_[0, run][begin], n_docs), n.astype(np.int64)
 
 
-def _count(hot: np.ndarray, n: int, with_docs: bool):
+def _count(hot: np.ndarray, n: int, with_docs: bool, numbered: Numbers = PLAIN):
     """Texts → n-grams by bucket; with documents also each chunk's row keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, seq, size, chunk = TaskContext.get().partitionId() << 32, 0, 0, Chunk()
 
         def flush():
             name = first + seq
-            h, ctx, doc, times = chunk.grams()
+            h, ctx, doc, times = chunk.grams(numbered)
             rows = []
             for b, at in split(bucket_of(h, ctx, hot, n), n):
-                rows.append((b, name, *packed(h[at], ctx[at], doc[at], times[at], with_docs)))
+                rows.append((b, name, *packed(h[at], ctx[at], doc[at], times[at], with_docs, numbered)))
             if with_docs:
                 keys, lens = np.array(chunk.keys, np.int64), np.array([len(x) for x in chunk.ids], np.int64)
                 rows.append((name % n, name, None, None, pack(keys, lens)))
@@ -279,10 +292,10 @@ class Bucket:
         return known, sums
 
 
-def _part(row: dict) -> tuple[np.ndarray, ...]:
+def _part(row: dict, numbered: Numbers = PLAIN) -> tuple[np.ndarray, ...]:
     """A row's n-grams: (hash, context, count), and with documents the
     document, the count and the n-gram of each entry."""
-    h, ctx, count = unpacked(row["heads"], row["grams"])
+    h, ctx, count = unpacked(row["heads"], row["grams"], numbered)
     if row["docs"] is None:
         return h, ctx, count
     doc, n = documents_of(row["docs"], count)
@@ -309,14 +322,14 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 STATISTICS = "kind string, key long, a long, b long, c long, d long"
 
 
-def _statistics(hot: np.ndarray, contexts: bool = True):
+def _statistics(hot: np.ndarray, contexts: bool = True, numbered: Numbers = PLAIN):
     """Counts of counts and continuation counts; ``contexts`` adds a row for
     each context of each bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, types, size = np.zeros(5, np.int64), np.zeros(5, np.int64), np.zeros(2, np.int64)
         spread, names = np.zeros(len(hot), np.int64), [c.split()[0] for c in STATISTICS.split(", ")]
         for rows in _buckets(batches):
-            parts = [_part(r)[:3] for r in rows if r["heads"] is not None]
+            parts = [_part(r, numbered)[:3] for r in rows if r["heads"] is not None]
             if not parts:
                 continue
             b = Bucket(parts)
@@ -337,32 +350,35 @@ def _statistics(hot: np.ndarray, contexts: bool = True):
     return run
 
 
-def _partial(n: int):
+def _partial(n: int, numbered: Numbers):
     """A bucket's sums of its contexts → the contexts' own buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _buckets(batches):
-            parts = [_part(r)[:3] for r in rows if r["heads"] is not None]
+            parts = [_part(r, numbered)[:3] for r in rows if r["heads"] is not None]
             if not parts:
                 continue
             known, sums = Bucket(parts).contexts()
-            out = [(to, rows[0]["bucket"], pack(gaps(known[at]), *(_narrow(sums[at, k]) for k in range(4))))
-                   for to, at in split(context_bucket(known, n), n)]
+            order = numbered.in_order(known)
+            known, sums = known[order], sums[order]
+            out = [(to, rows[0]["bucket"], numbered.pack(known[at], *sums[at].T)) for to, at in split(context_bucket(known, n), n)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PARTIAL)], schema=_PARTIAL)
     return run
 
 
-def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _replies(numbered: Numbers):
     """What the contexts of a bucket add up to, for each sender in its order."""
-    for rows in _buckets(batches):
-        parts = [unpack(r["data"]) for r in rows]
-        lens = np.array([len(p[0]) for p in parts])
-        known, at = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
-        sums = np.zeros((len(known), 4), np.int64)
-        for k in range(4):
-            np.add.at(sums[:, k], at, np.concatenate([p[k + 1] for p in parts]).astype(np.int64))
-        out = [(r["origin"], r["bucket"], pack(*(_narrow(sums[mine, k]) for k in range(4))))
-               for r, mine in zip(rows, np.split(at, np.cumsum(lens)[:-1]))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _REPLIES)], schema=_REPLIES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _buckets(batches):
+            parts = [numbered.unpack(r["data"]) for r in rows]
+            lens = np.array([len(p[0]) for p in parts])
+            known, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            sums = np.zeros((len(known), 4), np.int64)
+            for k in range(4):
+                np.add.at(sums[:, k], at, np.concatenate([p[k + 1] for p in parts]))
+            out = [(r["origin"], r["bucket"], pack(*(_narrow(sums[mine, k]) for k in range(4))))
+                   for r, mine in zip(rows, np.split(at, np.cumsum(lens)[:-1]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _REPLIES)], schema=_REPLIES)
+    return run
 
 
 def discounts(ones: list[int]) -> np.ndarray:
@@ -408,20 +424,21 @@ class Model:
         return (count - self.cut[np.minimum(count, 3)]) / self.total[at] + self.back[at] * self.word_probability(types)
 
 
-def _costs(hot: np.ndarray, n: int):
+def _costs(hot: np.ndarray, n: int, numbered: Numbers):
     """A bucket's n-grams with their documents, and what is known of its
     contexts → costs per document, chunk by chunk."""
     def run(grams: pa.Table, known: pa.Table) -> pa.Table:
         rows, said = grams.to_pylist(), {r["part"]: r["data"] for r in known.to_pylist()}
         out = [(r["chunk"], 1, r["docs"]) for r in rows if r["heads"] is None]
         rows = [r for r in rows if r["heads"] is not None]
-        parts = [_part(r) for r in rows]
+        parts = [_part(r, numbered) for r in rows]
         if parts:
             b = Bucket([p[:3] for p in parts])
             model = Model({(r["kind"], r["key"]): (r["a"], r["b"], r["c"], r["d"]) for r in json.loads(said[-1])}, hot)
             ctx, sums = b.contexts()
-            for c, at in split(context_bucket(ctx, n), n):
-                sums[at] = np.stack(unpack(said[c]), axis=1)
+            order = numbered.in_order(ctx)
+            for c, at in split(context_bucket(ctx[order], n), n):
+                sums[order[at]] = np.stack(unpack(said[c]), axis=1)
             model.know(ctx, sums)
             types = b.types.copy()
             at = np.searchsorted(model.hot, b.word)
@@ -482,23 +499,38 @@ def hot_words(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in found if not r["whole"] and r["n"] * HOT_SHARE >= total], np.int64).view(np.uint64))
 
 
+def frequent_words(rows: DataFrame) -> Numbers:
+    """Numbers for the most frequent words of the sample, ``NUMBERED`` at most.
+    They decide how rows are packed, never a result."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                found.update(words_of(data or b""))
+        yield pa.RecordBatch.from_arrays([pa.array(_hashes(found).view(np.int64)), pa.array(found.values(), pa.int64())], names=["h", "n"])
+
+    sample = rows.where(F.pmod("row_key", F.lit(SAMPLE)) == 0).select("data").mapInArrow(run, "h long, n long")
+    top = sample.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(NUMBERED).select("h").toArrow()
+    return Numbers(top.column("h").to_numpy())
+
+
 def costs(rows: DataFrame) -> DataFrame:
     """``(row_key, words, cost)`` of every row of ``rows(row_key, data)``:
     the hundredths of a nat that its words cost under the model of all rows.  Rows that
     are alike have the same cost; a row without words costs nothing."""
     spark = rows.sparkSession
-    hot = hot_words(rows)
+    hot, numbered = hot_words(rows), frequent_words(rows)
     n = bucket_count(spark, estimate_bytes(rows, "data") // 6, WORDS_PER_BUCKET, each=2)
     n_ctx = -(-n // PER_CONTEXT_BUCKET)
     # one shuffle, read by all three branches
-    grams = rows.mapInArrow(_count(hot, n, True), GRAMS).repartition("bucket")
+    grams = rows.mapInArrow(_count(hot, n, True, numbered), GRAMS).repartition("bucket")
     in_order = grams.sortWithinPartitions("bucket")
-    added = (in_order.mapInArrow(_statistics(hot, contexts=False), STATISTICS).groupBy("kind", "key")
+    added = (in_order.mapInArrow(_statistics(hot, False, numbered), STATISTICS).groupBy("kind", "key")
              .agg(*[F.sum(c).alias(c) for c in "abcd"]))
     whole = added.agg(F.to_json(F.collect_list(F.struct("kind", "key", *"abcd"))).cast("binary").alias("data"))
     model = spark.range(n).select(F.col("id").cast("int").alias("bucket"), F.lit(-1).alias("part")).crossJoin(F.broadcast(whole))
-    partial = in_order.mapInArrow(_partial(n_ctx), PARTIAL).repartition("bucket").sortWithinPartitions("bucket")
-    known = model.unionByName(partial.mapInArrow(_replies, REPLIES))
-    sums = (grams.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_costs(hot, n_ctx), SUMS)
+    partial = in_order.mapInArrow(_partial(n_ctx, numbered), PARTIAL).repartition("bucket").sortWithinPartitions("bucket")
+    known = model.unionByName(partial.mapInArrow(_replies(numbered), REPLIES))
+    sums = (grams.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_costs(hot, n_ctx, numbered), SUMS)
             .repartition("chunk").sortWithinPartitions("chunk", F.col("kind").desc()))
     return sums.mapInArrow(_add_up, "row_key long, words long, cost long")

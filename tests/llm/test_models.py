@@ -1,6 +1,7 @@
 """Language, toxicity, benchmark and quality operators."""
 
 import math
+import pickle
 import random
 import re
 from collections import Counter
@@ -11,7 +12,7 @@ import xxhash
 from conftest_rows import ODD, prose
 from pyspark.sql import functions as F
 
-from placeweave.llm import decontam, langid, ngrams, quality, toxicity
+from placeweave.llm import decontam, langid, ngrams, packed, quality, toxicity
 from placeweave.llm.common import held_out
 
 SF = "/root/testdata/sf0.01"
@@ -456,6 +457,46 @@ def test_grams_of_a_chunk():
     assert grams() == want
 
 
+def test_numbered_words_pack_smaller_and_change_nothing(spark, monkeypatch):
+    """Rows of n-grams name frequent words by numbers; what is unpacked and all
+    costs are those of rows without numbers."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{min(int(rng.expovariate(.01)), 900)}" for _ in range(150)) + f" only{i}" for i in range(60)] + ["", "w1"]
+    often = [f"w{i}".encode() for i in range(600)]
+    numbered = pickle.loads(pickle.dumps(ngrams.Numbers(ngrams._hashes(often).astype(np.int64))))
+    sizes, found = [], []
+    for num in (ngrams.PLAIN, numbered):
+        chunk, size, back = ngrams.Chunk(), 0, Counter()
+        for i, t in enumerate(texts):
+            chunk.add(i, t.encode())
+        h, ctx, doc, n = chunk.grams(num)
+        for _, at in packed.split(ngrams.bucket_of(h, ctx, np.empty(0, np.uint64), 5), 5):
+            row = dict(zip(("heads", "grams", "docs"), ngrams.packed(h[at], ctx[at], doc[at], n[at], True, num)))
+            size += sum(map(len, row.values()))
+            words, contexts, _, docs, times, gram = ngrams._part(row, num)
+            back.update(dict(zip(zip(words[gram].tolist(), contexts[gram].tolist(), docs.tolist()), times.tolist())))
+        assert back == dict(zip(zip(h.tolist(), ctx.tolist(), doc.tolist()), n.tolist()))
+        sizes.append(size)
+        found.append(Counter({(a, b, chunk.keys[d]): k for (a, b, d), k in back.items()}))
+    assert found[0] == found[1] and sizes[1] < .8 * sizes[0]
+
+    monkeypatch.setattr(ngrams, "SAMPLE", 1)
+    monkeypatch.setattr(ngrams, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(ngrams, "bucket_count", lambda *a, **k: 5)
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "row_key long, data binary").repartition(3)
+    words = ngrams._hashes([w for w, _ in sorted(Counter(ngrams.words_of(" ".join(texts).encode())).items())]).astype(np.int64).tolist()
+
+    def costs(most):
+        monkeypatch.setattr(ngrams, "NUMBERED", most)
+        numbers = ngrams.frequent_words(rows).words.tolist()
+        assert len(numbers) == min(most, len(words)) and set(numbers) <= set(words)
+        return sorted(map(tuple, ngrams.costs(rows).collect()))
+    assert costs(0) == costs(40) == costs(1 << 17)
+    count = Counter(ngrams.words_of(" ".join(texts).encode()))
+    first = [count[w] for x in ngrams.frequent_words(rows).words.tolist() for w in count if ngrams._hashes([w])[0] == x][:30]
+    assert first == sorted(count.values(), reverse=True)[:30]
+
+
 def test_kneser_ney_sums_to_one(spark):
     docs = lm_docs()
     rows = spark.createDataFrame([(k, (t or "").encode()) for k, t in docs], "row_key long, data binary")
