@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.llm.common import bucket_count, estimate_bytes, mix64
-from placeweave.llm.packed import gaps, pack, split, unpack
+from placeweave.llm.packed import gaps, pack_apart as pack, split, unpack_apart as unpack
 
 HASH_BITS = 48
 #: A context keeps all bits of its word.
@@ -52,7 +52,10 @@ CHUNK_BYTES, WORDS_PER_BUCKET = 16 << 20, 1_500_000
 PER_CONTEXT_BUCKET = 4
 HOT_SHARE, SAMPLE = 2000, 64
 #: Words of the sample that have a number in packed rows, at most.
-NUMBERED = 1 << 17
+NUMBERED = 1 << 18
+#: What n-grams with a count of 1, of 2, and of 3 and more count at least; only
+#: what a context's counts add up to beyond that is sent.
+LEAST = np.array([1, 2, 3])
 #: Costs are whole parts of a nat.
 PARTS = 100
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -102,23 +105,28 @@ class Chunk:
             place = np.empty(len(hashes), np.int64)
             place[order] = np.arange(len(hashes))
             hashes, rank = hashes[order], place[rank]
-        word = rank[np.concatenate([*self.ids, np.empty(0, np.int32)])]
-        code = word * len(hashes)                        # the n-gram
-        code[1:] += word[:-1]
-        begin = (np.cumsum(lens) - lens)[lens > 0]
-        code[begin] = word[begin] * len(hashes) + rank[-1]
+        word = rank.astype(np.int32)[np.concatenate([*self.ids, np.empty(0, np.int32)])]
+        code = np.multiply(word, len(hashes), dtype=np.int64)           # the n-gram
+        word[1:] = word[:-1].copy()                      # now the contexts
+        word[(np.cumsum(lens) - lens)[lens > 0]] = rank[-1]
+        code += word
         del word
         grams, docs = None, max(len(lens), 1)
         if len(hashes) ** 2 * docs >= 1 << 63:           # too many for one number with the document
             grams, code = np.unique(code, return_inverse=True)
         code *= docs
-        code += np.repeat(np.arange(len(lens)), lens)
+        code += np.repeat(np.arange(len(lens), dtype=np.int32), lens)
         code.sort()
         first = _starts(code)
-        n, code = np.diff(np.r_[first, len(code)]), code[first]
-        doc, code = code % docs, code // docs
+        n = np.diff(first, append=len(code)).astype(np.int32)
+        code = code[first]
+        del first
+        doc = (code % docs).astype(np.int32)
+        code //= docs
         code = code if grams is None else grams[code]
-        return hashes[code // len(hashes)], hashes[code % len(hashes)].astype(np.int64), doc, n
+        ctx = hashes.astype(np.int64)[code % len(hashes)]
+        code //= len(hashes)
+        return hashes[code], ctx, doc, n
 
 
 class Numbers:
@@ -172,10 +180,22 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def hash_range(h: np.ndarray, n: int) -> np.ndarray:
+    """One of n equal ranges of hashes: those of a range lie close, and pack well."""
+    low = np.uint64(HASH_BITS // 2)                  # in two steps, so that any n fits
+    h, n = h.astype(np.uint64), np.uint64(n)
+    return (((h >> low) * n + (((h & np.uint64((1 << HASH_BITS // 2) - 1)) * n) >> low)) >> low).astype(np.int64)
+
+
 def bucket_of(h: np.ndarray, ctx: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
     """A word's bucket; that of a hot word depends on the context too."""
-    spread = np.where(np.isin(h, hot), mix64(ctx.astype(np.uint64) + np.uint64(1)), np.uint64(0))
-    return (mix64(h + spread * _ODD) % np.uint64(n)).astype(np.int64)
+    word = _starts(h)
+    each = np.diff(word, append=len(h))
+    out = np.repeat(hash_range(h[word], n).astype(np.int32), each)
+    at = np.flatnonzero(np.repeat(np.isin(h[word], hot), each))
+    spread = mix64(ctx[at].astype(np.uint64) + np.uint64(1))
+    out[at] = (mix64(h[at] + spread * _ODD) % np.uint64(n)).astype(np.int32)
+    return out
 
 
 def _narrow(values: np.ndarray) -> np.ndarray:
@@ -253,7 +273,8 @@ def _count(hot: np.ndarray, n: int, with_docs: bool, numbered: Numbers = PLAIN):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, _GRAMS)], schema=_GRAMS)
 
         for batch in batches:
-            for key, data in zip(batch.column("row_key").to_pylist(), batch.column("data").to_pylist()):
+            for key, data in zip(batch.column("row_key"), batch.column("data")):
+                key, data = key.as_py(), data.as_py()
                 chunk.add(key, data or b"")
                 size += len(data or b"") + 64
                 if size >= CHUNK_BYTES:
@@ -302,10 +323,6 @@ def _part(row: dict, numbered: Numbers = PLAIN) -> tuple[np.ndarray, ...]:
     return h, ctx, np.add.reduceat(n, np.cumsum(count) - count), doc, n, np.repeat(np.arange(len(h), dtype=np.int32), count)
 
 
-def context_bucket(ctx: np.ndarray, n: int) -> np.ndarray:
-    return (mix64(ctx.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
-
-
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of one bucket after the other."""
     rows: list[dict] = []
@@ -360,7 +377,8 @@ def _partial(n: int, numbered: Numbers):
             known, sums = Bucket(parts).contexts()
             order = numbered.in_order(known)
             known, sums = known[order], sums[order]
-            out = [(to, rows[0]["bucket"], numbered.pack(known[at], *sums[at].T)) for to, at in split(context_bucket(known, n), n)]
+            sums[:, 0] -= sums[:, 1:] @ LEAST
+            out = [(to, rows[0]["bucket"], numbered.pack(known[at], *sums[at].T)) for to, at in split(hash_range(known, n), n)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PARTIAL)], schema=_PARTIAL)
     return run
 
@@ -437,8 +455,9 @@ def _costs(hot: np.ndarray, n: int, numbered: Numbers):
             model = Model({(r["kind"], r["key"]): (r["a"], r["b"], r["c"], r["d"]) for r in json.loads(said[-1])}, hot)
             ctx, sums = b.contexts()
             order = numbered.in_order(ctx)
-            for c, at in split(context_bucket(ctx[order], n), n):
+            for c, at in split(hash_range(ctx[order], n), n):
                 sums[order[at]] = np.stack(unpack(said[c]), axis=1)
+            sums[:, 0] += sums[:, 1:] @ LEAST
             model.know(ctx, sums)
             types = b.types.copy()
             at = np.searchsorted(model.hot, b.word)

@@ -53,6 +53,37 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def pack_apart(*columns: np.ndarray) -> bytes:
+    """Like :func:`pack`, with the bytes of each weight compressed by themselves
+    where that is shorter: next to even bytes, uneven ones share their code."""
+    whole = pack(*columns)
+    n = len(columns[0])
+    planes = [x for c in columns for x in np.ascontiguousarray(c).view(np.uint8).reshape(n, c.dtype.itemsize).T]
+    press = zstandard.ZstdCompressor(level=1)
+    small = [min(x.tobytes(), press.compress(x.tobytes()), key=len) for x in planes]      # n bytes: as they are
+    head = np.array([n, len(columns), *map(len, small)], np.uint32).tobytes() + "".join(c.dtype.str[1:] for c in columns).encode()
+    return min(b"\0" + whole, b"\1" + b"".join((len(head).to_bytes(2, "little"), head, *small)), key=len)
+
+
+def unpack_apart(data: bytes) -> list[np.ndarray]:
+    if data[0] == 0:
+        return unpack(data[1:])
+    at = 3 + int.from_bytes(data[1:3], "little")
+    n, k = np.frombuffer(data, np.uint32, 2, 3).tolist()
+    sizes = iter(np.frombuffer(data, np.uint32, (at - 3 - 2 * k) // 4 - 2, 11).tolist())
+    kinds, out = data[at - 2 * k:at].decode(), []
+    for i in range(0, 2 * k, 2):
+        kind = np.dtype("<" + kinds[i:i + 2])
+        planes = np.empty((n, kind.itemsize), np.uint8)
+        for j in range(kind.itemsize):
+            size = next(sizes)
+            raw = data[at:at + size]
+            planes[:, j] = np.frombuffer(raw if size == n else zstandard.decompress(raw), np.uint8)
+            at += size
+        out.append(planes.view(kind).reshape(n))
+    return out
+
+
 def gaps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=values.dtype.type(0))
 

@@ -74,7 +74,7 @@ def figures(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = list(zip(*(base_figures(t or b"") for t in batch.column(at).to_pylist()))) or [()] * len(FIGURES)
+            cols = list(zip(*(base_figures(t.as_py() or b"") for t in batch.column(at)))) or [()] * len(FIGURES)
             other = [batch.column(i) for i in range(batch.num_columns) if i != at]
             names = [x for i, x in enumerate(batch.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays([*other, *(pa.array(c, pa.int64()) for c in cols)], names=[*names, *FIGURES])

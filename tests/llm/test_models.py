@@ -7,13 +7,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest_rows import ODD, prose
 from pyspark.sql import functions as F
 
 from placeweave.llm import decontam, langid, ngrams, packed, quality, toxicity
-from placeweave.llm.common import held_out
+from placeweave.llm.common import held_out, mix64
 
 SF = "/root/testdata/sf0.01"
 
@@ -497,6 +498,73 @@ def test_numbered_words_pack_smaller_and_change_nothing(spark, monkeypatch):
     assert first == sorted(count.values(), reverse=True)[:30]
 
 
+def test_rows_of_grams_are_short_and_whole(monkeypatch):
+    """Weights packed apart and words dealt out by range make rows shorter than
+    ``pack`` and remainders of hashes; no n-gram of a large vocabulary changes."""
+    rng, n = np.random.default_rng(4), 4
+    drawn = [np.minimum(rng.zipf(1.2, 400), 1 << 40).tolist() for _ in range(700)]
+    texts = [" ".join([f"w{x}" if x < 3000 else f"r{rng.integers(1 << 40)}" for x in d]) for d in drawn]
+    chunk, want = ngrams.Chunk(), Counter()
+    for i, t in enumerate(texts):
+        chunk.add(i, t.encode())
+        w = t.encode().split()
+        want.update((a, b, i) for a, b in zip(ngrams._hashes(w).tolist(), ngrams._hashes([ngrams.START, *w]).tolist()))
+    numbered = ngrams.Numbers(ngrams._hashes([f"w{i}".encode() for i in range(1, 2000)]).astype(np.int64))
+    h, ctx, doc, times = chunk.grams(numbered)
+    hot = np.sort(ngrams._hashes([b"w1", b"w2"]))
+    bucket = ngrams.bucket_of(h, ctx, hot, n)
+    assert len(chunk.number) ** 2 > 1 << 31                          # codes of n-grams need 8 bytes
+    cold = ~np.isin(h, hot)
+    assert (bucket[cold] == [int(x) * n >> ngrams.HASH_BITS for x in h[cold].tolist()]).all()
+    assert min(Counter(ngrams.hash_range(np.unique(h), n).tolist()).values()) > .9 * len(np.unique(h)) / n and set(bucket[~cold].tolist()) == set(range(n))
+
+    def rows(bucket):
+        size, back = 0, Counter()
+        for _, at in packed.split(bucket, n):
+            row = dict(zip(("heads", "grams", "docs"), ngrams.packed(h[at], ctx[at], doc[at], times[at], True, numbered)))
+            size += sum(map(len, row.values()))
+            words, contexts, _, docs, k, gram = ngrams._part(row, numbered)
+            back.update({(a, b, chunk.keys[d]): x for a, b, d, x in zip(words[gram].tolist(), contexts[gram].tolist(), docs.tolist(), k.tolist())})
+        assert back == want
+        return size
+
+    size = rows(bucket)
+    monkeypatch.setattr(ngrams, "pack", packed.pack)
+    monkeypatch.setattr(ngrams, "unpack", packed.unpack)
+    assert size < .96 * rows((mix64(h) % np.uint64(n)).astype(np.int64))
+
+
+def test_columns_packed_apart():
+    """Any columns come back; short ones take one byte more than ``pack``, even
+    bytes beside uneven ones less."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 300, 30000):
+        for cols in ([rng.integers(0, 1 << 47, n), rng.integers(0, 3, n).astype(np.uint8)], [np.zeros(n, np.int32)],
+                     [rng.integers(-9, 9, n), rng.integers(0, 1 << 30, n).astype(np.uint32), rng.integers(0, 999, n).astype(np.uint16)]):
+            data = packed.pack_apart(*cols)
+            back = packed.unpack_apart(data)
+            assert len(data) <= len(packed.pack(*cols)) + 1
+            assert [b.dtype for b in back] == [c.dtype for c in cols] and all((a == b).all() and a.shape == b.shape for a, b in zip(cols, back))
+    uneven = rng.geometric(.001, 30000).astype(np.uint16)
+    assert len(packed.pack_apart(uneven)) < .97 * len(packed.pack(uneven))
+
+
+def test_contexts_send_what_counts_add_up_to_beyond_the_least():
+    """A context whose n-grams count 1 and 2 has nothing beyond; the sums of
+    two buckets come back whole."""
+    sums = np.array([[1, 1, 0, 0], [4, 2, 1, 0], [12, 1, 1, 2]])
+    beyond = sums[:, 0] - sums[:, 1:] @ ngrams.LEAST
+    assert beyond.tolist() == [0, 0, 3]
+    h, ctx = np.array([5, 5, 6, 7, 8], np.uint64), np.array([1, 2, 2, 2, 2])
+    heads, grams, _ = ngrams.packed(np.sort(h), ctx, np.zeros(5, np.int64), np.array([1, 1, 2, 3, 6]), False)
+    batch = pa.RecordBatch.from_pylist([{"bucket": b, "heads": heads, "grams": grams, "docs": None} for b in (0, 1)])
+    sent = pa.Table.from_batches(ngrams._partial(1, ngrams.PLAIN)([batch]))
+    assert [x.tolist() for x in ngrams.PLAIN.unpack(sent.to_pylist()[0]["data"])] == [[1, 2], [0, 3], [1, 1], [0, 1], [0, 2]]
+    said = pa.Table.from_batches(ngrams._replies(ngrams.PLAIN)(sent.to_batches())).to_pylist()
+    assert [(r["bucket"], [x.tolist() for x in ngrams.unpack(r["data"])]) for r in said] == [
+        (b, [[0, 6], [2, 2], [0, 2], [0, 4]]) for b in (0, 1)]
+
+
 def test_kneser_ney_sums_to_one(spark):
     docs = lm_docs()
     rows = spark.createDataFrame([(k, (t or "").encode()) for k, t in docs], "row_key long, data binary")
